@@ -6,5 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import range_queries, record_queries
+from .tables import Tables
+
+
+def _over_tables(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(Tables(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _over_tables(q) for m in (range_queries, record_queries) for k, q in m.QUERIES.items()}
+SQL: dict[str, str] = range_queries.SQL | record_queries.SQL
