@@ -15,7 +15,7 @@ MESSAGES = [
 
 #: SQL of each table that both systems run.
 _COMMON = {
-    "f3": "SELECT event_id AS sequence, ts, 't-' || user_id AS transfer_id, event_type AS event, CASE WHEN event_type = 'error' THEN 'fail' ELSE 'ok' END AS result, CAST(value * 1000 AS BIGINT) AS bytes, value / 100 AS elapsed_seconds, CASE event_id % 16 {cases} END AS message FROM events",
+    "f3": "SELECT event_id AS sequence, ts, 't-' || user_id AS transfer_id, event_type AS event, CASE WHEN event_type = 'error' THEN 'fail' ELSE 'ok' END AS result, CAST(floor(value * 1000) AS BIGINT) AS bytes, value / 100 AS elapsed_seconds, CASE event_id % 16 {cases} END AS message FROM events",
     "f2": "SELECT DISTINCT l_orderkey AS file_id, CAST(l_linenumber AS BIGINT) - 1 AS chunk_id, (CAST(l_linenumber AS BIGINT) - 1) * 1024 AS begin, CAST(1024 AS BIGINT) AS length FROM lineitem",
     "f2v": "SELECT DISTINCT l_orderkey AS file_id, (CAST(l_linenumber AS BIGINT) - 1) * 1024 AS begin, least((CAST(l_linenumber AS BIGINT) - 1) * 1024 + 1024 + 256 * (CAST(l_quantity AS INT) % 3), 7168) AS stop FROM lineitem",
     "acks": "SELECT l_orderkey AS file_id, CAST(l_linenumber AS BIGINT) - 1 AS chunk_id, (CAST(l_linenumber AS BIGINT) - 1) * 1024 AS begin, CAST(1024 AS BIGINT) AS length, CAST(round(l_extendedprice * 100) AS BIGINT) AS crc FROM lineitem",

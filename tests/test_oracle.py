@@ -6,7 +6,7 @@ import pytest
 
 from driftledger.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -24,7 +24,7 @@ def plain(frame: pd.DataFrame) -> list:
             x = x.tolist()
         if isinstance(x, list | tuple):
             return tuple(map(value, x))
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return None
         if isinstance(x, bool):
             return x
