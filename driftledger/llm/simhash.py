@@ -73,31 +73,43 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def compare_tiles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``tile, key, fp, side`` sorted by tile, key and bit count -> edges ``u, v``.
+def compare_tiles(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows ``tile, key, fp, side`` sorted by tile, key and bit count -> edges ``u, v, distance``.
 
     Within a tile, rows of side 0 meet one another and those of side 1.  Rows are
     taken whole tiles at a time; each offset compares all rows with those so far
-    behind, while keys agree and counts are within the radius.
+    behind, while keys agree and counts are within the radius.  Edges are a forest
+    of the links (distance 0), or with ``nearest`` each row's nearest partner.
     """
 
     def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
         tile, key, fp, side = rows
         count = np.bitwise_count(fp.view(np.uint64)).astype(np.int8)
-        us, vs = [], []
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        best, partner = np.full(len(fp), radius + 1, np.uint8), np.zeros(len(fp), np.int64)
         at = np.arange(len(fp) - 1)
         step = 1
         while len(at):
             to = at + step
             near = (tile[at] == tile[to]) & (key[at] == key[to]) & (count[to] - count[at] <= radius)
             at, to = at[near], to[near]
-            hit = (np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64)) <= radius) & ((side[at] | side[to]) != 2) & (fp[at] != fp[to])
-            us.append(fp[at[hit]])
-            vs.append(fp[to[hit]])
+            apart = np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64))
+            hit = (apart <= radius) & ((side[at] | side[to]) != 2) & (apart > 0)
+            if nearest:
+                for x, y in ((at[hit], to[hit]), (to[hit], at[hit])):
+                    d = apart[hit]
+                    nearer = (d < best[x]) | ((d == best[x]) & (fp[y] < partner[x]))
+                    best[x[nearer]], partner[x[nearer]] = d[nearer], fp[y[nearer]]
+            else:
+                us.append(fp[at[hit]])
+                vs.append(fp[to[hit]])
             step += 1
             at = at[at + step < len(fp)]
-        u, v = np.concatenate([*us, np.empty(0, np.int64)]), np.concatenate([*vs, np.empty(0, np.int64)])
-        return pa.RecordBatch.from_pydict(dict(zip("uv", forest(u, v), strict=True)))
+        if nearest:
+            some = best <= radius
+            return pa.RecordBatch.from_pydict({"u": fp[some], "v": partner[some], "distance": best[some].astype(np.int32)})
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_pydict({"u": u, "v": v, "distance": np.zeros(len(u), np.int32)})
 
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -133,11 +145,12 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
+def links(fps: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
     """Edges ``u, v`` between the distinct ``fp`` of a stored table, with the components of all links.
 
     Each tile gives a forest of what it links, so a tile of thousands of near
-    copies gives thousands of edges, not their pairs.
+    copies gives thousands of edges, not their pairs.  With ``nearest`` each
+    fingerprint has one edge, to its nearest partner (the smallest of those).
     """
     spark = fps.sparkSession
     prepare(spark)
@@ -162,7 +175,8 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     split = met.select(pair.alias("tile"), "key", "fp", F.lit(0).alias("side"), pair.alias("deal"), "n")
     tiles = plain.withColumn("tile", F.col("tile").cast("long")).unionByName(split.withColumn("deal", F.col("deal")))
     tiles = tiles.repartition("tile", "key").sortWithinPartitions("tile", "key", "n", "fp").select("tile", "key", "fp", "side")
-    return tiles.mapInArrow(partial(compare_tiles, radius=radius), "u long, v long")
+    edges = tiles.mapInArrow(partial(compare_tiles, radius=radius, nearest=nearest), "u long, v long, distance int")
+    return edges.groupBy("u").agg(F.min_by("v", F.struct("distance", "v")).alias("v")) if nearest else edges.select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -194,55 +208,41 @@ def radius_of(similarity: float) -> int:
     return math.floor(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _similar(words: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict = {}
-        for batch in batches:
-            keep = []
-            for text, base in zip(batch.column("text").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                if base not in sets:
-                    sets = {base: np.unique(shingle_hashes(base, words))}
-                a, b = np.unique(shingle_hashes(text, words)), sets[base]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "similar": pa.array(keep, pa.bool_())})
-
-    return run
+def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            a, b = np.unique(shingle_hashes(left, words)), np.unique(shingle_hashes(right, words))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(bool(len(a) and len(b)) and both >= similarity * (len(a) + len(b) - both))
+        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates; of each group the smallest ``doc_id`` stays.
 
-    Candidates are the SimHash components at the radius that belongs to
-    ``similarity``.  In each, the smallest document stays, and those whose
-    ``words``-word shingle sets are at least so similar to it go; the rest form the
-    group of the next round.  Rows of equal text go before that.  Texts
-    without words count as equal to one another only if they are equal; a null
-    text is no copy of anything.  Rows without a ``doc_id`` stay.  All columns are kept.
+    Each text's candidate is the text with its nearest SimHash fingerprint, within the radius
+    that belongs to ``similarity``; texts of one fingerprint have the smallest of them.
+    A candidate counts if the two sets of ``words``-word shingles are at least so similar;
+    groups are the components of those links.  Equal texts are one text.  Texts without
+    words are copies only of equal ones; a null text is no copy of anything.  Rows
+    without a ``doc_id`` stay.  All columns are kept.
     """
-    named = docs.where("doc_id is not null")
-    texts = stored(named.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).where("key is not null"), "text-keys")
-    distinct = docs.join(texts, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    distinct = stored(distinct, "distinct-texts")
-    groups = stored(near_duplicates(distinct, words, radius_of(similarity)).withColumnRenamed("component_id", "base_id"), "near-groups")
-    sizes = groups.groupBy("base_id").count().where("count > 1").select("base_id")
-    rest = stored(groups.join(sizes, "base_id", "left_semi").where("doc_id <> base_id").select("doc_id", "base_id"), "near-rest")
-    gone = []
-    while rest.take(1):
-        pairs = rest.join(distinct, "doc_id").select(F.col("doc_id").alias("key"), "text", "base_id")
-        bases = stored(distinct.join(rest.select("base_id").distinct(), distinct["doc_id"] == F.col("base_id")).select("base_id", F.col("text").alias("base")), "near-bases")
-        judged = pairs.join(bases, "base_id").select("key", "text", "base").mapInArrow(_similar(words, similarity), "key long, similar boolean")
-        judged = stored(judged, "near-judged")
-        gone.append(judged.where("similar").select(F.col("key").alias("doc_id")))
-        left = rest.join(judged.where("not similar"), F.col("doc_id") == F.col("key")).select("doc_id", F.col("base_id").alias("group_id"))
-        # The next smallest of what is left of each group is the next to stay.
-        left = stored(left, "near-left")
-        least = stored(left.groupBy("group_id").agg(F.min("doc_id").alias("base_id")), "near-least")
-        rest = stored(left.join(least, "group_id").where("doc_id <> base_id").select("doc_id", "base_id"), "near-rest")
-    keep = texts.select("doc_id")
-    for some in gone:
-        keep = keep.join(some, "doc_id", "left_anti")
-    keep = stored(keep, "kept-ids")
+    named = docs.where("doc_id is not null and text is not null")
+    texts = stored(named.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first-of-texts")
+    distinct = stored(named.join(texts, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "distinct-texts")
+    rows = stored(fingerprints(distinct, words), "fingerprints")
+    first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    near = stored(links(first.select("fp"), radius_of(similarity), nearest=True), "nearest")
+    u, v = (first.select(F.col("fp").alias(c), F.col("first").alias(f"doc_{c}")) for c in "uv")
+    pairs = near.join(u, "u").join(v, "v").select(F.col("doc_u").alias("u"), F.col("doc_v").alias("v"))
+    same = rows.join(first, "fp").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    pairs = stored(pairs.unionByName(same), "near-pairs")
+    left, right = (distinct.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("u", "left"), ("v", "right")))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right")
+    alike = both.mapInArrow(partial(_similar, words=words, similarity=similarity), "u long, v long")
+    gone = stored(connected_components(alike).where("node <> component").select(F.col("node").alias("doc_id")), "near-copies")
+    keep = stored(texts.join(gone, "doc_id", "left_anti"), "kept-ids")
     # Of repeated rows with the same id and text one stays, too.
-    kept = docs.where("doc_id is not null and text is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null or text is null"))
