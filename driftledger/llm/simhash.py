@@ -18,13 +18,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import connected_components
 from .shared import prepare, stored
 
 #: Fingerprints that one tile holds at most.
 TILE = 4096
+#: Partners of a text that one round verifies at most; what is left waits for the next round.
+PARTNERS = 256
+#: Bits of the map of a text's shingles by which pairs that can't be similar are told.
+SKETCH = 1024
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -61,6 +65,26 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A map of ``SKETCH`` bits with that of each hash set."""
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[(hashes % np.uint64(SKETCH)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """``id long``, ``fp long``, number of distinct shingles ``shingles`` and ``sketch`` of rows that have words."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, h) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) if len(h := shingle_hashes(t, words))]
+            sets = [np.unique(h) for _, h in found]
+            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in found], pa.int64()), "fp": pa.array([fingerprint(h) for _, h in found], pa.int64()), "shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array([sketch(x) for x in sets], pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp long, shingles long, sketch binary")
+
+
 def block_masks(radius: int) -> list[int]:
     """Masks of each pair of ``radius + 2`` blocks of the 64 bits."""
     n = radius + 2
@@ -73,57 +97,101 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def compare_tiles(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows ``tile, key, fp, side`` sorted by tile, key and bit count -> edges ``u, v, distance``.
-
-    Within a tile, rows of side 0 meet one another and those of side 1.  Rows are
-    taken whole tiles at a time; each offset compares all rows with those so far
-    behind, while keys agree and counts are within the radius.  Edges are a forest
-    of the links (distance 0), or with ``nearest`` each row's nearest partner.
-    """
-
-    def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
-        tile, key, fp, side = rows
-        count = np.bitwise_count(fp.view(np.uint64)).astype(np.int8)
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        best, partner = np.full(len(fp), radius + 1, np.uint8), np.zeros(len(fp), np.int64)
-        at = np.arange(len(fp) - 1)
-        step = 1
-        while len(at):
-            to = at + step
-            near = (tile[at] == tile[to]) & (key[at] == key[to]) & (count[to] - count[at] <= radius)
-            at, to = at[near], to[near]
-            apart = np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64))
-            hit = (apart <= radius) & ((side[at] | side[to]) != 2) & (apart > 0)
-            if nearest:
-                for x, y in ((at[hit], to[hit]), (to[hit], at[hit])):
-                    d = apart[hit]
-                    nearer = (d < best[x]) | ((d == best[x]) & (fp[y] < partner[x]))
-                    best[x[nearer]], partner[x[nearer]] = d[nearer], fp[y[nearer]]
-            else:
-                us.append(fp[at[hit]])
-                vs.append(fp[to[hit]])
-            step += 1
-            at = at[at + step < len(fp)]
-        if nearest:
-            some = best <= radius
-            return pa.RecordBatch.from_pydict({"u": fp[some], "v": partner[some], "distance": best[some].astype(np.int32)})
-        u, v = forest(np.concatenate(us), np.concatenate(vs))
-        return pa.RecordBatch.from_pydict({"u": u, "v": v, "distance": np.zeros(len(u), np.int32)})
-
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first two, cut so that no tile (equal first two) is parted."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
         if not len(rows[0]):
             continue
         changes = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
         cut = int(changes[-1]) + 1 if len(changes) else 0
         if cut:
-            yield edges([x[:cut] for x in rows])
+            yield [x[:cut] for x in rows]
         held = [x[cut:] for x in rows]
     if held is not None and len(held[0]):
-        yield edges(held)
+        yield held
+
+
+def _hits(tile: np.ndarray, key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distances of the pairs of a tile within the radius.
+
+    Rows are sorted by tile, key and bit count; rows of side 0 meet one another and
+    those of side 1.  Each offset compares all rows with those so far behind, while
+    keys agree and counts are within the radius.
+    """
+    count = np.bitwise_count(fp.view(np.uint64)).astype(np.int8)
+    at = np.arange(len(fp) - 1)
+    step = 1
+    while len(at):
+        to = at + step
+        near = (tile[at] == tile[to]) & (key[at] == key[to]) & (count[to] - count[at] <= radius)
+        at, to = at[near], to[near]
+        apart = np.bitwise_count((fp[at] ^ fp[to]).view(np.uint64))
+        hit = (apart <= radius) & ((side[at] | side[to]) != 2)
+        yield at[hit], to[hit], apart[hit]
+        step += 1
+        at = at[at + step < len(fp)]
+
+
+def compare_tiles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``tile, key, fp, side`` -> edges ``u, v``: a forest of the links of whole tiles."""
+    for tile, key, fp, side in _whole_tiles(batches):
+        found = list(_hits(tile, key, fp, side, radius))
+        u = np.concatenate([fp[x] for x, _, _ in found] or [np.empty(0, np.int64)])
+        v = np.concatenate([fp[y] for _, y, _ in found] or [np.empty(0, np.int64)])
+        u, v = forest(u, v)
+        yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+
+def next_partners(batches: Iterator[pa.RecordBatch], radius: int, most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows ``tile, key, fp, side, t, id, group, past, past_id, shingles, sketch`` -> ``u, v, distance``.
+
+    Each row gets its next ``most`` partners in order of distance and id, after
+    (``past``, ``past_id``) and of other groups.  A pair that agrees in several
+    pairs of blocks is given by the first of their tiles alone.  Bits of one sketch
+    that the other lacks stand for at least as many shingles that it lacks; a pair
+    that can't be ``similarity`` alike for that is left out.  Sketches may be null.
+    """
+    masks = np.array(block_masks(radius), np.uint64)
+
+    def first(x: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.lexsort((x[2], x[1], x[0]))
+        x = [c[order] for c in x]
+        starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]]) if len(order) else order
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        return [c[rank < most] for c in x]
+
+    for tile, key, fp, side, t, ids, group, past, past_id, shingles, maps in _whole_tiles(batches):
+        maps = None if maps[0] is None else np.frombuffer(b"".join(maps), np.uint64).reshape(len(fp), -1)
+        held = [np.empty(0, np.int64)] * 3
+        waiting, size = [held], 0
+        for x, y, d in _hits(tile, key, fp, side, radius):
+            other = group[x] != group[y]
+            x, y, d = x[other], y[other], d[other].astype(np.int64)
+            apart = (fp[x] ^ fp[y]).view(np.uint64)
+            earliest, todo = np.full(len(x), len(masks)), np.arange(len(x))
+            for k, mask in enumerate(masks):
+                if not len(todo):
+                    break
+                same = (apart[todo] & mask) == 0
+                earliest[todo[same]] = k
+                todo = todo[~same]
+            own = earliest == t[x]
+            x, y, d = x[own], y[own], d[own]
+            if maps is not None and len(x):
+                both = np.minimum(shingles[x] - np.bitwise_count(maps[x] & ~maps[y]).sum(1, dtype=np.int64), shingles[y] - np.bitwise_count(maps[y] & ~maps[x]).sum(1, dtype=np.int64))
+                can = both * (1 + similarity) >= similarity * (shingles[x] + shingles[y]) - 1e-6
+                x, y, d = x[can], y[can], d[can]
+            x, y, d = np.r_[x, y], np.r_[y, x], np.r_[d, d]
+            after = (d > past[x]) | ((d == past[x]) & (ids[y] > past_id[x]))
+            waiting.append([ids[x[after]], d[after], ids[y[after]]])
+            size += int(after.sum())
+            if size > 1_000_000:
+                waiting, size = [first([np.concatenate(c) for c in zip(*waiting, strict=True)])], 0
+        u, d, v = first([np.concatenate(c) for c in zip(*waiting, strict=True)])
+        yield pa.RecordBatch.from_pydict({"u": u, "v": v, "distance": d.astype(np.int32)})
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,38 +213,46 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def links(fps: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
-    """Edges ``u, v`` between the distinct ``fp`` of a stored table, with the components of all links.
+def deal_tiles(nodes: DataFrame, radius: int) -> DataFrame:
+    """Rows of a stored table of ``id``, ``fp`` and more, dealt to the tiles that they meet in.
 
-    Each tile gives a forest of what it links, so a tile of thousands of near
-    copies gives thousands of edges, not their pairs.  With ``nearest`` each
-    fingerprint has one edge, to its nearest partner (the smallest of those).
+    Adds ``tile``, ``key``, ``side`` and ``t`` (the pair of blocks); each tile is
+    in one partition, sorted by bit count.
     """
-    spark = fps.sparkSession
-    prepare(spark)
+    prepare(nodes.sparkSession)
     masks = F.array(*(F.lit(_signed(m)) for m in block_masks(radius)))
-    keyed = fps.select("fp", F.bit_count("fp").alias("n"), F.posexplode(masks).alias("t", "mask")).select("fp", "n", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    kept = nodes.columns
+    keyed = nodes.select(*kept, F.bit_count("fp").alias("n"), F.posexplode(masks).alias("t", "mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
     # Tiles of too many rows, by population count; few, as each stands for over TILE rows.
     big = keyed.groupBy("t", "key").count().where(F.col("count") > TILE).select("t", "key")
     big = stored(big, "big-tiles")
     cells = keyed.join(big, ["t", "key"]).groupBy("t", "key", "n").agg(F.ceil(F.count(F.lit(1)) / (TILE // 2)).cast("int").alias("parts"))
     cells = stored(cells, "tile-cells")
 
-    plain = keyed.join(big, ["t", "key"], "left_anti").select(F.col("t").alias("tile"), "key", "fp", F.lit(0).alias("side"), F.lit(0).alias("deal"), "n")
+    plain = keyed.join(big, ["t", "key"], "left_anti").withColumns({"tile": F.col("t").cast("long"), "side": F.lit(0)})
     # A row of part p of its cell is side 0 of the tiles (p, q) with each part q of
     # the next cells and later parts of its own, and side 1 of those with earlier ones.
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = cells.select("t", "key", F.col("n").alias("n2"), F.col("parts").alias("parts2"))
     rows = keyed.join(cells, ["t", "key", "n"]).withColumn("part", part)
     met = rows.join(other, ["t", "key"]).where(F.abs(F.col("n") - F.col("n2")) <= radius)
-    met = met.select("t", "key", "fp", "n", "part", "n2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)).alias("part2"))
+    met = met.withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
     mine, theirs = F.struct("n", "part"), F.struct(F.col("n2").alias("n"), F.col("part2").alias("part"))
     pair = F.xxhash64(F.lit("tile"), F.least(mine, theirs), F.greatest(mine, theirs), "t")
-    split = met.select(pair.alias("tile"), "key", "fp", F.lit(0).alias("side"), pair.alias("deal"), "n")
-    tiles = plain.withColumn("tile", F.col("tile").cast("long")).unionByName(split.withColumn("deal", F.col("deal")))
-    tiles = tiles.repartition("tile", "key").sortWithinPartitions("tile", "key", "n", "fp").select("tile", "key", "fp", "side")
-    edges = tiles.mapInArrow(partial(compare_tiles, radius=radius, nearest=nearest), "u long, v long, distance int")
-    return edges.groupBy("u").agg(F.min_by("v", F.struct("distance", "v")).alias("v")) if nearest else edges.select("u", "v")
+    split = met.withColumns({"tile": pair, "side": F.lit(0)})
+    wanted = ["tile", "key", "n", "fp", "side", "t", *(c for c in kept if c != "fp")]
+    tiles = plain.select(*wanted).unionByName(split.select(*wanted))
+    return tiles.repartition("tile", "key").sortWithinPartitions("tile", "key", "n", "fp")
+
+
+def links(fps: DataFrame, radius: int) -> DataFrame:
+    """Edges ``u, v`` between the distinct ``fp`` of a stored table, with the components of all links.
+
+    Each tile gives a forest of what it links, so a tile of thousands of near
+    copies gives thousands of edges, not their pairs.
+    """
+    tiles = deal_tiles(fps.select("fp", F.col("fp").alias("id")), radius).select("tile", "key", "fp", "side")
+    return tiles.mapInArrow(partial(compare_tiles, radius=radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -218,30 +294,65 @@ def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def similar_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``doc_id, text`` of distinct ids -> ``node, component`` of the texts that are similar to another.
+
+    Pairs of SimHash fingerprints within the radius of ``similarity`` are candidates.
+    In each round a text's next candidates of other groups, nearest first, are verified
+    by exact Jaccard and join groups; a text that runs out of them leaves.  Rounds
+    end when no candidates are left, so every one is verified or already in
+    one group, and a group of thousands of copies never gives all its pairs.
+    """
+    spark = texts.sparkSession
+    radius = radius_of(similarity)
+    rows = stored(sketches(texts, words), "fingerprints")
+    # The first round is over all texts: it does without sketches, to move less.
+    active = rows.withColumns({"group": F.col("id"), "past": F.lit(-1), "past_id": F.lit(0).cast("long"), "sketch": F.lit(None).cast("binary")})
+    groups = spark.createDataFrame([], "node long, component long")
+    most = 1
+    while True:
+        tiles = deal_tiles(active, radius).select("tile", "key", "fp", "side", "t", "id", "group", "past", "past_id", "shingles", "sketch")
+        found = tiles.mapInArrow(partial(next_partners, radius=radius, most=most, similarity=similarity), "u long, v long, distance int")
+        place = F.row_number().over(Window.partitionBy("u").orderBy("distance", "v"))
+        tried = stored(found.withColumn("place", place).where(F.col("place") <= most), "candidates")
+        # Only texts that had as many partners as asked for may have more.
+        going = stored(tried.where(F.col("place") == most).select(F.col("u").alias("id"), F.col("distance").alias("past"), F.col("v").alias("past_id")), "going")
+        pairs = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        left, right = (texts.select(F.col("doc_id").cast("long").alias(c), F.col("text").alias(t)) for c, t in (("u", "left"), ("v", "right")))
+        both = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right")
+        alike = stored(both.mapInArrow(partial(_similar, words=words, similarity=similarity), "u long, v long"), "alike")
+        if not alike.isEmpty():
+            groups = stored(merged(groups, alike), "groups")
+        if going.isEmpty():
+            return groups
+        active = rows.join(going, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
+        active = stored(active.select("id", "fp", "shingles", "sketch", F.coalesce("component", "id").alias("group"), "past", "past_id"), "active")
+        most = min(4 * most, PARTNERS)
+
+
+def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` (``node, component``) after the links ``u, v`` between nodes."""
+    u, v = (groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "uv")
+    between = edges.join(u, "u", "left").join(v, "v", "left").select("u", "v", F.coalesce("of_u", "u").alias("a"), F.coalesce("of_v", "v").alias("b"))
+    between = stored(between, "between")
+    joined = stored(connected_components(between.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("old"), F.col("component").alias("new")), "joined")
+    nodes = groups.union(between.select("u", "a")).union(between.select("v", "b")).distinct()
+    return nodes.join(joined, nodes["component"] == joined["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+
+
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates; of each group the smallest ``doc_id`` stays.
 
-    Each text's candidate is the text with its nearest SimHash fingerprint, within the radius
-    that belongs to ``similarity``; texts of one fingerprint have the smallest of them.
-    A candidate counts if the two sets of ``words``-word shingles are at least so similar;
-    groups are the components of those links.  Equal texts are one text.  Texts without
-    words are copies only of equal ones; a null text is no copy of anything.  Rows
-    without a ``doc_id`` stay.  All columns are kept.
+    Two texts are candidates if their SimHash fingerprints are within the radius that
+    belongs to ``similarity``, and copies if their sets of ``words``-word shingles
+    are at least so similar; groups are the components of those links.  Equal
+    texts are one text.  Texts without words are copies only of equal ones; a
+    null text is no copy of anything.  Rows without a ``doc_id`` stay.  All columns are kept.
     """
     named = docs.where("doc_id is not null and text is not null")
     texts = stored(named.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first-of-texts")
     distinct = stored(named.join(texts, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "distinct-texts")
-    rows = stored(fingerprints(distinct, words), "fingerprints")
-    first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    near = stored(links(first.select("fp"), radius_of(similarity), nearest=True), "nearest")
-    u, v = (first.select(F.col("fp").alias(c), F.col("first").alias(f"doc_{c}")) for c in "uv")
-    pairs = near.join(u, "u").join(v, "v").select(F.col("doc_u").alias("u"), F.col("doc_v").alias("v"))
-    same = rows.join(first, "fp").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    pairs = stored(pairs.unionByName(same), "near-pairs")
-    left, right = (distinct.select(F.col("doc_id").alias(c), F.col("text").alias(t)) for c, t in (("u", "left"), ("v", "right")))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right")
-    alike = both.mapInArrow(partial(_similar, words=words, similarity=similarity), "u long, v long")
-    gone = stored(connected_components(alike).where("node <> component").select(F.col("node").alias("doc_id")), "near-copies")
+    gone = similar_groups(distinct, words, similarity).where("node <> component").select(F.col("node").alias("doc_id"))
     keep = stored(texts.join(gone, "doc_id", "left_anti"), "kept-ids")
     # Of repeated rows with the same id and text one stays, too.
     kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -83,6 +83,34 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "6", "7", "None"]
 
 
+@pytest.mark.parametrize(("partners", "tile"), [(256, 4096), (8, 8)])
+def test_similar_groups_equal_brute_force(spark, partners, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTNERS", partners)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    random = np.random.default_rng(1)
+    rows = []
+    for base in range(3):  # copies of a text, each with other words changed
+        words = [f"b{base}w{i}" for i in range(150)]
+        for _ in range(25):
+            copy = list(words)
+            for i in random.integers(0, 150, random.integers(0, 7)):
+                copy[i] = f"x{random.integers(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    radius, u, v = simhash.radius_of(0.8), [], []
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius if fps[i] ^ fps[j] >= 0 else ((fps[i] ^ fps[j]) + (1 << 64)).bit_count() <= radius:
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    u.append(i)
+                    v.append(j)
+    want = dict(zip(*(x.tolist() for x in simhash.forest(np.array(u), np.array(v))), strict=True))
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.component for r in found if r.node != r.component} == want and len(want) > 20
+
+
 def test_language_held_out_accuracy(spark, docs, odd):
     split = queries.held_out(docs)
     found = langid.predict(split, langid.learn(split.where("not held_out"))).where("held_out").select("lang", "lang_pred", "score").collect()
