@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import range_queries, record_queries
+from . import integrity_queries, range_queries, record_queries, stream_queries
 from .tables import Tables
 
 
@@ -14,5 +14,6 @@ def _over_tables(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession
     return lambda spark, sf_dir: query(Tables(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _over_tables(q) for m in (range_queries, record_queries) for k, q in m.QUERIES.items()}
-SQL: dict[str, str] = range_queries.SQL | record_queries.SQL
+_MODULES = (range_queries, record_queries, integrity_queries, stream_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _over_tables(q) for m in _MODULES for k, q in m.QUERIES.items()}
+SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
