@@ -170,3 +170,23 @@ def recommend(summary: DataFrame, medians: DataFrame, keys: list[str], config: s
     best = medians.groupBy(*keys).agg(F.max_by(config, F.struct("median", config)).alias(config))
     rows = best.join(summary, [*keys, config])
     return rows.groupBy(*keys, config).agg(F.max("spread_pct").alias("spread_pct"), F.bool_or("unstable").alias("unstable")).select(*keys, config, "spread_pct", F.when(~F.col("unstable") & (F.col("spread_pct") <= 20), "opt_in").otherwise("keep_default").alias("decision"))
+
+
+def least_loaded(items: DataFrame, links: DataFrame) -> DataFrame:
+    """A healthy link of the least load per capacity for each item; links that tie take turns by the item's index.
+
+    Load doesn't change while items are dealt, so only tied links matter: they are
+    numbered, and an item joins its number.  Without a healthy link nothing is dealt.
+    """
+    load = F.round((F.col("ready_bytes") / F.col("capacity")).cast("double"), 9)
+    healthy = links.where("healthy").select("link_id", load.alias("load"))
+    tied = healthy.where(F.col("load") == healthy.agg(F.min("load")).first()[0]) if healthy.take(1) else healthy
+    n = max(tied.count(), 1)
+    numbered = tied.select("link_id", (F.row_number().over(Window.orderBy("link_id")) - 1).cast("long").alias("turn"))
+    return items.withColumn("turn", F.pmod(F.col("index"), F.lit(n))).join(numbered, "turn").drop("turn")
+
+
+def artifact_finding(path: Column, content: Column, built: str, suffixes: str) -> Column:
+    """Why a file doesn't belong into a release: its name, its suffix, an ELF head or NUL bytes near its start."""
+    head = F.substring(content, 1, 8192)
+    return F.when(path.rlike(built), "build_name").when(path.rlike(suffixes), "binary_suffix").when(F.substring(content, 1, 4) == F.lit(b"\x7fELF"), "elf").when(F.contains(head, F.lit(b"\0")), "nul_bytes")

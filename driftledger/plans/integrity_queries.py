@@ -33,8 +33,8 @@ def _samples(t: Tables):
     return integrity.compress_sample(_files(t), 4096)
 
 
-def _transfer_manifest(t: Tables):
-    """Manifests of acknowledged chunks, written as text and read back; each 7th is altered on its way."""
+def _written_manifests(t: Tables) -> str:
+    """Where manifests of acknowledged chunks are written as text; each 7th is altered on its way."""
     ident = F.concat(F.lit("t-"), F.col("file_id").cast("string")).alias("transfer_id")
     chunks = t.acks.groupBy("file_id", "chunk_id", "begin", "length").agg((F.max("crc") % 2**32).alias("crc")).select(ident, "chunk_id", "begin", "length", "crc")
     transfers = t.f2.select("file_id").distinct().select(ident, F.concat(F.lit("out/"), "file_id").alias("output_path"), F.concat(F.lit("tmp/"), "file_id").alias("temp_path"), F.lit(7168).cast("long").alias("total_size"), F.lit(CHUNK).cast("long").alias("chunk_size"), F.lit(1).alias("created_ns"), F.lit(2).alias("updated_ns"), F.lit("partial").alias("state"))
@@ -43,6 +43,11 @@ def _transfer_manifest(t: Tables):
     texts = texts.withColumn("text", F.when(number % 7 == 0, F.replace("text", F.lit("state=partial"), F.lit("state=complete"))).otherwise(F.col("text")))
     path = shared_folder(t.spark, "transfer-manifests")
     formats.write_manifests(texts, path)
+    return path
+
+
+def _transfer_manifest(t: Tables):
+    path = _written_manifests(t)
     return formats.scan_transfer_manifest(t.spark, path, VERSION).select("transfer_id", "output_path", "total_size", F.size("chunks").alias("chunks"), F.size("ranges").alias("ranges"), F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x["crc"]).alias("crc_sum"), "is_valid", "reason")
 
 
@@ -53,6 +58,32 @@ def _tree_manifest(t: Tables):
     return formats.scan_tree_manifest(t.spark, path).select("manifest_id", "relative_path", "size", "mtime_s", "transfer_id", "status", "is_valid")
 
 
+def _sched_logs(t: Tables):
+    """Three logs a run, written and read back; runs by user, some without one of them."""
+    base = shared_folder(t.spark, "sched")
+    rows = t.events.select(F.col("user_id").alias("run"), "event_id", F.floor("value").alias("value"), "event_type")
+    formats.sink_report(rows.groupBy("run").agg(F.sum("value").alias("bytes")), f"{base}/summary")
+    rows.where("event_type = 'view' AND run % 3 <> 0").select("run", "event_id", "event_type").write.json(f"{base}/events")
+    formats.sink_report(rows.where("event_type = 'click'").select("run", "value"), f"{base}/samples")
+    return formats.scan_sched_logs(t.spark, f"{base}/summary", f"{base}/events", f"{base}/samples", ("run long, bytes long", "run long, event_id long, event_type string", "run long, value long"))
+
+
+def _client_summary(t: Tables):
+    path = shared_folder(t.spark, "client-summary")
+    t.f3.select("sequence", "bytes", F.when(F.col("message") != "", F.struct(F.col("message"), F.lit(1).alias("code"))).alias("error")).write.json(path)
+    return formats.scan_client_summary(t.spark, path, "sequence long, bytes long, error struct<message: string, code: int>")
+
+
+def _report(t: Tables):
+    path = shared_folder(t.spark, "report")
+    formats.sink_report(t.f4.groupBy("system", "dataset").agg(F.count(F.lit(1)).alias("runs"), F.max("goodput").alias("best")), path)
+    return formats.scan_results(t.spark, [path], "system string, dataset string, runs long, best double").drop("_source_csv")
+
+
+def _dataset_manifest(t: Tables):
+    return integrity.tree_hash_content(_files(t), CHUNK).select(F.col("root").alias("profile"), "file_count", F.col("bytes").alias("total_bytes"), "tree_hash")
+
+
 def _event_log(t: Tables):
     path = shared_folder(t.spark, "event-log")
     t.f3.select(*(c.split()[0] for c in EVENT_LOG.split(", "))).write.json(path)
@@ -109,6 +140,11 @@ QUERIES = {
     "scan_transfer_manifest": _transfer_manifest,
     "scan_tree_manifest": _tree_manifest,
     "scan_event_log": _event_log,
+    "scan_sched_logs": _sched_logs,
+    "scan_client_summary": _client_summary,
+    "sink_report": _report,
+    "sink_dataset_manifest": _dataset_manifest,
+    "manifest_crc_check": lambda t: formats.manifest_crc_check(t.spark, _written_manifests(t)).select("transfer_id", "ok"),
     "scan_results": _results,
     "scan_transfer_log": lambda t: formats.transfer_log(_log_lines(t), "/raw/"),
     "scan_marked_json": lambda t: formats.marked_json(_marked_lines(t), "OBSERVED ", "id long, n long"),
@@ -127,6 +163,10 @@ _SNAP = "sn AS (SELECT user_id % 5 AS run, user_id AS pid, event_id, ts, floor(v
 _RUNS = "SELECT *, chunk_id - row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) AS island FROM c"
 
 SQL = {
+    "scan_sched_logs": "WITH c AS (SELECT user_id AS run, 1 AS summaries, CASE WHEN user_id % 3 <> 0 THEN count(*) FILTER (event_type = 'view') ELSE 0 END AS events, count(*) FILTER (event_type = 'click') AS samples FROM events GROUP BY 1) SELECT *, least(summaries, events, samples) > 0 AS all_present FROM c",
+    "scan_client_summary": "SELECT sequence, bytes, CASE WHEN message <> '' THEN message END AS error_message FROM f3",
+    "sink_report": "SELECT system, dataset, count(*) AS runs, max(goodput) AS best FROM f4 GROUP BY 1, 2",
+    "manifest_crc_check": "SELECT DISTINCT 't-' || file_id AS transfer_id, file_id % 7 <> 0 AS ok FROM f2",
     "scan_transfer_manifest": f"WITH c AS (SELECT file_id, chunk_id, max(crc) % 4294967296 AS crc FROM acks GROUP BY 1, 2), r AS ({_RUNS}) SELECT 't-' || file_id AS transfer_id, 'out/' || file_id AS output_path, 7168 AS total_size, count(*) AS chunks, count(DISTINCT island) AS ranges, sum(crc)::BIGINT AS crc_sum, file_id % 7 <> 0 AS is_valid, CASE WHEN file_id % 7 = 0 THEN 'bad_crc' END AS reason FROM r GROUP BY file_id",
     "scan_tree_manifest": "SELECT dataset AS manifest_id, relative_path, size, mtime_s, transfer_id, status, true AS is_valid FROM f1",
     "scan_event_log": "SELECT sequence, transfer_id, event, result, bytes, elapsed_seconds, message FROM f3",

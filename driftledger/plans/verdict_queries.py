@@ -107,6 +107,8 @@ QUERIES = {
     "goodput_valid": lambda t: t.f4.select("repeat_index", "line", "goodput", F.when((F.col("result") == "pass") & (F.col("goodput") > 0), F.col("goodput")).alias("valid_goodput")),
     "compression_decide": lambda t: t.events.select("event_id", verdicts.compression_decision(F.col("event_id") % 100 / 100, F.col("event_id") % 7 / 2, F.col("event_id") % 101 * 1.0, F.col("event_id") % 11 / 10).alias("reason")),
     "bottleneck_classify": lambda t: t.f4.select("repeat_index", "line", F.when(F.col("wait_s") >= 0.08, "network_or_receiver_backpressure").when(F.col("write_s") >= 0.06, "receiver_write").when(F.col("wait_s") + F.col("write_s") >= 0.1, "scheduler_supply").otherwise("balanced").alias("bottleneck")),
+    "assign_least_loaded": lambda t: verdicts.least_loaded(t.f2.select("file_id", "begin", F.expr("begin div length").alias("index")), t.f5.withColumn("ready_bytes", F.expr("ready_bytes div 2000 * capacity"))).select("file_id", "begin", "link_id"),
+    "hygiene_artifacts": lambda t: t.documents.select(F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 9 == 0, ".so").otherwise(".txt")).alias("path"), F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit(b"\x7fELF")).otherwise(F.lit(b"ab")), F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 5 == 0, F.lit(b"\0")).otherwise(F.lit(b""))).alias("content")).select("path", verdicts.artifact_finding(F.col("path"), F.col("content"), "^build/|/build/", r"\.(so|o|a)$").alias("finding")).where("finding IS NOT NULL"),
     "changed_details": lambda t: verdicts.changed_details(_drift_log(t)),
     "artifact_path_validate": lambda t: t.f1.select(F.when(F.col("file_id") % 8 == 0, F.concat(F.lit("/"), "relative_path")).when(F.col("file_id") % 8 == 1, F.concat(F.lit("../"), "relative_path")).when(F.col("file_id") % 8 == 2, F.concat(F.lit("build/"), "relative_path")).otherwise(F.col("relative_path")).alias("path")).withColumn("reason", verdicts.artifact_reason(F.col("path"), SENSITIVE, BUILT, BLOCKED)),
     "ranges_reconcile": lambda t: verdicts.reconcile(_stored(t), t.f2v),
@@ -158,6 +160,8 @@ SQL = {
     "goodput_valid": "SELECT repeat_index, line, goodput, CASE WHEN result = 'pass' AND goodput > 0 THEN goodput END AS valid_goodput FROM f4",
     "compression_decide": "SELECT event_id, CASE WHEN event_id % 100 > 85 THEN 'poor_ratio' WHEN event_id % 7 < 2 THEN 'slow_compression' WHEN event_id % 101 > 85 THEN 'cpu_pressure' WHEN event_id % 11 < 5 THEN 'link_starvation' ELSE 'worthwhile' END AS reason FROM events",
     "bottleneck_classify": "SELECT repeat_index, line, CASE WHEN wait_s >= 0.08 THEN 'network_or_receiver_backpressure' WHEN write_s >= 0.06 THEN 'receiver_write' WHEN wait_s + write_s >= 0.1 THEN 'scheduler_supply' ELSE 'balanced' END AS bottleneck FROM f4",
+    "assign_least_loaded": "WITH l AS (SELECT link_id, (ready_bytes // 2000) AS load FROM f5 WHERE healthy), k AS (SELECT link_id, row_number() OVER (ORDER BY link_id) - 1 AS turn, count(*) OVER () AS n FROM l WHERE load = (SELECT min(load) FROM l)) SELECT file_id, begin, link_id FROM f2 JOIN k ON (begin // length) % n = turn",
+    "hygiene_artifacts": "SELECT source || '/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.so' ELSE '.txt' END AS path, CASE WHEN doc_id % 9 = 0 THEN 'binary_suffix' WHEN doc_id % 7 = 0 THEN 'elf' ELSE 'nul_bytes' END AS finding FROM documents WHERE doc_id % 9 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0 AND strlen(text) + 2 < 8192",
     "changed_details": "SELECT transfer_id, 'f/' || file_id AS changed_path, size AS manifest_size, mtime_s AS manifest_mtime, size + 1 AS current_size, mtime_s AS current_mtime FROM f1 WHERE file_id % 3 = 0",
     "artifact_path_validate": f"WITH p AS (SELECT CASE file_id % 8 WHEN 0 THEN '/' || relative_path WHEN 1 THEN '../' || relative_path WHEN 2 THEN 'build/' || relative_path ELSE relative_path END AS path FROM f1) SELECT path, CASE WHEN path LIKE '/%' THEN 'absolute' WHEN path LIKE '../%' THEN 'parent' WHEN regexp_matches(path, '{SENSITIVE}') THEN 'sensitive' WHEN regexp_matches(path, '{BUILT}') THEN 'build_output' WHEN regexp_matches(path, '{BLOCKED}') THEN 'blocked_suffix' END AS reason FROM p",
     "ranges_reconcile": "SELECT DISTINCT file_id, file_id % 9 <> 0 AS matches FROM f2v",

@@ -147,3 +147,29 @@ def counter_lines(lines: DataFrame) -> DataFrame:
     """``name: value`` lines of snapshots as counter rows; other lines are left out."""
     value = F.regexp_extract("line", r"^\s*([\w.\[\]-]+):\s*(-?\d+)\s*$", 2)
     return lines.select("source", F.regexp_extract("line", r"^\s*([\w.\[\]-]+):\s*(-?\d+)\s*$", 1).alias("name"), value.try_cast("long").alias("value")).where("value is not null")
+
+
+def manifest_crc_check(spark: SparkSession, path: str) -> DataFrame:
+    """The CRC that each transfer manifest states, the one its body has, and whether they agree."""
+    rows = _read(spark, path, TRANSFER_KEYS)
+    return rows.select("transfer_id", F.col(CRC_KEY).alias("expected"), "actual", (F.col(CRC_KEY) == F.col("actual")).alias("ok"))
+
+
+def scan_sched_logs(spark: SparkSession, summary: str, events: str, samples: str, schemas: tuple[str, str, str]) -> DataFrame:
+    """Rows of each of a run's three logs, and whether all are there; counted before they are joined."""
+    readers = (spark.read.schema(schemas[0]).option("header", True).csv(summary), spark.read.schema(schemas[1]).json(events), spark.read.schema(schemas[2]).option("header", True).csv(samples))
+    names = ("summaries", "events", "samples")
+    counts = [d.groupBy("run").agg(F.count(F.lit(1)).alias(n)) for d, n in zip(readers, names)]
+    rows = counts[0].join(counts[1], "run", "full").join(counts[2], "run", "full").na.fill(0, list(names))
+    return rows.withColumn("all_present", F.least(*names) > 0)
+
+
+def scan_client_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Summaries, one JSON object a line; their ``error`` object becomes ``error_message``."""
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumn("error_message", F.col("error.message")).drop("error")
+
+
+def sink_report(summary: DataFrame, path: str) -> None:
+    """A summary as CSV with a header; its parts stay as Spark deals them."""
+    summary.write.option("header", True).csv(path)
