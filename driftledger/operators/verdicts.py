@@ -190,3 +190,47 @@ def artifact_finding(path: Column, content: Column, built: str, suffixes: str) -
     """Why a file doesn't belong into a release: its name, its suffix, an ELF head or NUL bytes near its start."""
     head = F.substring(content, 1, 8192)
     return F.when(path.rlike(built), "build_name").when(path.rlike(suffixes), "binary_suffix").when(F.substring(content, 1, 4) == F.lit(b"\x7fELF"), "elf").when(F.contains(head, F.lit(b"\0")), "nul_bytes")
+
+
+def artifact_type(path: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The class of the first rule (``starts`` or ``ends``, text, class) that holds; else ``other``."""
+    out = None
+    for how, text, name in rules:
+        meets = path.startswith(text) if how == "starts" else path.endswith(text)
+        out = F.when(meets, name) if out is None else out.when(meets, name)
+    return F.lit("other") if out is None else out.otherwise("other")
+
+
+def publish_conflicts(targets: DataFrame, outputs: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Whether each target (path, resume) may be written: no output yet, and a manifest if and only if it resumes."""
+    rows = targets.join(outputs.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").join(manifests.select("path").distinct().withColumn("known", F.lit(True)), "path", "left")
+    verdict = F.when(F.col("there"), "output_exists").when(F.col("resume") & F.col("known").isNull(), "manifest_required").when(~F.col("resume") & F.col("known"), "manifest_exists").otherwise("ok")
+    return rows.select("path", verdict.alias("verdict"))
+
+
+def population(members: DataFrame, trees: DataFrame, n: int, size: int) -> DataFrame:
+    """Whether each slot has ``n`` committed members of one size and one tree of ``n`` distinct complete paths."""
+    good = (F.col("state") == "committed") & (F.col("total_size") == size)
+    a = members.groupBy("slot").agg(F.count(F.lit(1)).alias("members"), F.bool_and(good).alias("good"))
+    per_tree = trees.groupBy("slot", "manifest_id").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("relative_path").alias("paths"), F.bool_and(F.col("status") == "completed").alias("done"))
+    b = per_tree.groupBy("slot").agg(F.count(F.lit(1)).alias("trees"), F.bool_and((F.col("files") == n) & (F.col("paths") == n)).alias("whole"), F.bool_and("done").alias("done"))
+    rows = a.join(b, "slot", "full").na.fill(0, ["members", "trees"])
+    reason = F.when(F.col("members") != n, "member_count").when(F.col("trees") != 1, "tree_count").when(~F.col("good"), "member_state").when(~F.col("whole"), "tree_paths").when(~F.col("done"), "tree_status")
+    return rows.select("slot", "members", "trees", reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def depth_compare(external: DataFrame, runs: DataFrame, repeats: int) -> DataFrame:
+    """Each depth of a direction against an external baseline and depth 0.
+
+    Both inputs have direction, repeat and goodput (null: not valid), ``runs`` depth too.
+    A set is complete if all ``repeats`` are there and valid; ratio and change need
+    complete sets.
+    """
+    sums = lambda d, keys, name: d.groupBy(*keys).agg(F.count_distinct("repeat").alias(f"{name}_observed"), F.count("goodput").alias(f"{name}_valid"), F.round(median("goodput"), 6).alias(f"{name}_median"))
+    at = sums(runs, ["direction", "depth"], "depth")
+    zero = at.where("depth = 0").select("direction", *(F.col(f"depth_{c}").alias(f"zero_{c}") for c in ("observed", "valid", "median")))
+    rows = at.where("depth <> 0").join(zero, "direction", "left").join(sums(external, ["direction"], "external"), "direction", "left")
+    whole = lambda name: F.coalesce((F.col(f"{name}_observed") == repeats) & (F.col(f"{name}_valid") == repeats), F.lit(False))
+    every = whole("depth") & whole("external") & whole("zero")
+    detail = F.when(F.col("depth_observed") != repeats, "repeats").when(~whole("depth"), "valid").when(~whole("external"), "external").when(~whole("zero"), "depth_0").otherwise("")
+    return rows.select("direction", "depth", "depth_observed", "depth_valid", "depth_median", "zero_median", "external_median", F.when(every, F.round(F.col("depth_median") / F.col("external_median"), 6)).alias("ratio"), F.when(whole("depth") & whole("zero"), F.round(F.col("depth_median") / F.col("zero_median") - 1, 6)).alias("delta"), F.when(every, "COMPLETE").otherwise("INCOMPLETE").alias("status"), detail.alias("detail"))

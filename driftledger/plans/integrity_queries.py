@@ -51,10 +51,13 @@ def _transfer_manifest(t: Tables):
     return formats.scan_transfer_manifest(t.spark, path, VERSION).select("transfer_id", "output_path", "total_size", F.size("chunks").alias("chunks"), F.size("ranges").alias("ranges"), F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x["crc"]).alias("crc_sum"), "is_valid", "reason")
 
 
+def _tree_texts(t: Tables):
+    return formats.sink_tree_manifest(t.f1.select(F.col("dataset").alias("manifest_id"), "relative_path", "size", "mtime_s", "transfer_id", "status", F.lit("").alias("error")), VERSION)
+
+
 def _tree_manifest(t: Tables):
-    files = t.f1.select(F.col("dataset").alias("manifest_id"), "relative_path", "size", "mtime_s", "transfer_id", "status", F.lit("").alias("error"))
     path = shared_folder(t.spark, "tree-manifests")
-    formats.write_manifests(formats.sink_tree_manifest(files, VERSION), path)
+    formats.write_manifests(_tree_texts(t), path)
     return formats.scan_tree_manifest(t.spark, path).select("manifest_id", "relative_path", "size", "mtime_s", "transfer_id", "status", "is_valid")
 
 
@@ -139,6 +142,9 @@ QUERIES = {
     "compress_effective": lambda t: integrity.compress_effective(_samples(t).join(t.f1.select("file_id", "dataset"), "file_id"), "dataset"),
     "scan_transfer_manifest": _transfer_manifest,
     "scan_tree_manifest": _tree_manifest,
+    "scan_inventory": lambda t: formats.scan_inventory(t.spark, t.sf_dir),
+    "sink_transfer_manifest": lambda t: t.spark.read.option("lineSep", "\n\n").text(_written_manifests(t)),
+    "sink_tree_manifest": _tree_texts,
     "scan_event_log": _event_log,
     "scan_sched_logs": _sched_logs,
     "scan_client_summary": _client_summary,

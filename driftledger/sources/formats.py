@@ -173,3 +173,9 @@ def scan_client_summary(spark: SparkSession, path: str, schema: str) -> DataFram
 def sink_report(summary: DataFrame, path: str) -> None:
     """A summary as CSV with a header; its parts stay as Spark deals them."""
     summary.write.option("header", True).csv(path)
+
+
+def scan_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Files below ``path`` with size and time; contents stay unread."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.where(~F.col("path").contains(".part.")).select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime_s"))
