@@ -22,11 +22,14 @@ POOR_RATIO = 0.85
 
 
 def slices(files: DataFrame, chunk: int) -> DataFrame:
-    """``content`` cut into chunks; an empty file has none.  Rows stay where they are."""
-    n = F.ceil(F.length("content") / F.lit(chunk)).cast("long")
-    rows = files.where(F.length("content") > 0).select("file_id", "content", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk_id"))
-    part = F.substring("content", (F.col("chunk_id") * chunk + 1).cast("int"), F.lit(chunk))
-    return rows.select("file_id", "chunk_id", (F.col("chunk_id") * chunk).alias("begin"), part.alias("part")).withColumn("length", F.length("part").cast("long"))
+    """``content`` cut into chunks; an empty file has none.  Rows stay where they are.
+
+    Slices are cut before they are exploded, so a row never carries the whole content again.
+    """
+    last = F.ceil(F.length("content") / F.lit(chunk)).cast("long") - 1
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(k.alias("chunk_id"), F.substring("content", (k * chunk + 1).cast("int"), F.lit(chunk)).alias("part")))
+    rows = files.where(F.length("content") > 0).select("file_id", F.explode(cut).alias("p")).select("file_id", "p.*")
+    return rows.select("file_id", "chunk_id", (F.col("chunk_id") * chunk).alias("begin"), "part", F.length("part").cast("long").alias("length"))
 
 
 def crc32c_chunks(files: DataFrame, chunk: int, algorithm: str = "crc32c") -> DataFrame:
