@@ -27,6 +27,10 @@ from .shared import prepare, stored
 TILE = 4096
 #: Partners of a text that one round verifies at most; what is left waits for the next round.
 PARTNERS = 256
+#: Of the texts, one in so many is read for the shingles that are common, of which at most so many are kept.
+SAMPLE, COMMON = 64, 50_000
+#: Pairs that a worker holds at once.
+PAIRS = 2_000_000
 #: Bits of the map of a text's shingles by which pairs that can't be similar are told.
 SKETCH = 1024
 
@@ -72,17 +76,47 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``id long``, ``fp long``, number of distinct shingles ``shingles`` and ``sketch`` of rows that have words."""
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that several texts of a sample hold, the most common last."""
     prepare(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))})
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(run, "token long").groupBy("token").count().where("count > 2")
+    top = counts.orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def rare_first(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of distinct hashes in an order that all texts share: by value, but those of ``common`` last.
+
+    Two sets that are ``similarity`` alike share one of these: each holds all but a
+    share ``1 - similarity`` of its members in common with the other.
+    """
+    n = len(hashes)
+    order = np.argsort(common)
+    at = np.searchsorted(common, hashes, sorter=order) if len(common) else np.zeros(n, np.int64)
+    place = order[np.minimum(at, len(common) - 1)] if len(common) else at
+    rank = np.where(common[place] == hashes, place, -1) if len(common) else np.full(n, -1)
+    return hashes[np.lexsort((hashes, rank))][: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of rows that have words ``id long``, ``fp long`` of the distinct shingles, their number ``shingles``, ``sketch`` and ``prefix``, the rarest."""
+    prepare(docs.sparkSession)
+    common = common_shingles(docs, words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(i, h) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) if len(h := shingle_hashes(t, words))]
             sets = [np.unique(h) for _, h in found]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in found], pa.int64()), "fp": pa.array([fingerprint(h) for _, h in found], pa.int64()), "shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array([sketch(x) for x in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in found], pa.int64()), "fp": pa.array([fingerprint(x) for x in sets], pa.int64()), "shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array([sketch(x) for x in sets], pa.binary()), "prefix": pa.array([rare_first(x, common, similarity) for x in sets], pa.list_(pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp long, shingles long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp long, shingles long, sketch binary, prefix array<long>")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -294,9 +328,110 @@ def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``u, v`` whose texts are similar by exact Jaccard."""
+    left, right = (texts.select(F.col("doc_id").cast("long").alias(c), F.col("text").alias(t)) for c, t in (("u", "left"), ("v", "right")))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right")
+    return stored(both.mapInArrow(partial(_similar, words=words, similarity=similarity), "u long, v long"), "alike")
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows ``token, cell, group, id, shingles, pos, side`` sorted by the first three -> pairs ``u, v`` of other groups.
+
+    ``pos`` is the token's place in its text's prefix; at the first that two similar
+    texts share, what is left of both must reach the overlap they need.  Rows of
+    one side don't meet, but those of side -1 do.
+    """
+    for token, cell, group, ids, shingles, pos, side in _whole_tiles(batches):
+        n = len(token)
+        turn = np.r_[True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]
+        ends = np.r_[np.flatnonzero(turn)[1:], n]
+        stop = ends[np.cumsum(turn) - 1]
+        turn |= np.r_[True, group[1:] != group[:-1]]
+        ends = np.r_[np.flatnonzero(turn)[1:], n]
+        start = ends[np.cumsum(turn) - 1]
+        rows = np.flatnonzero(stop > start)
+        total = np.cumsum(stop[rows] - start[rows])
+        while len(rows):
+            take = max(1, int(np.searchsorted(total, PAIRS, "right")))
+            some, many = rows[:take], (stop - start)[rows[:take]]
+            x = np.repeat(some, many)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[some], many)
+            rows, total = rows[take:], total[take:] - total[take - 1]
+            left = np.minimum(shingles[x] - pos[x], shingles[y] - pos[y])
+            can = (left * (1 + similarity) >= similarity * (shingles[x] + shingles[y]) - 1e-6) & ((side[x] != side[y]) | (side[x] < 0))
+            u, v = ids[x[can]], ids[y[can]]
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_pydict({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows ``u, v, nu, nv, su, sv`` -> ``u, v, most``, the greatest similarity that the sketches allow, where it's enough."""
+    for batch in batches:
+        u, v, nu, nv = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        if not len(u):
+            continue
+        su, sv = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(u), -1) for i in (4, 5))
+        both = np.minimum(nu - np.bitwise_count(su & ~sv).sum(1, dtype=np.int64), nv - np.bitwise_count(sv & ~su).sum(1, dtype=np.int64))
+        most = both / (nu + nv - both)
+        can = most >= similarity - 1e-9
+        yield pa.RecordBatch.from_pydict({"u": u[can], "v": v[can], "most": most[can]})
+
+
+def prefix_pairs(rows: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``u, v, most`` of other groups that may be similar: none that is, is missing.
+
+    Texts meet at each shingle of their prefixes.  A shingle of very many is split
+    into parts, each two of which meet once.
+    """
+    named = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    tokens = named.select("id", "group", F.col("shingles").cast("int").alias("shingles"), F.posexplode("prefix").alias("pos", "token"))
+    # Estimated on a part of the texts: what it misses is only slower.
+    seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode("prefix").alias("token"))
+    big = seen.groupBy("token").count().where(F.col("count") > TILE // 16)
+    big = stored(big.select("token", F.ceil(F.col("count") * 16 / TILE).cast("int").alias("parts")), "big-lists")
+    dealt = tokens.join(F.broadcast(big), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    side = F.when(F.col("part") == F.col("other"), -1).otherwise((F.col("part") > F.col("other")).cast("int"))
+    lists = dealt.select("token", cell.alias("cell"), "group", "id", "shingles", "pos", side.alias("side"))
+    lists = lists.repartition("token", "cell").sortWithinPartitions("token", "cell", "group")
+    pairs = lists.mapInArrow(partial(_sharing, similarity=similarity), "u long, v long").distinct()
+    u, v = (rows.select(F.col("id").alias(c), F.col("shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
+    both = pairs.join(u, "u").join(v, "v").select("u", "v", "nu", "nv", "su", "sv")
+    return both.mapInArrow(partial(_bounded, similarity=similarity), "u long, v long, most double")
+
+
+def all_similar_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """``doc_id, text`` of distinct ids -> ``node, component`` of the texts that are similar to another.
 
+    ``similar_groups`` finds most.  The pairs that it misses, as their fingerprints are
+    further apart, are found by shared shingles: of each two groups the likeliest pairs
+    are verified first, until all are verified or in one group.  So no similar pair
+    is lost, and a group of thousands of copies never gives all its pairs.
+    """
+    rows = stored(sketches(texts, words, similarity), "fingerprints")
+    groups = similar_groups(texts, words, similarity, rows)
+    left = stored(prefix_pairs(rows, groups, similarity), "prefix-pairs")
+    most = 4
+    while True:
+        u, v = (groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "uv")
+        named = left.join(u, "u", "left").join(v, "v", "left").select("u", "v", "most", F.coalesce("of_u", "u").alias("a"), F.coalesce("of_v", "v").alias("b")).where("a <> b")
+        place = F.row_number().over(Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy(F.desc("most"), "u", "v"))
+        placed = stored(named.withColumn("place", place).select("u", "v", "most", "place"), "placed")
+        alike = _verified(texts, placed.where(F.col("place") <= most).select("u", "v"), words, similarity)
+        if not alike.isEmpty():
+            groups = stored(merged(groups, alike), "groups")
+        left = placed.where(F.col("place") > most).select("u", "v", "most")
+        if left.isEmpty():
+            return groups
+        most *= 16
+
+
+def similar_groups(texts: DataFrame, words: int, similarity: float, rows: DataFrame | None = None) -> DataFrame:
+    """``node, component`` of the texts that are similar to one whose fingerprint is near; ``rows`` are their stored ``sketches``.
+
     Pairs of SimHash fingerprints within the radius of ``similarity`` are candidates.
     In each round a text's next candidates of other groups, nearest first, are verified
     by exact Jaccard and join groups; a text that runs out of them leaves.  Rounds
@@ -305,7 +440,9 @@ def similar_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame
     """
     spark = texts.sparkSession
     radius = radius_of(similarity)
-    rows = stored(sketches(texts, words), "fingerprints")
+    if rows is None:
+        rows = stored(sketches(texts, words, similarity), "fingerprints")
+    rows = rows.drop("prefix")
     # The first round is over all texts: it does without sketches, to move less.
     active = rows.withColumns({"group": F.col("id"), "past": F.lit(-1), "past_id": F.lit(0).cast("long"), "sketch": F.lit(None).cast("binary")})
     groups = spark.createDataFrame([], "node long, component long")
@@ -318,9 +455,7 @@ def similar_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame
         # Only texts that had as many partners as asked for may have more.
         going = stored(tried.where(F.col("place") == most).select(F.col("u").alias("id"), F.col("distance").alias("past"), F.col("v").alias("past_id")), "going")
         pairs = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        left, right = (texts.select(F.col("doc_id").cast("long").alias(c), F.col("text").alias(t)) for c, t in (("u", "left"), ("v", "right")))
-        both = pairs.join(left, "u").join(right, "v").select("u", "v", "left", "right")
-        alike = stored(both.mapInArrow(partial(_similar, words=words, similarity=similarity), "u long, v long"), "alike")
+        alike = _verified(texts, pairs, words, similarity)
         if not alike.isEmpty():
             groups = stored(merged(groups, alike), "groups")
         if going.isEmpty():
@@ -343,16 +478,15 @@ def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates; of each group the smallest ``doc_id`` stays.
 
-    Two texts are candidates if their SimHash fingerprints are within the radius that
-    belongs to ``similarity``, and copies if their sets of ``words``-word shingles
-    are at least so similar; groups are the components of those links.  Equal
+    Two texts are copies if their sets of ``words``-word shingles are at least
+    ``similarity`` alike (Jaccard); groups are the components of those links.  Equal
     texts are one text.  Texts without words are copies only of equal ones; a
     null text is no copy of anything.  Rows without a ``doc_id`` stay.  All columns are kept.
     """
     named = docs.where("doc_id is not null and text is not null")
     texts = stored(named.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first-of-texts")
     distinct = stored(named.join(texts, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "distinct-texts")
-    gone = similar_groups(distinct, words, similarity).where("node <> component").select(F.col("node").alias("doc_id"))
+    gone = all_similar_groups(distinct, words, similarity).where("node <> component").select(F.col("node").alias("doc_id"))
     keep = stored(texts.join(gone, "doc_id", "left_anti"), "kept-ids")
     # Of repeated rows with the same id and text one stays, too.
     kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -111,6 +111,30 @@ def test_similar_groups_equal_brute_force(spark, partners, tile, monkeypatch):
     assert {r.node: r.component for r in found if r.node != r.component} == want and len(want) > 20
 
 
+@pytest.mark.parametrize(("tile", "pairs"), [(4096, 2_000_000), (16, 50)])
+def test_all_similar_groups_equal_all_pairs_without_a_radius(spark, tile, pairs, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    random = np.random.default_rng(2)
+    rows, line = [], "this line stands in every one of the texts"
+    for base in range(120):  # a text and one copy, about 0.8 alike
+        words = [f"b{base}w{i}" for i in range(100)]
+        copy = list(words)
+        for i in random.choice(20, random.integers(1, 4), replace=False):
+            copy[5 * i + 2] = f"x{random.integers(10**6)}"
+        rows += [(len(rows), f"{line} {' '.join(words)}"), (len(rows) + 1, f"{line} {' '.join(copy)}")]
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows += [(len(rows), f"{' '.join([passage] * 40)} q r"), (len(rows) + 1, f"{passage} q r s")]  # a repeated passage
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = dict(zip(*(x.tolist() for x in simhash.forest(*np.array(alike).T)), strict=True))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(texts).collect()) == sorted({i for i, _ in rows} - want.keys())
+    found = simhash.all_similar_groups(texts, 5, 0.8).collect()
+    assert {r.node: r.component for r in found if r.node != r.component} == want and len(want) > 60
+
+
 def test_language_held_out_accuracy(spark, docs, odd):
     split = queries.held_out(docs)
     found = langid.predict(split, langid.learn(split.where("not held_out"))).where("held_out").select("lang", "lang_pred", "score").collect()
