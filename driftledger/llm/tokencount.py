@@ -86,11 +86,26 @@ class UnigramTrie:
         return sum(map(terminal.__getitem__, words)), len(words)
 
     def add_word(self, word: str) -> int:
-        # A very long pre-token is cut into parts of fixed length, so that its
-        # prefixes don't take memory with the square of its length.
-        if len(word) < 256:
-            return self.add_short(SPACE + word)
-        return sum(self.add_short((SPACE if lo == 0 else "") + word[lo : lo + 255]) for lo in range(0, len(word), 255))
+        # The prefixes of a very long pre-token would take memory with the square of its length.
+        return self.add_short(SPACE + word) if len(word) < 256 else self.long(SPACE + word)
+
+    def long(self, token: str) -> int:
+        """The count of a pre-token that isn't inserted: the same best path, over positions alone."""
+        score, longest = self.score, self.longest
+        best = [(0.0, 0)]
+        for end in range(1, len(token) + 1):
+            ways = []
+            for start in range(max(0, end - longest), end):
+                s = score.get(token[start:end])
+                if s is not None:
+                    cost, n = best[start]
+                    ways.append((cost - s, n + 1))
+            if token[end - 1] not in score:
+                size = len(token[end - 1].encode("utf-8", "surrogatepass"))
+                cost, n = best[end - 1]
+                ways.append((cost - size * BYTE_SCORE, n + size))
+            best.append(min(ways))
+        return best[-1][1]
 
     def add_short(self, token: str) -> int:
         count = self.add(token)
@@ -106,9 +121,8 @@ def load(path: str) -> UnigramTrie:
 def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """One row a document: ``doc_id``, ``n_tokens``, ``n_pretokens``.
 
-    Pre-tokens are runs without white space, with a word-start mark before; those
-    over 255 characters are cut every 255.  A null or empty text has no
-    tokens.  Repeated rows and null ids stay; other columns are ignored.
+    Pre-tokens are runs without white space, with a word-start mark before, of any
+    length.  A null or empty text has no tokens.  Repeated rows and null ids stay; other columns are ignored.
     Needs no shuffle; each worker's trie is bounded by ``NODES``.
     """
     prepare(docs.sparkSession)

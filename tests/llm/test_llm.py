@@ -165,6 +165,22 @@ def test_token_counts_equal_plain_dynamic_programming(odd, docs):
         assert sorted((str(r.doc_id), r.n_tokens) for r in tokencount.token_counts(table, path).collect()) == texts
 
 
+@pytest.mark.parametrize("size", [255, 256, 1000, 100_000])
+def test_token_counts_of_long_words_equal_plain_dynamic_programming(size):
+    trie = tokencount.UnigramTrie(public_tokenizers.path("piece_bpe_32k.model"))
+    random = np.random.default_rng(size)
+    pieces = sorted(p for p in trie.score if "▁" not in p and p.split() == [p])
+    for word in ("".join(random.choice(pieces, size))[:size], ("internationalization中文é" * size)[:size]):
+        token, best = "▁" + word, [(0.0, 0)]
+        for end in range(1, len(token) + 1):
+            ways = [(best[s][0] - trie.score[token[s:end]], best[s][1] + 1) for s in range(max(0, end - trie.longest), end) if token[s:end] in trie.score]
+            if token[end - 1] not in trie.score:
+                n = len(token[end - 1].encode())
+                ways.append((best[end - 1][0] - n * tokencount.BYTE_SCORE, best[end - 1][1] + n))
+            best.append(min(ways))
+        assert trie.count(word) == (best[-1][1], 1)
+
+
 def test_media_round_trip(odd, docs):
     for table in (odd, docs):
         texts = [media.payload_of(r.text) for r in table.select("text").collect()]
