@@ -20,17 +20,21 @@ from .shared import prepare, stored
 
 #: Elements without an end tag, and those whose content is no markup.  Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
 #: Elements that start a block of text of their own.  Fixed values of HTML.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Blocks that end an open paragraph are those above; these end an open element of their own kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-FURNITURE = frozenset("nav header footer aside form script style noscript template iframe svg math button select option textarea input label dialog menu head title object embed canvas audio video".split())
+FURNITURE = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea input label dialog menu head title object embed canvas audio video".split())
 #: Parts of classes, ids and roles that name page furniture.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar\w*|aside|rail|widgets?|footer|header|masthead|topbar|toolbar|comments?|commentlist|discussion|replies|respond|disqus|related|recommend\w*|share|sharing|social|tags?|pager|pagination|search|skip|complementary|contentinfo|search)(?=$|[\s_-])",
     re.I,
 )
+#: Furniture that may hold all of a badly built page, for which a page that would come out empty falls back on it.
+FRAME = frozenset("nav header footer aside form dialog menu".split())
+#: How an element is dropped: a part of a name (has-sidebar), a whole name, its tag, or for good.
+KEPT, PART, WHOLE, TAG, GONE = range(5)
 CONTAINER = frozenset("article main section div body td center blockquote".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -40,15 +44,22 @@ WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("depth", "drop", "link", "parent", "path", "tag")
+    __slots__ = ("depth", "drop", "holds", "level", "link", "own", "parent", "path", "tag", "worth")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
         self.tag, self.parent = tag, parent
         found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
         names = " ".join(unescape(found.get(k, "")) for k in ("class", "id", "role"))
-        inside = parent is not None and parent.drop
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        self.drop = inside or tag in FURNITURE or hidden or (tag not in ("html", "body", "article", "main") and bool(NAMED.search(names)))
+        self.own = KEPT
+        if hidden or tag in FURNITURE:
+            self.own = TAG if tag in FRAME and not hidden else GONE
+        elif tag not in ("html", "body", "article", "main") and NAMED.search(names):
+            whole = any((m := NAMED.match(n)) is not None and m.end() == len(n) for n in names.split())
+            self.own = WHOLE if whole else PART
+        #: The strongest drop of this and the elements around it; running text and whether an article is inside.
+        self.level = max(self.own, parent.level) if parent else self.own
+        self.drop, self.worth, self.holds = False, 0.0, False
         classes = sorted(re.sub(r"\d+", "#", c.lower()) for c in unescape(found.get("class", "")).split())
         name = ".".join([tag, *classes])
         self.depth = parent.depth + 1 if parent else 0
@@ -68,6 +79,7 @@ class Page:
         self.linked = 0
         self._read(html)
         self._flush()
+        self._settle()
 
     def _flush(self) -> None:
         text = WHITE.sub(" ", "".join(self.text)).strip()
@@ -76,7 +88,7 @@ class Page:
         self.text, self.linked = [], 0
 
     def _say(self, raw: str) -> None:
-        if raw and not self.node.drop:
+        if raw and self.node.level < GONE:
             text = unescape(raw)
             self.text.append(text)
             if self.node.link:
@@ -86,7 +98,7 @@ class Page:
         """Close open elements up to and with ``to``."""
         at = self.node
         while at is not to.parent:
-            if at.tag in BLOCK or at.drop:
+            if at.tag in BLOCK or at.own:
                 self._flush()
             self.node = at = at.parent
 
@@ -125,15 +137,46 @@ class Page:
                 continue
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                # Without an end, only code runs to the end of the page.
+                at = close.end() if close else len(html) if tag in ("script", "style") else at
                 continue
             node = Node(tag, self.node, attributes)
-            if node.drop and not self.node.drop:
+            if node.own:
                 self._flush()
             self.node = node
             self.nodes.append(node)
         self._say(html[at:])
 
+    def _settle(self) -> None:
+        """Drop furniture, but not what is named like it and holds most of the page's running text.
+
+        A page that would come out empty falls back on what was dropped for the
+        weakest reason.
+        """
+        if not any(n.level for n, _, _, _ in self.blocks):
+            return
+        total = 0.0
+        for node, _, linked, n in self.blocks:
+            if node.level < WHOLE:
+                worth, article, at = max(0.0, n - 2.0 * linked), False, node
+                total += worth
+                while at is not None:
+                    article = article or (worth > 0 and at.tag in ("article", "main"))
+                    at.worth += worth
+                    at.holds = at.holds or article
+                    at = at.parent
+        articles = any(n.holds for n in self.nodes)
+        most = lambda n: 2 * n.worth > total and (n.holds or not articles)
+        ways = (most, lambda n: n.holds, lambda n: True)
+        for worst, spared in [*((PART, w) for w in ways), (WHOLE, None), (TAG, None)]:
+            for node in self.nodes:
+                dropped = node.own > worst or (node.own == PART == worst and not spared(node))
+                node.drop = dropped or node.parent.drop
+            kept = [b for b in self.blocks if not b[0].drop]
+            if kept:
+                break
+        self.blocks = kept
+
     def scores(self) -> dict[str, float]:
         """Path of each container -> its score."""
         total: dict[str, float] = {}
@@ -193,7 +236,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Pages without a container at that path fall back to their own best one.  A
     null or empty html has the empty text; pages without a host vote together;
-    repeated rows stay; other columns are ignored.
+    repeated rows stay; other columns are ignored.  A page of furniture alone is
+    taken as its text.
     """
     winners = stored(vote(pages), "host-paths")
     kind = dict(pages.dtypes)["page_id"]

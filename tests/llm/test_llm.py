@@ -221,6 +221,16 @@ def test_html(spark):
     assert found[9].text == "" and found[10].text == ""
 
 
+@pytest.mark.parametrize("wrapper", ["div class='site has-sidebar'", "div id='page' class='no-sidebar'", "div class='sidebar'", "div", "form"])
+def test_html_wrappers_named_like_furniture(wrapper):
+    article = "<article><p>A text of several words, and more of them.</p><p>With <math><mi>x</mi></math> in it.</p><div class='post-comments'><p>A comment, longer than all of the article, that says little of note, but goes on and on, and so on.</p></div></article>"
+    for inside in (article, article.replace("article", "section")):
+        page = html.Page(f"<body><{wrapper}>{inside}<div class='ad'>Buy.</div></{wrapper.split()[0]}><script>x</script></body>")
+        text = page.extract(max(page.scores(), key=page.scores().get))
+        assert "A text of several words, and more of them.\nWith x in it." in text
+    assert "after" in html.Page("<p>before</p><svg><p>after</p>").extract(None)
+
+
 def test_decontamination_finds_moved_sentences(spark):
     item = "one two three four five six seven. eight nine ten eleven twelve thirteen. alpha beta gamma delta epsilon zeta"
     a, b, c = item.split(". ")
