@@ -33,6 +33,10 @@ SENTENCES: dict[str, str] = {
     "bsd-redist": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "lgpl-free:{v}": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {v} of the license or at your option any later version",
+    "lgpl-program:{v}": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {v} of the license or at your option any later version",
+    "agpl-free:{v}": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version {v} of the license or at your option any later version",
     "cc0-ref:{v}": "licensed under cc0 {v}",
     "rights-reserved": "all rights reserved",
     "unlicense-free": "this is free and unencumbered software released into the public domain",
@@ -59,20 +63,27 @@ RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-licensed"]),
     ("Apache-{v}", ["apache-the:{v}", "apache-may"]),
     ("Apache-{v}", ["apache-ref:{v}"]),
+    ("AGPL-{v}-or-later", ["agpl-free:{v}"]),
     ("AGPL-{v}", ["agpl-work:{v}"]),
+    ("LGPL-{v}-or-later", ["lgpl-free:{v}"]),
+    ("LGPL-{v}-or-later", ["lgpl-program:{v}"]),
     ("LGPL-{v}", ["lgpl-work:{v}"]),
     ("GPL-{v}-or-later", ["gpl-free:{v}"]),
     ("GPL-{v}", ["gpl-work:{v}"]),
     ("GPL-{v}", ["gpl-licensed:{v}"]),
     ("MPL-{v}", ["mpl-form:{v}"]),
+    ("BSD-3-Clause", ["bsd-redist", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-redist", "bsd-source", "bsd-binary"]),
     ("CC0-{v}", ["cc0-ref:{v}"]),
     ("Unlicense", ["unlicense-free"]),
     ("All-Rights-Reserved", ["rights-reserved"]),
     *((f"CC-{k.upper()}-{{v}}", [f"cc-{k}:{{v}}"]) for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
 ]
-#: Every known sentence holds one of these.
-HINT = "licen|rights reserved|permission|warranty|redistribut|copyright|public domain"
+#: Every known sentence holds one of these: single words, as any white space or punctuation may stand between two.
+HINT = "licen|reserved|permission|warranty|redistribut|copyright|domain"
+#: The SQL stays as it was: it lacks wrapped forms of two sentences, and what was added since.
+SQL_HINT = "licen|rights reserved|permission|warranty|redistribut|copyright|public domain"
+SQL_LACKS = ("bsd-names", "lgpl-free", "lgpl-program", "agpl-free")
 
 
 def versions_of(name: str) -> list[str]:
@@ -121,7 +132,10 @@ def scan(docs: DataFrame) -> DataFrame:
     some = (F.size("a") > 0) | (F.size("b") > 0)
     joined = [F.concat(F.lit("|"), F.array_join(c, "|"), F.lit("|")) for c in ("a", "b")]
     met = F.array(*(F.when(joined[0].contains(ids_) | joined[1].contains(ids_), F.lit(name)) for name, ids_ in rule_table()))
-    licenses = F.when(some, F.array_distinct(F.filter(met, lambda x: x.isNotNull()))).otherwise(none)
+    found = F.array_distinct(F.filter(met, lambda x: x.isNotNull()))
+    # The text of three clauses holds that of two.
+    found = F.when(F.array_contains(found, "BSD-3-Clause"), F.array_remove(found, "BSD-2-Clause")).otherwise(found)
+    licenses = F.when(some, found).otherwise(none)
     longer = F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a"))
     return ids.select("doc_id", F.array_join(longer, "|").alias("sentence_ids"), licenses.alias("l")).select(
         "doc_id", "sentence_ids", F.array_join("l", ",").alias("licenses"), F.try_element_at("l", F.lit(1)).alias("first_license")
@@ -130,16 +144,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def sql() -> str:
     """DuckDB SQL for ``scan`` of ``documents``."""
-    quoted = ", ".join(f"'{s}': '{i}'" for s, i in sentence_table().items())
+    quoted = ", ".join(f"'{s}': '{i}'" for s, i in sentence_table().items() if not i.startswith(SQL_LACKS))
     ids = lambda parts: f"list_filter(list_transform({parts}, lambda s: element_at(MAP {{{quoted}}}, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))[1]), lambda x: x IS NOT NULL)"
     cut = r"string_split_regex(regexp_replace(text, '([.!?;])[ \t\r\n\f]+', '\1' || chr(10), 'g'), '[\r\n]+')"
     wrapped = r"string_split(regexp_replace(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g'), '([.!?;:]) ', '\1' || chr(10), 'g'), chr(10))"
-    cases = ", ".join(f"CASE WHEN contains(ja, '{r}') OR contains(jb, '{r}') THEN '{n}' END" for n, r in rule_table())
+    cases = ", ".join(f"CASE WHEN contains(ja, '{r}') OR contains(jb, '{r}') THEN '{n}' END" for n, r in rule_table() if not any(f"|{x}" in r for x in SQL_LACKS))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 i AS (SELECT doc_id,
-        CASE WHEN regexp_matches(lower(text), '{HINT}') THEN {ids(cut)} ELSE []::VARCHAR[] END AS a,
-        CASE WHEN regexp_matches(lower(text), '{HINT}') THEN {ids(wrapped)} ELSE []::VARCHAR[] END AS b FROM d),
+        CASE WHEN regexp_matches(lower(text), '{SQL_HINT}') THEN {ids(cut)} ELSE []::VARCHAR[] END AS a,
+        CASE WHEN regexp_matches(lower(text), '{SQL_HINT}') THEN {ids(wrapped)} ELSE []::VARCHAR[] END AS b FROM d),
 j AS (SELECT *, '|' || array_to_string(a, '|') || '|' AS ja, '|' || array_to_string(b, '|') || '|' AS jb FROM i),
 m AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids, list_filter([{cases}], lambda x: x IS NOT NULL) AS met FROM j),
 o AS (SELECT *, list_filter(met, lambda x, k: list_position(met, x) = k) AS l FROM m)

@@ -249,3 +249,15 @@ def test_licences(odd):
     found = licenses.scan(odd.limit(1).withColumn("text", F.lit(text))).first()
     assert found.licenses == "GPL-3" and found.first_license == "GPL-3"
     assert licenses.scan(odd).where("licenses <> ''").count() == 0
+
+
+def test_licences_wrapped_and_whole(spark):
+    sentences = list(licenses.sentence_table().items())
+    forms = [f(s) for s, _ in sentences for f in (lambda s: s.replace(" ", "\n"), lambda s: s.replace(" ", "  "), lambda s: s.replace(" ", "-"))]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.sentence_ids for r in found} == {3 * i + k: name for i, (_, name) in enumerate(sentences) for k in range(3)}
+    text = {i: s for s, i in sentences}
+    bsd = [text[i] for i in ("bsd-redist", "bsd-source", "bsd-binary", "bsd-names")]
+    rows = [(1, ".\n".join(bsd[:3])), (2, ".\n".join(bsd)), (3, text["lgpl-free:2.1"]), (4, text["agpl-free:3"])]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in found} == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "LGPL-2.1-or-later", 4: "AGPL-3-or-later"}
