@@ -91,30 +91,31 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def rare_first(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of distinct hashes in an order that all texts share: by value, but those of ``common`` last.
+def rare_first(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of distinct hashes in an order that all texts share: by value, but those of the sorted ``common`` last, by ``rank``.
 
     Two sets that are ``similarity`` alike share one of these: each holds all but a
     share ``1 - similarity`` of its members in common with the other.
     """
-    n = len(hashes)
-    order = np.argsort(common)
-    at = np.searchsorted(common, hashes, sorter=order) if len(common) else np.zeros(n, np.int64)
-    place = order[np.minimum(at, len(common) - 1)] if len(common) else at
-    rank = np.where(common[place] == hashes, place, -1) if len(common) else np.full(n, -1)
-    return hashes[np.lexsort((hashes, rank))][: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
+    n, own = len(hashes), np.full(len(hashes), -1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        own = np.where(common[at] == hashes, rank[at], -1)
+    return hashes[np.lexsort((hashes, own))][: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of rows that have words ``id long``, ``fp long`` of the distinct shingles, their number ``shingles``, ``sketch`` and ``prefix``, the rarest."""
     prepare(docs.sparkSession)
     common = common_shingles(docs, words)
+    rank = np.argsort(common)
+    common = common[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(i, h) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) if len(h := shingle_hashes(t, words))]
             sets = [np.unique(h) for _, h in found]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in found], pa.int64()), "fp": pa.array([fingerprint(x) for x in sets], pa.int64()), "shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array([sketch(x) for x in sets], pa.binary()), "prefix": pa.array([rare_first(x, common, similarity) for x in sets], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in found], pa.int64()), "fp": pa.array([fingerprint(x) for x in sets], pa.int64()), "shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array([sketch(x) for x in sets], pa.binary()), "prefix": pa.array([rare_first(x, common, rank, similarity) for x in sets], pa.list_(pa.int64()))})
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp long, shingles long, sketch binary, prefix array<long>")
 
