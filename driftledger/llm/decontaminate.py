@@ -1,28 +1,32 @@
 """Benchmark decontamination by greedy string tiling.
 
-A benchmark is a stated set of items that every document meets, so its five-word
-seeds are sent to the tasks in blocks of bounded size.  A document that shares a
-seed with an item is tiled against it: maximal common runs are marked, the
-longest first, so that no word is in two tiles.  Tiles may lie in any order, so
-passages whose sentences were moved are found as well.
+Seeds are runs of words.  A bit table of fixed size tells a document's seeds that
+may be a benchmark item's; only these go on, and Spark joins them with the items'
+seeds.  A document that shares a seed with an item is tiled against it: the longest
+common runs are marked first, so that no word is in two tiles, by Karp-Rabin hashes
+of ever shorter windows.  Tiles may lie in any order, so passages whose sentences
+were moved are found as well.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import prepare
+from .shared import bit_table, in_table, prepare, small, stored
 
 WORDS = re.compile(r"\w+")
-#: Base of the running hash over word numbers, modulo 2**64.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words of benchmark text that are sent to the tasks at a time.
-BLOCK_WORDS = 2_000_000
+#: Odd base of the running hash over words, modulo 2**64, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
+#: Word hashes that a worker keeps before it starts anew.
+CACHE = 500_000
 
 SCHEMA = "item_id long, coverage double, covered_words int, item_words int, tiles int"
 
@@ -31,124 +35,166 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def running_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hash of each window of ``n`` word numbers."""
-    if len(ids) < n:
+class WordHashes(dict):
+    """Word -> its XXH64."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, seed=42)
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class RunningHashes:
+    """Karp-Rabin hashes of the windows of a sequence, of any length, from its prefix sums."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        n = len(values)
+        self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE, np.uint64)])
+        down = np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), UNBASE, np.uint64)])[:n]
+        self.sums = np.r_[np.uint64(0), np.cumsum(values * down)]
+
+    def windows(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        return (self.sums[size:] - self.sums[:n]) * self.up[:n] if n > 0 else np.empty(0, np.uint64)
+
+
+def seeds_of(words: list[str], seed: int, hashes: WordHashes) -> np.ndarray:
+    """Distinct hashes of each run of ``seed`` words; of a text of fewer, of all of it, which only an equal one has."""
+    if not words:
         return np.empty(0, np.uint64)
-    h = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        h = h * BASE + ids[k : len(ids) - n + 1 + k]
-    return h
+    if len(words) < seed:
+        return np.array([xxhash.xxh64_intdigest("\0" + " ".join(words), seed=42)], np.uint64)
+    return np.unique(RunningHashes(hashes.of(words)).windows(seed))
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(doc position, item position, length)``, the longest first.
 
-    ``doc`` and ``item`` are word numbers, 0 for words that the item can't have.
-    Ties go to the smallest item position, then document position.
+    ``doc`` and ``item`` are word numbers, 0 for words that the other can't have.
+    Ties go to the smallest item position, then document position.  Memory is
+    linear in the two: windows meet by hash, never all pairs of them.
     """
-    left, right = running_hashes(doc, least), running_hashes(item, least)
-    order = np.argsort(right, kind="stable")
-    lo, hi = np.searchsorted(right[order], left, "left"), np.searchsorted(right[order], left, "right")
-    n = hi - lo
-    i = np.repeat(np.arange(len(left)), n)
-    j = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(i) else i
-    for k in range(least):  # equal hashes are checked word by word
-        same = (doc[i + k] == item[j + k]) & (doc[i + k] > 0)
-        i, j = i[same], j[same]
-    tiles = []
-    while len(i):
-        # Seeds next to each other on a diagonal make one maximal match.
-        by = np.lexsort((j, i - j))
-        i, j = i[by], j[by]
-        starts = np.flatnonzero(np.r_[True, (np.diff(i - j) != 0) | (np.diff(j) != 1)])
-        size = np.diff(np.r_[starts, len(i)]) + least - 1
-        best = np.lexsort((i[starts], j[starts], -size))[0]
-        di, dj, length = int(i[starts[best]]), int(j[starts[best]]), int(size[best])
-        tiles.append((di, dj, length))
-        free = ((i + least <= di) | (i >= di + length)) & ((j + least <= dj) | (j >= dj + length))
-        i, j = i[free], j[free]
+    free = [doc > 0, item > 0]
+    hashed = [RunningHashes(x.astype(np.uint64)) for x in (doc, item)]
+    tiles: list[tuple[int, int, int]] = []
+
+    def windows(side: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the windows of which no word is marked."""
+        marked = np.r_[0, np.cumsum(~free[side])]
+        at = np.flatnonzero(marked[size:] == marked[:-size]) if size < len(marked) else np.empty(0, np.int64)
+        return at, hashed[side].windows(size)[at]
+
+    def common(size: int) -> bool:
+        return len(np.intersect1d(windows(0, size)[1], windows(1, size)[1])) > 0
+
+    top = min(len(doc), len(item))
+    while top >= least and common(least):
+        lo, hi = least, top
+        while lo < hi:  # a common window holds shorter ones, so the greatest length can be halved for
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if common(mid) else (lo, mid - 1)
+        size = lo
+        (at, h), (to, g) = windows(0, size), windows(1, size)
+        both = np.isin(h, g)
+        places: dict[int, list[int]] = defaultdict(list)
+        for x, i in zip(h[both][::-1].tolist(), at[both][::-1].tolist(), strict=True):
+            places[x].append(i)  # the first position last
+        for x, j in zip(g.tolist(), to.tolist(), strict=True):
+            found = places.get(x)
+            if not found or not free[1][j : j + size].all():
+                continue
+            while found and not free[0][found[-1] : found[-1] + size].all():
+                found.pop()
+            # Equal hashes are checked word by word.
+            place = next((i for i in reversed(found) if free[0][i : i + size].all() and (doc[i : i + size] == item[j : j + size]).all()), None)
+            if place is not None:
+                tiles.append((place, j, size))
+                free[0][place : place + size] = False
+                free[1][j : j + size] = False
+        top = size - 1
     return tiles
 
 
-class Index:
-    """Seeds of a block of items, as sorted running hashes."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int) -> None:
-        self.number: dict[str, int] = {}
-        self.items, hashes, owners = [], [], []
-        for key, words in items:
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint64)
-            found = np.unique(running_hashes(ids, seed))
-            hashes.append(found)
-            owners.append(np.full(len(found), len(self.items)))
-            self.items.append((key, ids))
-        h = np.concatenate([*hashes, np.empty(0, np.uint64)])
-        o = np.concatenate([*owners, np.empty(0, np.int64)])
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.owners, self.seed = h[order], o[order], seed
-
-    def match(self, text: str | None, least: int) -> Iterator[tuple[int, int, int, int]]:
-        """``item_id``, covered words, item's words and tiles of each item that shares a seed."""
-        words = words_of(text)
-        ids = np.fromiter((self.number.get(w, 0) for w in words), np.uint64, len(words))
-        if len(ids) < self.seed or not len(self.hashes):
-            return
-        known = np.cumsum(np.r_[0, ids > 0])
-        h = running_hashes(ids, self.seed)[known[self.seed :] - known[: -self.seed] == self.seed]
-        at = np.searchsorted(self.hashes, h)
-        shared = np.unique(h[self.hashes[np.minimum(at, len(self.hashes) - 1)] == h])
-        if not len(shared):
-            return
-        lo, hi = np.searchsorted(self.hashes, shared, "left"), np.searchsorted(self.hashes, shared, "right")
-        for owner in np.unique(np.concatenate([self.owners[a:b] for a, b in zip(lo, hi, strict=True)])):
-            key, item = self.items[owner]
-            own = np.where(np.isin(ids, item), ids, np.uint64(0))
-            tiles = tile(own, item, least)
-            if any(t[2] >= self.seed for t in tiles):
-                yield key, sum(t[2] for t in tiles), len(item), len(tiles)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, seed: int = 5, least: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
+def match(doc_words: list[str], item_words: list[str], seed: int, least: int) -> tuple[int, int]:
+    """Covered words of the item and tiles; none without a tile of ``seed`` words, or of all words of a shorter item."""
+    if len(item_words) < seed:
+        return (len(item_words), 1) if doc_words == item_words else (0, 0)
+    number = {w: i for i, w in enumerate(dict.fromkeys(item_words), 1)}
+    tiles = tile(np.array([number.get(w, 0) for w in doc_words], np.int64), np.array([number[w] for w in item_words], np.int64), least)
+    if not tiles or tiles[0][2] < seed:
+        return 0, 0
+    return sum(t[2] for t in tiles), len(tiles)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, seed: int = 5, least: int = 3) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds.
 
     ``doc_id, item_id, coverage, covered_words, item_words, tiles``: one row for
     each document row and item row that share a run of ``seed`` words and whose
     tiles of ``least`` or more words cover at least ``threshold`` of the item's
-    words.  Words are runs of letters, digits and underscores in lower case.
-    Null and empty texts share nothing; items of fewer than ``seed`` words are
-    too common to tell and are never reported.  Repeated rows give repeated
-    pairs; an empty benchmark or table gives no rows; null ids are carried.
-    Documents aren't shuffled.  Items are taken in blocks of about
-    ``block_words`` words, which bounds what a task receives.
+    words.  Words are runs of letters, digits and underscores in lower case.  An
+    item of fewer than ``seed`` words is found in documents of exactly its words.
+    Null and empty texts share nothing.  Repeated rows give repeated pairs; an
+    empty benchmark or table gives no rows; null ids are carried; other columns
+    are ignored.  Only documents with a seed that may be an item's are moved.
     """
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.where("text is not null").select("item_id", "text")
-    total = items.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
-    blocks = -(-total // block_words)
-    kind = dict(docs.dtypes)["doc_id"]
-    found = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = [(r.item_id, words_of(r.text)) for r in block.toLocalIterator()]
-        index = spark.sparkContext.broadcast(Index([r for r in rows if len(r[1]) >= seed], seed))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out: list[tuple] = []
-                at: list[int] = []
-                for k, text in enumerate(batch.column("text").to_pylist()):
-                    for key, covered, size, tiles in index.value.match(text, least):
-                        if covered >= threshold * size:
-                            out.append((key, covered / size, covered, size, tiles))
-                            at.append(k)
-                columns = list(zip(*out, strict=True)) if out else [()] * 5
-                kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                names = ("item_id", "coverage", "covered_words", "item_words", "tiles")
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *arrays], names=["doc_id", *names])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], f"doc_id {kind}, {SCHEMA}") if found is None else found
+    kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [seeds_of(words_of(t), seed, hashes) for t in batch.column("text").to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_pydict({"item": batch.column("item").take(pa.array(at, pa.int64())), "seed": pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))})
+
+    items = stored(benchmark.where("text is not null").select("item_id", "text").withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+    seeds = stored(items.select("item", "text").mapInArrow(item_seeds, "item long, seed long"), "benchmark-seeds")
+    table = bit_table(seeds.select("seed"))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            at, hits = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                found = seeds_of(words_of(text), seed, hashes)
+                found = found[in_table(table.value, found)]
+                if len(found):
+                    at.append(k)
+                    hits.append(found.view(np.int64))
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.list_(pa.int64()))], names=["doc_id", "text", "hits"])
+
+    # Stored, so that the rows' numbers hold.
+    may = docs.select("doc_id", "text").mapInArrow(candidates, f"doc_id {kind}, text string, hits array<long>")
+    may = stored(may.withColumn("row", F.monotonically_increasing_id()), "candidates")
+    pairs = may.select("row", F.explode("hits").alias("seed")).join(seeds, "seed").select("row", "item").distinct()
+    texts = pairs.join(may.select("row", "doc_id", "text"), "row").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for k, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
+                words = words_of(item)
+                covered, tiles = match(words_of(text), words, seed, least)
+                if covered and covered >= threshold * len(words):
+                    at.append(k)
+                    out.append((covered / len(words), covered, len(words), tiles))
+            rows = batch.select(["doc_id", "item_id"]).take(pa.array(at, pa.int64()))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "item_id", "coverage", "covered_words", "item_words", "tiles"])
+
+    return texts.select("doc_id", "item_id", "text", "item_text").mapInArrow(tiled, f"doc_id {kind}, {SCHEMA.replace('item_id long', f'item_id {item_kind}')}")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns; null texts and ids stay."""
+    key = F.sha2("text", 256)
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("__text")).distinct()
+    return docs.withColumn("__text", key).join(small(found), "__text", "left_anti").select(*docs.columns)

@@ -1,14 +1,19 @@
 """Main text of web pages by consensus of each host's pages.
 
-Each page scores its containers: running text in them, less what is linked, and
-less for each level that only adds page furniture.  Containers are named by their
-path of generalised tags and classes; Spark sums the scores of each path over its
-host, and each page is extracted again from the container at its host's winning
-path.
+Each page scores its containers by the running text in them, less what is linked.
+Containers are named by their path of generalised tags and classes; Spark sums the
+scores of each path over its host, and each page is extracted again from the
+container at its host's winning path.
+
+Markup is read by HTML's own rules in one pass; every step is linear in the page,
+whatever its tags, and no depth is too great.  What is dropped as page furniture is
+decided after the whole page was read, so a name never drops the article inside.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -20,187 +25,313 @@ from .shared import prepare, stored
 
 #: Elements without an end tag, and those whose content is no markup.  Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 #: Elements that start a block of text of their own.  Fixed values of HTML.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol option optgroup p pre section select summary table tbody td tfoot th thead tr ul".split())
-#: Blocks that end an open paragraph are those above; these end an open element of their own kind.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-FURNITURE = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea input label dialog menu head title object embed canvas audio video".split())
-#: Parts of classes, ids and roles that name page furniture.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar\w*|aside|rail|widgets?|footer|header|masthead|topbar|toolbar|comments?|commentlist|discussion|replies|respond|disqus|related|recommend\w*|share|sharing|social|tags?|pager|pagination|search|skip|complementary|contentinfo|search)(?=$|[\s_-])",
-    re.I,
-)
-#: Furniture that may hold all of a badly built page, for which a page that would come out empty falls back on it.
-FRAME = frozenset("nav header footer aside form dialog menu".split())
-#: How an element is dropped: a part of a name (has-sidebar), a whole name, its tag, or for good.
-KEPT, PART, WHOLE, TAG, GONE = range(5)
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An element's start ends an open one of these kinds, unless one of the others was opened since.  Fixed values of HTML.
+LISTS = frozenset("ul ol dl menu dir table td th article section main aside nav blockquote body".split())
+CLOSES = {
+    "li": (("li",), LISTS), "dt": (("dt", "dd"), LISTS), "dd": (("dt", "dd"), LISTS),
+    "tr": (("td", "th", "tr"), frozenset(("table",))), "td": (("td", "th"), frozenset(("table", "tr"))), "th": (("td", "th"), frozenset(("table", "tr"))),
+    "option": (("option",), frozenset(("select",))),
+}
+P_SCOPE = frozenset("table td th caption button object template html body".split())
+#: End tags don't reach beyond these.
+BOUNDS = frozenset("article main body".split())
 CONTAINER = frozenset("article main section div body td center blockquote".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-#: Levels that a path names.
-DEEP = 64
+
+#: Elements that hold no text of a page, and those that frame one.
+NO_TEXT = frozenset("script style noscript template iframe svg button select option textarea input label title head object embed canvas audio video".split())
+FRAME = frozenset("nav header footer aside form dialog menu".split())
+#: Words of classes, ids and roles.  A name that ends in one of the first, but for
+#: fillers, is furniture; one of the second is readers' comments; the third may be either.
+STRONG = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget widgets footer header masthead topbar toolbar related recommended recommendations share sharing social pager pagination skip complementary contentinfo".split())
+READER = frozenset("comment comments commentlist replies respond disqus".split())
+WEAK = frozenset("discussion search tag tags".split())
+FILLER = frozenset("area list section wrapper wrap container box block inner outer bar panel slot unit top bottom left right".split())
+BODY = frozenset("content main article body text post entry story".split())
+NEGATED = frozenset("has no with without not is".split())
+KEPT, SOFT, NAMED, COMMENT, FRAMED, GONE = range(6)
+
+ATTRIBUTE = re.compile(r"""[\s/]*+(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]*+)))?+""")
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?>{ATTRIBUTE.pattern.replace('(=?', '(?:=?').replace('([^', '(?:[^')}(?<![\s/>])|[\s/]++)*+)>")
+PARTS = re.compile(r"[a-z]{2,}|[A-Z]+[a-z]+|[A-Z]{2,}")
 WHITE = re.compile(r"\s+")
 
 
+@functools.lru_cache(4096)
+def kind_of(name: str) -> int:
+    """What one class, id or role says of its element."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    if not parts or not NEGATED.isdisjoint(parts):
+        return KEPT
+    while len(parts) > 1 and parts[-1] in FILLER:
+        parts.pop()
+    if parts[-1] in READER:
+        return COMMENT
+    if parts[-1] in STRONG and BODY.isdisjoint(parts):
+        return NAMED
+    return SOFT if any(p in STRONG or p in WEAK or p in READER for p in parts) else KEPT
+
+
+@functools.lru_cache(4096)
+def described(tag: str, attributes: str) -> tuple[int, str]:
+    """How strongly an element is furniture, and its generalised name: tag and sorted classes, digits as one ``#``."""
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), a or b or c)  # the first of a name counts
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    classes = unescape(found.get("class", "")).split()
+    kind = GONE if hidden or tag in NO_TEXT else FRAMED if tag in FRAME else KEPT
+    if kind == KEPT and tag not in ("html", "body", "main"):
+        kind = max((kind_of(n) for n in (*classes, *unescape(found.get("id", "")).split(), *found.get("role", "").split())), default=KEPT)
+    return kind, ".".join([tag, *sorted(re.sub(r"\d+", "#", c.lower()) for c in classes)])
+
+
 class Node:
-    __slots__ = ("depth", "drop", "holds", "level", "link", "own", "parent", "path", "tag", "worth")
+    __slots__ = ("article", "controls", "drop", "first", "flow", "inside", "kind", "last", "link", "linked", "links", "name", "own", "parent", "path", "readers", "runs", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
         self.tag, self.parent = tag, parent
-        found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
-        names = " ".join(unescape(found.get(k, "")) for k in ("class", "id", "role"))
-        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        self.own = KEPT
-        if hidden or tag in FURNITURE:
-            self.own = TAG if tag in FRAME and not hidden else GONE
-        elif tag not in ("html", "body", "article", "main") and NAMED.search(names):
-            whole = any((m := NAMED.match(n)) is not None and m.end() == len(n) for n in names.split())
-            self.own = WHOLE if whole else PART
-        #: The strongest drop of this and the elements around it; running text and whether an article is inside.
-        self.level = max(self.own, parent.level) if parent else self.own
-        self.drop, self.worth, self.holds = False, 0.0, False
-        classes = sorted(re.sub(r"\d+", "#", c.lower()) for c in unescape(found.get("class", "")).split())
-        name = ".".join([tag, *classes])
-        self.depth = parent.depth + 1 if parent else 0
-        # Elements nested deeper than any layout stand at their ancestor's path.
-        self.path = name if parent is None else f"{parent.path}>{name}" if self.depth < DEEP else parent.path
+        self.own, self.name = described(tag, attributes) if parent else (KEPT, "")
+        #: The path's digest: paths themselves would take memory with the square of the depth.
+        self.path = hashlib.blake2b((parent.path if parent else b"") + b">" + self.name.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        #: The strongest kind of this and the elements around it.
+        self.kind = max(self.own, parent.kind) if parent else self.own
         self.link = tag == "a" or (parent is not None and parent.link)
+        # Of all blocks inside: characters, linked ones, running ones; links and form
+        # controls; the largest article; whether readers' comments are inside.
+        self.size = self.linked = self.runs = self.links = self.controls = self.article = 0
+        self.first, self.last, self.readers = 1 << 60, -1, False
+        self.drop = self.inside = False
+        self.flow = 0.0
+
+    def readable(self) -> str:
+        steps, at = [], self
+        while at.parent is not None:
+            steps.append(at.name)
+            at = at.parent
+        return ">".join(reversed(steps))
 
 
 class Page:
-    """One pass over a page's markup: text blocks, each with the container it stands in."""
+    """One pass over a page's markup: text blocks, each with the element it stands in."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[Node, str, int, int]] = []  # node, text, its linked and all characters
+        self.blocks: list[tuple[Node, str, int]] = []  # element, text, its linked characters
+        self.root = self.node = Node("#page", None, "")
         self.nodes: list[Node] = []
-        self.node = Node("#page", None, "")
+        self.stack: list[Node] = []
+        self.open: dict[str, list[int]] = {}  # tag -> places in the stack
         self.text: list[str] = []
         self.linked = 0
         self._read(html)
         self._flush()
+        self._weigh()
         self._settle()
 
     def _flush(self) -> None:
         text = WHITE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.blocks.append((self.node, text, self.linked, len(text)))
+            self.blocks.append((self.node, text, min(self.linked, len(text))))
         self.text, self.linked = [], 0
 
     def _say(self, raw: str) -> None:
-        if raw and self.node.level < GONE:
+        if raw and self.node.kind < GONE:
             text = unescape(raw)
             self.text.append(text)
             if self.node.link:
                 self.linked += len(text.strip())
 
-    def _leave(self, to: Node) -> None:
-        """Close open elements up to and with ``to``."""
-        at = self.node
-        while at is not to.parent:
-            if at.tag in BLOCK or at.own:
+    def _leave(self, place: int) -> None:
+        """Close open elements down to the one at ``place`` of the stack."""
+        while len(self.stack) > place:
+            node = self.stack[-1]
+            if node.tag in BLOCK or node.own:
                 self._flush()
-            self.node = at = at.parent
-
-    def _open(self, tags: tuple[str, ...], stop: frozenset[str]) -> Node | None:
-        at = self.node
-        while at.parent is not None and at.tag not in tags:
-            if at.tag in stop:
-                return None
-            at = at.parent
-        return at if at.parent is not None else None
+            self.stack.pop()
+            self.open[node.tag].pop()
+            self.node = node.parent
+
+    def _last(self, tags) -> int:
+        """The place of the innermost open element of these tags; -1 without one."""
+        return max((places[-1] for t in tags if (places := self.open.get(t))), default=-1)
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCK:
+            if (place := self._last(("p",))) > self._last(P_SCOPE):
+                self._leave(place)
+            if tag in CLOSES:
+                tags, scope = CLOSES[tag]
+                # Of cells and rows the outermost within the scope is closed.
+                while (place := self._last(tags)) > self._last(scope - {tag}):
+                    self._leave(place)
+            self._flush()
+        if tag in VOID:
+            if tag == "input":
+                self.node.controls += 1
+            return
+        node = Node(tag, self.node, attributes)
+        if node.own:
+            self._flush()
+        if tag in ("textarea", "select", "button"):
+            node.parent.controls += 1
+        if tag == "a":
+            node.links += 1
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
+        self.nodes.append(node)
+        self.node = node
 
     def _read(self, html: str) -> None:
-        at = 0
-        scopes = CONTAINER | {"ul", "ol", "dl", "table", "nav", "aside", "header", "footer", "form"}
-        while found := TOKEN.search(html, at):
-            self._say(html[at : found.start()])
-            at = found.end()
-            end, tag, attributes = found.groups()
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if end:
-                if opened := self._open((tag,), frozenset(("article", "main", "body")) - {tag} if tag not in ("body", "html") else frozenset()):
-                    self._leave(opened)
-                continue
-            if tag == "br":
-                self.text.append("\n")
+        at, n, endless = 0, len(html), set()
+        while (start := html.find("<", at)) >= 0:
+            if found := TAG.match(html, start):
+                self._say(html[at:start])
+                at = found.end()
+                end, tag, attributes = found.groups()
+                tag = tag.lower()
+                if end:
+                    places = self.open.get(tag)
+                    if places and (tag in BOUNDS or tag == "html" or places[-1] > self._last(BOUNDS)):
+                        self._leave(places[-1])
+                    elif tag in ("p", "br"):  # they start what they end
+                        self._flush() if tag == "p" else self.text.append("\n")
+                elif tag == "br":
+                    self.text.append("\n")
+                elif tag in RAW:
+                    if tag not in endless:
+                        if close := re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at):
+                            at = close.end()
+                        elif tag in ("script", "style"):
+                            at = n  # without an end, only code runs to the end of the page
+                        else:
+                            endless.add(tag)
+                else:
+                    self._start(tag, attributes)
                 continue
-            if tag in BLOCK:
-                if paragraph := self._open(("p",), scopes):
-                    self._leave(paragraph)
-                if tag in CLOSES and (sibling := self._open(CLOSES[tag], frozenset(("ul", "ol", "dl", "table", "select")))):
-                    self._leave(sibling)
-                self._flush()
-            if tag in VOID or attributes.endswith("/") and tag in RAW:
-                continue
-            if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                # Without an end, only code runs to the end of the page.
-                at = close.end() if close else len(html) if tag in ("script", "style") else at
-                continue
-            node = Node(tag, self.node, attributes)
-            if node.own:
-                self._flush()
-            self.node = node
-            self.nodes.append(node)
+            mark = html[start + 1 : start + 2]
+            if html.startswith("<!--", start):
+                self._say(html[at:start])
+                if html.startswith(">", start + 4) or html.startswith("->", start + 4):
+                    at = html.index(">", start) + 1
+                else:
+                    closes = [e + k for e, k in ((html.find("-->", start + 4), 3), (html.find("--!>", start + 4), 4)) if e >= 0]
+                    at = min(closes, default=n)
+            elif mark in ("!", "?") and mark or (mark == "/" and html[start + 2 : start + 3] not in ("", *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+                self._say(html[at:start])
+                close = html.find(">", start)
+                at = close + 1 if close >= 0 else n
+            elif mark.isascii() and mark.isalpha() or mark == "/" and start + 2 < n:
+                self._say(html[at:start])
+                at = n  # the page ends in a tag
+            else:
+                self._say(html[at : start + 1])
+                at = start + 1
         self._say(html[at:])
 
+    def _weigh(self) -> None:
+        """Sum what the blocks say of each element, the inner ones first."""
+        for k, (node, text, linked) in enumerate(self.blocks):
+            node.size += len(text)
+            node.linked += linked
+            node.runs += max(0, len(text) - 2 * linked)
+            node.first, node.last = min(node.first, k), max(node.last, k)
+        for node in reversed(self.nodes):
+            up = node.parent
+            if node.tag in ("article", "main") and node.own == KEPT:
+                node.article = max(node.article, node.runs)
+            up.size += node.size
+            up.linked += node.linked
+            up.runs += node.runs
+            up.links += node.links
+            up.controls += node.controls
+            up.article = max(up.article, node.article)
+            up.readers = up.readers or node.readers or node.own == COMMENT
+            up.first, up.last = min(up.first, node.first), max(up.last, node.last)
+
+    def _holds(self, node: Node) -> bool:
+        """Whether the page's text is inside: its largest article, or most of its running text."""
+        whole = self.root
+        return node.article == whole.article if whole.article else 2 * node.runs > whole.runs
+
+    def _furniture(self, node: Node, spared: int) -> bool:
+        own, tag = node.own, node.tag
+        if own == GONE:
+            return True
+        if own <= spared and own != KEPT:
+            return False
+        if own == FRAMED:
+            if tag in ("header", "footer", "nav", "aside"):
+                return not (self.root.article and self._holds(node))
+            return not self._holds(node)
+        if own == COMMENT:
+            return not (self.root.article and self._holds(node))
+        if own == NAMED:
+            return not self._holds(node)
+        dense = 5 * node.linked >= 2 * node.size
+        if own == SOFT:
+            return (dense or node.controls > 0 or node.readers) and not self._holds(node)
+        # Menus without a name: almost all linked, before or after all running text.
+        return not self.root.article and node.links > 2 and tag in ("ul", "ol", "div", "table", "p", "section") and 5 * node.linked >= 4 * node.size and not self.text_at[0] <= node.last <= self.text_at[1] and not self.text_at[0] <= node.first <= self.text_at[1] and not node.first <= self.text_at[0] <= node.last
+
     def _settle(self) -> None:
-        """Drop furniture, but not what is named like it and holds most of the page's running text.
+        """Drop furniture by what the whole page says.
 
-        A page that would come out empty falls back on what was dropped for the
-        weakest reason.
+        An element that holds the page's text never goes for its name.  A page
+        that would come out empty falls back on what was dropped for the weakest reason.
         """
-        if not any(n.level for n, _, _, _ in self.blocks):
-            return
-        total = 0.0
-        for node, _, linked, n in self.blocks:
-            if node.level < WHOLE:
-                worth, article, at = max(0.0, n - 2.0 * linked), False, node
-                total += worth
-                while at is not None:
-                    article = article or (worth > 0 and at.tag in ("article", "main"))
-                    at.worth += worth
-                    at.holds = at.holds or article
-                    at = at.parent
-        articles = any(n.holds for n in self.nodes)
-        most = lambda n: 2 * n.worth > total and (n.holds or not articles)
-        ways = (most, lambda n: n.holds, lambda n: True)
-        for worst, spared in [*((PART, w) for w in ways), (WHOLE, None), (TAG, None)]:
+        running = [k for k, (_, text, linked) in enumerate(self.blocks) if len(text) - 2 * linked >= 40]
+        self.text_at = (running[0], running[-1]) if running else (-1, 1 << 60)
+        before = self.blocks
+        for spared in (KEPT, SOFT, NAMED, COMMENT, FRAMED):
             for node in self.nodes:
-                dropped = node.own > worst or (node.own == PART == worst and not spared(node))
-                node.drop = dropped or node.parent.drop
-            kept = [b for b in self.blocks if not b[0].drop]
-            if kept:
+                up = node.parent
+                node.drop = up.drop or self._furniture(node, spared)
+                # An article's own header keeps its headings.
+                if node.drop and node.tag in HEADINGS and node.own == KEPT and self._titled(node):
+                    node.drop = False
+            self.blocks = [b for b in before if not b[0].drop]
+            if self.blocks or not before:
                 break
-        self.blocks = kept
-
-    def scores(self) -> dict[str, float]:
-        """Path of each container -> its score."""
-        total: dict[str, float] = {}
-        for node, text, linked, n in self.blocks:
-            worth = max(0.0, n - 2.0 * linked) + 20 * len(re.findall(r"[.,;:!?](?:\s|$)", text))
-            at, share = node, 1.0
-            while at is not None and at.parent is not None:
-                if at.depth < DEEP and at.tag in CONTAINER:
-                    bonus = 1.5 if at.tag in ("article", "main") else 1.0
-                    total[at.path] = total.get(at.path, 0.0) + worth * share * bonus
-                    # Containers further out share the text but hold more of the page's rest.
-                    share *= 0.9
-                at = at.parent
+
+    def _titled(self, node: Node) -> bool:
+        head = node.parent
+        for _ in range(3):  # a heading stands in its header or in a group there
+            if head is None or head.tag not in ("hgroup", "div"):
+                break
+            head = head.parent
+        if head is None or head.tag != "header" or head.own != FRAMED or head.parent.drop:
+            return False
+        return head.parent.tag in ("article", "main") or (head.parent.parent is not None and head.parent.parent.tag == "article")
+
+    def scores(self) -> dict[bytes, float]:
+        """Path of each container -> its score; containers further out share the text but hold more of the page's rest."""
+        for node in (self.root, *self.nodes):
+            node.flow = 0.0
+        for node, text, linked in self.blocks:
+            node.flow += max(0.0, len(text) - 2.0 * linked) + 20 * len(re.findall(r"[.,;:!?](?:\s|$)", text))
+        total: dict[bytes, float] = {}
+        for node in reversed(self.nodes):
+            flow = node.flow
+            if flow and node.tag in CONTAINER:
+                total[node.path] = total.get(node.path, 0.0) + flow * (1.5 if node.tag in ("article", "main") else 1.0)
+                flow *= 0.9
+            node.parent.flow += flow
         return total
 
-    def extract(self, path: str | None) -> str:
-        """Blocks below the containers at ``path``; of the page's own best one if it has none there."""
-        if not any(n.path == path for n in self.nodes):
+    def extract(self, path: bytes | None) -> tuple[str, str | None]:
+        """Blocks below the containers at ``path``, or at the page's own best one if it has none there; and that path as text."""
+        places = [n for n in self.nodes if n.path == path]
+        if not places:
             own = self.scores()
             path = min(own, key=lambda p: (-round(own[p], 3), p)) if own else None
-        if path is None:
-            return "\n".join(text for _, text, _, _ in self.blocks)
-        inside = f"{path}>"
-        return "\n".join(text for node, text, _, _ in self.blocks if node.path == path or node.path.startswith(inside))
+            places = [n for n in self.nodes if n.path == path]
+        for node in self.nodes:
+            node.inside = node.parent.inside or node.path == path
+        text = "\n".join(text for node, text, _ in self.blocks if node.inside or path is None)
+        return text, places[0].readable() if places else None
 
 
 def host(url):
@@ -209,43 +340,45 @@ def host(url):
 
 
 def vote(pages: DataFrame) -> DataFrame:
-    """``host`` and the ``path`` that its pages' containers score highest; ties go to the first path."""
+    """``host`` and the ``path`` (a digest) that its pages' containers score highest; ties go to the smallest digest.
+
+    Each page has the same say.  A task sums its pages' votes of a batch before the
+    shuffle, so a host of very many pages sends few rows.
+    """
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[tuple[str, str], list[int]] = {}
+            out: dict[tuple[str, bytes], int] = {}
             for name, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 found = Page(html or "").scores()
                 most = max(found.values(), default=0)
                 for path, score in found.items():
-                    if most:  # each page has the same say
-                        sums = out.setdefault((name, path), [0, 0])
-                        sums[0] += round(1_000_000 * score / most)
-                        sums[1] += 1
-            keys = list(out)
-            yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()), "score": pa.array([v[0] for v in out.values()], pa.int64()), "pages": pa.array([v[1] for v in out.values()], pa.int64())})
-
-    votes = pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, path string, score long, pages long")
-    sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("pages").alias("pages"))
+                    if most:
+                        out[name, path] = out.get((name, path), 0) + round(1_000_000 * score / most)
+            yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in out], pa.string()), "path": pa.array([k[1] for k in out], pa.binary()), "score": pa.array(out.values(), pa.int64())})
+
+    votes = pages.select(host("url").alias("host"), "html").mapInArrow(run, "host string, path binary, score long")
+    sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
     return sums.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), F.col("path"))).alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row a page: ``page_id``, ``url``, ``text``, ``n_chars``, ``path`` (its host's winning one).
+    """One row a page: ``page_id``, ``url``, ``text``, ``n_chars``, ``path`` (of the container that was taken).
 
-    Pages without a container at that path fall back to their own best one.  A
-    null or empty html has the empty text; pages without a host vote together;
-    repeated rows stay; other columns are ignored.  A page of furniture alone is
-    taken as its text.
+    Pages without a container at their host's winning path fall back to their own
+    best one.  A null or empty html has the empty text and a null path; pages without a host vote
+    together; ties of scores go to the smallest digest of a path; repeated rows
+    stay; an empty table gives no rows; other columns are ignored.  A page of furniture alone is taken as its text.
     """
     winners = stored(vote(pages), "host-paths")
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h or "").extract(p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64()), "path": batch.column("path")})
+            found = [Page(h or "").extract(p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            texts = [t for t, _ in found]
+            yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64()), "path": pa.array([p for _, p in found], pa.string())})
 
     joined = pages.select("page_id", "url", "html", host("url").alias("host")).join(winners, "host", "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, path string")

@@ -1,32 +1,35 @@
 """Shards of equal bytes as the leaves of a k-d tree, with DataFrame functions only.
 
-Each level splits all its nodes at once: the widest dimension of each node, then
-its weighted median, found by histograms that narrow the range until a bin's weight
-is negligible.  What reaches the driver is the histograms of one level, at most
-``MOST_LEAVES * BINS`` rows.
+Equal texts are one point with their bytes as its weight.  Each level splits all
+its nodes at once: the widest dimension of each node, then its weighted median,
+found by histograms that narrow the range until a bin's weight is negligible.
+What reaches the driver is the histograms of one level, at most
+``MOST_LEAVES * BINS`` rows; what it decides goes back as literal arrays that a
+point's node number indexes, so no level needs a join or a shuffle of points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .shared import prepare, stored
 
-#: Leaves of a tree at most; splits of so many nodes are broadcast.
+#: Leaves of a tree at most; the literal arrays have so many entries.
 MOST_LEAVES = 4096
 BINS = 512
 #: Share of a leaf's bytes by which a split may miss its median.
 TOLERANCE = 0.002
-#: Equal texts of a greater share of a leaf's bytes may be split.
+#: Equal texts of a greater share of a shard's bytes are dealt by ``doc_id``.
 HEAVY = 0.02
 #: Rows that are numbered in one task, about.
 SLOT_ROWS = 50_000
 ATOM_MAX = (1 << 62) - 1
 
 
-def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))
+def _by_node(values: list, kind: str) -> Column:
+    """The value of each row's ``__node``, as a literal array's element."""
+    return F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("__node"))
 
 
 def _pick(dims: list[str], dim: Column) -> Column:
@@ -37,111 +40,121 @@ def _pick(dims: list[str], dim: Column) -> Column:
     return out
 
 
-def kd_leaves(rows: DataFrame, dims: list[str], leaves: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """``rows`` with ``leaf``, 0 to ``leaves`` - 1; ``rows`` needs ``weight``, ``atom`` and whole-number ``dims``.
+def prefix_code(name: str) -> Column:
+    """A string's first seven bytes as a whole number in the strings' order; 0 for null and empty."""
+    head = F.rpad(F.hex(F.substring(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("long")
 
-    Rows of one ``atom`` have the same coordinates and go to one leaf.  Order
-    within a dimension is by coordinate, then atom.  A node of k leaves gives
-    its left part k // 2 of them and that share of its weight.
+
+class Search:
+    """A node's weighted median: the dimension and the range that still holds it."""
+
+    def __init__(self, dim: int, lo: int, hi: int, want: float) -> None:
+        self.dim, self.lo, self.hi, self.want = dim, lo, hi, want
+        self.below, self.fixed = 0, None  # weight below the range; dimension and coordinate that all left points share
+
+    def narrow(self, bins: list, slack: float, atoms: tuple[int, int], n_dims: int) -> tuple[int, int, int] | None:
+        """Take one round's histogram; the cut (dimension, coordinate, atom) once it is near enough."""
+        for r in sorted(bins, key=lambda r: r["least"]):
+            if self.below + r["w"] > self.want:
+                break
+            self.below += r["w"]
+        else:
+            return (*self.fixed, self.hi) if self.fixed else (self.dim, self.hi, 0)
+        over = self.below + r["w"] - self.want
+        one = r["least"] == r["most"]
+        if self.want - self.below <= slack or over <= slack or (self.fixed and one):
+            x = r["least"] if self.want - self.below <= over else r["most"] + 1  # the bin's nearer side
+            return (*self.fixed, x) if self.fixed else (self.dim, x, 0)
+        if one:  # very many points share the median's coordinate: go on among their atoms
+            self.fixed, self.dim, self.lo, self.hi = (self.dim, r["least"]), n_dims, atoms[0], atoms[1] + 1
+        else:
+            self.lo, self.hi = r["least"], r["most"] + 1
+        return None
+
+
+def kd_leaves(points: DataFrame, dims: list[str], leaves: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """``points`` with ``leaf``, 0 to ``leaves`` - 1; they need ``weight``, ``atom`` and whole-number ``dims``.
+
+    Points of one ``atom`` must have the same coordinates; they go to one leaf.  Order
+    within a dimension is by coordinate, then atom.  The dimension that is widest,
+    as a share of its width over all points, is split; ties go to the first.  A node
+    of k leaves gives its left part k // 2 of them and that share of its weight.
     """
     if not 1 <= leaves <= MOST_LEAVES:
         raise ValueError(f"1 to {MOST_LEAVES} leaves")
-    spark = rows.sparkSession
-    state = rows.withColumn("__node", F.lit(0))
-    first = [(0, 0, leaves)]  # node, its first leaf, its leaves
-    extent = rows.agg(*(F.min(d).alias(f"lo{k}") for k, d in enumerate(dims)), *(F.max(d).alias(f"hi{k}") for k, d in enumerate(dims))).first()
+    extent = points.agg(F.sum("weight").alias("w"), *(f(d).alias(f"{n}{k}") for k, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     span = [max(1, (extent[f"hi{k}"] or 0) - (extent[f"lo{k}"] or 0)) for k in range(len(dims))]
-    total = rows.agg(F.sum("weight")).first()[0] or 0
-    slack = tolerance * total / leaves
-    while any(n > 1 for _, _, n in first):
-        open_ = {node: n for node, _, n in first if n > 1}
-        stats = {
-            r["__node"]: r
-            for r in state.where(F.col("__node").isin(*open_))
-            .groupBy("__node")
-            .agg(F.sum("weight").alias("w"), F.min("atom").alias(f"lo{len(dims)}"), F.max("atom").alias(f"hi{len(dims)}"), *(f(d).alias(f"{n}{k}") for k, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))))
-            .collect()
-        }
-        # Of each node: dimension, range still open, weight wanted and weight below the range.
-        search: dict[int, list] = {}
-        cuts: dict[int, tuple[int, int, int]] = {}  # node -> dimension, coordinate, atom: what sorts below goes left
-        for node, n in open_.items():
-            if node not in stats:
-                cuts[node] = (0, 0, 0)
-                continue
-            s = stats[node]
-            dim = max(range(len(dims)), key=lambda k: ((s[f"hi{k}"] - s[f"lo{k}"]) / span[k], -k))
-            search[node] = [dim, s[f"lo{dim}"], s[f"hi{dim}"] + 1, s["w"] * (n // 2) / n, 0, None]
+    slack = tolerance * (extent["w"] or 0) / leaves
+    state, level = points.withColumn("__node", F.lit(0)), [(0, leaves)]  # of each node: its first leaf, its leaves
+    while any(n > 1 for _, n in level):
+        state = stored(state, "tree-level")  # each level reads the one before, not all of them
+        extents = state.groupBy("__node").agg(F.sum("weight").alias("w"), *(f(d).alias(f"{n}{k}") for k, d in enumerate([*dims, "atom"]) for n, f in (("lo", F.min), ("hi", F.max))))
+        stats = {r["__node"]: r for r in extents.collect()}
+        cuts: list[tuple[int, int, int]] = [(-1, 0, 0)] * len(level)  # what sorts below goes left
+        search: dict[int, Search] = {}
+        for node, (_, n) in enumerate(level):
+            if n > 1 and node in stats:
+                s = stats[node]
+                dim = max(range(len(dims)), key=lambda k: ((s[f"hi{k}"] - s[f"lo{k}"]) / span[k], -k))
+                search[node] = Search(dim, s[f"lo{dim}"], s[f"hi{dim}"] + 1, s["w"] * (n // 2) / n)
         while search:
-            bins = [(node, dim, lo, hi, max(1, -(-(hi - lo) // BINS)), fixed is not None, *(fixed or (0, 0))) for node, (dim, lo, hi, _, _, fixed) in search.items()]
-            table = _local(spark, bins, "__node int, dim int, lo long, hi long, step long, fixed boolean, fdim int, fval long")
-            at = state.join(table, "__node").withColumn("x", _pick(dims, F.col("dim")))
-            at = at.where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")) & (~F.col("fixed") | (_pick(dims, F.col("fdim")) == F.col("fval"))))
-            found = at.groupBy("__node", ((F.col("x") - F.col("lo")) / F.col("step")).cast("long").alias("bin"), "step").agg(F.sum("weight").alias("w"), F.min("x").alias("least"), F.max("x").alias("most")).collect()
-            by_node: dict[int, list] = {}
-            for r in found:
-                by_node.setdefault(r["__node"], []).append(r)
-            for node, (dim, lo, hi, want, below, fixed) in list(search.items()):
-                chosen = None
-                for r in sorted(by_node.get(node, ()), key=lambda r: r["least"]):
-                    if below + r["w"] > want:
-                        chosen = r
-                        break
-                    below += r["w"]
-                if chosen is None:
-                    cuts[node] = (fixed[0], fixed[1], hi) if fixed else (dim, hi, 0)
-                    del search[node]
-                elif want - below <= slack or below + chosen["w"] - want <= slack or (fixed and chosen["least"] == chosen["most"]):
-                    # Cut at the nearer side of the bin.
-                    x = chosen["least"] if want - below <= below + chosen["w"] - want else chosen["most"] + 1
-                    cuts[node] = (fixed[0], fixed[1], x) if fixed else (dim, x, 0)
+            of = lambda f, other: [f(search[k]) if k in search else other for k in range(len(level))]  # noqa: E731, B023
+            dim, lo, hi = _by_node(of(lambda s: s.dim, -1), "int"), _by_node(of(lambda s: s.lo, 0), "long"), _by_node(of(lambda s: s.hi, 0), "long")
+            step = _by_node(of(lambda s: max(1, -(-(s.hi - s.lo) // BINS)), 1), "long")
+            fixed_dim, fixed = _by_node(of(lambda s: s.fixed[0] if s.fixed else -1, -1), "int"), _by_node(of(lambda s: s.fixed[1] if s.fixed else 0, 0), "long")
+            at = state.where(dim >= 0).withColumn("x", _pick(dims, dim)).where((F.col("x") >= lo) & (F.col("x") < hi) & ((fixed_dim < 0) | (_pick(dims, fixed_dim) == fixed)))
+            bins = at.groupBy("__node", ((F.col("x") - lo) / step).cast("long").alias("bin")).agg(F.sum("weight").alias("w"), F.min("x").alias("least"), F.max("x").alias("most"))
+            found: dict[int, list] = {}
+            for r in bins.collect():
+                found.setdefault(r["__node"], []).append(r)
+            for node, s in list(search.items()):
+                atoms = stats[node][f"lo{len(dims)}"], stats[node][f"hi{len(dims)}"]
+                if cut := s.narrow(found.get(node, []), slack, atoms, len(dims)):
+                    cuts[node] = cut
                     del search[node]
-                elif chosen["least"] == chosen["most"]:
-                    # Very many rows share the median's coordinate: go on among their atoms.
-                    s = stats[node]
-                    search[node] = [len(dims), s[f"lo{len(dims)}"], s[f"hi{len(dims)}"] + 1, want, below, (dim, chosen["least"])]
-                else:
-                    search[node] = [dim, chosen["least"], chosen["most"] + 1, want, below, fixed]
-        table, after = [], []
-        for node, lo, n in first:
-            if n > 1:
-                table.append((node, *cuts[node]))
-                after += [(2 * node, lo, n // 2), (2 * node + 1, lo + n // 2, n - n // 2)]
-            else:
-                table.append((node, -1, 0, 0))
-                after.append((2 * node, lo, 1))
-        x = _pick(dims, F.col("dim"))
-        right = (F.col("dim") >= 0) & ((x > F.col("cut")) | ((x == F.col("cut")) & (F.col("atom") >= F.col("cut_atom"))))
-        state = state.join(_local(spark, table, "__node int, dim int, cut long, cut_atom long"), "__node").withColumn("__node", 2 * F.col("__node") + right.cast("int")).drop("dim", "cut", "cut_atom")
-        first = after
-    return state.join(_local(spark, [(node, lo) for node, lo, _ in first], "__node int, leaf int"), "__node").drop("__node")
-
-
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
+        first, after = [], []
+        for lo_leaf, n in level:
+            first.append(len(after))
+            after += [(lo_leaf, n // 2), (lo_leaf + n // 2, n - n // 2)] if n > 1 else [(lo_leaf, 1)]
+        dim, cut, atom = _by_node([c[0] for c in cuts], "int"), _by_node([c[1] for c in cuts], "long"), _by_node([c[2] for c in cuts], "long")
+        x = _pick(dims, dim)
+        right = (dim >= 0) & ((x > cut) | ((x == cut) & (F.col("atom") >= atom)))
+        state, level = state.withColumn("__node", _by_node(first, "int") + right.cast("int")), after
+    return state.withColumn("leaf", _by_node([lo for lo, _ in level], "int")).drop("__node")
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, heavy: float = HEAVY) -> DataFrame:
     """All rows of ``docs`` in ``shards`` shards of near equal bytes (law ``bytes``).
 
     ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.  ``size`` is the
     text's UTF-8 bytes (null: none) plus 1; ``text_crc32`` is 0 for null and empty
-    texts.  Dimensions are the size and the text's CRC-32.  Equal texts share a
-    shard unless they hold over ``HEAVY`` of a shard's bytes; then they are
-    split by ``doc_id``.  ``slot`` numbers a shard's rows from 0 without gaps.
-    Repeated rows stay; an empty table gives no rows; other columns are ignored.
+    texts.  Dimensions are the size and, where ``docs`` has them, ``lang`` and
+    ``source`` in their strings' order; equal texts take the least of theirs.
+    Equal texts share a shard, but for those that hold over ``heavy`` of a shard's
+    bytes: whole, they would break the law, so they are dealt by ``doc_id`` into
+    parts of a quarter of that.  ``slot`` numbers a shard's rows from 0 without
+    gaps.  Repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    meta = [c for c in ("lang", "source") if c in docs.columns]
+    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), *(prefix_code(c).alias(f"{c}_code") for c in meta))
     rows = stored(rows, "shard-rows")
+    groups = rows.groupBy("h", "size", "text_crc32").agg(F.sum("size").alias("w"))
     n, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
-    # At most shards / HEAVY groups, so they may be broadcast.
-    limit = HEAVY * (total or 0) / shards
-    heavy = rows.groupBy("h", "size", "text_crc32").agg(F.sum("size").alias("w")).where(F.col("w") > limit).select("h", "size", "text_crc32", F.ceil(F.col("w") / F.lit(max(limit, 1) / 4)).alias("parts"))
+    limit = heavy * (total or 0) / shards
+    # At most shards / heavy groups, so they may be broadcast.
+    split = groups.where(F.col("w") > limit).select("h", "size", "text_crc32", F.ceil(F.col("w") / F.lit(max(limit, 1) / 4)).alias("parts"))
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0))
-    keyed = rows.join(F.broadcast(heavy), ["h", "size", "text_crc32"], "left").select("doc_id", "size", "text_crc32", F.xxhash64("h", part).bitwiseAND(F.lit(ATOM_MAX)).alias("atom"))
-    keyed = stored(keyed.withColumn("weight", F.col("size")), "shard-keys")
-    leaves = kd_leaves(keyed, ["size", "text_crc32"], shards).withColumnRenamed("leaf", "shard")
+    atom = F.xxhash64("h", "size", "text_crc32", part).bitwiseAND(F.lit(ATOM_MAX))
+    keyed = stored(rows.join(F.broadcast(split), ["h", "size", "text_crc32"], "left").withColumn("atom", atom).drop("h", "parts"), "shard-keys")
+    dims = ["size", *(f"{c}_code" for c in meta)]
+    points = keyed.groupBy("atom").agg(F.sum("size").alias("weight"), *(F.min(d).alias(d) for d in dims))
+    of_atom = stored(kd_leaves(points, dims, shards).select("atom", F.col("leaf").alias("shard")), "atom-shards")
     buckets = max(16, -(-(n or 0) // SLOT_ROWS))
-    leaves = stored(leaves.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "atom", "size"), F.lit(buckets)).cast("int")), "shard-leaves")
+    leaves = keyed.join(of_atom, "atom").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "atom", "size"), F.lit(buckets)).cast("int"))
+    leaves = stored(leaves.select("doc_id", "size", "text_crc32", "atom", "shard", "bucket"), "shard-leaves")
     counts = leaves.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))

@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1.  A trigram's vector is the product
+Each letter, of any script, has a random vector of +1 and -1 of its own.  A trigram's vector is the product
 of its letters' vectors, the first rolled by two places and the second by one.  A
 text's vector is the sum over its trigrams; a language's prototype is the sum of
 its training texts' unit vectors.  The prediction is the language whose prototype
@@ -20,8 +20,6 @@ from .shared import prepare
 
 DIMENSIONS = 1024
 SEED = 20240607
-#: Letters' slots: 0 is a word's edge; code points over SLOTS share slots.
-SLOTS = 1024
 #: Languages that may be learned; prototypes of so many are sent to the tasks.
 LANGUAGES = 1000
 UNDETERMINED = "und"
@@ -29,20 +27,21 @@ UNDETERMINED = "und"
 SCALE = 1 << 24
 
 
+#: Bits of a code point; a trigram's code is three of them.  0 is a word's edge.
+BITS = 21
+POINT = (1 << BITS) - 1
+
+
 @functools.lru_cache(1)
 def _letters() -> np.ndarray:
-    """Slot of each code point's lower case; -1 for what is no letter."""
-    slots = np.full(0x110000, -1, np.int64)
-    for i in range(0x110000):
-        if chr(i).isalpha():
-            slots[i] = 1 + i % (SLOTS - 1)
-    return slots
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-@functools.lru_cache(4)
-def _items(dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    vectors = np.random.default_rng(SEED).integers(0, 2, (SLOTS, dimensions), dtype=np.int8) * 2 - 1
-    return np.roll(vectors, 2, 1), np.roll(vectors, 1, 1), vectors
+@functools.lru_cache(20_000)
+def letter_vector(point: int, dimensions: int) -> np.ndarray:
+    """The random vector of +1 and -1 of a letter, or of a word's edge (0); each code point has its own."""
+    return np.random.default_rng((SEED, point)).integers(0, 2, dimensions, dtype=np.int8) * 2 - 1
 
 
 class Trigrams:
@@ -51,7 +50,7 @@ class Trigrams:
     FULL = 30_000
 
     def __init__(self, dimensions: int) -> None:
-        self.parts = _items(dimensions)
+        self.dimensions = dimensions
         self.row: dict[int, int] = {}
         self.table = np.empty((self.FULL, dimensions), np.float32)
 
@@ -68,8 +67,11 @@ class Trigrams:
         return self.table[[self.row[c] for c in codes.tolist()]]
 
     def _bind(self, codes: np.ndarray) -> np.ndarray:
-        first, second, third = self.parts
-        return (first[codes // SLOTS**2] * second[codes // SLOTS % SLOTS] * third[codes % SLOTS]).astype(np.float32)
+        points = np.stack([codes >> 2 * BITS, codes >> BITS & POINT, codes & POINT])
+        known, at = np.unique(points, return_inverse=True)
+        vectors = np.stack([letter_vector(p, self.dimensions) for p in known.tolist()])
+        first, second, third = at.reshape(points.shape)
+        return (np.roll(vectors, 2, 1)[first] * np.roll(vectors, 1, 1)[second] * vectors[third]).astype(np.float32)
 
 
 @functools.lru_cache(4)
@@ -79,14 +81,14 @@ def _trigrams(dimensions: int) -> Trigrams:
 
 def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of a text's letter trigrams, word edges as a letter; empty if it has no letter."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    slots = np.maximum(_letters()[points], 0)
-    slots = np.r_[0, slots, 0]
-    keep = np.r_[True, (slots[1:] > 0) | (slots[:-1] > 0)]  # one edge between words
-    slots = slots[keep]
-    if not slots.any():
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    points = np.where(_letters()[points], points, 0)
+    points = np.r_[0, points, 0]
+    keep = np.r_[True, (points[1:] > 0) | (points[:-1] > 0)]  # one edge between words
+    points = points[keep]
+    if not points.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    codes = (slots[:-2] * SLOTS + slots[1:-1]) * SLOTS + slots[2:]
+    codes = (points[:-2] << 2 * BITS) | (points[1:-1] << BITS) | points[2:]
     return np.unique(codes, return_counts=True)
 
 
@@ -111,7 +113,8 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray
     """Prototypes of the non-null ``lang`` of ``docs(text, lang)``, as unit vectors.
 
     Each task sums its texts' vectors for each language, so that the shuffle has
-    one number for each task, language and dimension.  Raises if there are more
+    one number for each task, language and dimension.  A text without a letter adds
+    nothing; an empty table gives no prototypes.  Raises if there are more
     than ``LANGUAGES`` languages.
     """
     prepare(docs.sparkSession)

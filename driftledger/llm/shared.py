@@ -7,10 +7,17 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of one Arrow batch; documents may be long, so batches stay small.
+#: Rows and bytes of one Arrow batch; documents may be long, so batches stay small.
 ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
+#: Bits of a table of hashes; fixed, so its size is too (4 MB).
+TABLE_BITS = 1 << 25
+#: Rows of a few columns that may be broadcast.
+SMALL_ROWS = 100_000
 #: Applications whose workers have this package.
 _SHIPPED: set[str] = set()
 
@@ -22,6 +29,7 @@ def prepare(spark: SparkSession) -> str:
     unset (tests on one machine) a local one is made.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         # Workers import this package; send it, as they may not have it installed.
@@ -49,6 +57,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` stored, and to be broadcast if it has at most ``SMALL_ROWS`` rows; else Spark chooses the join."""
+    df = stored(df, "side")
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def bit_table(hashes: DataFrame) -> Broadcast:
+    """A table of ``TABLE_BITS`` bits with that of each hash (the only column, long) set, sent to the tasks.
+
+    The driver gets a row for each 32 bits at most.  Where the table fills up it
+    tells fewer apart; what passes must be checked.
+    """
+    slot = F.col(hashes.columns[0]).bitwiseAND(F.lit(TABLE_BITS - 1))
+    words = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 as int)))").alias("bits"))
+    table = np.zeros(TABLE_BITS // 32, "<u4")
+    for row in words.toLocalIterator():
+        table[row["word"]] = row["bits"]
+    return hashes.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each unsigned hash is set."""
+    slots = hashes & np.uint64(TABLE_BITS - 1)
+    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def fresh(df: DataFrame, *names: str) -> None:
     """Raise if ``df`` lacks one of ``names``."""
     if missing := [n for n in names if n not in df.columns]:

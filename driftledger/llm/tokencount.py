@@ -1,14 +1,14 @@
 """Unigram token counts by dynamic programming over a trie of pre-tokens.
 
-Distinct pre-tokens are put in a trie.  The best forward score of a prefix, and
-the tokens on its path, depend on the prefix alone, so they are computed once
-where pre-tokens share it; a pre-token's count stands at its terminal.
+Distinct pre-tokens are put in a trie of numbered nodes.  The best forward score of
+a prefix, and the tokens on its path, depend on the prefix alone, so they are
+computed once where pre-tokens share it; a pre-token's count stands at its terminal.
 """
 
 from __future__ import annotations
 
 import functools
-import math
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,55 +19,77 @@ from .shared import prepare
 
 #: Trie nodes and terminals that a worker keeps before it starts anew.
 NODES = 1_000_000
+#: Prefixes longer than this aren't shared: their scores are kept for as far as a piece looks back.
+DEPTH = 256
 SPACE = "▁"
-#: Log probability of a byte that stands for a character without a piece.
-BYTE_SCORE = -20.0
+#: By so much a character without a piece scores below the least piece.
+UNKNOWN = 10.0
 
 
 class UnigramTrie:
-    """Counts tokens of the best segmentation under unigram scores.
+    """Counts tokens of the best segmentation under the vocabulary's own piece scores.
 
-    The score of the vocabulary's piece of rank r is ``-log(r + 2)`` (Zipf's law).
-    Of segmentations with the same score the one of fewer tokens counts.
+    A character that is no piece by itself may be spelt in bytes, a token each, at a
+    score ``UNKNOWN`` below the least piece's.  Of segmentations with the same score
+    the one of fewer tokens counts.
     """
 
     def __init__(self, path: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.score: dict[str, float] = {}
         for i in range(model.get_piece_size()):
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-                self.score[model.id_to_piece(i)] = -math.log(i + 2)
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
+                self.score[model.id_to_piece(i)] = model.get_score(i)
+        self.unknown = min(self.score.values()) - UNKNOWN
         self.longest = max(map(len, self.score))
+        #: Last character -> lengths of the pieces that end in it.
+        ends: dict[str, set[int]] = {}
+        for piece in self.score:
+            ends.setdefault(piece[-1], set()).add(len(piece))
+        self.ends = {c: sorted(n) for c, n in ends.items()}
         self._clear()
 
     def _clear(self) -> None:
-        #: Prefix -> (negative score, tokens) of its best path: the trie's nodes.
-        self.node: dict[str, tuple[float, int]] = {"": (0.0, 0)}
+        #: Node and next character -> node; negative score and tokens of each node's best path.
+        self.child: dict[tuple[int, str], int] = {}
+        self.best: list[tuple[float, int]] = [(0.0, 0)]
         self.terminal: dict[str, int] = {}
 
+    def _forward(self, token: str, end: int, seen: deque) -> tuple[float, int]:
+        """The best path to ``end``, from those to the positions before it, the last of which is ``seen[-1]``."""
+        score, found = self.score, None
+        for n in self.ends.get(token[end - 1], ()):
+            if n > end:
+                break
+            s = score.get(token[end - n : end])
+            if s is not None:
+                cost, tokens = seen[-n]
+                way = (cost - s, tokens + 1)
+                if found is None or way < found:
+                    found = way
+        if token[end - 1] not in score:
+            size = len(token[end - 1].encode("utf-8", "surrogatepass"))
+            cost, tokens = seen[-1]
+            way = (cost - self.unknown, tokens + size)
+            found = way if found is None else min(found, way)
+        return found
+
     def add(self, token: str) -> int:
-        """Insert a pre-token and return its count."""
-        node, score, longest = self.node, self.score, self.longest
-        known = len(token)
-        while token[:known] not in node:
-            known -= 1
-        for end in range(known + 1, len(token) + 1):
-            best = None
-            for start in range(max(0, end - longest), end):
-                s = score.get(token[start:end])
-                if s is not None:
-                    cost, n = node[token[:start]]
-                    found = (cost - s, n + 1)
-                    if best is None or found < best:
-                        best = found
-            if best is None or token[end - 1] not in score:
-                size = len(token[end - 1].encode("utf-8", "surrogatepass"))
-                cost, n = node[token[: end - 1]]
-                found = (cost - size * BYTE_SCORE, n + size)
-                best = found if best is None else min(best, found)
-            node[token[:end]] = best
-        count = self.terminal[token] = node[token][1]
-        return count
+        """Insert a pre-token and return its count, which is kept at its terminal."""
+        child, best = self.child, self.best
+        seen, node = deque([best[0]], self.longest), 0
+        for end, c in enumerate(token, 1):
+            to = child.get((node, c)) if end <= DEPTH else None
+            if to is None:
+                way = self._forward(token, end, seen)
+                if end <= DEPTH:
+                    to = child[node, c] = len(best)
+                    best.append(way)
+            else:
+                way = best[to]
+            node = to
+            seen.append(way)
+        return seen[-1][1]
 
     def count(self, text: str | None) -> tuple[int, int]:
         """Tokens and pre-tokens of a text."""
@@ -77,40 +99,18 @@ class UnigramTrie:
             return sum(map(terminal.__getitem__, words)), len(words)
         except KeyError:
             pass
-        if len(self.node) > NODES:
-            self._clear()
-            terminal = self.terminal
-        for word in {*words}:
-            if word not in terminal:
-                terminal[word] = self.add_word(word)
-        return sum(map(terminal.__getitem__, words)), len(words)
-
-    def add_word(self, word: str) -> int:
-        # The prefixes of a very long pre-token would take memory with the square of its length.
-        return self.add_short(SPACE + word) if len(word) < 256 else self.long(SPACE + word)
-
-    def long(self, token: str) -> int:
-        """The count of a pre-token that isn't inserted: the same best path, over positions alone."""
-        score, longest = self.score, self.longest
-        best = [(0.0, 0)]
-        for end in range(1, len(token) + 1):
-            ways = []
-            for start in range(max(0, end - longest), end):
-                s = score.get(token[start:end])
-                if s is not None:
-                    cost, n = best[start]
-                    ways.append((cost - s, n + 1))
-            if token[end - 1] not in score:
-                size = len(token[end - 1].encode("utf-8", "surrogatepass"))
-                cost, n = best[end - 1]
-                ways.append((cost - size * BYTE_SCORE, n + size))
-            best.append(min(ways))
-        return best[-1][1]
-
-    def add_short(self, token: str) -> int:
-        count = self.add(token)
-        del self.terminal[token]
-        return count
+        counts = Counter(words)
+        total = 0
+        for word, n in counts.items():
+            known = self.terminal.get(word)
+            if known is None:
+                if len(self.best) > NODES:
+                    self._clear()
+                known = self.add(SPACE + word)
+                if len(word) <= DEPTH:
+                    self.terminal[word] = known
+            total += n * known
+        return total, len(words)
 
 
 @functools.lru_cache(2)
@@ -122,7 +122,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """One row a document: ``doc_id``, ``n_tokens``, ``n_pretokens``.
 
     Pre-tokens are runs without white space, with a word-start mark before, of any
-    length.  A null or empty text has no tokens.  Repeated rows and null ids stay; other columns are ignored.
+    length.  A null or empty text has no tokens.  Repeated rows and null ids stay; an
+    empty table gives no rows; other columns are ignored.
     Needs no shuffle; each worker's trie is bounded by ``NODES``.
     """
     prepare(docs.sparkSession)

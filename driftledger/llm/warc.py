@@ -1,29 +1,35 @@
 """WARC archives of pages, read back, and the merged index of their captures.
 
 Archives are plain WARC 1.0 files in the shared folder, written by Spark's text
-writer with the record end as its line end.  Each archive's captures, sorted by
-URL key and time, are a run; runs are cut at common range bounds, and each range
+writer with the record end as its line end.  The captures of an archive, sorted
+where it is read, are a run; runs are cut at common range bounds, and each range
 merges its pieces of all runs with a loser tree.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import folder, prepare, stored
 
 #: Bytes that one archive holds at most, if no record alone is larger.
 ARCHIVE_BYTES = 16 << 20
+#: Index rows that one merging task holds, about.
+RANGE_ROWS = 200_000
 #: Time of the capture with page_id 0, seconds; later ids follow by a second each.
 EPOCH = 1_700_000_000
 
-CAPTURE = "page_id long, url string, url_key string, captured_at string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long, record_bytes long"
+CAPTURE = "page_id long, url string, url_key string, captured_at string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long, record_bytes long, run_at long"
 
 
 def base32_sha1(text: Column) -> Column:
@@ -50,9 +56,25 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(first, "payload_digest", "left").withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
 
+def _archived(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Records with the number of their archive: a new one where the running sum of bytes would pass ``archive_bytes``."""
+    number, total = 0, 0
+    for batch in batches:
+        numbers = []
+        for size in pc.binary_length(batch.column("value")).to_pylist():
+            if total and total + size + 4 > archive_bytes:
+                number, total = number + 1, 0
+            total += size + 4
+            numbers.append(number)
+        yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(numbers, pa.int32())], names=["value", "archive"])
+
+
 def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """One record for each row of ``captures``, in archives below ``path``."""
-    most = rows.agg(F.max("payload_bytes")).first()[0] or 0
+    """One record for each row of ``captures``, in archives below ``path``.
+
+    Each task fills archives of its own, one after the other; a record that is
+    larger than an archive has one alone.
+    """
     clean = lambda c: F.regexp_replace(c.cast("string"), r"[\r\n]", "")
     date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes"), F.lit("\r\n\r\n"))
@@ -71,8 +93,8 @@ def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit("\r\n\r\n"), block,
     )
     # A record ends with two line ends, the second pair is the writer's line separator.
-    writer = rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n")
-    writer.option("maxRecordsPerFile", max(1, archive_bytes // (most + 1500))).text(path)
+    records = rows.select(record.alias("value")).mapInArrow(partial(_archived, archive_bytes=archive_bytes), "value string, archive int")
+    records.write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
 
 
 def url_key(url: str) -> str:
@@ -104,14 +126,20 @@ def _number(uri: str | None) -> int | None:
     return int(uri.removeprefix("<urn:page:").rstrip(">")) if uri else None
 
 
+def _order(row: tuple) -> tuple:
+    """The order of captures: URL key, time, id (none first), then archive and offset."""
+    return row[2], row[3], row[0] is not None, row[0] or 0, row[8], row[9]
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record, from the archives alone; each payload is checked against its digest."""
-    import base64
+    """One row a record, from the archives alone; each payload is checked against its digest.
 
+    The captures of an archive are a run: sorted by URL key, time and id, ``run_at`` is their place.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                archive = batch.column("path")[k].as_py().rsplit("/", 1)[1]
+                archive = "/".join(batch.column("path")[k].as_py().rsplit("/", 2)[1:])
                 out = []
                 for headers, block, offset, size in parse_archive(batch.column("content")[k].as_py()):
                     head, _, payload = block.partition(b"\r\n\r\n")
@@ -122,6 +150,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"payload and digest differ in {archive} at {offset}")
                     url = headers.get("WARC-Target-URI")
                     out.append((_number(headers.get("WARC-Record-ID")), url, url_key(url or ""), headers["WARC-Date"], length, digest, kind, _number(headers.get("WARC-Refers-To")), archive, offset, size))
+                out = [(*row, at) for at, row in enumerate(sorted(out, key=_order))]
                 names, kinds = zip(*(x.split() for x in CAPTURE.split(", ")), strict=True)
                 columns = zip(*out, strict=True) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if t == "long" else pa.string()) for c, t in zip(columns, kinds, strict=True)], names=list(names))
@@ -130,58 +159,71 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, CAPTURE)
 
 
-def loser_tree(runs: list[list], key: Callable) -> Iterator:
-    """Merge sorted runs: each inner node keeps the loser of its match, the winner goes up."""
-    k = len(runs)
-    at = [0] * k
-    keys = [(0, key(r[0]), i) if r else (1, None, i) for i, r in enumerate(runs)]
-    tree = [-1] * k
-    winner = -1
+def loser_tree(runs: list[Iterator]) -> Iterator:
+    """Merge sorted iterators: each inner node keeps the loser of its match, the winner goes up."""
+    k, done = len(runs), object()
+    heads = [next(r, done) for r in runs]
+
+    def beats(a: int, b: int) -> bool:
+        if heads[a] is done or heads[b] is done:
+            return heads[b] is done and (heads[a] is not done or a < b)
+        return (heads[a], a) < (heads[b], b)
+
+    losers, winner = [-1] * k, -1
     for leaf in range(k):
         player, node = leaf, (leaf + k) // 2
-        while node and tree[node] != -1:
-            if keys[tree[node]] < keys[player]:
-                tree[node], player = player, tree[node]
+        while node and losers[node] != -1:
+            if beats(losers[node], player):
+                losers[node], player = player, losers[node]
             node //= 2
         if node:
-            tree[node] = player
+            losers[node] = player
         else:
             winner = player
-    while k and not keys[winner][0]:
-        run = runs[winner]
-        yield run[at[winner]]
-        at[winner] += 1
-        keys[winner] = (0, key(run[at[winner]]), winner) if at[winner] < len(run) else (1, None, winner)
+    while k and heads[winner] is not done:
+        yield heads[winner]
+        heads[winner] = next(runs[winner], done)
         player, node = winner, (winner + k) // 2
         while node:
-            if keys[tree[node]] < keys[player]:
-                tree[node], player = player, tree[node]
+            if beats(losers[node], player):
+                losers[node], player = player, losers[node]
             node //= 2
         winner = player
 
 
+def _run(table: pa.Table, lo: int, hi: int) -> Iterator[tuple]:
+    """The order of each row of a run's piece and its place in the table, a few rows at a time."""
+    for at in range(lo, hi, 256):
+        rows = table.slice(at, min(256, hi - at))
+        columns = (rows.column(c).to_pylist() for c in ("url_key", "captured_at", "page_id", "archive", "record_offset"))
+        for k, (key, time, page, archive, offset) in enumerate(zip(*columns, strict=True)):
+            yield key, time, page is not None, page or 0, archive, offset, at + k
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by archive, in each archive by key -> rows by key, with their index row."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    """A range's rows, by archive and place in its run -> the rows in order."""
+    found = [b for b in batches if b.num_rows]
+    if not found:
         return
-    archives = table.column("archive").to_pylist()
-    keys = list(zip(*(table.column(c).to_pylist() for c in ("url_key", "captured_at")), (x if x is not None else -1 for x in table.column("page_id").to_pylist()), archives, table.column("record_offset").to_pylist(), strict=True))
-    starts = [i for i in range(len(archives)) if not i or archives[i] != archives[i - 1]]
-    runs = [range(a, b) for a, b in zip(starts, [*starts[1:], len(archives)], strict=True)]
-    yield from table.take(pa.array(loser_tree(runs, keys.__getitem__), pa.int64())).to_batches()
+    table = pa.Table.from_batches(found)
+    archives = table.column("archive").combine_chunks()
+    starts = [0, *(1 + i for i in pc.indices_nonzero(pc.not_equal(archives[1:], archives[:-1])).to_pylist())]
+    merged = loser_tree([_run(table, a, b) for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True)])
+    while places := [row[-1] for row in islice(merged, 10_000)]:
+        yield from table.take(pa.array(places, pa.int64())).to_batches()
 
 
 def merged_index(records: DataFrame) -> DataFrame:
     """Captures of all archives in one order: ``url_key``, ``captured_at``, ``page_id``.
 
     Ranges of that whole key go to tasks, so one URL of very many captures is
-    split as well.  Rows of later partitions sort after those of earlier ones.
+    split as well; there are as many that each holds about ``RANGE_ROWS`` index
+    rows.  Each merges its pieces of all runs.  Rows of later partitions sort after those of earlier ones.
     """
-    runs = stored(records.sortWithinPartitions("archive", "url_key", "captured_at", "page_id", "record_offset"), "capture-runs")
-    ranged = runs.repartitionByRange("url_key", "captured_at", "page_id", "archive", "record_offset")
-    pieces = ranged.sortWithinPartitions("archive", "url_key", "captured_at", "page_id", "record_offset")
-    return pieces.mapInArrow(_merge, CAPTURE)
+    runs = stored(records, "capture-runs")
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "archive", "record_offset")
+    return ranged.sortWithinPartitions("archive", "run_at").mapInArrow(_merge, CAPTURE)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
