@@ -103,8 +103,8 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int, tolerance: float
             dim, lo, hi = _by_node(of(lambda s: s.dim, -1), "int"), _by_node(of(lambda s: s.lo, 0), "long"), _by_node(of(lambda s: s.hi, 0), "long")
             step = _by_node(of(lambda s: max(1, -(-(s.hi - s.lo) // BINS)), 1), "long")
             fixed_dim, fixed = _by_node(of(lambda s: s.fixed[0] if s.fixed else -1, -1), "int"), _by_node(of(lambda s: s.fixed[1] if s.fixed else 0, 0), "long")
-            at = state.where(dim >= 0).withColumn("x", _pick(dims, dim)).where((F.col("x") >= lo) & (F.col("x") < hi) & ((fixed_dim < 0) | (_pick(dims, fixed_dim) == fixed)))
-            bins = at.groupBy("__node", ((F.col("x") - lo) / step).cast("long").alias("bin")).agg(F.sum("weight").alias("w"), F.min("x").alias("least"), F.max("x").alias("most"))
+            at = state.where(dim >= 0).withColumn("__x", _pick(dims, dim)).where((F.col("__x") >= lo) & (F.col("__x") < hi) & ((fixed_dim < 0) | (_pick(dims, fixed_dim) == fixed)))
+            bins = at.groupBy("__node", ((F.col("__x") - lo) / step).cast("long").alias("bin")).agg(F.sum("weight").alias("w"), F.min("__x").alias("least"), F.max("__x").alias("most"))
             found: dict[int, list] = {}
             for r in bins.collect():
                 found.setdefault(r["__node"], []).append(r)
