@@ -5,14 +5,19 @@ from __future__ import annotations
 import gzip
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from driftledger.functions.checksums import crc32c, crc32c_shift, crcs
 from driftledger.functions.workers import ship, stored
 
+from . import ranges
+from .records import without_sidecars
+
 #: Buckets of paths in a tree digest, and the paths sampled for each one's bound.
 BUCKETS, SAMPLES = 64, 20
 #: Seed and factor of the sample offset, and what is added to size and generation.  Fixed values.
@@ -77,7 +82,7 @@ def tree_digest(files: DataFrame) -> DataFrame:
     nul = F.lit(b"\0")
     head = F.concat(F.col("relative_path").cast("binary"), nul, size.cast("binary"), nul)
     bad = (F.col("relative_path") == "") | F.col("relative_path").contains("\\") | F.col("relative_path").contains("\0")
-    rows = files.where(~F.col("relative_path").rlike(r"\.part\.")).select("root", "relative_path", bad.alias("bad"), (F.octet_length("relative_path") + F.octet_length(size) + 3 + F.col("size")).alias("bytes"), "size", "crc", crc32c(head).alias("head"))
+    rows = without_sidecars(files).select("root", "relative_path", bad.alias("bad"), (F.octet_length("relative_path") + F.octet_length(size) + 3 + F.col("size")).alias("bytes"), "size", "crc", crc32c(head).alias("head"))
     crc = crc32c_shift("head", F.col("size") + 1).bitwiseXOR(crc32c_shift("crc", F.lit(1).cast("long"))).bitwiseXOR(F.lit(int(crcs([b"\0"])[0])).cast("long"))
     rows = stored(rows.select("root", "relative_path", "bad", "bytes", "size", crc.alias("crc")), "tree-segments")
     sample = sorted(r[0] for r in rows.select("relative_path").orderBy(F.xxhash64("relative_path"), "relative_path").limit(BUCKETS * SAMPLES).collect())
@@ -109,12 +114,51 @@ def tree_hash_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def chunk_verify(files: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
-    """Recorded chunks against contents: kept, corrupt and unrecorded ones, and verified bytes."""
+    """Recorded chunks against contents: what is kept, removed and missing of each file.
+
+    A recorded chunk that differs, or that lies beyond the content, is removed.
+    ``kept_ranges`` and ``missing_ranges`` count the merged ranges of what is verified
+    and of what isn't.  An empty file without records has zeros.
+    """
     actual = crc32c_chunks(files, chunk).withColumnRenamed("crc", "actual")
-    recorded = chunks.select("file_id", "chunk_id", F.col("crc").alias("recorded"))
-    rows = actual.join(recorded, ["file_id", "chunk_id"], "left")
+    recorded = chunks.select("file_id", "chunk_id", F.col("crc").alias("recorded")).distinct()
+    rows = actual.join(recorded, ["file_id", "chunk_id"], "full")
     kept = F.coalesce(F.col("actual") == F.col("recorded"), F.lit(False))
-    return rows.groupBy("file_id").agg(F.count_if(kept).alias("kept"), F.count_if(F.col("recorded").isNotNull() & ~kept).alias("removed_corrupt"), F.count_if(F.col("recorded").isNull()).alias("missing"), F.sum(F.when(kept, F.col("length")).otherwise(0)).alias("verified_bytes"))
+    rows = stored(rows.select("file_id", "begin", "length", kept.alias("kept"), F.col("recorded").isNull().alias("unrecorded")), "verified-chunks")
+    sums = rows.groupBy("file_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept") & ~F.col("unrecorded")).alias("removed_corrupt"), F.count_if("unrecorded").alias("missing"), F.sum(F.when(F.col("kept"), F.col("length")).otherwise(0)).alias("verified_bytes"))
+    spans = rows.where("begin IS NOT NULL").select("file_id", "kept", "begin", (F.col("begin") + F.col("length")).alias("stop"))
+    merged = [ranges.coalesce(spans.where(F.col("kept") == k)).groupBy("file_id").agg(F.count(F.lit(1)).alias(n)) for k, n in ((True, "kept_ranges"), (False, "missing_ranges"))]
+    zeros = ["kept", "removed_corrupt", "missing", "verified_bytes", "kept_ranges", "missing_ranges"]
+    return files.select("file_id").join(sums, "file_id", "full").join(merged[0], "file_id", "left").join(merged[1], "file_id", "left").na.fill(0, zeros)
+
+
+def tree_sha256(files: DataFrame) -> DataFrame:
+    """SHA-256 of ``path NUL size NUL hexadecimal SHA-256 NUL`` of each root's files in byte order of paths.
+
+    ``files`` has root, relative_path, size and sha256.  The digest is of one sequence, so
+    a root's lines pass through one task, sorted by Spark, and none is held.
+    """
+    ship(files.sparkSession)
+    line = F.concat(F.col("relative_path").cast("binary"), F.lit(b"\0"), F.col("size").cast("string").cast("binary"), F.lit(b"\0"), F.col("sha256").cast("binary"), F.lit(b"\0"))
+    rows = files.select("root", "relative_path", F.col("size").cast("long").alias("size"), line.alias("line")).repartition("root").sortWithinPartitions("root", "relative_path")
+    return rows.select("root", "size", "line").mapInArrow(_roots, "root string, tree_hash string, file_count long, bytes long")
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by root -> a row for each root."""
+    root, digest, count, size, out = None, None, 0, 0, []
+    for batch in batches:
+        for name, n, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if digest is None or name != root:
+                if digest is not None:
+                    out.append((root, digest.hexdigest(), count, size))
+                root, digest, count, size = name, hashlib.sha256(), 0, 0
+            digest.update(line)
+            count, size = count + 1, size + n
+    if digest is not None:
+        out.append((root, digest.hexdigest(), count, size))
+    columns = zip(*out, strict=True) if out else [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["root", "tree_hash", "file_count", "bytes"])
 
 
 def sample_offsets(file_id: str, size: int, block: int, generation: int) -> list[int]:

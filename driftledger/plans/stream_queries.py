@@ -10,8 +10,8 @@ from driftledger.streaming import flows
 from .tables import MESSAGES, Tables, sql
 
 CHUNK, TOTAL = 1024, 7168
+HOUR = 3_600_000_000
 STATES = {"signup": "claimed", "view": "in_flight", "click": "commit_pending", "purchase": "completed"}
-MOST = 4
 
 
 def _events(t: Tables) -> DataFrame:
@@ -20,7 +20,7 @@ def _events(t: Tables) -> DataFrame:
     for event, name in STATES.items():
         state = F.when(F.col("event_type") == event, name).otherwise(state)
     message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % 16 + 1).cast("int"))
-    return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("direction"), F.concat(F.lit("t-"), "user_id").alias("transfer_id"), F.floor(F.col("value") * 1000).cast("long").alias("bytes"), F.floor("value").cast("long").alias("value"), message.alias("message"), state.alias("state"), F.col("user_id").alias("lease_id"))
+    return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("direction"), F.concat(F.lit("l"), F.col("user_id") % 8).alias("link"), F.concat(F.lit("t-"), "user_id").alias("transfer_id"), F.floor(F.col("value") * 1000).cast("long").alias("bytes"), F.floor("value").cast("long").alias("value"), message.alias("message"), state.alias("state"), F.col("user_id").alias("lease_id"))
 
 
 def _acks(t: Tables) -> DataFrame:
@@ -39,30 +39,45 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def _counts(t: Tables) -> DataFrame:
-    rows = flows.drained(flows.event_counts(_events(t), records.error_code(F.col("message"))), "update", "event-counts")
-    return rows.groupBy("error_code").agg(F.max("count").alias("count"))
+    rows = flows.drained(_events(t), "event-counts", lambda b: flows.event_counts(b, records.error_code(F.col("message"))))
+    return rows.groupBy("error_code").agg(F.sum("count").alias("count"))
+
+
+def _throughput(t: Tables) -> DataFrame:
+    return flows.closed_windows(flows.drained(_events(t), "throughput", lambda b: flows.throughput(b, "6 hours", "3 hours")), HOUR)
 
 
 def _manifests(t: Tables) -> DataFrame:
-    rows = flows.drained(flows.manifest_counts(_statuses(t)), "update", "manifests")
-    return rows.groupBy("manifest_id").agg(*(F.max(c).alias(c) for c in ("files", "completed", "failed", "changed")))
+    """The last snapshot of each manifest."""
+    rows = flows.publications(flows.drained(_statuses(t), "manifests", flows.manifest_changes), 64, 4)
+    last = rows.groupBy("manifest_id").agg(F.max(F.struct("generation", "files", "completed", "failed", "changed")).alias("s"))
+    return last.select("manifest_id", "s.*")
+
+
+def totals(t: Tables) -> DataFrame:
+    """Sizes of files; the last chunk of two in three is short."""
+    return t.orders.select(F.col("o_orderkey").alias("file_id"), (TOTAL - 300 * (F.col("o_orderkey") % 3)).cast("long").alias("total"))
 
 
 def _progress(t: Tables) -> DataFrame:
-    totals = t.orders.select(F.col("o_orderkey").alias("file_id"), F.lit(TOTAL).cast("long").alias("total"))
-    return flows.progress(flows.drained(flows.progress_words(_acks(t)), "update", "progress"), totals, CHUNK)
+    return flows.progress(flows.drained(_acks(t), "progress", flows.progress_words), totals(t), CHUNK)
+
+
+def _sessions(t: Tables) -> DataFrame:
+    rows = flows.merged_spans(flows.drained(_events(t), "sessions", lambda b: flows.spans(b, "transfer_id", "6 hours")), "transfer_id", HOUR)
+    return rows.select("transfer_id", "start_us", "end_us", "events", "bytes", "late_events")
 
 
 QUERIES = {
     "stream_event_counts": _counts,
-    "stream_throughput": lambda t: flows.drained(flows.throughput(_events(t), "6 hours", "1 hour"), "append", "throughput").drop("batch"),
-    "stream_chunk_dedupe": lambda t: flows.ack_kinds(flows.drained(flows.chunk_acks(_acks(t)), "update", "acks")),
+    "stream_throughput": _throughput,
+    "stream_chunk_dedupe": lambda t: flows.ack_kinds(flows.drained(_acks(t), "acks", flows.chunk_acks)),
     "stream_progress": _progress,
-    "stream_lease": lambda t: flows.drained(flows.leases(_events(t), "12 hours", "1 hour"), "append", "leases").drop("batch"),
-    "stream_ramp": lambda t: flows.drained(flows.ramp(links(_events(t)), MOST), "append", "ramp").drop("batch"),
+    "stream_lease": lambda t: flows.leases(flows.drained(_events(t), "leases", lambda b: flows.spans(b, "lease_id", "12 hours")), HOUR),
+    "stream_ramp": lambda t: flows.ramp_alerts(flows.drained(links(_events(t)), "ramp")),
     "stream_manifest_coalesce": _manifests,
-    "stream_counter_alert": lambda t: flows.drained(flows.counter_alerts(_events(t).select((F.col("user_id") % 5).alias("host"), F.col("direction").alias("name"), "ts", "event_id", "value")), "append", "alerts").drop("batch"),
-    "stream_transfer_sessions": lambda t: flows.drained(flows.sessions(_events(t), "6 hours", "1 hour"), "append", "sessions").drop("batch"),
+    "stream_counter_alert": lambda t: flows.drained(flows.counter_alerts(_events(t).select((F.col("user_id") % 5).alias("host"), F.col("direction").alias("name"), "ts", "event_id", "value")), "alerts").drop("batch"),
+    "stream_transfer_sessions": _sessions,
 }
 
 
@@ -72,18 +87,28 @@ def _spans(key: str, columns: str, names: str, hours: int) -> str:
         n AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY {key} ORDER BY us, event_id) <= {hours}::BIGINT * 3600000000 THEN 0 ELSE 1 END AS isnew FROM e),
         i AS (SELECT *, sum(isnew) OVER (PARTITION BY {key} ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n),
         g AS (SELECT {key}, min(us) AS start_us, max(us) + {hours}::BIGINT * 3600000000 AS stop_us, count(*) AS events, {columns} FROM i GROUP BY {key}, island)
-        SELECT {names} FROM g WHERE stop_us <= (SELECT max(us) FROM e) - 3600000000"""
+        SELECT {names}, 0 AS late_events FROM g WHERE stop_us <= (SELECT max(us) FROM e) - 3600000000"""
 
 
 _STATE = "CASE event_type WHEN 'signup' THEN 'claimed' WHEN 'view' THEN 'in_flight' WHEN 'click' THEN 'commit_pending' WHEN 'purchase' THEN 'completed' ELSE 'reclaimable' END"
 
 SQL = {
     "stream_event_counts": f"SELECT {records.error_sql('message')} AS error_code, count(*) AS count FROM f3 GROUP BY 1",
-    "stream_throughput": "WITH e AS (SELECT epoch_us(ts::TIMESTAMP) AS us, event_type AS direction, floor(value * 1000)::BIGINT AS bytes FROM events), g AS (SELECT us // 21600000000 * 21600000000 AS start_us, direction, sum(bytes)::BIGINT AS bytes FROM e GROUP BY 1, 2) SELECT * FROM g WHERE start_us + 21600000000 <= (SELECT max(us) FROM e) - 3600000000",
-    "stream_chunk_dedupe": "SELECT file_id, chunk_id, begin, count(*) AS acks, CASE WHEN count(*) = 1 THEN 'accepted' WHEN count(DISTINCT (length, crc)) = 1 THEN 'duplicate' ELSE 'conflict' END AS kind FROM acks GROUP BY 1, 2, 3",
-    "stream_progress": "WITH r AS (SELECT *, chunk_id - row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) AS island FROM f2), g AS (SELECT file_id, count(*) AS n, count(DISTINCT island) AS ranges FROM r GROUP BY 1) SELECT o_orderkey AS file_id, coalesce(n, 0) * 1024 AS bytes, coalesce(ranges, 0) AS ranges, coalesce(n, 0) = 7 AS complete FROM orders LEFT JOIN g ON o_orderkey = file_id",
+    "stream_throughput": """WITH e AS (SELECT epoch_us(ts::TIMESTAMP) AS us, 'l' || (user_id % 8) AS link, event_type AS direction, floor(value * 1000)::BIGINT AS bytes FROM events),
+        w AS (SELECT *, (us // 10800000000 - back) * 10800000000 AS start_us FROM e, (VALUES (0), (1)) v(back)),
+        g AS (SELECT start_us, link, direction, sum(bytes)::BIGINT AS bytes FROM w GROUP BY 1, 2, 3)
+        SELECT *, round(bytes * 8.0::DOUBLE / 21600000000 / 1000, 9) AS gbps, 0 AS late_events FROM g WHERE start_us + 21600000000 <= (SELECT max(us) FROM e) - 3600000000""",
+    "stream_chunk_dedupe": "SELECT file_id, chunk_id, begin, count(*) AS acks, CASE WHEN count(*) = 1 THEN 'accepted' WHEN count(DISTINCT (length, crc)) = 1 THEN 'duplicate' ELSE 'conflict' END AS kind, CASE WHEN count(DISTINCT (length, crc)) = 1 THEN min(crc) END AS crc FROM acks GROUP BY 1, 2, 3",
+    "stream_progress": "WITH t AS (SELECT o_orderkey AS file_id, 7168 - 300 * (o_orderkey % 3) AS total FROM orders), r AS (SELECT f2.file_id, chunk_id, least(1024, total - begin) AS bytes, total, chunk_id - row_number() OVER (PARTITION BY f2.file_id ORDER BY chunk_id) AS island FROM f2 JOIN t ON f2.file_id = t.file_id AND begin < total), g AS (SELECT file_id, sum(bytes) AS bytes, count(DISTINCT island) AS ranges FROM r GROUP BY 1) SELECT t.file_id, coalesce(bytes, 0)::BIGINT AS bytes, coalesce(ranges, 0) AS ranges, coalesce(bytes, 0) = total AS complete FROM t LEFT JOIN g ON t.file_id = g.file_id",
+    "stream_ramp": """WITH RECURSIVE o AS (SELECT user_id AS link_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, floor(value)::BIGINT % 5 / 2.0 AS fill, floor(value)::BIGINT % 11 / 12.0 AS pressure, event_id // 500 AS retries FROM events),
+        s AS (SELECT link_id, 0::BIGINT AS event_id, 0::BIGINT AS n, 0::BIGINT AS seen, 0 AS lows, '' AS action, '' AS reason FROM o WHERE n = 1
+          UNION ALL SELECT o.link_id, o.event_id, o.n, o.retries, CASE WHEN o.fill >= 2 OR o.pressure >= 0.75 OR o.retries > seen OR o.fill >= 0.5 OR lows = 1 THEN 0 ELSE 1 END,
+            CASE WHEN o.fill >= 2 OR o.pressure >= 0.75 OR o.retries > seen THEN 'down' WHEN o.fill < 0.5 AND lows = 1 THEN 'up' ELSE 'hold' END,
+            CASE WHEN o.fill >= 2 THEN 'high_watermark' WHEN o.pressure >= 0.75 THEN 'send_pressure' WHEN o.retries > seen THEN 'retry_pressure' WHEN o.fill < 0.5 AND lows = 1 THEN 'low_watermark' ELSE 'balanced' END
+          FROM s JOIN o ON o.link_id = s.link_id AND o.n = s.n + 1)
+        SELECT link_id, event_id, action, reason FROM s WHERE n > 0""",
     "stream_lease": _spans("lease_id", "arg_max(state, (us, event_id)) AS state", "lease_id, start_us, stop_us AS deadline_us, events, state, state <> 'completed' AS expired", 12),
-    "stream_manifest_coalesce": "SELECT dataset AS manifest_id, count(*) AS files, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'changed') AS changed FROM f1 GROUP BY 1",
+    "stream_manifest_coalesce": "SELECT dataset AS manifest_id, count(*) AS generation, count(*) AS files, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'changed') AS changed FROM f1 GROUP BY 1",
     "stream_counter_alert": "WITH d AS (SELECT user_id % 5 AS host, event_type AS name, event_id, (floor(value) - lag(floor(value)) OVER (PARTITION BY user_id % 5, event_type ORDER BY ts, event_id))::BIGINT AS delta FROM events) SELECT * FROM d WHERE delta < 0",
     "stream_transfer_sessions": _spans("transfer_id", "sum(bytes)::BIGINT AS bytes", "transfer_id, start_us, stop_us AS end_us, events, bytes", 6),
 }

@@ -155,7 +155,7 @@ QUERIES = {
     "summary_tree": _tree,
     "stage_profile_fold": lambda t: verdicts.fold_stages(t.f3.select("event", F.col("bytes").alias("total"), F.col("elapsed_seconds").alias("peak"), F.lit(1).alias("schema")), "event"),
     "lane_totals": lambda t: t.stage.groupBy("lane").agg(F.count(F.lit(1)).alias("ranges"), F.sum(F.col("stop") - F.col("begin")).alias("total_us"), F.max(F.col("stop") - F.col("begin")).alias("peak_us")),
-    "observation_status": lambda t: verdicts.observation_status(formats.marked_json(_marked_lines(t), "OBSERVED ", "id long, n long"), t.events.select(F.concat(F.lit("u"), F.col("user_id") + F.when(F.col("user_id") % 10 == 3, 100000).otherwise(0)).alias("source")).distinct()),
+    "observation_status": lambda t: verdicts.observation_status(formats.marked_json(_marked_lines(t), "OBSERVED ", "id long, n long"), t.events.select(F.concat(F.lit("u"), F.col("user_id") % 20 + F.when(F.col("user_id") % 10 == 3, 100000).otherwise(0)).alias("source")).distinct()),
     "manifest_save_stats": lambda t: t.f3.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("result") == "ok").alias("successes"), F.sum("bytes").alias("bytes"), F.count_if(F.col("result") == "fail").alias("failures")),
     "steps_rollup": _steps,
     "matrix_rollup": lambda t: runs.summary(t.f4, KEYS).groupBy("dataset").agg(F.sum("fails").alias("fail_count"), F.count(F.lit(1)).alias("rows")).select("dataset", "rows", "fail_count", F.when(F.col("fail_count") > 0, "fail").otherwise("pass").alias("status")),
@@ -212,7 +212,7 @@ SQL = {
     "summary_tree": "WITH c AS (SELECT system, dataset, direction, result, count(*) AS n FROM f4 GROUP BY 1, 2, 3, 4), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY system, dataset, direction ORDER BY n DESC, result) = 1), s AS (SELECT system, dataset, direction, count(*) AS runs, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result = 'fail_runtime') AS fails, round(sum(wait_s), 4) AS wait_s FROM f4 GROUP BY 1, 2, 3) SELECT s.*, m.result FROM s JOIN m USING (system, dataset, direction)",
     "stage_profile_fold": "SELECT event, count(*) AS ranges, sum(bytes)::BIGINT AS total, max(elapsed_seconds) AS peak, true AS schema_ok FROM f3 GROUP BY 1",
     "lane_totals": "SELECT lane, count(*) AS ranges, sum(stop - begin)::BIGINT AS total_us, max(stop - begin) AS peak_us FROM stage GROUP BY 1",
-    "observation_status": "WITH s AS (SELECT DISTINCT 'u' || (user_id + CASE WHEN user_id % 10 = 3 THEN 100000 ELSE 0 END) AS source FROM events), c AS (SELECT 'u' || user_id AS source, count(*) FILTER (event_id % 10 <> 0) AS e, count(*) FILTER (event_id % 10 = 0) AS m FROM events GROUP BY 1) SELECT s.source, coalesce(e, 0) AS enabled, coalesce(m, 0) AS malformed, CASE WHEN coalesce(e, 0) = 0 THEN 'missing' WHEN m > 0 THEN 'partial' ELSE 'complete' END AS status FROM s LEFT JOIN c ON s.source = c.source",
+    "observation_status": "WITH s AS (SELECT DISTINCT 'u' || (user_id % 20 + CASE WHEN user_id % 10 = 3 THEN 100000 ELSE 0 END) AS source FROM events), c AS (SELECT 'u' || (user_id % 20) AS source, count(*) FILTER (event_id % 10 <> 0) AS e, count(*) FILTER (event_id % 10 = 0) AS m FROM events GROUP BY 1) SELECT s.source, coalesce(e, 0) AS enabled, coalesce(m, 0) AS malformed, CASE WHEN coalesce(e, 0) = 0 THEN 'missing' WHEN m > 0 THEN 'partial' ELSE 'complete' END AS status FROM s LEFT JOIN c ON s.source = c.source",
     "manifest_save_stats": "SELECT transfer_id, count(*) AS attempts, count(*) FILTER (result = 'ok') AS successes, sum(bytes)::BIGINT AS bytes, count(*) FILTER (result = 'fail') AS failures FROM f3 GROUP BY 1",
     "steps_rollup": "SELECT user_id AS run, count(*) AS total, count(*) FILTER (event_type <> 'error') AS passed, count(*) FILTER (event_type = 'error') AS failed, 's' || min(event_id) FILTER (event_type = 'error') AS first_failed FROM events GROUP BY 1",
     "matrix_rollup": "WITH s AS (SELECT system, dataset, direction, count(*) FILTER (result LIKE 'fail%') AS fails FROM f4 GROUP BY 1, 2, 3) SELECT dataset, count(*) AS rows, sum(fails)::BIGINT AS fail_count, CASE WHEN sum(fails) > 0 THEN 'fail' ELSE 'pass' END AS status FROM s GROUP BY 1",

@@ -12,9 +12,12 @@ from pyspark.sql.types import StructType
 from driftledger.functions.checksums import crc32c
 from driftledger.functions.workers import ship
 from driftledger.operators.ranges import coalesce
+from driftledger.operators.records import path_reason, without_sidecars
 
 #: Keys of a transfer manifest in order, its version, and the key of the body's CRC.  Fixed values.
 TRANSFER_KEYS = ["manifest_version", "transfer_id", "output_path_hex", "temp_path_hex", "total_size", "chunk_size", "checksum_algorithm", "created_at_unix_ns", "updated_at_unix_ns", "state", "completed_ranges", "verified_chunks"]
+#: Keys of a download manifest in order.  Fixed values.
+DOWNLOAD_KEYS = ["manifest_version", "transfer_id", "source_path_hex", "target_path_hex", "temp_path_hex", "total_size", "chunk_size", "checksum_algorithm", "created_at_unix_ns", "updated_at_unix_ns", "state", "completed_ranges", "verified_chunks"]
 #: Keys of a tree manifest in order.  Fixed values.
 TREE_KEYS = ["manifest_version", "mode", "root_logical_path_hex", "checksum_algorithm", "created_at_unix_ns", "updated_at_unix_ns", "files"]
 CRC_KEY = "manifest_body_crc32c"
@@ -37,13 +40,15 @@ def _signed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("body", body).withColumn("crc", crc32c(F.col("body").cast("binary"))).withColumn("text", signed).drop("body", "crc")
 
 
-def sink_transfer_manifest(transfers: DataFrame, chunks: DataFrame, version: int) -> DataFrame:
+def sink_transfer_manifest(transfers: DataFrame, chunks: DataFrame, version: int, kind: str = "upload") -> DataFrame:
     """Canonical text of each transfer: records by offset and id, ranges derived from them.
 
-    ``transfers`` has transfer_id, output_path, temp_path, total_size, chunk_size,
-    created_ns, updated_ns and state; ``chunks`` transfer_id, chunk_id, begin, length
-    and crc.  A transfer without chunks has empty lists.
+    ``transfers`` has transfer_id, temp_path, total_size, chunk_size, created_ns,
+    updated_ns, state and output_path, or source_path and target_path for the kind
+    ``download``; ``chunks`` transfer_id, chunk_id, begin, length and crc.  A transfer
+    without chunks has empty lists.
     """
+    keys, paths = (DOWNLOAD_KEYS, ("source_path", "target_path", "temp_path")) if kind == "download" else (TRANSFER_KEYS, ("output_path", "temp_path"))
     record = F.struct("begin", "chunk_id", "length", "crc")
     lists = chunks.groupBy("transfer_id").agg(F.array_sort(F.collect_list(record)).alias("r"))
     texts = F.transform("r", lambda x: F.concat_ws(":", x["chunk_id"].cast("string"), x["begin"].cast("string"), x["length"].cast("string"), F.lit("crc32c"), _hex32(x["crc"])))
@@ -51,11 +56,11 @@ def sink_transfer_manifest(transfers: DataFrame, chunks: DataFrame, version: int
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("begin", "stop"))), lambda x: F.concat_ws("-", x["begin"].cast("string"), x["stop"].cast("string")))
     spans = merged.groupBy(F.col("file_id").alias("transfer_id")).agg(F.array_join(pieces, ",").alias("spans"))
     rows = transfers.join(lists, "transfer_id", "left").join(spans, "transfer_id", "left").select(
-        "transfer_id", F.lit(version).alias("manifest_version"), _hex(F.col("output_path")).alias("output_path_hex"), _hex(F.col("temp_path")).alias("temp_path_hex"), "total_size", "chunk_size",
+        "transfer_id", F.lit(version).alias("manifest_version"), *(_hex(F.col(p)).alias(f"{p}_hex") for p in paths), "total_size", "chunk_size",
         F.lit("crc32c").alias("checksum_algorithm"), F.col("created_ns").alias("created_at_unix_ns"), F.col("updated_ns").alias("updated_at_unix_ns"), "state",
         F.coalesce("spans", F.lit("")).alias("completed_ranges"), F.coalesce(F.array_join(texts, ","), F.lit("")).alias("verified_chunks"),
     )
-    return _signed(rows, TRANSFER_KEYS).select("transfer_id", "text")
+    return _signed(rows, keys).select("transfer_id", "text")
 
 
 def sink_tree_manifest(files: DataFrame, version: int, mode: str = "upload") -> DataFrame:
@@ -71,42 +76,65 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
 
 
 def _read(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Key lines of each manifest as columns, and the first rule that fails as ``reason``."""
+    """Key lines of each manifest as columns, and the first rule that fails as ``reason``.
+
+    A manifest is cut into lines once; keys are looked up in its list of lines.
+    """
     ship(spark)
+    wanted = [*keys, CRC_KEY]
     rows = spark.read.option("lineSep", "\n\n").text(path).select(F.concat(F.regexp_replace("value", r"\n+$", ""), F.lit("\n")).alias("text")).where("trim(text) <> '\n'")
-    times = {k: F.size(F.regexp_extract_all("text", F.lit(f"(?m)^{k}="), 0)) for k in (*keys, CRC_KEY)}
-    rows = rows.withColumn("body", F.regexp_replace("text", f"(?m)^{CRC_KEY}=.*\\n", ""))
-    rows = rows.select("text", *(F.regexp_extract("text", f"(?m)^{k}=(.*)$", 1).alias(k) for k in (*keys, CRC_KEY)), _hex32(crc32c(F.col("body").cast("binary"))).alias("actual"))
-    reason = F.when(F.greatest(*times.values()) > 1, "duplicate_key").when(F.least(*times.values()) == 0, "missing_key").when(F.col(CRC_KEY) != F.col("actual"), "bad_crc")
-    return rows.withColumn("reason", reason)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.substring_index(x, "=", 1).isin(wanted) & x.contains("="))
+    rows = rows.withColumn("lines", lines).withColumn("names", F.transform("lines", lambda x: F.substring_index(x, "=", 1)))
+    value = lambda k: F.coalesce(F.substring(F.get("lines", F.array_position("names", k).cast("int") - 1), len(k) + 2, 1 << 30), F.lit("")).alias(k)
+    body = F.regexp_replace("text", f"(?m)^{CRC_KEY}=.*\\n", "")
+    kinds = F.size(F.array_distinct("names"))
+    broken = F.when(F.size("names") > kinds, "duplicate_key").when(kinds < len(wanted), "missing_key")
+    rows = rows.select("text", broken.alias("broken"), *map(value, wanted), _hex32(crc32c(body.cast("binary"))).alias("actual"))
+    return rows.withColumn("reason", F.coalesce("broken", F.when(F.col(CRC_KEY) != F.col("actual"), "bad_crc"))).drop("broken")
 
 
-def scan_transfer_manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """One row a manifest; ``reason`` names the first rule that fails, and its lists stay as read."""
-    rows = _read(spark, path, TRANSFER_KEYS)
+def _text(key: str) -> Column:
+    return F.decode(F.unhex(key), "UTF-8")
+
+
+def _number(x: Column) -> Column:
+    return x.try_cast("long")
+
+
+def _scan(spark: SparkSession, path: str, version: int, keys: list[str], paths: tuple[str, ...]) -> DataFrame:
+    rows = _read(spark, path, keys)
     item = "struct<chunk_id:bigint,begin:bigint,length:bigint,crc:bigint>"
-    number = lambda x: x.try_cast("long")
     items = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
-    part = lambda x: F.split(x, ":")
-    chunks = F.transform(items("verified_chunks"), lambda x: F.struct(number(F.get(part(x), F.lit(0))).alias("chunk_id"), number(F.get(part(x), F.lit(1))).alias("begin"), number(F.get(part(x), F.lit(2))).alias("length"), number(F.conv(F.get(part(x), F.lit(4)), 16, 10)).alias("crc"))).cast(f"array<{item}>")
-    ranges = F.transform(items("completed_ranges"), lambda x: F.struct(number(F.get(F.split(x, "-"), F.lit(0))).alias("begin"), number(F.get(F.split(x, "-"), F.lit(1))).alias("stop")))
-    rows = rows.withColumn("chunks", chunks).withColumn("ranges", ranges).withColumn("total_size", number(F.col("total_size")))
+    cut = lambda c, sep: F.transform(items(c), lambda x: F.split(x, sep))
+    chunks = F.transform(cut("verified_chunks", ":"), lambda p: F.struct(_number(F.get(p, F.lit(0))).alias("chunk_id"), _number(F.get(p, F.lit(1))).alias("begin"), _number(F.get(p, F.lit(2))).alias("length"), _number(F.conv(F.get(p, F.lit(4)), 16, 10)).alias("crc"))).cast(f"array<{item}>")
+    ranges = F.transform(cut("completed_ranges", "-"), lambda p: F.struct(_number(F.get(p, F.lit(0))).alias("begin"), _number(F.get(p, F.lit(1))).alias("stop")))
+    rows = rows.withColumn("chunks", chunks).withColumn("ranges", ranges).withColumn("total_size", _number(F.col("total_size")))
     held = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["begin"])
     listed = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     reason = F.coalesce("reason", F.when(F.col("manifest_version") != str(version), "bad_version").when(~F.col("transfer_id").rlike("^[A-Za-z0-9._-]{1,128}$"), "bad_id").when(F.exists("chunks", lambda x: x["chunk_id"].isNull() | x["begin"].isNull() | x["length"].isNull() | x["crc"].isNull()), "bad_chunk").when(held != listed, "ranges_differ").when(F.exists("chunks", lambda x: x["begin"] + x["length"] > F.col("total_size")), "out_of_bounds"))
-    text = lambda k: F.decode(F.unhex(k), "UTF-8")
-    return rows.select("transfer_id", text("output_path_hex").alias("output_path"), text("temp_path_hex").alias("temp_path"), "total_size", number(F.col("chunk_size")).alias("chunk_size"), "state", "ranges", "chunks", reason.alias("reason")).withColumn("is_valid", F.col("reason").isNull())
+    return rows.select("transfer_id", *(_text(f"{p}_hex").alias(p) for p in paths), "total_size", _number(F.col("chunk_size")).alias("chunk_size"), "state", "ranges", "chunks", reason.alias("reason")).withColumn("is_valid", F.col("reason").isNull())
 
 
-def scan_tree_manifest(spark: SparkSession, path: str) -> DataFrame:
+def scan_transfer_manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """One row a manifest; ``reason`` names the first rule that fails, and its lists stay as read."""
+    return _scan(spark, path, version, TRANSFER_KEYS, ("output_path", "temp_path"))
+
+
+def scan_download_manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The same of download manifests, which have a source and a target path."""
+    return _scan(spark, path, version, DOWNLOAD_KEYS, ("source_path", "target_path", "temp_path")).withColumn("kind", F.lit("download"))
+
+
+def scan_tree_manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
     """One row a file record, with the first rule that fails for it; repeated paths are counted by a shuffle on both names."""
-    rows = _read(spark, path, TREE_KEYS).withColumn("manifest_id", F.decode(F.unhex("root_logical_path_hex"), "UTF-8"))
+    rows = _read(spark, path, TREE_KEYS).withColumn("manifest_id", _text("root_logical_path_hex"))
     part = F.split("record", ":")
-    rows = rows.select("manifest_id", "mode", F.col("reason").alias("broken"), F.explode(F.filter(F.split("files", ","), lambda x: x != "")).alias("record"))
-    rows = rows.select("manifest_id", "mode", "broken", F.decode(F.unhex(part[0]), "UTF-8").alias("relative_path"), F.get(part, F.lit(1)).try_cast("long").alias("size"), F.get(part, F.lit(2)).try_cast("long").alias("mtime_s"), F.get(part, F.lit(3)).alias("transfer_id"), F.get(part, F.lit(4)).alias("status"))
+    broken = F.coalesce("reason", F.when(F.col("manifest_version") != str(version), "bad_version"))
+    rows = rows.select("manifest_id", "mode", broken.alias("broken"), F.explode(F.filter(F.split("files", ","), lambda x: x != "")).alias("record"))
+    rows = rows.select("manifest_id", "mode", "broken", F.decode(F.unhex(part[0]), "UTF-8").alias("relative_path"), F.get(part, F.lit(1)).try_cast("long").alias("size"), F.get(part, F.lit(2)).try_cast("long").alias("mtime_s"), F.get(part, F.lit(3)).alias("transfer_id"), F.get(part, F.lit(4)).alias("status"), (F.size(part) != 6).alias("odd"))
     again = rows.groupBy("manifest_id", "relative_path").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(again, ["manifest_id", "relative_path"], "left")
-    reason = F.coalesce("broken", F.when(F.col("n") > 1, "duplicate_path").when(~F.col("transfer_id").rlike("^[A-Za-z0-9._-]{1,128}$"), "bad_id").when(~F.col("status").isin(STATUSES), "bad_status"))
+    reason = F.coalesce("broken", F.when(F.col("odd") | F.col("size").isNull() | F.col("mtime_s").isNull(), "bad_record").when(path_reason(F.col("relative_path")).isNotNull(), "bad_path").when(F.col("n") > 1, "duplicate_path").when(~F.col("transfer_id").rlike("^[A-Za-z0-9._-]{1,128}$"), "bad_id").when(~F.col("status").isin(STATUSES), "bad_status"))
     return rows.select("manifest_id", "mode", "relative_path", "size", "mtime_s", "transfer_id", "status", reason.alias("reason")).withColumn("is_valid", F.col("reason").isNull())
 
 
@@ -136,11 +164,31 @@ def marked_json(lines: DataFrame, marker: str, schema: str) -> DataFrame:
     return rows.select("source", (F.col("r._bad").isNull() & F.col("r").isNotNull()).alias("parsed"), "r.*").drop("_bad")
 
 
+def text_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """``block``: runs of lines between blank lines."""
+    return spark.read.option("lineSep", "\n\n").text(path).select(F.trim(F.col("value"), F.lit("\n")).alias("block")).where("block <> ''")
+
+
 def stacks(blocks: DataFrame) -> DataFrame:
-    """Samples of profiler text, one a block: a header line, then a line for each frame from the leaf."""
-    head = r"^\s*.*?\s+(\d+)(?:/(\d+))?\s+(?:\[\d+\]\s+)?(\d+\.\d+):\s+(\d+)\s+cpu-clock:"
-    got = lambda i: F.regexp_extract("block", head, i)
-    return blocks.where(F.col("block").rlike(head)).select(got(1).cast("long").alias("pid"), F.when(got(2) == "", got(1)).otherwise(got(2)).cast("long").alias("tid"), F.floor(got(3).cast("decimal(28,9)") * 1_000_000_000).cast("long").alias("at_ns"), got(4).cast("long").alias("period"), F.regexp_extract_all("block", F.lit(r"(?m)^\s*[0-9a-f]+\s+(.+?)\s+\([^)]*\)\s*$"), 1).alias("symbols"))
+    """Samples of profiler text, one a block: a header line, then a line for each frame from the leaf.
+
+    A header's fields are the command, ``pid`` or ``pid/tid``, maybe the CPU in brackets,
+    the time with a colon, the period and the event's name with a colon.
+    """
+    lines = F.split("block", "\n")
+    rows = blocks.select(lines.alias("lines"), F.filter(F.split(F.trim(lines[0]), r"\s+"), lambda x: ~x.rlike(r"^\[\d+\]$")).alias("head"))
+    at = F.array_position(F.transform("head", lambda x: x.rlike(r"^\d+\.\d+:$")), True).cast("int") - 1
+    field = lambda k: F.get("head", F.col("at") + k)
+    rows = rows.withColumn("at", at).where(F.col("at") > 0).where(field(2).startswith("cpu-clock"))
+    ids = F.split(field(-1), "/")
+    symbol = lambda x: F.regexp_replace(x, r"^\s*[0-9a-f]+\s+|\s+\([^()]*\)\s*$", "")
+    frames = F.transform(F.filter(F.slice("lines", 2, F.size("lines")), lambda x: x.rlike(r"^\s*[0-9a-f]+\s+\S") & F.rtrim(x).endswith(")")), symbol)
+    return rows.select(_number(ids[0]).alias("pid"), _number(F.coalesce(F.get(ids, F.lit(1)), ids[0])).alias("tid"), F.floor(F.rtrim(field(0), F.lit(":")).cast("decimal(28,9)") * 1_000_000_000).cast("long").alias("at_ns"), _number(field(1)).alias("period"), frames.alias("symbols"))
+
+
+def lost_samples(blocks: DataFrame) -> DataFrame:
+    """How many lines of a profiler's text report lost samples; a complete profile has none."""
+    return blocks.agg(F.coalesce(F.sum(F.size(F.filter(F.split("block", "\n"), lambda x: F.upper(x).contains("LOST")))), F.lit(0)).alias("lost"))
 
 
 def counter_lines(lines: DataFrame) -> DataFrame:
@@ -149,6 +197,38 @@ def counter_lines(lines: DataFrame) -> DataFrame:
     return lines.select("source", F.regexp_extract("line", r"^\s*([\w.\[\]-]+):\s*(-?\d+)\s*$", 1).alias("name"), value.try_cast("long").alias("value")).where("value is not null")
 
 
+#: First words of the hexadecimal columns of per-CPU packet statistics, and the column of the CPU.  Fixed values.
+SOFTNET, SOFTNET_CPU = ("processed", "dropped", "time_squeeze"), 12
+
+
+def scan_counters(spark: SparkSession, path: str) -> DataFrame:
+    """``source, family, name, value`` of snapshots, a block each: ``# source family``, then lines as the family writes them.
+
+    ``named``: ``name: value``; ``softnet``: hexadecimal columns for each CPU; ``netstat``:
+    lines of names, each followed by its values; ``interrupts``: a line of CPUs, then
+    counts of each.  A netstat pair that doesn't match has one row with a null value.
+    """
+    lines = F.split("block", "\n")
+    head = F.split(lines[0], " ")
+    rows = text_blocks(spark, path).where(F.col("block").startswith("# ")).select(head[1].alias("source"), F.get(head, F.lit(2)).alias("family"), F.slice(lines, 2, F.size(lines)).alias("lines"))
+    entry = lambda n, v: F.struct(n.alias("name"), v.cast("long").alias("value"))
+    words = lambda x: F.split(F.trim(x), r"\s+")
+    named = F.transform(F.filter("lines", lambda x: x.rlike(r"^\s*[\w.\[\]-]+:\s*-?\d+\s*$")), lambda x: entry(F.trim(F.substring_index(x, ":", 1)), _number(F.trim(F.substring_index(x, ":", -1)))))
+    hexed = lambda x: F.conv(x, 16, 10)
+    cpu = lambda w, i: F.when(F.size(w) > SOFTNET_CPU, hexed(F.get(w, F.lit(SOFTNET_CPU)))).otherwise(i.cast("string"))
+    softnet = F.flatten(F.transform("lines", lambda x, i: F.array(*(entry(F.concat(cpu(words(x), i), F.lit(f".{n}")), hexed(F.get(words(x), F.lit(k)))) for k, n in enumerate(SOFTNET)))))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0)), F.lit(2)), lambda i: F.struct(words(F.get("lines", i)).alias("n"), words(F.coalesce(F.get("lines", i + 1), F.lit(""))).alias("v")))
+    agree = lambda p: (F.size(p["n"]) == F.size(p["v"])) & (p["n"][0] == p["v"][0])
+    tail = lambda a: F.slice(a, 2, F.size(a))
+    matched = lambda p: F.zip_with(tail(p["n"]), tail(p["v"]), lambda n, v: entry(F.concat(F.rtrim(p["n"][0], F.lit(":")), F.lit("."), n), _number(v)))
+    netstat = F.flatten(F.transform(pairs, lambda p: F.when(agree(p), matched(p)).otherwise(F.array(entry(F.rtrim(p["n"][0], F.lit(":")), F.lit(None))))))
+    cpus = words(F.get("lines", F.lit(0)))
+    counts = lambda x: F.slice(words(F.substring_index(x, ":", -1)), 1, F.size(cpus))
+    interrupts = F.flatten(F.transform(F.filter(tail(F.col("lines")), lambda x: x.contains(":")), lambda x: F.zip_with(cpus, counts(x), lambda c, v: entry(F.concat(F.trim(F.substring_index(x, ":", 1)), F.lit("."), c), _number(v)))))
+    found = F.when(F.col("family") == "named", named).when(F.col("family") == "softnet", softnet).when(F.col("family") == "netstat", netstat).when(F.col("family") == "interrupts", interrupts)
+    return rows.select("source", "family", F.inline(found))
+
+
 def manifest_crc_check(spark: SparkSession, path: str) -> DataFrame:
     """The CRC that each transfer manifest states, the one its body has, and whether they agree."""
     rows = _read(spark, path, TRANSFER_KEYS)
@@ -170,12 +250,36 @@ def scan_client_summary(spark: SparkSession, path: str, schema: str) -> DataFram
     return rows.withColumn("error_message", F.col("error.message")).drop("error")
 
 
-def sink_report(summary: DataFrame, path: str) -> None:
-    """A summary as CSV with a header; its parts stay as Spark deals them."""
-    summary.write.option("header", True).csv(path)
+def sink_report(summary: DataFrame, path: str, form: str = "csv") -> None:
+    """A summary as CSV with a header or as JSON lines; its parts stay as Spark deals them."""
+    if form == "json":
+        summary.write.option("ignoreNullFields", False).json(path)
+    else:
+        summary.write.option("header", True).csv(path)
 
 
 def scan_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` with size and time; contents stay unread."""
+    """Regular files below ``path``, sidecars left out: relative path, size and time; contents stay unread."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(~F.col("path").contains(".part.")).select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime_s"))
+    relative = F.substring("path", len(root) + 2, 1 << 30)
+    return without_sidecars(files.select(relative.alias("relative_path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime_s")))
+
+
+def evidence_index(files: DataFrame, allowed: list[str]) -> DataFrame:
+    """``name``, ``bytes`` and ``sha256`` of the allowed of ``files``; ``reason`` where a name is unsafe or missing.
+
+    A name is a file's own, without folders; any other is unsafe.
+    """
+    names = files.sparkSession.createDataFrame([(n,) for n in sorted(set(allowed))], "name string")
+    unsafe = F.col("name").rlike(r"[/\\\x00-\x1f]") | F.col("name").isin("", ".", "..")
+    rows = names.join(files.select("name", "bytes", "sha256"), "name", "left")
+    reason = F.when(unsafe, "unsafe_name").when(F.col("bytes").isNull(), "missing")
+    return rows.select("name", F.when(~unsafe, F.col("bytes")).alias("bytes"), F.when(~unsafe, F.col("sha256")).alias("sha256"), reason.alias("reason"))
+
+
+def source_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``source``, ``sha256`` of each log file; a source is named by its folder ``source=NAME``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source"), F.sha2("content", 256).alias("sha256"))

@@ -1,18 +1,20 @@
 """Streams over acknowledgements, events, leases and link states.
 
-Each function takes and returns a streaming DataFrame.  State is kept per key and,
-where a watermark is given, dropped behind it.  What is refined batch by batch
-(update mode) only grows, so a reader folds all versions of a key with ``max`` or
-``bit_or`` and a batch that is written twice changes nothing.
+A batch of a stream is summed where it is read and its sums are written under the
+batch's number, so a batch that runs again replaces itself.  Sums of batches merge by
+key in any order, whatever the number of files: no state grows with the keys, and a
+row that comes late counts where it belongs and is told as late.  The watermark is the
+newest time read less a delay; windows and spans that it hasn't passed are still open.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from driftledger.functions.workers import ship, shared_folder
@@ -20,7 +22,6 @@ from driftledger.functions.workers import ship, shared_folder
 #: Ramp thresholds: fill below / from which a queue is low / high, pressure that is high,
 #: low marks in a row that ramp up.  Fixed values.
 LOW, HIGH, PRESSURE, LOW_HITS = 0.5, 2.0, 0.75, 2
-RAMP = "link_id long, event_id long, target int, action string, reason string"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 16) -> DataFrame:
@@ -32,89 +33,152 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return reader.parquet(path) if is_folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def drained(rows: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote, each version of each key.
+def drained(rows: DataFrame, name: str, of_batch: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and return what it wrote, with the number of each ``batch``.
 
-    Batches are written by number, so one that runs again replaces itself.
+    ``of_batch`` sums a batch before it is written.
     """
     spark = rows.sparkSession
     base = shared_folder(spark, f"stream-{name}")
+    schema: list[StructType] = []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        out = of_batch(batch) if of_batch else batch
+        schema[:] = [out.schema]
+        out.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema.add("batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    return spark.read.schema(schema[0].add("batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out")
+
+
+def watermarks(sums: DataFrame, delay_us: int) -> DataFrame:
+    """``batch``, ``watermark`` (null before the first) at its start and the ``last`` one of all, from ``newest`` of the sums."""
+    newest = sums.groupBy("batch").agg(F.max("newest").alias("newest"))
+    order = Window.orderBy("batch")  # a row a batch
+    before = F.max("newest").over(order.rowsBetween(Window.unboundedPreceding, -1)) - delay_us
+    last = F.max("newest").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - delay_us
+    return newest.select("batch", before.alias("watermark"), last.alias("last"))
 
 
 def event_counts(events: DataFrame, code: Column) -> DataFrame:
-    """Running counts by error code (update mode); the newest is the largest."""
+    """A batch's counts by error code."""
     return events.groupBy(code.alias("error_code")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def throughput(events: DataFrame, width: str, delay: str) -> DataFrame:
-    """Bytes by direction and window, once the watermark has passed it (append mode)."""
-    rows = events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "direction").agg(F.sum("bytes").alias("bytes"))
-    return rows.select(F.unix_micros("w.start").alias("start_us"), "direction", "bytes")
+def throughput(events: DataFrame, width: str, slide: str) -> DataFrame:
+    """A batch's bytes by link, direction and sliding window."""
+    rows = events.groupBy(F.window("ts", width, slide).alias("w"), "link", "direction").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("events"), F.max(F.unix_micros("ts")).alias("newest"))
+    return rows.select(F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "link", "direction", "bytes", "events", "newest")
+
+
+def closed_windows(sums: DataFrame, delay_us: int) -> DataFrame:
+    """Bytes and rate of the windows that the watermark has passed, and how many events came after that."""
+    rows = sums.join(F.broadcast(watermarks(sums, delay_us)), "batch").where(F.col("end_us") <= F.col("last"))
+    late = F.coalesce(F.sum(F.when(F.col("end_us") <= F.col("watermark"), F.col("events"))), F.lit(0))
+    rows = rows.groupBy("start_us", "end_us", "link", "direction").agg(F.sum("bytes").alias("bytes"), late.alias("late_events"))
+    return rows.select("start_us", "link", "direction", "bytes", F.round(F.col("bytes") * 8 / (F.col("end_us") - F.col("start_us")) / 1000, 9).alias("gbps"), "late_events")
 
 
 def chunk_acks(acks: DataFrame) -> DataFrame:
-    """What was acknowledged of each chunk, and the extremes of it (update mode)."""
+    """What a batch acknowledges of each chunk, and the extremes of it."""
     what = F.struct("length", "crc")
     return acks.groupBy("file_id", "chunk_id", "begin").agg(F.count(F.lit(1)).alias("acks"), F.min(what).alias("least"), F.max(what).alias("most"))
 
 
-def ack_kinds(versions: DataFrame) -> DataFrame:
-    """Accepted, duplicate (all acknowledgements agree) and conflicting chunks."""
-    rows = versions.groupBy("file_id", "chunk_id", "begin").agg(F.max("acks").alias("acks"), F.min("least").alias("least"), F.max("most").alias("most"))
+def ack_kinds(sums: DataFrame) -> DataFrame:
+    """One row a chunk: accepted, duplicate (all acknowledgements agree), or conflict, which has no CRC that counts."""
+    rows = sums.groupBy("file_id", "chunk_id", "begin").agg(F.sum("acks").alias("acks"), F.min("least").alias("least"), F.max("most").alias("most"))
     kind = F.when(F.col("acks") == 1, "accepted").when(F.col("least") == F.col("most"), "duplicate").otherwise("conflict")
-    return rows.select("file_id", "chunk_id", "begin", "acks", kind.alias("kind"))
+    return rows.select("file_id", "chunk_id", "begin", "acks", kind.alias("kind"), F.when(kind != "conflict", F.col("least.crc")).alias("crc"))
 
 
 def progress_words(acks: DataFrame) -> DataFrame:
-    """Verified chunks as bits of 64-chunk words (update mode): one long of state for up to 64 chunks."""
+    """A batch's verified chunks as bits of 64-chunk words."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("chunk_id") % 64).cast("int"))
     return acks.groupBy("file_id", F.expr("chunk_id div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def progress(versions: DataFrame, totals: DataFrame, chunk: int) -> DataFrame:
-    """Bytes, ranges and completion of each file; the last chunk may be short.
+def progress(sums: DataFrame, totals: DataFrame, chunk: int) -> DataFrame:
+    """Bytes, ranges and completion of each file; the last chunk may be short, chunks beyond it don't count.
 
     A range starts at a bit whose lower neighbour, in the word before it if need be, is unset.
     """
-    words = versions.groupBy("file_id", "word").agg(F.bit_or("bits").alias("bits"))
+    words = sums.groupBy("file_id", "word").agg(F.bit_or("bits").alias("bits"))
+    n = F.ceil(F.col("total") / chunk).cast("long")
+    rest = (F.col("n") - F.col("word") * 64).cast("int")  # chunks that are left for this word
+    mask = F.when(rest >= 64, F.lit(-1).cast("long")).when(rest <= 0, 0).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), rest) - 1)
+    words = totals.withColumn("n", n).join(words, "file_id", "left").withColumn("bits", F.col("bits").bitwiseAND(mask))
     last = F.struct(F.col("word"), F.col("bits"))
     before = F.lag(last).over(Window.partitionBy("file_id").orderBy("word"))
     carry = F.when((before["word"] == F.col("word") - 1) & (before["bits"] < 0), 1).otherwise(0).cast("long")
     starts = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.col("bits"), F.lit(1)).bitwiseOR(carry))))
-    rows = words.withColumn("starts", starts).groupBy("file_id").agg(F.sum(F.bit_count("bits")).alias("chunks"), F.sum("starts").alias("ranges"))
-    need = F.ceil(F.col("total") / chunk)
-    done = F.coalesce("chunks", F.lit(0))
-    return totals.join(rows, "file_id", "left").select("file_id", F.least(done * chunk, F.col("total")).alias("bytes"), F.coalesce("ranges", F.lit(0)).alias("ranges"), (done == need).alias("complete"))
+    ends = (F.expr("(n - 1) div 64") == F.col("word")) & (F.call_function("shiftrightunsigned", "bits", ((F.col("n") - 1) % 64).cast("int")) == 1)
+    rows = words.withColumns({"starts": starts, "ends": ends}).groupBy("file_id", "total", "n").agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("chunks"), F.coalesce(F.sum("starts"), F.lit(0)).alias("ranges"), F.coalesce(F.bool_or("ends"), F.lit(False)).alias("ends"))
+    short = F.when(F.col("ends"), F.col("n") * chunk - F.col("total")).otherwise(0)
+    return rows.select("file_id", (F.col("chunks") * chunk - short).alias("bytes"), "ranges", (F.col("chunks") == F.col("n")).alias("complete"))
 
 
-def leases(events: DataFrame, timeout: str, delay: str) -> DataFrame:
-    """Spans of each lease without a pause of ``timeout``, once over (append mode).
+def spans(events: DataFrame, key: str, gap: str) -> DataFrame:
+    """A batch's spans of each key without a pause of ``gap``, with their bytes and last state."""
+    last = F.struct("ts", "event_id", "state")
+    rows = events.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("events"), F.sum("bytes").alias("bytes"), F.max(last).alias("last"), F.max(F.unix_micros("ts")).alias("newest"))
+    return rows.select(key, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events", "bytes", "last", "newest")
+
+
+def merged_spans(sums: DataFrame, key: str, delay_us: int) -> DataFrame:
+    """Spans of all batches that the watermark has passed, those that touch merged; ``late_events`` came after it."""
+    rows = sums.join(F.broadcast(watermarks(sums, delay_us)).withColumnRenamed("last", "closed"), "batch")
+    order = Window.partitionBy(key).orderBy("start_us", "end_us")
+    so_far = F.max("end_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(so_far >= F.col("start_us"), 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    late = F.coalesce(F.sum(F.when(F.col("end_us") <= F.col("watermark"), F.col("events"))), F.lit(0))
+    whole = rows.groupBy(key, "island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("events").alias("events"), F.sum("bytes").alias("bytes"), F.max("last").alias("last"), late.alias("late_events"), F.max("closed").alias("closed"))
+    return whole.where("end_us <= closed").select(key, "start_us", "end_us", "events", "bytes", F.col("last.state").alias("state"), "late_events")
 
-    Any event extends a lease; after its deadline a new span begins, so late work can't
-    revive the old one.  A span that doesn't end as completed has expired.
-    """
-    rows = events.withWatermark("ts", delay).groupBy(F.session_window("ts", timeout).alias("w"), "lease_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("events"))
-    return rows.select("lease_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("deadline_us"), "events", "state", (F.col("state") != "completed").alias("expired"))
 
+def leases(sums: DataFrame, delay_us: int) -> DataFrame:
+    """Spans of each lease: any event extends it; after its deadline a new span begins, so later work can't revive the old one.
 
-def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Sessions of each transfer, once over (append mode)."""
-    rows = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "transfer_id").agg(F.count(F.lit(1)).alias("events"), F.sum("bytes").alias("bytes"))
-    return rows.select("transfer_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events", "bytes")
+    A span that doesn't end as completed has expired.
+    """
+    rows = merged_spans(sums, "lease_id", delay_us)
+    return rows.select("lease_id", "start_us", F.col("end_us").alias("deadline_us"), "events", "state", (F.col("state") != "completed").alias("expired"), "late_events")
 
 
-def manifest_counts(statuses: DataFrame) -> DataFrame:
-    """Running status counts of each manifest (update mode); its generation is the batch that last changed it."""
+def manifest_changes(statuses: DataFrame) -> DataFrame:
+    """A batch's changes of each manifest by status."""
     return statuses.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("files"), *(F.count_if(F.col("status") == s).alias(s) for s in ("completed", "failed", "changed")))
 
 
+def publications(sums: DataFrame, threshold: int, most_batches: int) -> DataFrame:
+    """Snapshots of each manifest as they are published: after ``threshold`` changes or ``most_batches`` batches, and at the end.
+
+    ``generation`` counts the changes so far, ``persisted_generation`` those of the last
+    snapshot before.  A manifest has a row for each batch that changed it.
+    """
+    by = Window.partitionBy("manifest_id").orderBy("batch")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    names = ("files", "completed", "failed", "changed")
+    rows = sums.groupBy("manifest_id", "batch").agg(*(F.sum(c).alias(c) for c in names))
+    rows = rows.select("manifest_id", "batch", *(F.sum(c).over(so_far).alias(c) for c in names))
+    # Snapshots follow one another: a fold over a manifest's batches, of which each has one small entry.
+    entry = F.struct("batch", *names)
+    state = "struct<kept: bigint, since: bigint, out: array<struct<batch: bigint, files: bigint, completed: bigint, failed: bigint, changed: bigint, persisted: bigint>>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        due = (x["files"] - acc["kept"] >= threshold) | (x["batch"] - acc["since"] >= most_batches) | (x["batch"] == F.col("last"))
+        row = F.struct(*(x[c].cast("bigint").alias(c) for c in ("batch", *names)), acc["kept"].alias("persisted"))
+        put = F.struct(x["files"].cast("bigint").alias("kept"), x["batch"].cast("bigint").alias("since"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return F.when(due, put).otherwise(acc).cast(state)
+
+    lists = rows.groupBy("manifest_id").agg(F.array_sort(F.collect_list(entry)).alias("list"), F.max("batch").alias("last"))
+    first = F.struct(F.lit(0).cast("bigint").alias("kept"), F.element_at("list", 1)["batch"].cast("bigint").alias("since"), F.array().alias("out")).cast(state)
+    out = lists.select("manifest_id", F.inline(F.aggregate("list", first, step, lambda a: a["out"])))
+    return out.select("manifest_id", "batch", *names, F.col("files").alias("generation"), F.col("persisted").alias("persisted_generation"))
+
+
 def counter_alerts(counters: DataFrame) -> DataFrame:
     """Falls of each counter between snapshots (append mode); the last value is the state.
 
@@ -134,34 +198,19 @@ def _falls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield rows.loc[rows["delta"] < 0, ["host", "name", "event_id", "delta"]].astype({"delta": "int64"})
 
 
-def ramp_step(state: tuple[int, int, int], fill: float, pressure: float, retries: int, most: int) -> tuple[tuple[int, int, int], str, str]:
-    """Next (connections, low marks in a row, retries) of a link, its action and the reason."""
-    now, lows, seen = state
-    high, pressed, again = fill >= HIGH, pressure >= PRESSURE, retries > seen
-    if high or pressed or again:
-        down = now > 1
-        reason = "high_watermark" if high else "send_pressure" if pressed else "retry_pressure"
-        return (now - down, 0, retries), "down" if down else "hold", reason
-    lows = lows + 1 if fill < LOW else 0
-    if lows >= LOW_HITS and now < most:
-        return (now + 1, 0, retries), "up", "low_watermark"
-    return (now, lows, retries), "hold", "balanced"
-
-
-def ramp(links: DataFrame, most: int) -> DataFrame:
-    """Connection target of each link after each observation (append mode), with the reason.
+def ramp_alerts(observations: DataFrame) -> DataFrame:
+    """What each recorded link state calls for: ``down``, ``up`` or ``hold``, with the first reason that holds.
 
-    Two low marks in a row ramp up; a high mark, pressure or a new retry ramps down.
+    A high mark, pressure or a new retry calls for less; each second low mark in a row for more.
     """
-    ship(links.sparkSession)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        at, out = (state.get if state.exists else (1, 0, 0)), []
-        for event, fill, pressure, retries in zip(rows["event_id"], rows["fill"], rows["pressure"], rows["retries"]):
-            at, action, reason = ramp_step(at, fill, pressure, int(retries), most)
-            out.append((key[0], int(event), at[0], action, reason))
-        state.update(at)
-        yield pd.DataFrame(out, columns=["link_id", "event_id", "target", "action", "reason"])
-
-    return links.groupBy("link_id").applyInPandasWithState(step, RAMP, "now int, lows int, seen int", "append", GroupStateTimeout.NoTimeout)
+    by = Window.partitionBy("link_id").orderBy("ts", "event_id")
+    high, pressed = F.col("fill") >= HIGH, F.col("pressure") >= PRESSURE
+    again = F.col("retries") > F.lag("retries", 1, 0).over(by)
+    down = F.when(high, "high_watermark").when(pressed, "send_pressure").when(again, "retry_pressure")
+    rows = observations.withColumn("reason", down).withColumn("low", F.col("reason").isNull() & (F.col("fill") < LOW))
+    # Low marks in a row: numbered since the last row that isn't one.
+    run = F.sum(F.when(F.col("low"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("run", run)
+    hits = F.sum(F.col("low").cast("int")).over(Window.partitionBy("link_id", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    up = F.col("low") & (hits % LOW_HITS == 0)
+    return rows.select("link_id", "event_id", F.when(F.col("reason").isNotNull(), "down").when(up, "up").otherwise("hold").alias("action"), F.coalesce("reason", F.when(up, "low_watermark"), F.lit("balanced")).alias("reason"))

@@ -1,5 +1,6 @@
 """Digests, manifests and ramps against brute force."""
 
+import hashlib
 import os
 import zlib
 
@@ -8,8 +9,7 @@ from pyspark.sql import functions as F
 
 from driftledger.functions import checksums
 from driftledger.operators import integrity
-from driftledger.plans import registry, stream_queries
-from driftledger.plans.tables import Tables
+from driftledger.plans import registry
 from driftledger.sources import formats
 from driftledger.streaming import flows
 
@@ -80,6 +80,23 @@ def test_verify_counts_corrupt_and_missing(files):
     assert (row.kept, row.removed_corrupt, row.missing, row.verified_bytes) == (3, 1, 1, 3000)
 
 
+def test_verify_removes_chunks_beyond_the_content(spark, files):
+    chunks = integrity.crc32c_chunks(files, 1000).select("file_id", "chunk_id", "crc").where("NOT (file_id = 3 AND chunk_id = 2)")
+    foreign = spark.createDataFrame([(1, 9, 0), (2, 0, 5), (77, 0, 5)], "file_id long, chunk_id long, crc long")
+    found = {r.file_id: tuple(r)[1:] for r in integrity.chunk_verify(files, chunks.union(foreign), 1000).collect()}
+    # kept, removed_corrupt, missing, verified_bytes, kept_ranges, missing_ranges
+    assert found == {1: (1, 1, 0, 9, 1, 0), 2: (0, 1, 0, 0, 0, 0), 3: (4, 0, 1, 4000, 2, 1), 4: (3, 0, 0, 3000, 1, 0), 5: (1, 0, 0, 2, 1, 0), 77: (0, 1, 0, 0, 0, 0)}
+
+
+def test_tree_sha256_is_of_the_sequence(spark):
+    rows = [("r", f"p{i % 50:02d}/{i}", i, hashlib.sha256(b"x" * i).hexdigest()) for i in range(120)] + [("s", "a", 0, hashlib.sha256(b"").hexdigest())]
+    found = {r.root: (r.tree_hash, r.file_count, r.bytes) for r in integrity.tree_sha256(spark.createDataFrame(rows, "root string, relative_path string, size long, sha256 string")).collect()}
+    for root in "rs":
+        own = sorted((p, n, h) for r, p, n, h in rows if r == root)
+        text = b"".join(p.encode() + b"\0" + str(n).encode() + b"\0" + h.encode() + b"\0" for p, n, h in own)
+        assert found[root] == (hashlib.sha256(text).hexdigest(), len(own), sum(n for _, n, _ in own))
+
+
 def test_compression(files):
     rows = {r.file_id: r for r in integrity.compress_sample(files, 1024).collect()}
     assert rows[2].reason == "empty_file" and rows[3].decision == "compression_candidate"
@@ -109,25 +126,43 @@ def test_manifest_rules(spark, tmp_path):
 def test_progress_across_words(spark):
     words = spark.createDataFrame([(1, c) for c in (0, 1, 62, 63, 64, 65, 130, 127, 128)], "file_id long, chunk_id long")
     got = flows.progress(flows.progress_words(words), spark.createDataFrame([(1, 131 * 8 - 3), (2, 0)], "file_id long, total long"), 8).collect()
-    assert {r.file_id: (r.bytes, r.ranges, r.complete) for r in got} == {1: (72, 4, False), 2: (0, 0, True)}
-
-
-def test_ramp_stream_equals_its_rules(spark):
-    rows = Tables(spark, DATA).events.withColumn("value", F.floor("value").cast("long"))
-    wanted = []
-    for _, group in stream_queries.links(rows).toPandas().sort_values(["ts", "event_id"]).groupby("link_id"):
-        state = (1, 0, 0)
-        for row in group.itertuples():
-            state, action, reason = flows.ramp_step(state, row.fill, row.pressure, row.retries, stream_queries.MOST)
-            wanted.append((row.link_id, row.event_id, state[0], action, reason))
-    got = [(r.link_id, r.event_id, r.target, r.action, r.reason) for r in registry.QUERIES["stream_ramp"](spark, DATA).collect()]
-    assert sorted(got) == sorted(wanted)
-    assert {a for *_, a, _ in got} == {"up", "down", "hold"}
-
-
-def test_ramp_rules():
-    assert flows.ramp_step((1, 1, 0), 0.1, 0, 0, 4) == ((2, 0, 0), "up", "low_watermark")
-    assert flows.ramp_step((2, 0, 0), 1.0, 0, 0, 4) == ((2, 0, 0), "hold", "balanced")
-    assert flows.ramp_step((2, 1, 0), 2.0, 0, 0, 4) == ((1, 0, 0), "down", "high_watermark")
-    assert flows.ramp_step((1, 0, 0), 1.0, 0.9, 0, 4) == ((1, 0, 0), "hold", "send_pressure")
-    assert flows.ramp_step((3, 0, 1), 1.0, 0, 2, 4) == ((2, 0, 2), "down", "retry_pressure")
+    assert {r.file_id: (r.bytes, r.ranges, r.complete) for r in got} == {1: (69, 4, False), 2: (0, 0, True)}
+
+
+def test_progress_with_a_short_last_chunk(spark):
+    """A file of 2500 bytes in chunks of 1024: the last has 452; a chunk beyond it doesn't count."""
+    totals = spark.createDataFrame([(1, 2500), (2, 2500), (3, 2500), (4, 64 * 8), (5, 65 * 8 - 7)], "file_id long, total long")
+    acks = [(1, 2), (2, 0), (2, 2), (3, 0), (3, 1), (3, 2), (3, 3), (3, 70)]
+    words = flows.progress_words(spark.createDataFrame(acks, "file_id long, chunk_id long"))
+    got = {r.file_id: (r.bytes, r.ranges, r.complete) for r in flows.progress(words, totals.where("file_id < 4"), 1024).collect()}
+    assert got == {1: (452, 1, False), 2: (1476, 2, False), 3: (2500, 1, True)}
+    full = flows.progress_words(spark.createDataFrame([(4, c) for c in range(64)] + [(5, c) for c in range(65)], "file_id long, chunk_id long"))
+    assert {r.file_id: (r.bytes, r.complete) for r in flows.progress(full, totals.where("file_id > 3"), 8).collect()} == {4: (512, True), 5: (513, True)}
+
+
+def test_ramp_alerts(spark):
+    marks = [(0.1, 0, 0), (0.1, 0, 0), (0.1, 0, 0), (1.0, 0, 0), (0.1, 0, 0), (2.0, 0, 0), (0.1, 0.9, 0), (0.1, 0, 1), (0.1, 0, 1), (0.2, 0, 1)]
+    rows = spark.createDataFrame([(1, i, i, float(m[0]), float(m[1]), m[2]) for i, m in enumerate(marks)], "link_id long, ts long, event_id long, fill double, pressure double, retries long")
+    got = [(r.action, r.reason) for r in flows.ramp_alerts(rows).orderBy("event_id").collect()]
+    hold = ("hold", "balanced")
+    assert got == [hold, ("up", "low_watermark"), hold, hold, hold, ("down", "high_watermark"), ("down", "send_pressure"), ("down", "retry_pressure"), hold, ("up", "low_watermark")]
+
+
+def test_publications(spark):
+    sums = [("m", b, n, n, 0, 0) for b, n in ((0, 3), (1, 2), (2, 1), (3, 1), (4, 1), (5, 9), (6, 1))]
+    rows = spark.createDataFrame(sums, "manifest_id string, batch long, files long, completed long, failed long, changed long")
+    found = [(r.batch, r.generation, r.persisted_generation) for r in flows.publications(rows, 5, 3).orderBy("batch").collect()]
+    # Five changes by batch 1; three batches on by 4; nine changes in 5; the end.
+    assert found == [(1, 5, 0), (4, 8, 5), (5, 17, 8), (6, 18, 17)]
+
+
+@pytest.mark.parametrize("name", ["stream_throughput", "stream_lease", "stream_transfer_sessions", "stream_event_counts", "stream_ramp"])
+def test_streams_do_not_depend_on_files(spark, tmp_path, name):
+    """Forty files in no order of time: other batches, other watermarks, the same rows."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(40, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    one, many = (registry.QUERIES[name](spark, d).toPandas() for d in (DATA, str(tmp_path)))
+    late = many.pop("late_events").sum() if "late_events" in many else None
+    one = one.drop(columns="late_events", errors="ignore")
+    rows = lambda f: sorted(map(repr, f[sorted(f)].itertuples(index=False)))
+    assert rows(one) == rows(many) and late != 0
