@@ -52,6 +52,23 @@ def assign_round_robin(plan: DataFrame, workers: int) -> DataFrame:
     return plan.withColumn("worker", F.pmod(F.col("range_id") - 1, F.lit(workers)))
 
 
+#: Keys that one task sums in a running total over keys that are numbers.
+WIDTH = 4096
+
+
+def totals_before(rows: DataFrame, key: str, value: str, before: str) -> DataFrame:
+    """``rows`` (one for each whole-number ``key``) with ``before``: the sum of ``value`` of all smaller keys.
+
+    Sums of ranges of ``WIDTH`` keys come first, so no task sees all rows: the
+    one that orders the ranges has a row for each.
+    """
+    rows = rows.withColumn("__range", F.floor(F.col(key) / WIDTH))
+    ranges = rows.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    ranges = ranges.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn(before, inside).join(ranges, "__range").withColumn(before, F.col(before) + F.col("__start")).drop("__range", "__start")
+
+
 def interleave_weighted(items: DataFrame) -> DataFrame:
     """Fair order of a backlog: item k of a task of weight w goes in round floor((k - 1) / w)."""
     k = F.row_number().over(Window.partitionBy("task_id").orderBy("item"))
@@ -59,12 +76,11 @@ def interleave_weighted(items: DataFrame) -> DataFrame:
     rows = items.select("task_id", "item", F.floor((k - 1) / weight).cast("long").alias("round"))
     # A count of the rounds before it and of the tasks before it in its round: no window over all rows.
     per = rows.groupBy("round", "task_id").agg(F.count(F.lit(1)).alias("n"))
-    rounds = per.groupBy("round").agg(F.sum("n").alias("n"))
-    before = rounds.select("round", (F.sum("n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1))).alias("earlier"))
+    before = totals_before(per.groupBy("round").agg(F.sum("n").alias("n")), "round", "n", "earlier").select("round", "earlier")
     within = per.select("round", "task_id", F.sum("n").over(Window.partitionBy("round").orderBy("task_id").rowsBetween(Window.unboundedPreceding, -1)).alias("sooner"))
     place = F.row_number().over(Window.partitionBy("round", "task_id").orderBy("item"))
     ordered = rows.withColumn("place", place).join(within, ["round", "task_id"]).join(before, "round")
-    return ordered.select("task_id", "item", (F.coalesce("earlier", F.lit(0)) + F.coalesce("sooner", F.lit(0)) + F.col("place")).alias("dispatch_no"))
+    return ordered.select("task_id", "item", (F.col("earlier") + F.coalesce("sooner", F.lit(0)) + F.col("place")).alias("dispatch_no"))
 
 
 def validate(ranges: DataFrame, total: int) -> DataFrame:
@@ -98,14 +114,17 @@ def missing(ranges: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def coverage(ranges: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per file: out_of_bounds, duplicate, missing, empty or complete, and bytes covered."""
-    flags = ranges.withColumn("again", F.coalesce(_so_far() > F.col("begin"), F.lit(False)))
-    facts = flags.groupBy("file_id").agg(F.max("stop").alias("last"), F.min("begin").alias("first"), F.bool_or("again").alias("again"))
-    done = coalesce(ranges).groupBy("file_id").agg(F.sum(F.col("stop") - F.col("begin")).alias("done"))
-    rows = totals.join(facts, "file_id", "left").join(done, "file_id", "left")
+    """Per file: out_of_bounds, duplicate, missing, empty or complete, and bytes covered.
+
+    One pass: a range adds what lies beyond all ranges before it.
+    """
+    rows = ranges.withColumn("past", _so_far())
+    added = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("begin"), F.coalesce("past", "begin")))
+    again = F.coalesce(F.col("past") > F.col("begin"), F.lit(False))
+    facts = rows.groupBy("file_id").agg(F.max("stop").alias("last"), F.min("begin").alias("first"), F.bool_or(again).alias("again"), F.sum(added).alias("done"))
     bytes_ = F.coalesce("done", F.lit(0))
     status = F.when((F.col("last") > F.col("total")) | (F.col("first") < 0), "out_of_bounds").when(F.col("again"), "duplicate").when(bytes_ < F.col("total"), "missing").when(F.col("total") == 0, "empty").otherwise("complete")
-    return rows.select("file_id", status.alias("status"), bytes_.alias("bytes_completed"))
+    return totals.join(facts, "file_id", "left").select("file_id", status.alias("status"), bytes_.alias("bytes_completed"))
 
 
 def exact_cover(ranges: DataFrame, totals: DataFrame) -> DataFrame:
@@ -141,17 +160,16 @@ def union_seconds(intervals: DataFrame, key: list[str]) -> DataFrame:
     return sums.join(union, "file_id", "left").select(*(F.col(f"file_id.{k}").alias(k) for k in key), "calls", "sum_us", F.coalesce("union_us", F.lit(0)).alias("union_us"), "invalid")
 
 
-def overlap_seconds(left: DataFrame, right: DataFrame, key: str, bucket: int) -> DataFrame:
+def overlap_seconds(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Per key: time of ``left``, of ``right`` and of both at once, in microseconds.
 
-    Both sides are merged first, so each merged interval meets few others; the
-    range join is an equi-join on time buckets, and a pair counts in the first
-    bucket that it shares.
+    A sweep over the starts and stops of both sides: between two of them the open
+    intervals of each side are known, however long an interval is.  Negative intervals count nothing.
     """
-    a, b = (coalesce(x.select(F.col(key).alias("file_id"), "begin", "stop")).select("file_id", F.col("begin").alias(f"{n}0"), F.col("stop").alias(f"{n}1")) for x, n in ((left, "a"), (right, "b")))
-    spread = lambda x, n: x.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{n}0") / bucket), F.floor(F.col(f"{n}1") / bucket))))
-    start, stop = F.greatest("a0", "b0"), F.least("a1", "b1")
-    met = spread(a, "a").join(spread(b, "b"), ["file_id", "bucket"]).where((start < stop) & (F.floor(start / bucket) == F.col("bucket")))
-    both = met.groupBy("file_id").agg(F.sum(stop - start).alias("both"))
-    sums = [x.groupBy("file_id").agg(F.sum(F.col(f"{n}1") - F.col(f"{n}0")).alias(m)) for x, n, m in ((a, "a", "wait_us"), (b, "b", "hold_us"))]
-    return sums[0].join(sums[1], "file_id", "full").join(both, "file_id", "left").select(F.col("file_id").alias(key), F.coalesce("wait_us", F.lit(0)).alias("wait_us"), F.coalesce("hold_us", F.lit(0)).alias("hold_us"), F.coalesce("both", F.lit(0)).alias("overlap_us"))
+    steps = lambda rows, a, b: rows.where("stop >= begin").select(F.col(key).alias("key"), F.inline(F.array(F.struct(F.col("begin").alias("at"), F.lit(a).alias("a"), F.lit(b).alias("b")), F.struct(F.col("stop").alias("at"), F.lit(-a).alias("a"), F.lit(-b).alias("b")))))
+    marks = steps(left, 1, 0).unionByName(steps(right, 0, 1)).groupBy("key", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    by = Window.partitionBy("key").orderBy("at")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    spans = marks.select("key", (F.sum("a").over(so_far) > 0).alias("a"), (F.sum("b").over(so_far) > 0).alias("b"), (F.lead("at", 1).over(by) - F.col("at")).alias("us"))
+    time = lambda c, n: F.coalesce(F.sum(F.when(c, F.col("us"))), F.lit(0)).alias(n)
+    return spans.groupBy(F.col("key").alias(key)).agg(time(F.col("a"), "wait_us"), time(F.col("b"), "hold_us"), time(F.col("a") & F.col("b"), "overlap_us"))

@@ -25,11 +25,12 @@ def summary(runs: DataFrame, keys: list[str], spread_limit: float = 20.0) -> Dat
     return rows.withColumn("result", verdict).drop("first")
 
 
-def passing_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Statistics of passing rows only; groups without one have nulls."""
-    ok = F.when(F.col("result") == "pass", F.col("goodput"))
-    stage = lambda c: F.round(median(F.when(F.col("result") == "pass", F.col(c))), 6)
-    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.count(ok).alias("passing"), F.min(ok).alias("goodput_min"), F.round(median(ok), 6).alias("goodput_median"), F.max(ok).alias("goodput_max"), stage("wait_s").alias("wait_s"), stage("write_s").alias("write_s"))
+def passing_summary(runs: DataFrame, keys: list[str], stages: list[str]) -> DataFrame:
+    """Statistics of passing rows only: throughput, elapsed time and the median of each stage; groups without one have nulls."""
+    good = lambda c: F.when(F.col("result") == "pass", F.col(c))
+    ok = good("goodput")
+    n = F.count_if(F.col("result") == "pass")
+    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), n.alias("passes"), (F.count(F.lit(1)) - n).alias("fails"), F.min(ok).alias("goodput_min"), F.round(median(ok), 6).alias("goodput_median"), F.max(ok).alias("goodput_max"), *(F.round(median(good(c)), 6).alias(f"{c}_median") for c in ("elapsed", *stages)))
 
 
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -60,30 +61,69 @@ def mode_compare(medians: DataFrame, key: list[str], config: str, left: str, rig
     return wide.select(*key, F.col(left).alias("left_median"), F.col(right).alias("right_median"), F.round(F.col(right) - F.col(left), 6).alias("delta"))
 
 
-def paired_gate(runs: DataFrame, experiment: str, pair: str, arm: str, arms: tuple[str, str], value: str, size_bytes: int) -> DataFrame:
+def run_ratios(medians: DataFrame, older: DataFrame, key: str, config: str, left: str, right: str) -> DataFrame:
+    """Ratio of two systems' medians of each key, and of the second one's to an older run's; keys that lack one are dropped."""
+    now = mode_compare(medians, [key], config, left, right)
+    was = older.where(F.col(config) == right).select(key, F.col("median").alias("older"))
+    return now.join(was, key).select(key, F.round(F.col("right_median") / F.col("left_median"), 6).alias("ratio"), F.round(F.col("right_median") / F.col("older"), 6).alias("older_ratio"))
+
+
+def paired_gate(runs: DataFrame, experiment: str, pair: str, arm: str, arms: tuple[str, str], value: str, size_bytes: int, parts: tuple[str, ...] = (), wall: str | None = None) -> DataFrame:
     """All experiments at once: medians, rates, variation and paired improvement of two arms in ``value`` seconds.
 
     Improvement is (a - b) / a in percent; variation is the population deviation
-    over the mean.
+    over the mean, also of ``wall`` if it is named.  Preconditions are columns:
+    ``reps_ok`` (pairs numbered from 1, both arms in each), ``content_ok`` (one
+    ``digest`` in all rows), ``errors`` (their sum) and ``parts_ok`` (``parts`` sum to the value).
     """
     a, b = arms
-    wide = runs.groupBy(experiment, pair).pivot(arm, [a, b]).agg(F.first(value)).withColumnsRenamed({a: "a", b: "b"}).withColumn("gain", (F.col("a") - F.col("b")) / F.col("a") * 100)
+    whole = F.lit(True)
+    for i, name in enumerate(parts):
+        whole = F.abs(sum((F.col(c) for c in parts[1:]), F.col(parts[0])) - F.col(value)) <= 1e-6 if i == 0 else whole
+    facts = [F.first(value).alias("v"), F.first(wall or value).alias("w"), F.sum("errors").alias("e"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.bool_and(whole).alias("p")]
+    wide = runs.groupBy(experiment, pair).pivot(arm, [a, b]).agg(*facts)
+    side = lambda n, x: F.col(f"{x}_{n}")
+    both = side("v", a).isNotNull() & side("v", b).isNotNull()
+    wide = wide.select(experiment, pair, side("v", a).alias("a"), side("v", b).alias("b"), side("w", a).alias("aw"), side("w", b).alias("bw"), both.alias("both"), (F.coalesce(side("e", a), F.lit(0)) + F.coalesce(side("e", b), F.lit(0))).alias("e"), F.least(side("least", a), side("least", b)).alias("least"), F.greatest(side("most", a), side("most", b)).alias("most"), (F.coalesce(side("p", a), F.lit(True)) & F.coalesce(side("p", b), F.lit(True))).alias("p"))
+    wide = wide.withColumn("gain", (F.col("a") - F.col("b")) / F.col("a") * 100)
     rate = lambda c: F.round(F.lit(size_bytes * 8.0) / median(c) / 1e9, 6)
     vary = lambda c: F.round(F.stddev_pop(c) / F.avg(c), 6)
-    return wide.groupBy(experiment).agg(F.count(F.lit(1)).alias("pairs"), F.round(median("a"), 6).alias("a_median"), F.round(median("b"), 6).alias("b_median"), rate("a").alias("a_gbps"), rate("b").alias("b_gbps"), vary("a").alias("a_cv"), vary("b").alias("b_cv"), F.count_if(F.col("gain") > 0).alias("improved_pairs"), F.round(median("gain"), 6).alias("gain_pct"), F.round(F.percentile("a", F.lit(0.95)), 6).alias("a_p95"), F.round(F.percentile("b", F.lit(0.95)), 6).alias("b_p95"))
+    n = F.count(F.lit(1))
+    reps = F.bool_and("both") & (F.min(pair) == 1) & (F.max(pair) == n)
+    walls = [vary("aw").alias("a_wall_cv"), vary("bw").alias("b_wall_cv")] if wall else []
+    return wide.groupBy(experiment).agg(n.alias("pairs"), F.round(median("a"), 6).alias("a_median"), F.round(median("b"), 6).alias("b_median"), rate("a").alias("a_gbps"), rate("b").alias("b_gbps"), vary("a").alias("a_cv"), vary("b").alias("b_cv"), *walls, F.count_if(F.col("gain") > 0).alias("improved_pairs"), F.round(median("gain"), 6).alias("gain_pct"), F.round(F.percentile("a", F.lit(0.95)), 6).alias("a_p95"), F.round(F.percentile("b", F.lit(0.95)), 6).alias("b_p95"), reps.alias("reps_ok"), (F.min("least") == F.max("most")).alias("content_ok"), F.sum("e").alias("errors"), F.bool_and("p").alias("parts_ok"))
 
 
 def gate(report: DataFrame, rule: str, least_pairs: int) -> DataFrame:
-    """A verdict for each experiment of a report; too few pairs make it invalid."""
-    valid = F.col("pairs") >= least_pairs
-    return report.select("*", valid.alias("valid"), F.when(~valid, "invalid").when(F.expr(rule), "go").otherwise("no_go").alias("verdict"))
+    """A verdict for each experiment of a report; one that breaks a precondition is invalid, with the first as ``reason``."""
+    reason = F.when(F.col("pairs") < least_pairs, "pairs").when(~F.col("reps_ok"), "reps").when(~F.col("content_ok"), "content").when(~F.col("parts_ok"), "parts")
+    verdict = F.when(reason.isNotNull(), "invalid").when(F.expr(rule), "go").otherwise("no_go")
+    return report.select("*", reason.isNull().alias("valid"), reason.alias("reason"), verdict.alias("verdict"))
+
 
+#: Width of a time range whose rows are ordered in one task, microseconds: a day.
+SPAN = 86_400_000_000
 
-def counter_delta(counters: DataFrame) -> DataFrame:
-    """Change of each counter since its last snapshot; a fall is a regression."""
-    before = F.lag("value").over(Window.partitionBy("host", "name").orderBy("ts", "event_id"))
-    rows = counters.withColumn("delta", F.col("value") - before).where("delta is not null")
-    return rows.select("host", "name", "event_id", "delta", (F.col("delta") < 0).alias("regressed"))
+
+def counter_delta(counters: DataFrame, gauges: str = "") -> DataFrame:
+    """Change of each counter since its last snapshot; a fall is a regression, and so is a counter that is missing.
+
+    A counter is missing from a host's snapshot if it was there before and isn't in the
+    last one; that row has no ``event_id`` and no ``delta``.  Names that match ``gauges`` may fall
+    and are left out.  Rows are ordered in ranges of time; each range's first row
+    takes what the range before ended with, so a counter of very many rows is split.
+    """
+    rows = counters.where(~F.col("name").rlike(gauges)) if gauges else counters
+    rows = rows.withColumn("span", F.expr(f"unix_micros(cast(ts AS timestamp)) div {SPAN}"))
+    last = rows.groupBy("host", "name", "span").agg(F.max_by("value", F.struct("ts", "event_id")).alias("ended"))
+    carried = last.select("host", "name", "span", F.lag("ended").over(Window.partitionBy("host", "name").orderBy("span")).alias("carried"))
+    inside = F.lag("value").over(Window.partitionBy("host", "name", "span").orderBy("ts", "event_id"))
+    rows = rows.withColumn("before", inside).join(carried, ["host", "name", "span"])
+    rows = rows.withColumn("delta", F.col("value") - F.coalesce("before", "carried")).where("delta is not null")
+    found = rows.select("host", "name", "event_id", "delta", (F.col("delta") < 0).alias("regressed"))
+    newest = last.groupBy("host").agg(F.max("span").alias("newest"))
+    gone = last.groupBy("host", "name").agg(F.max("span").alias("seen")).join(newest, "host").where("seen < newest")
+    return found.unionByName(gone.select("host", "name", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("delta"), F.lit(True).alias("regressed")))
 
 
 def append_watermark(acks: DataFrame) -> DataFrame:
@@ -106,11 +146,43 @@ def lease_transitions(events: DataFrame) -> DataFrame:
     return rows.withColumn("legal", legal)
 
 
+#: Parts of a range of values that are counted to find its quantiles.
+PARTS = 4096
+
+
+def quantiles(rows: DataFrame, value: str, fractions: list[float]) -> list[float | None]:
+    """Exact linear quantiles of a column over all rows, without bringing them together.
+
+    Values are counted in ``PARTS`` parts of their range; only the parts that hold a wanted
+    rank are ordered, each in a task of its own, by distinct value.
+    """
+    low, high, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()
+    if not n:
+        return [None] * len(fractions)
+    width = max((high - low) / PARTS, 1e-300)
+    part = F.least(F.floor((F.col(value) - low) / width), F.lit(PARTS - 1)).cast("int")
+    counts = sorted(map(tuple, rows.where(F.col(value).isNotNull()).groupBy(part.alias("part")).count().collect()))
+    before, total = {}, 0
+    for k, c in counts:
+        before[k], total = total, total + c
+    places = [f * (n - 1) for f in fractions]
+    ranks = sorted({int(r) for p in places for r in (p // 1, -(-p // 1))})
+    of = {r: max(k for k in before if before[k] <= r) for r in ranks}
+    held = rows.where(part.isin(*set(of.values()))).groupBy(part.alias("part"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.array(*(F.struct(F.lit(k).alias("part"), F.lit(r - before[k]).cast("long").alias("at"), F.lit(r).alias("rank")) for r, k in of.items()))
+    ends = held.withColumn("stop", F.sum("c").over(inside)).select("v", "c", "stop", "part", F.explode(wanted).alias("w"))
+    hits = ends.where((F.col("w.part") == F.col("part")) & (F.col("w.at") < F.col("stop")) & (F.col("w.at") >= F.col("stop") - F.col("c")))
+    at = {r["rank"]: r["v"] for r in hits.select("w.rank", "v").collect()}
+    return [at[int(p // 1)] + (p % 1) * (at[int(-(-p // 1))] - at[int(p // 1)]) for p in places]
+
+
 def queue_wait(events: DataFrame) -> DataFrame:
-    """Seconds from each lease's first claim to its first flight after it, described over all leases."""
+    """Microseconds from each lease's first claim to its first flight after it, described over all leases."""
     start = events.where("state = 'claimed'").groupBy("lease_id").agg(F.min("ts").alias("start"))
     waits = events.where("state = 'in_flight'").join(start, "lease_id").where("ts >= start").groupBy("lease_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("us"))
-    return waits.agg(F.count(F.lit(1)).alias("leases"), F.round(F.percentile("us", F.lit(0.5)), 3).alias("p50_us"), F.round(F.percentile("us", F.lit(0.95)), 3).alias("p95_us"), F.max("us").alias("max_us"))
+    p50, p95 = quantiles(waits, "us", [0.5, 0.95])
+    return waits.agg(F.count(F.lit(1)).alias("leases"), F.round(F.lit(p50).cast("double"), 3).alias("p50_us"), F.round(F.lit(p95).cast("double"), 3).alias("p95_us"), F.max("us").alias("max_us"))
 
 
 def event_summary(events: DataFrame, code: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .ranges import coalesce
+from .ranges import coalesce, missing
 from .runs import median
 
 
@@ -52,16 +52,63 @@ def final_verify(coverage: DataFrame, policy: str, algorithm: str) -> DataFrame:
     return coverage.select("file_id", F.when(allowed, "verified_chunks").otherwise("full").alias("effective_policy"))
 
 
-def hash_reuse(before: DataFrame, now: DataFrame) -> DataFrame:
-    """Whether each root's recorded digests still hold: the same files, each once and unchanged."""
-    counted = lambda d, side: d.groupBy("root", "relative_path").agg(F.count(F.lit(1)).alias(f"{side}_n"), F.min(F.struct("size", "mtime_s")).alias(side))
-    rows = counted(before, "a").join(counted(now, "b"), ["root", "relative_path"], "full")
-    place = F.when(F.col("a").isNull(), 2).when(F.col("b").isNull(), 3).when((F.col("a_n") > 1) | (F.col("b_n") > 1), 1).when(F.col("a") != F.col("b"), 4).otherwise(9)
+#: What identifies a file's state, beside its path.
+SNAPSHOT = ("size", "device", "inode", "mtime_ns", "ctime_ns")
+
+
+def hash_reuse(before: DataFrame, after: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Whether a root's recorded digests may be used again: each file there once, unchanged, and covered by its chunks.
+
+    Both sides have root, relative_path and those of ``SNAPSHOT`` that they share; ``chunks``
+    has root, relative_path and length.  The reason is the first that holds of any file.
+    """
+    state = F.struct(*(c for c in SNAPSHOT if c in before.columns and c in after.columns))
+    side = lambda d, n: d.groupBy("root", "relative_path").agg(F.count(F.lit(1)).alias(f"{n}_times"), F.min(state).alias(n), F.min("size").alias(f"{n}_size"))
+    rows = side(before, "was").join(side(after, "now"), ["root", "relative_path"], "full")
+    held = F.lit(None).cast("long")
+    if chunks is not None:
+        rows = rows.join(chunks.groupBy("root", "relative_path").agg(F.sum("length").alias("held")), ["root", "relative_path"], "full")
+        held = F.coalesce("held", F.lit(0))
+    place = F.when((F.col("was_times") > 1) | (F.col("now_times") > 1), 1).when(F.col("was").isNull(), 2).when(F.col("now").isNull(), 3).when(F.col("was") != F.col("now"), 4).when(held != F.col("now_size"), 5).otherwise(9)
     worst = rows.groupBy("root").agg(F.min(place).alias("worst"))
-    reason = F.when(F.col("worst") == 1, "repeated").when(F.col("worst") == 2, "added").when(F.col("worst") == 3, "removed").when(F.col("worst") == 4, "changed")
+    reason = F.lit(None).cast("string")
+    for place_of, name in enumerate(("repeated", "added", "removed", "changed", "not_covered"), 1):
+        reason = F.when(F.col("worst") == place_of, name).otherwise(reason)
     return worst.select("root", (F.col("worst") == 9).alias("reusable"), reason.alias("reason"))
 
 
+def resume_stats(totals: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What a resumed transfer has of each file: chunks, verified and skipped bytes, missing bytes and ranges.
+
+    ``totals`` has file_id and total; a file without chunks has none.
+    """
+    held = chunks.select("file_id", "begin", (F.col("begin") + F.col("length")).alias("stop"))
+    merged = coalesce(held).groupBy("file_id").agg(F.sum(F.col("stop") - F.col("begin")).alias("bytes"))
+    counts = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("loaded_chunks"))
+    gaps = missing(held, totals).groupBy("file_id").agg(F.count(F.lit(1)).alias("missing_ranges"), F.sum(F.col("stop") - F.col("begin")).alias("missing_bytes"))
+    rows = totals.join(counts, "file_id", "left").join(merged, "file_id", "left").join(gaps, "file_id", "left").na.fill(0)
+    return rows.select("file_id", "loaded_chunks", F.col("bytes").alias("verified_bytes"), F.col("bytes").alias("skipped_bytes"), "missing_bytes", "missing_ranges")
+
+
+#: Bounds of pressure, CPU percent, effective ratio, and the shares of the wire and of the queue below which it lacks supply.  Fixed values.
+PRESSED, CPU_BOUND, RATIO_BOUND, WIRE_LOW, QUEUE_LOW = 0.5, 85.0, 0.95, 0.5, 0.5
+
+
+def bottleneck(runs: DataFrame, capacity_gbps: float) -> Column:
+    """What holds a run back: the first rule that holds of its summary and its link's state."""
+    c = F.col
+    wire = c("wire_gbps") / capacity_gbps
+    return (
+        F.when(c("send_pressure") > PRESSED, "network_or_receiver_backpressure")
+        .when(c("write_pressure") > PRESSED, "receiver_write")
+        .when(c("cpu") > CPU_BOUND, "cpu")
+        .when((c("ratio") < RATIO_BOUND) & (c("compressed_items") > 0), "compression")
+        .when((wire < WIRE_LOW) & (c("queue_fill") < QUEUE_LOW), "scheduler_supply")
+        .when(wire < WIRE_LOW, "network_or_receiver_backpressure")
+        .otherwise("unknown_or_balanced")
+    )
+
+
 def freshness(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Recorded artifacts that are ``missing`` or whose digest is another (``stale_hash``)."""
     rows = recorded.join(current.select("path", F.col("sha256").alias("now")), "path", "left")
@@ -116,15 +163,39 @@ def preset_costs(profiles: DataFrame, presets: list[dict], rtt: float, bandwidth
     return rows.withColumn("dominant", name)
 
 
-def spread_summary(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Least, median, most, nearest-rank 95th percentile and spread in percent of each metric."""
+#: Percent of spread that is unstable; ratio of extremes; bounds of a stage that doesn't move with its run.  Fixed values.
+UNSTABLE, OUTLIER, STILL, MOVED = 20.0, 1.5, 10.0, 30.0
+
+
+def spread_summary(runs: DataFrame, keys: list[str], metrics: list[str], stages: list[str] | None = None) -> DataFrame:
+    """Counts, and the least, median, most, nearest-rank 95th percentile and spread in percent of each metric.
+
+    The first metric is the throughput, the second, if ``stages`` are given, the
+    elapsed time.  A stage mismatch: throughput moves and no stage does, or a stage
+    moves and neither throughput nor time does.
+    """
     out = []
     for m in metrics:
         middle = median(m)
-        out += [F.min(m).alias(f"{m}_min"), F.round(middle, 6).alias(f"{m}_median"), F.max(m).alias(f"{m}_max"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {m})").alias(f"{m}_p95"), F.round(F.when(middle > 0, (F.max(m) - F.min(m)) / middle * 100).otherwise(0.0), 3).alias(f"{m}_spread")]
-    rows = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), *out)
+        spread = F.when(middle != 0, (F.max(m) - F.min(m)) / F.abs(middle) * 100).when(F.max(m) == F.min(m), 0.0)
+        out += [F.min(m).alias(f"{m}_min"), F.round(middle, 6).alias(f"{m}_median"), F.max(m).alias(f"{m}_max"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {m})").alias(f"{m}_p95"), F.round(spread, 3).alias(f"{m}_spread")]
+    ok = F.count_if(F.col("result") == "pass")
+    rows = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), ok.alias("passes"), (F.count(F.lit(1)) - ok).alias("fails"), *out)
     first = metrics[0]
-    return rows.withColumn("unstable", F.col(f"{first}_spread") > 20).withColumn("wide", F.coalesce(F.col(f"{first}_max") / F.nullif(f"{first}_min", F.lit(0.0)) > 1.5, F.lit(False)))
+    rows = rows.withColumn("unstable", F.coalesce(F.col(f"{first}_spread") > UNSTABLE, F.lit(False))).withColumn("wide", F.coalesce(F.col(f"{first}_max") / F.nullif(f"{first}_min", F.lit(0.0)) > OUTLIER, F.lit(False)))
+    if stages:
+        most = F.greatest(*(F.coalesce(f"{m}_spread", F.lit(0.0)) for m in stages)) if len(stages) > 1 else F.coalesce(f"{stages[0]}_spread", F.lit(0.0))
+        own, time = (F.coalesce(f"{m}_spread", F.lit(0.0)) for m in metrics[:2])
+        rows = rows.withColumn("stage_mismatch", ((own > UNSTABLE) & (most < STILL)) | ((own < STILL) & (most > MOVED) & (time < STILL)))
+    return rows
+
+
+def tree_summary(runs: DataFrame, keys: list[str], sums: list[str], metrics: list[str], common: str) -> DataFrame:
+    """Outcomes, statistics of each metric, sums of counters and the most common ``common`` of each group."""
+    is_ = lambda r: F.count_if(F.col("result") == r)
+    stats = [c for m in metrics for c in (F.min(m).alias(f"{m}_min"), F.round(median(m), 6).alias(f"{m}_median"), F.max(m).alias(f"{m}_max"))]
+    rows = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), is_("pass").alias("passes"), is_("fail_runtime").alias("fails"), F.count_if(~F.col("hash_match")).alias("hash_mismatches"), *stats, *(F.sum(c).alias(c) for c in sums))
+    return rows.join(most_common(runs, keys, common), keys)
 
 
 def most_common(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -175,15 +246,15 @@ def recommend(summary: DataFrame, medians: DataFrame, keys: list[str], config: s
 def least_loaded(items: DataFrame, links: DataFrame) -> DataFrame:
     """A healthy link of the least load per capacity for each item; links that tie take turns by the item's index.
 
-    Load doesn't change while items are dealt, so only tied links matter: they are
-    numbered, and an item joins its number.  Without a healthy link nothing is dealt.
+    ``links`` may have ``draining``: such links get nothing.  Load doesn't change while
+    items are dealt, so only tied links matter; their ids are one array, a scalar
+    of the plan, which items index.  Without a healthy link nothing is dealt.
     """
     load = F.round((F.col("ready_bytes") / F.col("capacity")).cast("double"), 9)
-    healthy = links.where("healthy").select("link_id", load.alias("load"))
-    tied = healthy.where(F.col("load") == healthy.agg(F.min("load")).first()[0]) if healthy.take(1) else healthy
-    n = max(tied.count(), 1)
-    numbered = tied.select("link_id", (F.row_number().over(Window.orderBy("link_id")) - 1).cast("long").alias("turn"))
-    return items.withColumn("turn", F.pmod(F.col("index"), F.lit(n))).join(numbered, "turn").drop("turn")
+    usable = links.where("healthy AND NOT draining") if "draining" in links.columns else links.where("healthy")
+    tied = usable.groupBy(load.alias("load")).agg(F.array_sort(F.collect_list("link_id")).alias("ids")).agg(F.min_by("ids", "load")).scalar()
+    turn = F.pmod(F.col("index"), F.greatest(F.size(tied), F.lit(1))).cast("int")
+    return items.withColumn("link_id", F.get(tied, turn)).where("link_id IS NOT NULL")
 
 
 def artifact_finding(path: Column, content: Column, built: str, suffixes: str) -> Column:

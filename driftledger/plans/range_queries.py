@@ -41,7 +41,7 @@ QUERIES = {
     "progress_snapshot": lambda t: ranges.progress(_totals(t), t.f2, CHUNK),
     "interval_union_seconds": lambda t: ranges.union_seconds(t.stage, ["lane", "stage"]),
     "work_profile": lambda t: ranges.union_seconds(t.stage, ["lane"]),
-    "interval_overlap": lambda t: ranges.overlap_seconds(t.stage.where("stage = 'view'"), t.stage.where("stage = 'click'"), "lane", 3_600_000_000),
+    "interval_overlap": lambda t: ranges.overlap_seconds(t.stage.where("stage = 'view'"), t.stage.where("stage = 'click'"), "lane"),
 }
 
 _RANGES = """SELECT file_id, size, size > {th} AS striped,

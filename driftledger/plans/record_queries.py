@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftledger.operators import records, runs
+from driftledger.operators import integrity, records, runs
 
 from .tables import Tables, sql
 
 KEYS = ["system", "dataset", "direction"]
+#: Keys of the summaries and the stages whose medians they have.  Fixed values.
+COMPARE_KEYS = ["system", "stage", "dataset", "direction", "file_parallelism", "per_file_connections", "control_pipeline_depth", "scheduler", "scheduler_policy", "file_io_backend", "queue_depth", "batch_size"]
+MATRIX_KEYS = ["direction", "checksum_algorithm", "preallocate", "file_io_buffer_size", "file_io_advice", "final_verify_policy", "final_verify_policy_effective"]
+STAGES = ["stage_read_seconds", "stage_write_seconds", "file_io_wait_seconds", "stage_read_calls", "stage_write_calls", "stage_read_avg_bytes_per_call", "stage_write_avg_bytes_per_call", "stage_manifest_flush_seconds", "stage_final_verify_seconds", "stage_rename_commit_seconds", "stage_overall_seconds"]
 SIZE = 8 << 30
 
 
@@ -18,11 +22,11 @@ def _medians(t: Tables):
 
 
 def _paired(t: Tables):
-    return runs.paired_gate(t.f4p, "dataset", "rep", "arm", ("F", "O"), "seconds", SIZE)
+    return runs.paired_gate(t.f4p, "dataset", "rep", "arm", ("F", "O"), "seconds", SIZE, ("read_s", "send_s"), "wall_s")
 
 
 def _gated(rule, pairs=5):
-    return lambda t: runs.gate(_paired(t), rule, pairs).select("dataset", "pairs", "improved_pairs", "gain_pct", "valid", "verdict")
+    return lambda t: runs.gate(_paired(t), rule, pairs).select("dataset", "pairs", "improved_pairs", "gain_pct", "valid", "reason", "verdict")
 
 
 def _acks(t: Tables):
@@ -36,21 +40,29 @@ def _lines(t: Tables):
 
 #: Rules on a report's columns, as SQL.
 GATES = {
-    "gate_m1": "b_gbps >= 0.001 AND a_cv <= 0.05 AND b_cv <= 0.05 AND improved_pairs >= 4",
-    "gate_m2": "b_gbps >= 0.0015 AND b_cv <= 0.05 AND improved_pairs >= 4",
-    "gate_overhead": "gain_pct <= -5 AND pairs - improved_pairs >= 4",
+    "gate_m1": "b_gbps >= 0.001 AND a_cv <= 0.05 AND b_cv <= 0.05 AND improved_pairs >= 4 AND errors = 0",
+    "gate_m2": "b_gbps >= 0.0015 AND b_cv <= 0.05 AND improved_pairs >= 4 AND errors = 0 AND parts_ok",
+    "gate_overhead": "a_cv <= 0.05 AND b_cv <= 0.05 AND gain_pct <= -5 AND pairs - improved_pairs >= 4",
     "gate_regression": "gain_pct >= -5 AND b_cv <= 0.05",
     "gate_improvement": "gain_pct >= 20 AND a_cv <= 0.05 AND b_cv <= 0.05 AND improved_pairs = pairs AND b_p95 <= a_p95",
-    "gate_cpu": "gain_pct >= 30 AND a_cv <= 0.05 AND b_cv <= 0.05",
+    "gate_cpu": "gain_pct >= 30 AND a_cv <= 0.05 AND b_cv <= 0.05 AND a_wall_cv <= 0.05 AND b_wall_cv <= 0.05",
 }
+#: Other forms of the improvement: the smaller one, and the negative control, which must not change.
+FORMS = {"small": "gain_pct >= 10 AND a_cv <= 0.05 AND b_cv <= 0.05 AND improved_pairs = pairs AND b_p95 <= a_p95", "control": "abs(gain_pct) <= 5 AND a_cv <= 0.05 AND b_cv <= 0.05"}
 OBSERVER = "CASE WHEN a_cv > 0.05 OR b_cv > 0.05 OR abs(gain_pct) > 5 THEN 'inconclusive' ELSE 'accepted' END"
 
+
+def _improvement(t: Tables):
+    rows = runs.gate(_paired(t), GATES["gate_improvement"], 5)
+    return rows.select("dataset", "pairs", "improved_pairs", "gain_pct", "valid", "reason", "verdict", *(F.when(~F.col("valid"), "invalid").when(F.expr(rule), "go").otherwise("no_go").alias(n) for n, rule in FORMS.items()))
+
+
 QUERIES = {
-    "scan_listing": lambda t: records.listing(t.f1),
+    "scan_listing": lambda t: records.listing(t.f1).withColumn("folder", F.lit("")).unionByName(records.listing(t.f1, "web").withColumn("folder", F.lit("web"))),
     "scan_metric_lines": lambda t: records.metric_lines(_lines(t)).select("source", "line_no", *(F.col("metrics")[k].alias(f"metric_{k}") for k in ("id", "type", "n"))),
     "path_validate": lambda t: t.pages.select("page_id", "url", F.regexp_replace("url", "^https?://", "").alias("path")).union(t.pages.select("page_id", "url", "url")).select("page_id", "path", records.path_reason(F.col("path")).alias("reason")).withColumn("is_valid", F.col("reason").isNull()),
     "path_resolve": lambda t: t.f1.select("file_id", F.concat(F.element_at(F.array(F.lit("../"), F.lit("a/./"), F.lit("../../../"), F.lit("/x/../"), F.lit("")), (F.col("file_id") % 5 + 1).cast("int")), "relative_path").alias("p")).select("file_id", records.resolve("/home/u", F.col("p"))[0].alias("virtual_path"), records.resolve("/home/u", F.col("p"))[1].alias("escapes_root")),
-    "sidecar_filter": lambda t: t.f1.select("file_id", F.when(F.col("file_id") % 9 == 0, F.concat("relative_path", F.lit(".part.tmp"))).otherwise(F.col("relative_path")).alias("relative_path")).where(~F.col("relative_path").contains(".part.")),
+    "sidecar_filter": lambda t: t.f1.select("file_id", F.when(F.col("file_id") % 9 == 0, F.concat("relative_path", F.lit(".part.tmp"))).otherwise(F.col("relative_path")).alias("relative_path")).transform(records.without_sidecars),
     "transfer_id_validate": lambda t: t.f1.select("file_id", F.when(F.col("file_id") % 6 == 0, F.concat("transfer_id", F.lit("/x"))).otherwise(F.col("transfer_id")).alias("transfer_id")).withColumn("is_valid", F.col("transfer_id").rlike("^[A-Za-z0-9._-]{1,128}$")),
     "normalize_results": lambda t: t.f1.select("file_id", F.concat(F.col("size").cast("string"), F.element_at(F.array(*map(F.lit, ("", "k", "kb", "MiB", "g"))), (F.col("file_id") % 5 + 1).cast("int"))).alias("token")).select("file_id", records.size_bytes(F.col("token")).alias("bytes"), F.lower(F.hex(F.col("file_id"))).alias("hex_id"), F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("file_id")), "yyyyMMddHHmmss").alias("stamp")),
     "error_classify": lambda t: t.f3.select("sequence", "message", records.error_code(F.col("message")).alias("error_code")),
@@ -65,11 +77,11 @@ QUERIES = {
     "set_union_sources": lambda t: t.f1.select("relative_path", "size", F.lit("manifest").alias("origin")).unionByName(t.drift.select("relative_path", "size", F.lit("current").alias("origin"))),
     "dup_paths": lambda t: t.f1.select(F.col("dataset").alias("manifest_id"), F.concat("dataset", F.lit("/"), (F.col("file_id") % 40).cast("string")).alias("path")).groupBy("manifest_id", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
     "file_sha256": lambda t: t.documents.select(F.col("doc_id").alias("file_id"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256")),
-    "tree_hash_sha256": lambda t: t.documents.select("source", F.concat("source", F.lit("/"), "doc_id").alias("path"), "text").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", F.octet_length("text").cast("string"), F.sha2("text", 256)))), "|"), 256).alias("tree_hash"), F.count(F.lit(1)).alias("file_count"), F.sum(F.octet_length("text")).alias("bytes")),
+    "tree_hash_sha256": lambda t: integrity.tree_sha256(t.documents.select(F.col("source").alias("root"), F.concat("source", F.lit("/"), "doc_id").alias("relative_path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"))),
     "chunk_conflicts": lambda t: runs.chunk_conflicts(t.acks),
     "manifest_status_counts": lambda t: t.f1.groupBy(F.col("dataset").alias("manifest_id")).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("completed", "failed", "changed")), F.bool_and(F.col("status") == "completed").alias("complete")),
-    "summary_compare": lambda t: runs.summary(t.f4, KEYS),
-    "summary_matrix": lambda t: runs.passing_summary(t.f4, KEYS),
+    "summary_compare": lambda t: runs.summary(t.f4k, COMPARE_KEYS),
+    "summary_matrix": lambda t: runs.passing_summary(t.f4k, MATRIX_KEYS, STAGES),
     "stage_describe": lambda t: runs.describe(t.f4, ["system", "dataset"], "goodput"),
     "stage_share": lambda t: runs.stage_share(t.f4, ["system", "dataset"], ["wait_s", "write_s"]),
     "phase_totals": lambda t: t.f3.groupBy("transfer_id", F.col("event").alias("phase")).agg(F.round(F.sum("elapsed_seconds"), 4).alias("seconds"), F.sum("bytes").alias("bytes")),
@@ -83,28 +95,34 @@ QUERIES = {
     "best_config": lambda t: _medians(t).groupBy("dataset").agg(F.max_by("mode", F.struct("median", "mode")).alias("mode"), F.max("median").alias("median")),
     "top_slow": lambda t: t.f4.where("result = 'pass'").orderBy("goodput", "repeat_index", "line", "system", "dataset").limit(8).select("repeat_index", "line", "goodput"),
     "top_unstable": lambda t: runs.summary(t.f4, KEYS).where("unstable").orderBy(F.desc("spread_pct"), *KEYS).limit(24).select(*KEYS, "spread_pct"),
-    "counter_delta": lambda t: runs.counter_delta(t.counter),
+    "counter_delta": lambda t: runs.counter_delta(t.counter.where("NOT (host = 3 AND name = 'click' AND event_id > 300)"), "^signup$"),
     "append_watermark": lambda t: runs.append_watermark(_acks(t)),
     "lease_transitions": lambda t: runs.lease_transitions(t.lease),
     "queue_wait": lambda t: runs.queue_wait(t.lease),
     "gate_ab": _paired,
     "gate_observer": lambda t: _paired(t).select("dataset", F.expr(OBSERVER).alias("verdict")),
     **{k: _gated(rule) for k, rule in GATES.items()},
+    "gate_improvement": _improvement,
 }
 
 _MEDIANS = "meds AS (SELECT dataset, system AS mode, round(quantile_cont(goodput, 0.5), 6) AS median FROM f4 GROUP BY 1, 2)"
-_SUMMARY = """s0 AS (SELECT system, dataset, direction, count(*) AS repeats, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result = 'blocked') AS blocked, count(*) FILTER (result LIKE 'fail%') AS fails, round(quantile_cont(goodput, 0.5), 6) AS median_goodput, min(goodput) AS min_goodput, max(goodput) AS max_goodput, arg_min(result, (repeat_index, line)) AS first FROM f4 GROUP BY 1, 2, 3),
+def _summary(keys: list[str], table: str) -> str:
+    k = ", ".join(keys)
+    return f"""s0 AS (SELECT {k}, count(*) AS repeats, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result = 'blocked') AS blocked, count(*) FILTER (result LIKE 'fail%') AS fails, round(quantile_cont(goodput, 0.5), 6) AS median_goodput, min(goodput) AS min_goodput, max(goodput) AS max_goodput, arg_min(result, (repeat_index, line)) AS first FROM {table} GROUP BY {k}),
  s1 AS (SELECT *, CASE WHEN median_goodput > 0 THEN round((max_goodput - min_goodput) / median_goodput * 100, 3) ELSE 0.0 END AS spread_pct FROM s0),
  s AS (SELECT * EXCLUDE (first), spread_pct > 20 AS unstable, CASE WHEN fails > 0 THEN 'fail_runtime' WHEN blocked > 0 AND blocked = repeats THEN first WHEN spread_pct > 20 THEN 'inconclusive_unstable' WHEN passes = repeats THEN 'pass' WHEN blocked > 0 THEN 'partial_blocked' ELSE first END AS result FROM s1)"""
-_PAIRED = """w AS (SELECT dataset, rep, first(seconds) FILTER (arm = 'F') AS a, first(seconds) FILTER (arm = 'O') AS b FROM f4p GROUP BY 1, 2), g AS (SELECT *, (a - b) / a * 100 AS gain FROM w),
- r AS (SELECT dataset, count(*) AS pairs, round(quantile_cont(a, 0.5), 6) AS a_median, round(quantile_cont(b, 0.5), 6) AS b_median, round(8589934592 * 8.0::DOUBLE / quantile_cont(a, 0.5) / 1e9, 6) AS a_gbps, round(8589934592 * 8.0::DOUBLE / quantile_cont(b, 0.5) / 1e9, 6) AS b_gbps, round(stddev_pop(a) / avg(a), 6) AS a_cv, round(stddev_pop(b) / avg(b), 6) AS b_cv, count(*) FILTER (gain > 0) AS improved_pairs, round(quantile_cont(gain, 0.5), 6) AS gain_pct, round(quantile_cont(a, 0.95), 6) AS a_p95, round(quantile_cont(b, 0.95), 6) AS b_p95 FROM g GROUP BY 1)"""
-_DRIFTED = "j AS (SELECT coalesce(a.relative_path, b.relative_path) AS path, CASE WHEN b.size IS NULL THEN 'missing' WHEN a.size IS NULL THEN 'extra' WHEN a.size <> b.size OR a.mtime_s <> b.mtime_s THEN 'changed' ELSE 'unchanged' END AS verdict, a.size AS manifest_size, b.size AS current_size FROM f1 a FULL JOIN drift b ON a.relative_path = b.relative_path)"
+
+
+_SUMMARY = _summary(KEYS, "f4")
+_PAIRED = """w AS (SELECT dataset, rep, first(seconds) FILTER (arm = 'F') AS a, first(seconds) FILTER (arm = 'O') AS b, first(wall_s) FILTER (arm = 'F') AS aw, first(wall_s) FILTER (arm = 'O') AS bw, sum(errors) AS e, min(digest) AS lo, max(digest) AS hi, bool_and(abs(read_s + send_s - seconds) <= 1e-6) AS p FROM f4p GROUP BY 1, 2), g AS (SELECT *, (a - b) / a * 100 AS gain FROM w),
+ r AS (SELECT dataset, count(*) AS pairs, round(quantile_cont(a, 0.5), 6) AS a_median, round(quantile_cont(b, 0.5), 6) AS b_median, round(8589934592 * 8.0::DOUBLE / quantile_cont(a, 0.5) / 1e9, 6) AS a_gbps, round(8589934592 * 8.0::DOUBLE / quantile_cont(b, 0.5) / 1e9, 6) AS b_gbps, round(stddev_pop(a) / avg(a), 6) AS a_cv, round(stddev_pop(b) / avg(b), 6) AS b_cv, round(stddev_pop(aw) / avg(aw), 6) AS a_wall_cv, round(stddev_pop(bw) / avg(bw), 6) AS b_wall_cv, count(*) FILTER (gain > 0) AS improved_pairs, round(quantile_cont(gain, 0.5), 6) AS gain_pct, round(quantile_cont(a, 0.95), 6) AS a_p95, round(quantile_cont(b, 0.95), 6) AS b_p95, count(a) = count(*) AND count(b) = count(*) AND min(rep) = 1 AND max(rep) = count(*) AS reps_ok, min(lo) = max(hi) AS content_ok, sum(e)::BIGINT AS errors, bool_and(p) AS parts_ok FROM g GROUP BY 1)"""
+_DRIFTED = "j AS (SELECT coalesce(a.relative_path, b.relative_path) AS path, CASE WHEN b.size IS NULL THEN 'missing' WHEN a.size IS NULL THEN 'extra' WHEN a.size <> b.size OR a.mtime_s <> b.mtime_s THEN 'changed' ELSE 'unchanged' END AS verdict, a.size AS manifest_size, b.size AS current_size, CASE WHEN b.size IS NULL THEN 'missing: ' || a.relative_path WHEN a.size IS NULL THEN 'extra: ' || b.relative_path WHEN a.size <> b.size OR a.mtime_s <> b.mtime_s THEN 'changed: ' || a.relative_path END AS message FROM f1 a FULL JOIN drift b ON a.relative_path = b.relative_path)"
 _PROFILE = "SELECT dataset, count(*) AS files, sum(size)::BIGINT AS bytes, min(size) AS size_min, max(size) AS size_max, round(quantile_cont(size, 0.5), 6) AS size_p50, round(quantile_cont(size, 0.9), 6) AS size_p90, round(avg(size), 6) AS size_mean FROM f1 GROUP BY 1"
 _STEPS = ", ".join(f"('{a}', '{b}')" for a, b in runs.LEASE_STEPS)
 _LINE_OK = "NOT regexp_matches(body, '(?i)<[^>\\n]+>|\\*{3,}|REDACTED|CHANGEME|placeholder')"
 
 SQL = {
-    "scan_listing": "SELECT split_part(relative_path, '/', 1) AS name, bool_or(contains(relative_path, '/')) AS is_dir, max(CASE WHEN contains(relative_path, '/') THEN 0 ELSE size END)::BIGINT AS size, max(mtime_s) AS mtime_s FROM f1 GROUP BY 1",
+    "scan_listing": "SELECT split_part(relative_path, '/', 1) AS name, bool_or(contains(relative_path, '/')) AS is_dir, max(CASE WHEN contains(relative_path, '/') THEN 0 ELSE size END)::BIGINT AS size, max(mtime_s) AS mtime_s, '' AS folder FROM f1 GROUP BY 1 UNION ALL SELECT split_part(relative_path, '/', 2), true, 0, max(mtime_s), 'web' FROM f1 WHERE dataset = 'web' GROUP BY 1",
     "scan_metric_lines": "SELECT 'u' || user_id AS source, max(event_id) AS line_no, arg_max(event_id::VARCHAR, event_id) AS metric_id, arg_max(event_type, event_id) AS metric_type, arg_max(floor(value)::BIGINT::VARCHAR, event_id) AS metric_n FROM events GROUP BY 1",
     "path_validate": r"WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages UNION ALL SELECT page_id, url FROM pages), v AS (SELECT *, CASE WHEN coalesce(path, '') = '' THEN 'empty' WHEN regexp_matches(path, '^[/\\]') THEN 'not_relative' WHEN contains(path, '\') THEN 'backslash' WHEN regexp_matches(path, '[\x00-\x1f\x7f]') THEN 'control_character' WHEN regexp_matches(path, '^[A-Za-z]:') THEN 'drive_prefix' WHEN len(list_filter(string_split(path, '/'), lambda s: s IN ('', '.', '..'))) > 0 THEN 'bad_segment' END AS reason FROM p) SELECT *, reason IS NULL AS is_valid FROM v",
     "path_resolve": "SELECT file_id, CASE file_id % 5 WHEN 0 THEN '/home/' || relative_path WHEN 1 THEN '/home/u/a/' || relative_path WHEN 2 THEN '/' || relative_path WHEN 3 THEN '/' || relative_path ELSE '/home/u/' || relative_path END AS virtual_path, file_id % 5 = 2 AS escapes_root FROM f1",
@@ -123,11 +141,11 @@ SQL = {
     "set_union_sources": "SELECT relative_path, size, 'manifest' AS origin FROM f1 UNION ALL SELECT relative_path, size, 'current' FROM drift",
     "dup_paths": "SELECT dataset AS manifest_id, dataset || '/' || (file_id % 40) AS path, count(*) AS n FROM f1 GROUP BY 1, 2 HAVING count(*) > 1",
     "file_sha256": "SELECT doc_id AS file_id, strlen(text) AS size, sha256(text) AS sha256 FROM documents",
-    "tree_hash_sha256": "SELECT source, sha256(string_agg(x, '|' ORDER BY x)) AS tree_hash, count(*) AS file_count, sum(n)::BIGINT AS bytes FROM (SELECT source, strlen(text) AS n, source || '/' || doc_id || '|' || strlen(text) || '|' || sha256(text) AS x FROM documents) GROUP BY 1",
+    "tree_hash_sha256": "SELECT source AS root, sha256(string_agg(source || '/' || doc_id || chr(0) || strlen(text) || chr(0) || sha256(text) || chr(0), '' ORDER BY source || '/' || doc_id)) AS tree_hash, count(*) AS file_count, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1",
     "chunk_conflicts": "SELECT file_id, chunk_id, begin, count(*) AS acks, CASE WHEN count(DISTINCT (length, crc)) = 1 THEN 'duplicate' ELSE 'conflict' END AS kind FROM acks GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "manifest_status_counts": "SELECT dataset AS manifest_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'changed') AS changed, bool_and(status = 'completed') AS complete FROM f1 GROUP BY 1",
-    "summary_compare": f"WITH {_SUMMARY} SELECT * FROM s",
-    "summary_matrix": "SELECT system, dataset, direction, count(*) AS runs, count(*) FILTER (result = 'pass') AS passing, min(goodput) FILTER (result = 'pass') AS goodput_min, round(quantile_cont(goodput, 0.5) FILTER (result = 'pass'), 6) AS goodput_median, max(goodput) FILTER (result = 'pass') AS goodput_max, round(quantile_cont(wait_s, 0.5) FILTER (result = 'pass'), 6) AS wait_s, round(quantile_cont(write_s, 0.5) FILTER (result = 'pass'), 6) AS write_s FROM f4 GROUP BY 1, 2, 3",
+    "summary_compare": f"WITH {_summary(COMPARE_KEYS, 'f4k')} SELECT * FROM s",
+    "summary_matrix": f"SELECT {', '.join(MATRIX_KEYS)}, count(*) AS repeats, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result <> 'pass') AS fails, min(goodput) FILTER (result = 'pass') AS goodput_min, round(quantile_cont(goodput, 0.5) FILTER (result = 'pass'), 6) AS goodput_median, max(goodput) FILTER (result = 'pass') AS goodput_max, {', '.join(f"round(quantile_cont({c}, 0.5) FILTER (result = 'pass'), 6) AS {c}_median" for c in ('elapsed', *STAGES))} FROM f4k GROUP BY {', '.join(MATRIX_KEYS)}",
     "stage_describe": "SELECT system, dataset, count(goodput) AS count, round(sum(goodput), 4) AS sum, round(quantile_cont(goodput, 0.5), 6) AS p50, round(quantile_cont(goodput, 0.95), 6) AS p95, quantile_disc(goodput, 0.95) AS p95_rank, max(goodput) AS max FROM f4 GROUP BY 1, 2",
     "stage_share": "WITH x AS (SELECT system, dataset, sum(wait_s) AS wait_s, sum(write_s) AS write_s FROM f4 GROUP BY 1, 2), y AS (SELECT system, dataset, 'wait_s' AS stage, wait_s AS v, wait_s + write_s AS total, wait_s >= write_s AS d FROM x UNION ALL SELECT system, dataset, 'write_s', write_s, wait_s + write_s, write_s > wait_s FROM x) SELECT system, dataset, stage, round(v, 4) AS seconds, round(v / total, 6) AS share, d AS is_dominant FROM y",
     "phase_totals": "SELECT transfer_id, event AS phase, round(sum(elapsed_seconds), 4) AS seconds, sum(bytes)::BIGINT AS bytes FROM f3 GROUP BY 1, 2",
@@ -141,12 +159,12 @@ SQL = {
     "best_config": f"WITH {_MEDIANS} SELECT dataset, arg_max(mode, (median, mode)) AS mode, max(median) AS median FROM meds GROUP BY 1",
     "top_slow": "SELECT repeat_index, line, goodput FROM f4 WHERE result = 'pass' ORDER BY goodput, repeat_index, line, system, dataset LIMIT 8",
     "top_unstable": f"WITH {_SUMMARY} SELECT system, dataset, direction, spread_pct FROM s WHERE unstable ORDER BY spread_pct DESC, system, dataset, direction LIMIT 24",
-    "counter_delta": "SELECT host, name, event_id, delta, delta < 0 AS regressed FROM (SELECT *, (value - lag(value) OVER (PARTITION BY host, name ORDER BY ts, event_id))::BIGINT AS delta FROM counter) WHERE delta IS NOT NULL",
+    "counter_delta": "WITH c AS (SELECT * FROM counter WHERE NOT (host = 3 AND name = 'click' AND event_id > 300) AND name <> 'signup'), d AS (SELECT *, (value - lag(value) OVER (PARTITION BY host, name ORDER BY ts, event_id))::BIGINT AS delta FROM c), seen AS (SELECT host, name, max(date_trunc('day', ts)) AS seen, max(max(date_trunc('day', ts))) OVER (PARTITION BY host) AS newest FROM c GROUP BY 1, 2) SELECT host, name, event_id, delta, delta < 0 AS regressed FROM d WHERE delta IS NOT NULL UNION ALL SELECT host, name, NULL, NULL, true FROM seen WHERE seen < newest",
     "append_watermark": "WITH a AS (SELECT l_orderkey AS file_id, l_linenumber::BIGINT - 1 AS chunk_id, (l_linenumber::BIGINT - 1) * 1024 AS begin, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice, l_linenumber) AS seq FROM lineitem), b AS (SELECT *, max(begin) OVER w AS max_offset, max(chunk_id) OVER w AS max_chunk_id FROM a WINDOW w AS (PARTITION BY file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT file_id, seq, max_offset, max_chunk_id, coalesce(begin > max_offset AND chunk_id > max_chunk_id, true) AS fast_path, greatest(coalesce(max_chunk_id, -1), chunk_id) + 1 AS next_id FROM b",
     "lease_transitions": f'SELECT *, ("from", "to") IN ({_STEPS}) AS legal FROM (SELECT lease_id, event_id, lag(state) OVER (PARTITION BY lease_id ORDER BY ts, event_id) AS "from", state AS "to" FROM lease) WHERE "from" IS NOT NULL',
     "queue_wait": "WITH c AS (SELECT lease_id, min(ts) AS start FROM lease WHERE state = 'claimed' GROUP BY 1), w AS (SELECT l.lease_id, min(epoch_us(l.ts::TIMESTAMP) - epoch_us(c.start::TIMESTAMP)) AS us FROM lease l JOIN c ON l.lease_id = c.lease_id WHERE l.state = 'in_flight' AND l.ts >= c.start GROUP BY 1) SELECT count(*) AS leases, round(quantile_cont(us, 0.5), 3) AS p50_us, round(quantile_cont(us, 0.95), 3) AS p95_us, max(us) AS max_us FROM w",
     "gate_ab": f"WITH {_PAIRED} SELECT * FROM r",
     "gate_observer": f"WITH {_PAIRED} SELECT dataset, CASE WHEN a_cv > 0.05 OR b_cv > 0.05 OR abs(gain_pct) > 5 THEN 'inconclusive' ELSE 'accepted' END AS verdict FROM r",
-    **{k: f"WITH {_PAIRED} SELECT dataset, pairs, improved_pairs, gain_pct, pairs >= 5 AS valid, CASE WHEN NOT pairs >= 5 THEN 'invalid' WHEN {rule} THEN 'go' ELSE 'no_go' END AS verdict FROM r" for k, rule in GATES.items()},
+    **{k: f"WITH {_PAIRED}, v AS (SELECT *, CASE WHEN pairs < 5 THEN 'pairs' WHEN NOT reps_ok THEN 'reps' WHEN NOT content_ok THEN 'content' WHEN NOT parts_ok THEN 'parts' END AS reason FROM r) SELECT dataset, pairs, improved_pairs, gain_pct, reason IS NULL AS valid, reason, CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN {rule} THEN 'go' ELSE 'no_go' END AS verdict{more} FROM v" for k, rule in GATES.items() for more in ["".join(f", CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN {f} THEN 'go' ELSE 'no_go' END AS {n}" for n, f in FORMS.items()) if k == "gate_improvement" else ""]},
 }
 SQL = {k: sql(v) for k, v in SQL.items()}

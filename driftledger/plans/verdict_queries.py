@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from driftledger.operators import ranges, records, runs, verdicts
 
 from .integrity_queries import _log_lines, _marked_lines, formats
-from .record_queries import _medians, _paired
+from .record_queries import STAGES, _medians, _paired
+from .stream_queries import totals as _short_totals
 from .tables import Tables, sql
 
 KEYS = ["system", "dataset", "direction"]
+#: Keys of the summaries of single runs and of storage runs.  Fixed values.
+PRIVATE_KEYS = ["mode", "direction", "bytes", "connections", "chunk_size", "buffer_size", "checksum_algorithm", "checksum_backend", "preallocate", "file_io_backend", "file_io_buffer_size", "file_io_queue_depth", "file_io_batch_size", "file_io_advice", "posix_write_strategy", "posix_write_strategy_effective", "manifest_flush_policy", "manifest_flush_interval_chunks", "commit_sync_policy", "final_verify_policy", "final_verify_policy_effective"]
+STORAGE_KEYS = ["side", "operation", "bytes", "buffer_size", "preallocate", "file_io_backend", "file_io_buffer_size", "file_io_queue_depth", "file_io_batch_size", "file_io_advice", "posix_write_strategy", "posix_write_strategy_effective"]
+PROBES = ["stage_read_seconds", "stage_write_seconds"]
 PRESETS = [{"name": "lean", "streams": 1, "pipeline": 64, "handshakes": 1}, {"name": "wide", "streams": 8, "pipeline": 8, "handshakes": 4}, {"name": "plain", "streams": 2, "pipeline": 1, "handshakes": 2}]
 RTT, BANDWIDTH = 0.02, 50_000.0
 SENSITIVE, BUILT, BLOCKED = "web", "^build/|/build/", r"[05]\.txt$"
@@ -70,8 +75,25 @@ def _share(t: Tables):
 
 
 def _tree(t: Tables):
-    rows = t.f4.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("result") == "pass").alias("passes"), F.count_if(F.col("result") == "fail_runtime").alias("fails"), F.round(F.sum("wait_s"), 4).alias("wait_s"))
-    return rows.join(verdicts.most_common(t.f4, KEYS, "result"), KEYS)
+    return verdicts.tree_summary(t.f4k, KEYS, ["retries"], ["goodput", "elapsed"], "bottleneck")
+
+
+def _older(t: Tables):
+    """Medians of an older run of the same datasets: the odd lines alone."""
+    return t.f4.where("line % 2 = 1").groupBy("dataset", F.col("system").alias("mode")).agg(F.round(runs.median("goodput"), 6).alias("median"))
+
+
+def _reused(t: Tables):
+    """Snapshots of files and their chunks before and after; some have another inode, some lack a chunk."""
+    files = t.f1.select(F.col("dataset").alias("root"), "relative_path", "file_id", "size", F.lit(1).alias("device"), F.col("file_id").alias("inode"), (F.col("mtime_s") * 1_000_000_000).alias("mtime_ns"), (F.col("mtime_s") * 1_000_000_000 + 5).alias("ctime_ns"))
+    after = files.withColumn("inode", F.col("inode") + F.when(F.col("file_id") % 401 == 7, 1).otherwise(0))
+    chunks = ranges.plan_chunks(t.f1, 1024, 1).join(t.f1.select("file_id", F.col("dataset").alias("root"), "relative_path"), "file_id").where("NOT (file_id % 307 = 5 AND chunk_id = 0)")
+    return verdicts.hash_reuse(files, after, chunks.select("root", "relative_path", "length"))
+
+
+def _held_back(t: Tables):
+    rows = t.f4.select("repeat_index", "line", (F.col("goodput") / 1000).alias("wire_gbps"), (F.col("wait_s") * 8).alias("send_pressure"), (F.col("write_s") * 7).alias("write_pressure"), (F.col("repeat_index") % 101).cast("double").alias("cpu"), (F.col("repeat_index") % 97 / 90).alias("ratio"), (F.col("line") % 2).alias("compressed_items"), (F.col("repeat_index") % 10 / 10).alias("queue_fill"))
+    return rows.select("repeat_index", "line", verdicts.bottleneck(rows, 100.0).alias("bottleneck"))
 
 
 def _pressure(t: Tables):
@@ -133,28 +155,28 @@ QUERIES = {
     "evidence_classify": _evidence,
     "goodput_valid": lambda t: t.f4.select("repeat_index", "line", "goodput", F.when((F.col("result") == "pass") & (F.col("goodput") > 0), F.col("goodput")).alias("valid_goodput")),
     "compression_decide": lambda t: t.events.select("event_id", verdicts.compression_decision(F.col("event_id") % 100 / 100, F.col("event_id") % 7 / 2, F.col("event_id") % 101 * 1.0, F.col("event_id") % 11 / 10).alias("reason")),
-    "bottleneck_classify": lambda t: t.f4.select("repeat_index", "line", F.when(F.col("wait_s") >= 0.08, "network_or_receiver_backpressure").when(F.col("write_s") >= 0.06, "receiver_write").when(F.col("wait_s") + F.col("write_s") >= 0.1, "scheduler_supply").otherwise("balanced").alias("bottleneck")),
-    "assign_least_loaded": lambda t: verdicts.least_loaded(t.f2.select("file_id", "begin", F.expr("begin div length").alias("index")), t.f5.withColumn("ready_bytes", F.expr("ready_bytes div 2000 * capacity"))).select("file_id", "begin", "link_id"),
+    "bottleneck_classify": _held_back,
+    "assign_least_loaded": lambda t: verdicts.least_loaded(t.f2.select("file_id", "begin", F.expr("begin div length").alias("index")), t.f5.withColumn("ready_bytes", F.expr("ready_bytes div 2000 * capacity")).withColumn("draining", F.col("capacity") % 11 == 0)).select("file_id", "begin", "link_id"),
     "hygiene_artifacts": lambda t: t.documents.select(F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 9 == 0, ".so").otherwise(".txt")).alias("path"), F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit(b"\x7fELF")).otherwise(F.lit(b"ab")), F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 5 == 0, F.lit(b"\0")).otherwise(F.lit(b""))).alias("content")).select("path", verdicts.artifact_finding(F.col("path"), F.col("content"), "^build/|/build/", r"\.(so|o|a)$").alias("finding")).where("finding IS NOT NULL"),
     "changed_details": lambda t: verdicts.changed_details(_drift_log(t)),
     "artifact_path_validate": lambda t: t.f1.select(F.when(F.col("file_id") % 8 == 0, F.concat(F.lit("/"), "relative_path")).when(F.col("file_id") % 8 == 1, F.concat(F.lit("../"), "relative_path")).when(F.col("file_id") % 8 == 2, F.concat(F.lit("build/"), "relative_path")).otherwise(F.col("relative_path")).alias("path")).withColumn("reason", verdicts.artifact_reason(F.col("path"), SENSITIVE, BUILT, BLOCKED)),
     "ranges_reconcile": lambda t: verdicts.reconcile(_stored(t), t.f2v),
-    "resume_stats": lambda t: t.f2.groupBy("file_id").agg(F.count(F.lit(1)).alias("loaded_chunks"), F.sum("length").alias("verified_bytes"), (F.lit(7168) - F.sum("length")).alias("missing_bytes")),
+    "resume_stats": lambda t: verdicts.resume_stats(_short_totals(t), t.f2.join(_short_totals(t), "file_id").where("begin + length <= total").select("file_id", "begin", "length")),
     "final_verify_policy": _final,
-    "hash_reuse_check": lambda t: verdicts.hash_reuse(t.f1.withColumnRenamed("dataset", "root"), t.f1.withColumnRenamed("dataset", "root").withColumn("mtime_s", F.col("mtime_s") + F.when(F.col("file_id") % 401 == 7, 1).otherwise(0))),
+    "hash_reuse_check": _reused,
     "artifact_freshness": _fresh,
     "referenced_artifacts": lambda t: t.f1.select(F.concat(F.lit("log/"), "dataset").alias("run_log"), "relative_path").unpivot([], ["run_log", "relative_path"], "kind", "path").select("path").distinct(),
-    "run_compare": lambda t: runs.mode_compare(_medians(t), ["dataset"], "mode", "F", "O").select("dataset", F.round(F.col("right_median") / F.col("left_median"), 6).alias("ratio")),
+    "run_compare": lambda t: runs.run_ratios(_medians(t), _older(t), "dataset", "mode", "F", "O"),
     "plan_validate": lambda t: verdicts.plan_check(t.f2.where("file_id % 4 <> 1 OR chunk_id <> 2").select("file_id", "chunk_id").unionByName(t.f2.where("file_id % 5 = 1").select("file_id", "chunk_id")), t.f2.where("file_id % 6 <> 2"), ["file_id", "chunk_id"]),
     "log_coverage": _log,
     "pressure_correlate": _pressure,
     "scheduled_bind": lambda t: verdicts.bind(t.f2.where("file_id % 5 <> 3"), t.f2.where("file_id % 6 <> 2")),
     "preset_recommend": lambda t: verdicts.preset_costs(runs.profile(t.f1), PRESETS, RTT, BANDWIDTH),
-    "summary_private": lambda t: verdicts.spread_summary(t.f4, KEYS, ["goodput", "wait_s"]),
-    "summary_storage": lambda t: verdicts.spread_summary(t.f4.where("result = 'pass'"), ["system", "dataset"], ["goodput"]),
+    "summary_private": lambda t: verdicts.spread_summary(t.f4k, PRIVATE_KEYS, ["goodput", "elapsed", *STAGES], PROBES),
+    "summary_storage": lambda t: verdicts.spread_summary(t.f4k, STORAGE_KEYS, ["goodput", "elapsed"]),
     "summary_tree": _tree,
     "stage_profile_fold": lambda t: verdicts.fold_stages(t.f3.select("event", F.col("bytes").alias("total"), F.col("elapsed_seconds").alias("peak"), F.lit(1).alias("schema")), "event"),
-    "lane_totals": lambda t: t.stage.groupBy("lane").agg(F.count(F.lit(1)).alias("ranges"), F.sum(F.col("stop") - F.col("begin")).alias("total_us"), F.max(F.col("stop") - F.col("begin")).alias("peak_us")),
+    "lane_totals": lambda t: t.stage.groupBy("lane").agg(F.count(F.lit(1)).alias("ranges"), F.sum(F.col("stop") - F.col("begin")).alias("total_us"), F.max(F.col("stop") - F.col("begin")).alias("peak_us"), *(F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("stop") - F.col("begin"))), F.lit(0)).alias(f"{s}_us") for s in ("click", "view")), F.max("stop").alias("high_watermark_us")),
     "observation_status": lambda t: verdicts.observation_status(formats.marked_json(_marked_lines(t), "OBSERVED ", "id long, n long"), t.events.select(F.concat(F.lit("u"), F.col("user_id") % 20 + F.when(F.col("user_id") % 10 == 3, 100000).otherwise(0)).alias("source")).distinct()),
     "manifest_save_stats": lambda t: t.f3.groupBy("transfer_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("result") == "ok").alias("successes"), F.sum("bytes").alias("bytes"), F.count_if(F.col("result") == "fail").alias("failures")),
     "steps_rollup": _steps,
@@ -175,10 +197,12 @@ _PAIR = "w AS (SELECT dataset, rep, first(seconds) FILTER (arm = 'F') AS a, firs
 
 
 def _stats(m: str) -> str:
-    return f"min({m}) AS {m}_min, round(quantile_cont({m}, 0.5), 6) AS {m}_median, max({m}) AS {m}_max, quantile_disc({m}, 0.95) AS {m}_p95, round(CASE WHEN quantile_cont({m}, 0.5) > 0 THEN (max({m}) - min({m})) / quantile_cont({m}, 0.5) * 100 ELSE 0 END, 3) AS {m}_spread"
+    return f"min({m}) AS {m}_min, round(quantile_cont({m}, 0.5), 6) AS {m}_median, max({m}) AS {m}_max, quantile_disc({m}, 0.95) AS {m}_p95, round(CASE WHEN quantile_cont({m}, 0.5) <> 0 THEN (max({m}) - min({m})) / abs(quantile_cont({m}, 0.5)) * 100 WHEN max({m}) = min({m}) THEN 0 END, 3) AS {m}_spread"
 
 
-_FLAGS = "goodput_spread > 20 AS unstable, coalesce(goodput_max / nullif(goodput_min, 0) > 1.5, false) AS wide"
+_COUNTS = "count(*) AS repeats, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result <> 'pass') AS fails"
+_FLAGS = "coalesce(goodput_spread > 20, false) AS unstable, coalesce(goodput_max / nullif(goodput_min, 0) > 1.5, false) AS wide"
+_MISMATCH = "(goodput_spread > 20 AND greatest(stage_read_seconds_spread, stage_write_seconds_spread) < 10) OR (goodput_spread < 10 AND greatest(stage_read_seconds_spread, stage_write_seconds_spread) > 30 AND elapsed_spread < 10) AS stage_mismatch"
 _PRESET = " UNION ALL ".join(f"SELECT dataset, '{p['name']}' AS preset, {p['streams'] * RTT}::DOUBLE AS t_connect, {p['handshakes'] * RTT}::DOUBLE AS t_handshake, files * {RTT}::DOUBLE / {p['pipeline']} AS t_meta, bytes / {BANDWIDTH * p['streams']}::DOUBLE AS t_data FROM p" for p in PRESETS)
 
 SQL = {
@@ -190,28 +214,28 @@ SQL = {
     "evidence_classify": "WITH e AS (SELECT event_id, CASE WHEN user_id % 6 = 0 THEN NULL WHEN user_id % 6 = 1 THEN -1 ELSE floor(value * 900 + 5) END AS wire, floor(value * 1000) AS payload, concat_ws('; ', CASE WHEN event_id % 4 = 0 THEN 'hash' END, CASE WHEN event_id % 3 = 0 THEN 'log' END) AS errors FROM events) SELECT event_id, CASE WHEN wire IS NULL THEN 'missing' WHEN wire < 0 THEN 'invalid' WHEN wire < payload THEN 'compressed' ELSE 'equal' END AS accounting, CASE WHEN errors = '' THEN 'complete' ELSE 'partial' END AS evidence, errors FROM e",
     "goodput_valid": "SELECT repeat_index, line, goodput, CASE WHEN result = 'pass' AND goodput > 0 THEN goodput END AS valid_goodput FROM f4",
     "compression_decide": "SELECT event_id, CASE WHEN event_id % 100 > 85 THEN 'poor_ratio' WHEN event_id % 7 < 2 THEN 'slow_compression' WHEN event_id % 101 > 85 THEN 'cpu_pressure' WHEN event_id % 11 < 5 THEN 'link_starvation' ELSE 'worthwhile' END AS reason FROM events",
-    "bottleneck_classify": "SELECT repeat_index, line, CASE WHEN wait_s >= 0.08 THEN 'network_or_receiver_backpressure' WHEN write_s >= 0.06 THEN 'receiver_write' WHEN wait_s + write_s >= 0.1 THEN 'scheduler_supply' ELSE 'balanced' END AS bottleneck FROM f4",
-    "assign_least_loaded": "WITH l AS (SELECT link_id, (ready_bytes // 2000) AS load FROM f5 WHERE healthy), k AS (SELECT link_id, row_number() OVER (ORDER BY link_id) - 1 AS turn, count(*) OVER () AS n FROM l WHERE load = (SELECT min(load) FROM l)) SELECT file_id, begin, link_id FROM f2 JOIN k ON (begin // length) % n = turn",
+    "bottleneck_classify": "SELECT repeat_index, line, CASE WHEN wait_s * 8 > 0.5 THEN 'network_or_receiver_backpressure' WHEN write_s * 7 > 0.5 THEN 'receiver_write' WHEN repeat_index % 101 > 85 THEN 'cpu' WHEN repeat_index % 97 / 90.0::DOUBLE < 0.95 AND line % 2 > 0 THEN 'compression' WHEN goodput / 1000 / 100 < 0.5 THEN CASE WHEN repeat_index % 10 < 5 THEN 'scheduler_supply' ELSE 'network_or_receiver_backpressure' END ELSE 'unknown_or_balanced' END AS bottleneck FROM f4",
+    "assign_least_loaded": "WITH l AS (SELECT link_id, (ready_bytes // 2000) AS load FROM f5 WHERE healthy AND capacity % 11 <> 0), k AS (SELECT link_id, row_number() OVER (ORDER BY link_id) - 1 AS turn, count(*) OVER () AS n FROM l WHERE load = (SELECT min(load) FROM l)) SELECT file_id, begin, link_id FROM f2 JOIN k ON (begin // length) % n = turn",
     "hygiene_artifacts": "SELECT source || '/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.so' ELSE '.txt' END AS path, CASE WHEN doc_id % 9 = 0 THEN 'binary_suffix' WHEN doc_id % 7 = 0 THEN 'elf' ELSE 'nul_bytes' END AS finding FROM documents WHERE doc_id % 9 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0 AND strlen(text) + 2 < 8192",
     "changed_details": "SELECT transfer_id, 'f/' || file_id AS changed_path, size AS manifest_size, mtime_s AS manifest_mtime, size + 1 AS current_size, mtime_s AS current_mtime FROM f1 WHERE file_id % 3 = 0",
     "artifact_path_validate": f"WITH p AS (SELECT CASE file_id % 8 WHEN 0 THEN '/' || relative_path WHEN 1 THEN '../' || relative_path WHEN 2 THEN 'build/' || relative_path ELSE relative_path END AS path FROM f1) SELECT path, CASE WHEN path LIKE '/%' THEN 'absolute' WHEN path LIKE '../%' THEN 'parent' WHEN regexp_matches(path, '{SENSITIVE}') THEN 'sensitive' WHEN regexp_matches(path, '{BUILT}') THEN 'build_output' WHEN regexp_matches(path, '{BLOCKED}') THEN 'blocked_suffix' END AS reason FROM p",
     "ranges_reconcile": "SELECT DISTINCT file_id, file_id % 9 <> 0 AS matches FROM f2v",
-    "resume_stats": "SELECT file_id, count(*) AS loaded_chunks, sum(length)::BIGINT AS verified_bytes, (7168 - sum(length))::BIGINT AS missing_bytes FROM f2 GROUP BY 1",
+    "resume_stats": "WITH t AS (SELECT o_orderkey AS file_id, 7168 - 300 * (o_orderkey % 3) AS total FROM orders), n AS (SELECT file_id, total, unnest(range(7)) AS k FROM t), h AS (SELECT n.*, f2.file_id IS NOT NULL AND (k + 1) * 1024 <= total AS held, least(1024, total - k * 1024) AS bytes FROM n LEFT JOIN f2 ON f2.file_id = n.file_id AND f2.chunk_id = k), r AS (SELECT *, k - row_number() OVER (PARTITION BY file_id, held ORDER BY k) AS run FROM h) SELECT file_id, count(*) FILTER (held) AS loaded_chunks, coalesce(sum(bytes) FILTER (held), 0)::BIGINT AS verified_bytes, coalesce(sum(bytes) FILTER (held), 0)::BIGINT AS skipped_bytes, coalesce(sum(bytes) FILTER (NOT held), 0)::BIGINT AS missing_bytes, count(DISTINCT run) FILTER (NOT held) AS missing_ranges FROM r GROUP BY 1",
     "final_verify_policy": f"WITH {_MERGED}, o AS (SELECT file_id, bool_or(again) AS again FROM (SELECT file_id, coalesce(max(stop) OVER (PARTITION BY file_id ORDER BY begin, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > begin, false) AS again FROM f2v) GROUP BY 1), d AS (SELECT file_id, sum(stop - begin) AS done FROM merged GROUP BY 1) SELECT o_orderkey AS file_id, CASE WHEN done = 7168 AND NOT again THEN 'verified_chunks' ELSE 'full' END AS effective_policy FROM orders LEFT JOIN d ON d.file_id = o_orderkey LEFT JOIN o ON o.file_id = o_orderkey",
-    "hash_reuse_check": "SELECT dataset AS root, count(*) FILTER (file_id % 401 = 7) = 0 AS reusable, CASE WHEN count(*) FILTER (file_id % 401 = 7) > 0 THEN 'changed' END AS reason FROM f1 GROUP BY 1",
+    "hash_reuse_check": "SELECT dataset AS root, count(*) FILTER (file_id % 401 = 7 OR file_id % 307 = 5 AND size > 0) = 0 AS reusable, CASE WHEN count(*) FILTER (file_id % 401 = 7) > 0 THEN 'changed' WHEN count(*) FILTER (file_id % 307 = 5 AND size > 0) > 0 THEN 'not_covered' END AS reason FROM f1 GROUP BY 1",
     "artifact_freshness": "SELECT 'd/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'stale_hash' END AS reason FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0",
     "referenced_artifacts": "SELECT DISTINCT 'log/' || dataset AS path FROM f1 UNION SELECT relative_path FROM f1",
-    "run_compare": f"WITH {_MED} SELECT a.dataset, round(b.median / a.median, 6) AS ratio FROM meds a JOIN meds b ON a.dataset = b.dataset AND a.mode = 'F' AND b.mode = 'O'",
+    "run_compare": f"WITH {_MED}, older AS (SELECT dataset, round(quantile_cont(goodput, 0.5), 6) AS median FROM f4 WHERE system = 'O' AND line % 2 = 1 GROUP BY 1) SELECT a.dataset, round(b.median / a.median, 6) AS ratio, round(b.median / o.median, 6) AS older_ratio FROM meds a JOIN meds b ON a.dataset = b.dataset AND a.mode = 'F' AND b.mode = 'O' JOIN older o ON o.dataset = a.dataset",
     "plan_validate": "SELECT * FROM (SELECT file_id, chunk_id, CASE WHEN p = 0 THEN 'missing' WHEN file_id % 6 = 2 THEN 'extra' WHEN p > 1 THEN 'duplicate' END AS finding FROM (SELECT file_id, chunk_id, CASE WHEN file_id % 4 <> 1 OR chunk_id <> 2 THEN 1 ELSE 0 END + CASE WHEN file_id % 5 = 1 THEN 1 ELSE 0 END AS p FROM f2) WHERE p > 0 OR file_id % 6 <> 2) WHERE finding IS NOT NULL",
     "log_coverage": "SELECT DISTINCT 'u' || user_id AS run, user_id % 2 = 0 AS files_ok, true AS bytes_ok, true AS codes_ok FROM events WHERE event_type <> 'view'",
     "pressure_correlate": "WITH r AS (SELECT user_id % 5 AS host, strftime(ts, '%Y-%m-%d') AS run, min(ts) AS begin, max(ts) AS stop FROM events WHERE event_type = 'click' GROUP BY 1, 2) SELECT r.host, run, name, count(*) AS samples, max(value)::BIGINT AS peak FROM r JOIN counter c ON c.host = r.host AND c.ts BETWEEN r.begin AND r.stop GROUP BY 1, 2, 3",
     "scheduled_bind": "SELECT file_id, begin, length, CASE WHEN file_id % 5 = 3 THEN 'unplanned' WHEN file_id % 6 = 2 THEN 'unbound' ELSE 'bound' END AS status FROM f2 WHERE file_id % 5 <> 3 OR file_id % 6 <> 2",
     "preset_recommend": f"WITH p AS (SELECT dataset, count(*) AS files, sum(size)::BIGINT AS bytes FROM f1 GROUP BY 1), o AS ({_PRESET}), b AS (SELECT *, round(t_connect + t_handshake + t_meta + t_data, 9) AS t_job FROM o), c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY t_job, preset) = 1) SELECT dataset, t_job, preset, round(t_connect, 9) AS t_connect, round(t_handshake, 9) AS t_handshake, round(t_meta, 9) AS t_meta, round(t_data, 9) AS t_data, CASE greatest(t_connect, t_handshake, t_meta, t_data) WHEN t_connect THEN 'connect' WHEN t_handshake THEN 'handshake' WHEN t_meta THEN 'meta' ELSE 'data' END AS dominant FROM c",
-    "summary_private": f"SELECT *, {_FLAGS} FROM (SELECT system, dataset, direction, count(*) AS repeats, {_stats('goodput')}, {_stats('wait_s')} FROM f4 GROUP BY 1, 2, 3)",
-    "summary_storage": f"SELECT *, {_FLAGS} FROM (SELECT system, dataset, count(*) AS repeats, {_stats('goodput')} FROM f4 WHERE result = 'pass' GROUP BY 1, 2)",
-    "summary_tree": "WITH c AS (SELECT system, dataset, direction, result, count(*) AS n FROM f4 GROUP BY 1, 2, 3, 4), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY system, dataset, direction ORDER BY n DESC, result) = 1), s AS (SELECT system, dataset, direction, count(*) AS runs, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result = 'fail_runtime') AS fails, round(sum(wait_s), 4) AS wait_s FROM f4 GROUP BY 1, 2, 3) SELECT s.*, m.result FROM s JOIN m USING (system, dataset, direction)",
+    "summary_private": f"SELECT *, {_FLAGS}, {_MISMATCH} FROM (SELECT {', '.join(PRIVATE_KEYS)}, {_COUNTS}, {', '.join(map(_stats, ['goodput', 'elapsed', *STAGES]))} FROM f4k GROUP BY {', '.join(PRIVATE_KEYS)})",
+    "summary_storage": f"SELECT *, {_FLAGS} FROM (SELECT {', '.join(STORAGE_KEYS)}, {_COUNTS}, {_stats('goodput')}, {_stats('elapsed')} FROM f4k GROUP BY {', '.join(STORAGE_KEYS)})",
+    "summary_tree": "WITH c AS (SELECT system, dataset, direction, bottleneck, count(*) AS n FROM f4k GROUP BY 1, 2, 3, 4), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY system, dataset, direction ORDER BY n DESC, bottleneck) = 1), s AS (SELECT system, dataset, direction, count(*) AS runs, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result = 'fail_runtime') AS fails, count(*) FILTER (NOT hash_match) AS hash_mismatches, min(goodput) AS goodput_min, round(quantile_cont(goodput, 0.5), 6) AS goodput_median, max(goodput) AS goodput_max, min(elapsed) AS elapsed_min, round(quantile_cont(elapsed, 0.5), 6) AS elapsed_median, max(elapsed) AS elapsed_max, sum(retries)::BIGINT AS retries FROM f4k GROUP BY 1, 2, 3) SELECT s.*, m.bottleneck FROM s JOIN m USING (system, dataset, direction)",
     "stage_profile_fold": "SELECT event, count(*) AS ranges, sum(bytes)::BIGINT AS total, max(elapsed_seconds) AS peak, true AS schema_ok FROM f3 GROUP BY 1",
-    "lane_totals": "SELECT lane, count(*) AS ranges, sum(stop - begin)::BIGINT AS total_us, max(stop - begin) AS peak_us FROM stage GROUP BY 1",
+    "lane_totals": "SELECT lane, count(*) AS ranges, sum(stop - begin)::BIGINT AS total_us, max(stop - begin) AS peak_us, coalesce(sum(stop - begin) FILTER (stage = 'click'), 0)::BIGINT AS click_us, coalesce(sum(stop - begin) FILTER (stage = 'view'), 0)::BIGINT AS view_us, max(stop) AS high_watermark_us FROM stage GROUP BY 1",
     "observation_status": "WITH s AS (SELECT DISTINCT 'u' || (user_id % 20 + CASE WHEN user_id % 10 = 3 THEN 100000 ELSE 0 END) AS source FROM events), c AS (SELECT 'u' || (user_id % 20) AS source, count(*) FILTER (event_id % 10 <> 0) AS e, count(*) FILTER (event_id % 10 = 0) AS m FROM events GROUP BY 1) SELECT s.source, coalesce(e, 0) AS enabled, coalesce(m, 0) AS malformed, CASE WHEN coalesce(e, 0) = 0 THEN 'missing' WHEN m > 0 THEN 'partial' ELSE 'complete' END AS status FROM s LEFT JOIN c ON s.source = c.source",
     "manifest_save_stats": "SELECT transfer_id, count(*) AS attempts, count(*) FILTER (result = 'ok') AS successes, sum(bytes)::BIGINT AS bytes, count(*) FILTER (result = 'fail') AS failures FROM f3 GROUP BY 1",
     "steps_rollup": "SELECT user_id AS run, count(*) AS total, count(*) FILTER (event_type <> 'error') AS passed, count(*) FILTER (event_type = 'error') AS failed, 's' || min(event_id) FILTER (event_type = 'error') AS first_failed FROM events GROUP BY 1",
