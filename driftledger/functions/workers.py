@@ -1,7 +1,8 @@
-"""Send this package to Python workers that lack it."""
+"""Send this package to Python workers that lack it, and keep tables that executors share."""
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_KEPT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,16 +23,39 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local folder only where that is unset."""
+def shared_root(spark: SparkSession) -> str:
+    """The application's own folder below ``spark.checkpoint.dir``; it goes when the driver ends.
+
+    Where that is unset, a session on one machine gets a local folder; on a
+    cluster it is an error, as executors wouldn't see each other's files.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftledger-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if given is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="driftledger-"))
+    root = f"{sc.getCheckpointDir()}/driftledger-{sc.applicationId}"
+    if root not in _KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _KEPT.add(root)
+    return root
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the application's shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again."""
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    This cuts the lineage with files that outlive any executor, and prunes
+    columns for later readers, unlike a checkpoint of whole rows.
+    """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

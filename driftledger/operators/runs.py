@@ -197,9 +197,28 @@ def chunk_conflicts(acks: DataFrame) -> DataFrame:
 
 
 def profile(files: DataFrame) -> DataFrame:
-    """Counts and true size quantiles of each dataset, and its regime."""
-    rows = files.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.min("size").alias("size_min"), F.max("size").alias("size_max"), F.round(median("size"), 6).alias("size_p50"), F.round(F.percentile("size", F.lit(0.9)), 6).alias("size_p90"), F.round(F.avg("size"), 6).alias("size_mean"))
-    return rows
+    """Counts and true size quantiles of each dataset."""
+    return files.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.min("size").alias("size_min"), F.max("size").alias("size_max"), F.round(median("size"), 6).alias("size_p50"), F.round(F.percentile("size", F.lit(0.9)), 6).alias("size_p90"), F.round(F.avg("size"), 6).alias("size_mean"))
+
+
+#: Of so few files one may hold all bytes; else the largest is taken as so many times the mean.  Fixed value.
+FEW = 4
+
+
+def estimated(profiles: DataFrame) -> DataFrame:
+    """``profiles`` with the sizes that counts and bytes alone would suggest, beside the true ones."""
+    mean = F.col("bytes") / F.col("files")
+    largest = F.when(F.col("files") <= FEW, F.col("bytes")).otherwise(F.floor(mean * FEW)).cast("long")
+    least = F.when(F.col("bytes") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(mean))).cast("long")
+    return profiles.withColumns({"estimated_min": least, "estimated_max": largest, "estimated_p50": F.round(mean, 6), "estimated_p90": F.round(F.greatest(mean, largest.cast("double")), 6)})
+
+
+def phase_totals(phases: DataFrame, aliases: dict[tuple[str, str], str]) -> DataFrame:
+    """Seconds and bytes of each run's phases; ``aliases`` name a role's phase, e.g. a receiver's write."""
+    name = F.lit(None).cast("string")
+    for (role, phase), alias in aliases.items():
+        name = F.when((F.col("role") == role) & (F.col("phase") == phase), alias).otherwise(name)
+    return phases.groupBy("run", "role", "phase").agg(F.round(F.sum("seconds"), 4).alias("seconds"), F.sum("bytes").alias("bytes")).withColumn("alias", name)
 
 
 def regime(mib: int = 1 << 20, small: int = 64 << 10) -> Column:

@@ -293,15 +293,17 @@ def population(members: DataFrame, trees: DataFrame, n: int, size: int) -> DataF
 def depth_compare(external: DataFrame, runs: DataFrame, repeats: int) -> DataFrame:
     """Each depth of a direction against an external baseline and depth 0.
 
-    Both inputs have direction, repeat and goodput (null: not valid), ``runs`` depth too.
-    A set is complete if all ``repeats`` are there and valid; ratio and change need
-    complete sets.
+    Both inputs have direction, repeat, goodput (null: not valid) and maybe seconds, ``runs`` depth too.
+    A set is complete if all ``repeats`` are there and valid; ratio, change and what
+    got better need complete sets.  Seconds are those of valid repeats.
     """
-    sums = lambda d, keys, name: d.groupBy(*keys).agg(F.count_distinct("repeat").alias(f"{name}_observed"), F.count("goodput").alias(f"{name}_valid"), F.round(median("goodput"), 6).alias(f"{name}_median"))
+    valid = lambda d: F.when(F.col("goodput").isNotNull(), F.col("seconds") if "seconds" in d.columns else F.lit(None).cast("double"))
+    sums = lambda d, keys, name: d.groupBy(*keys).agg(F.count_distinct("repeat").alias(f"{name}_observed"), F.count("goodput").alias(f"{name}_valid"), F.round(median("goodput"), 6).alias(f"{name}_median"), F.round(median(valid(d)), 6).alias(f"{name}_seconds"))
     at = sums(runs, ["direction", "depth"], "depth")
-    zero = at.where("depth = 0").select("direction", *(F.col(f"depth_{c}").alias(f"zero_{c}") for c in ("observed", "valid", "median")))
+    zero = at.where("depth = 0").select("direction", *(F.col(f"depth_{c}").alias(f"zero_{c}") for c in ("observed", "valid", "median", "seconds")))
     rows = at.where("depth <> 0").join(zero, "direction", "left").join(sums(external, ["direction"], "external"), "direction", "left")
     whole = lambda name: F.coalesce((F.col(f"{name}_observed") == repeats) & (F.col(f"{name}_valid") == repeats), F.lit(False))
-    every = whole("depth") & whole("external") & whole("zero")
+    every, both = whole("depth") & whole("external") & whole("zero"), whole("depth") & whole("zero")
     detail = F.when(F.col("depth_observed") != repeats, "repeats").when(~whole("depth"), "valid").when(~whole("external"), "external").when(~whole("zero"), "depth_0").otherwise("")
-    return rows.select("direction", "depth", "depth_observed", "depth_valid", "depth_median", "zero_median", "external_median", F.when(every, F.round(F.col("depth_median") / F.col("external_median"), 6)).alias("ratio"), F.when(whole("depth") & whole("zero"), F.round(F.col("depth_median") / F.col("zero_median") - 1, 6)).alias("delta"), F.when(every, "COMPLETE").otherwise("INCOMPLETE").alias("status"), detail.alias("detail"))
+    measured = [F.col(f"{n}_{c}") for n in ("depth", "zero", "external") for c in ("median", "seconds")]
+    return rows.select("direction", "depth", "depth_observed", "depth_valid", *measured, F.when(every, F.round(F.col("depth_median") / F.col("external_median"), 6)).alias("ratio"), F.when(both, F.round(F.col("depth_median") / F.col("zero_median") - 1, 6)).alias("delta"), F.when(both, F.col("depth_median") > F.col("zero_median")).alias("goodput_improved"), F.when(both, F.col("depth_seconds") < F.col("zero_seconds")).alias("time_decreased"), F.when(every, "COMPLETE").otherwise("INCOMPLETE").alias("status"), detail.alias("detail"))

@@ -121,7 +121,10 @@ def _sched_logs(t: Tables):
     formats.sink_report(rows.groupBy("run").agg(F.sum("value").alias("bytes")), f"{base}/summary")
     rows.where("event_type = 'view' AND run % 3 <> 0").select("run", "event_id", "event_type").write.json(f"{base}/events")
     formats.sink_report(rows.where("event_type = 'click'").select("run", "value"), f"{base}/samples")
-    return formats.scan_sched_logs(t.spark, f"{base}/summary", f"{base}/events", f"{base}/samples", ("run long, bytes long", "run long, event_id long, event_type string", "run long, value long"))
+    found = formats.scan_sched_logs(t.spark, f"{base}/summary", f"{base}/events", f"{base}/samples", ("run long, bytes long", "run long, event_id long, event_type string", "run long, value long"))
+    common = lambda d, name, key, value: d.select(F.lit(name).alias("log"), "run", key.cast("string").alias("entry"), value.cast("long").alias("value"), "all_present")
+    none = F.lit(None)
+    return common(found[0], "summary", none, F.col("bytes")).unionByName(common(found[1], "event", F.col("event_type"), F.col("event_id"))).unionByName(common(found[2], "sample", none, F.col("value")))
 
 
 def _client_summary(t: Tables):
@@ -313,7 +316,7 @@ SQL = {
     "tree_hash_content": f"WITH {_TREE} SELECT * FROM hashes",
     "crc32c_combine": f"WITH {_CRC_TABLE}, {_DOCS} SELECT file_id, size, {_crc('h')} AS crc FROM docs, crc_table WHERE size > 0",
     "crc32c_chunks": f"WITH {_PARTS} SELECT * FROM crcs",
-    "scan_sched_logs": "WITH c AS (SELECT user_id AS run, 1 AS summaries, CASE WHEN user_id % 3 <> 0 THEN count(*) FILTER (event_type = 'view') ELSE 0 END AS events, count(*) FILTER (event_type = 'click') AS samples FROM events GROUP BY 1) SELECT *, least(summaries, events, samples) > 0 AS all_present FROM c",
+    "scan_sched_logs": "WITH e AS (SELECT user_id AS run, event_id, floor(value)::BIGINT AS v, event_type FROM events), p AS (SELECT run, run % 3 <> 0 AND count(*) FILTER (event_type = 'view') > 0 AND count(*) FILTER (event_type = 'click') > 0 AS all_present FROM e GROUP BY 1), r AS (SELECT 'summary' AS log, run, NULL AS entry, sum(v)::BIGINT AS value FROM e GROUP BY run UNION ALL SELECT 'event', run, event_type, event_id FROM e WHERE event_type = 'view' AND run % 3 <> 0 UNION ALL SELECT 'sample', run, NULL, v FROM e WHERE event_type = 'click') SELECT r.*, all_present FROM r JOIN p USING (run)",
     "scan_client_summary": "SELECT sequence, bytes, CASE WHEN message <> '' THEN message END AS error_message FROM f3",
     "sink_report": "SELECT system, dataset, count(*) AS runs, max(goodput) AS best, form FROM f4, (VALUES ('csv'), ('json')) v(form) GROUP BY 1, 2, 5",
     "manifest_crc_check": "SELECT DISTINCT 't-' || file_id AS transfer_id, file_id % 7 <> 0 AS ok FROM f2",

@@ -15,6 +15,8 @@ COMPARE_KEYS = ["system", "stage", "dataset", "direction", "file_parallelism", "
 MATRIX_KEYS = ["direction", "checksum_algorithm", "preallocate", "file_io_buffer_size", "file_io_advice", "final_verify_policy", "final_verify_policy_effective"]
 STAGES = ["stage_read_seconds", "stage_write_seconds", "file_io_wait_seconds", "stage_read_calls", "stage_write_calls", "stage_read_avg_bytes_per_call", "stage_write_avg_bytes_per_call", "stage_manifest_flush_seconds", "stage_final_verify_seconds", "stage_rename_commit_seconds", "stage_overall_seconds"]
 SIZE = 8 << 30
+#: Names of phases by role: the events stand for phases.
+ALIASES = {("sender", "view"): "source_read", ("sender", "click"): "network_send", ("receiver", "click"): "temp_write"}
 
 
 def _medians(t: Tables):
@@ -84,8 +86,8 @@ QUERIES = {
     "summary_matrix": lambda t: runs.passing_summary(t.f4k, MATRIX_KEYS, STAGES),
     "stage_describe": lambda t: runs.describe(t.f4, ["system", "dataset"], "goodput"),
     "stage_share": lambda t: runs.stage_share(t.f4, ["system", "dataset"], ["wait_s", "write_s"]),
-    "phase_totals": lambda t: t.f3.groupBy("transfer_id", F.col("event").alias("phase")).agg(F.round(F.sum("elapsed_seconds"), 4).alias("seconds"), F.sum("bytes").alias("bytes")),
-    "workload_profile": lambda t: runs.profile(t.f1),
+    "phase_totals": lambda t: runs.phase_totals(t.f3.select(F.col("transfer_id").alias("run"), F.when(F.col("sequence") % 2 == 0, "sender").otherwise("receiver").alias("role"), F.col("event").alias("phase"), F.col("elapsed_seconds").alias("seconds"), "bytes"), ALIASES),
+    "workload_profile": lambda t: runs.estimated(runs.profile(t.f1)),
     "regime_classify": lambda t: runs.profile(t.f1).select("dataset", runs.regime().alias("regime")),
     "event_summary": lambda t: runs.event_summary(t.f3, records.error_code(F.col("message"))),
     "sched_event_counts": lambda t: t.f3.groupBy("transfer_id").pivot("event", ["click", "error", "purchase", "signup", "view"]).count().na.fill(0),
@@ -148,8 +150,8 @@ SQL = {
     "summary_matrix": f"SELECT {', '.join(MATRIX_KEYS)}, count(*) AS repeats, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result <> 'pass') AS fails, min(goodput) FILTER (result = 'pass') AS goodput_min, round(quantile_cont(goodput, 0.5) FILTER (result = 'pass'), 6) AS goodput_median, max(goodput) FILTER (result = 'pass') AS goodput_max, {', '.join(f"round(quantile_cont({c}, 0.5) FILTER (result = 'pass'), 6) AS {c}_median" for c in ('elapsed', *STAGES))} FROM f4k GROUP BY {', '.join(MATRIX_KEYS)}",
     "stage_describe": "SELECT system, dataset, count(goodput) AS count, round(sum(goodput), 4) AS sum, round(quantile_cont(goodput, 0.5), 6) AS p50, round(quantile_cont(goodput, 0.95), 6) AS p95, quantile_disc(goodput, 0.95) AS p95_rank, max(goodput) AS max FROM f4 GROUP BY 1, 2",
     "stage_share": "WITH x AS (SELECT system, dataset, sum(wait_s) AS wait_s, sum(write_s) AS write_s FROM f4 GROUP BY 1, 2), y AS (SELECT system, dataset, 'wait_s' AS stage, wait_s AS v, wait_s + write_s AS total, wait_s >= write_s AS d FROM x UNION ALL SELECT system, dataset, 'write_s', write_s, wait_s + write_s, write_s > wait_s FROM x) SELECT system, dataset, stage, round(v, 4) AS seconds, round(v / total, 6) AS share, d AS is_dominant FROM y",
-    "phase_totals": "SELECT transfer_id, event AS phase, round(sum(elapsed_seconds), 4) AS seconds, sum(bytes)::BIGINT AS bytes FROM f3 GROUP BY 1, 2",
-    "workload_profile": _PROFILE,
+    "phase_totals": "SELECT transfer_id AS run, CASE WHEN sequence % 2 = 0 THEN 'sender' ELSE 'receiver' END AS role, event AS phase, round(sum(elapsed_seconds), 4) AS seconds, sum(bytes)::BIGINT AS bytes, CASE WHEN sequence % 2 = 0 AND event = 'view' THEN 'source_read' WHEN sequence % 2 = 0 AND event = 'click' THEN 'network_send' WHEN sequence % 2 = 1 AND event = 'click' THEN 'temp_write' END AS alias FROM f3 GROUP BY 1, 2, 3, 6",
+    "workload_profile": f"SELECT *, CASE WHEN bytes = 0 THEN 0 ELSE greatest(1, floor(bytes / files)) END::BIGINT AS estimated_min, CASE WHEN files <= 4 THEN bytes ELSE floor(bytes / files * 4) END::BIGINT AS estimated_max, round(bytes / files, 6) AS estimated_p50, round(greatest(bytes / files, CASE WHEN files <= 4 THEN bytes ELSE floor(bytes / files * 4) END), 6) AS estimated_p90 FROM ({_PROFILE})",
     "regime_classify": f"SELECT dataset, CASE WHEN files > 32 AND size_p50 < 65536 AND bytes < 5242880 THEN 'small_files' WHEN size_max >= 52428800 AND files <= 4 THEN 'large_objects' WHEN files > 10 AND size_p90 >= 1048576 THEN 'mixed' WHEN bytes >= 83886080 THEN 'bandwidth' ELSE 'general' END AS regime FROM ({_PROFILE})",
     "event_summary": f"SELECT error_code, count(*) AS events, min(sequence) AS first_sequence, arg_min(message, sequence) AS first_message FROM (SELECT *, {records.error_sql('message')} AS error_code FROM f3) GROUP BY 1",
     "sched_event_counts": "SELECT transfer_id, " + ", ".join(f"count(*) FILTER (event = '{e}') AS {e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM f3 GROUP BY 1",

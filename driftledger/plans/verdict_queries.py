@@ -134,8 +134,8 @@ def _population(t: Tables):
 
 def _depths(t: Tables):
     by = ("direction", F.col("repeat_index").alias("repeat"))
-    one = t.f4.groupBy("direction", "line", "system", "repeat_index").agg(F.max(F.when(F.col("result") == "pass", F.col("goodput"))).alias("goodput"))
-    return verdicts.depth_compare(one.where("system = 'F' AND line < 3").select(*by, "goodput"), one.where("system = 'O'").select(*by, F.expr("line div 3").alias("depth"), "goodput"), 100)
+    one = t.f4.groupBy("direction", "line", "system", "repeat_index").agg(F.max(F.when(F.col("result") == "pass", F.col("goodput"))).alias("goodput"), F.max("wait_s").alias("seconds"))
+    return verdicts.depth_compare(one.where("system = 'F' AND line < 3").select(*by, "goodput", "seconds"), one.where("system = 'O'").select(*by, F.expr("line div 3").alias("depth"), "goodput", "seconds"), 100)
 
 
 def _publish(t: Tables):
@@ -209,7 +209,7 @@ SQL = {
     "artifact_type": "SELECT relative_path AS path, CASE WHEN relative_path LIKE '%0.txt' THEN 'gate' WHEN relative_path LIKE 'web/%' THEN 'doc' WHEN relative_path LIKE '%5.txt' THEN 'log' ELSE 'other' END AS artifact_type FROM f1",
     "publish_conflicts": "SELECT relative_path AS path, CASE WHEN file_id % 5 = 0 THEN 'output_exists' WHEN file_id % 2 = 0 AND file_id % 3 <> 0 THEN 'manifest_required' WHEN file_id % 2 <> 0 AND file_id % 3 = 0 THEN 'manifest_exists' ELSE 'ok' END AS verdict FROM f1",
     "manifest_population_check": "WITH g AS (SELECT source || '/' || lang AS slot, count(*) AS n, bool_and(doc_id % 199 <> 0) AS good, bool_and(doc_id % 211 <> 0) AS done FROM documents GROUP BY 1), r AS (SELECT slot, n AS members, 1 AS trees, CASE WHEN n <> 60 THEN 'member_count' WHEN NOT good THEN 'member_state' WHEN NOT done THEN 'tree_status' END AS reason FROM g) SELECT slot, members, trees, reason IS NULL AS ok, reason FROM r",
-    "depth_compare": "WITH o AS (SELECT direction, line, system, repeat_index, max(goodput) FILTER (result = 'pass') AS goodput FROM f4 GROUP BY 1, 2, 3, 4), e AS (SELECT direction, count(DISTINCT repeat_index) AS eo, count(goodput) AS ev, round(quantile_cont(goodput, 0.5), 6) AS em FROM o WHERE system = 'F' AND line < 3 GROUP BY 1), d AS (SELECT direction, line // 3 AS depth, count(DISTINCT repeat_index) AS n, count(goodput) AS v, round(quantile_cont(goodput, 0.5), 6) AS m FROM o WHERE system = 'O' GROUP BY 1, 2), j AS (SELECT d.*, z.m AS zm, em, d.n = 100 AND d.v = 100 AS a, coalesce(eo = 100 AND ev = 100, false) AS b, coalesce(z.n = 100 AND z.v = 100, false) AS c FROM d LEFT JOIN d z ON z.direction = d.direction AND z.depth = 0 LEFT JOIN e ON e.direction = d.direction WHERE d.depth <> 0) SELECT direction, depth, n AS depth_observed, v AS depth_valid, m AS depth_median, zm AS zero_median, em AS external_median, CASE WHEN a AND b AND c THEN round(m / em, 6) END AS ratio, CASE WHEN a AND c THEN round(m / zm - 1, 6) END AS delta, CASE WHEN a AND b AND c THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status, CASE WHEN n <> 100 THEN 'repeats' WHEN NOT a THEN 'valid' WHEN NOT b THEN 'external' WHEN NOT c THEN 'depth_0' ELSE '' END AS detail FROM j",
+    "depth_compare": "WITH o AS (SELECT direction, line, system, repeat_index, max(goodput) FILTER (result = 'pass') AS goodput, max(wait_s) AS secs FROM f4 GROUP BY 1, 2, 3, 4), e AS (SELECT direction, count(DISTINCT repeat_index) AS eo, count(goodput) AS ev, round(quantile_cont(goodput, 0.5), 6) AS em, round(quantile_cont(secs, 0.5) FILTER (goodput IS NOT NULL), 6) AS es FROM o WHERE system = 'F' AND line < 3 GROUP BY 1), d AS (SELECT direction, line // 3 AS depth, count(DISTINCT repeat_index) AS n, count(goodput) AS v, round(quantile_cont(goodput, 0.5), 6) AS m, round(quantile_cont(secs, 0.5) FILTER (goodput IS NOT NULL), 6) AS s FROM o WHERE system = 'O' GROUP BY 1, 2), j AS (SELECT d.*, z.m AS zm, z.s AS zs, em, es, d.n = 100 AND d.v = 100 AS a, coalesce(eo = 100 AND ev = 100, false) AS b, coalesce(z.n = 100 AND z.v = 100, false) AS c FROM d LEFT JOIN d z ON z.direction = d.direction AND z.depth = 0 LEFT JOIN e ON e.direction = d.direction WHERE d.depth <> 0) SELECT direction, depth, n AS depth_observed, v AS depth_valid, m AS depth_median, s AS depth_seconds, zm AS zero_median, zs AS zero_seconds, em AS external_median, es AS external_seconds, CASE WHEN a AND b AND c THEN round(m / em, 6) END AS ratio, CASE WHEN a AND c THEN round(m / zm - 1, 6) END AS delta, CASE WHEN a AND c THEN m > zm END AS goodput_improved, CASE WHEN a AND c THEN s < zs END AS time_decreased, CASE WHEN a AND b AND c THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status, CASE WHEN n <> 100 THEN 'repeats' WHEN NOT a THEN 'valid' WHEN NOT b THEN 'external' WHEN NOT c THEN 'depth_0' ELSE '' END AS detail FROM j",
     "result_classify": "SELECT event_id, CASE WHEN event_id % 50 = 0 OR event_type = 'error' THEN 'fail_runtime' WHEN event_id % 20 = 3 THEN 'fail_correctness' ELSE 'pass' END AS result FROM events",
     "evidence_classify": "WITH e AS (SELECT event_id, CASE WHEN user_id % 6 = 0 THEN NULL WHEN user_id % 6 = 1 THEN -1 ELSE floor(value * 900 + 5) END AS wire, floor(value * 1000) AS payload, concat_ws('; ', CASE WHEN event_id % 4 = 0 THEN 'hash' END, CASE WHEN event_id % 3 = 0 THEN 'log' END) AS errors FROM events) SELECT event_id, CASE WHEN wire IS NULL THEN 'missing' WHEN wire < 0 THEN 'invalid' WHEN wire < payload THEN 'compressed' ELSE 'equal' END AS accounting, CASE WHEN errors = '' THEN 'complete' ELSE 'partial' END AS evidence, errors FROM e",
     "goodput_valid": "SELECT repeat_index, line, goodput, CASE WHEN result = 'pass' AND goodput > 0 THEN goodput END AS valid_goodput FROM f4",

@@ -235,13 +235,13 @@ def manifest_crc_check(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("transfer_id", F.col(CRC_KEY).alias("expected"), "actual", (F.col(CRC_KEY) == F.col("actual")).alias("ok"))
 
 
-def scan_sched_logs(spark: SparkSession, summary: str, events: str, samples: str, schemas: tuple[str, str, str]) -> DataFrame:
-    """Rows of each of a run's three logs, and whether all are there; counted before they are joined."""
-    readers = (spark.read.schema(schemas[0]).option("header", True).csv(summary), spark.read.schema(schemas[1]).json(events), spark.read.schema(schemas[2]).option("header", True).csv(samples))
-    names = ("summaries", "events", "samples")
-    counts = [d.groupBy("run").agg(F.count(F.lit(1)).alias(n)) for d, n in zip(readers, names)]
-    rows = counts[0].join(counts[1], "run", "full").join(counts[2], "run", "full").na.fill(0, list(names))
-    return rows.withColumn("all_present", F.least(*names) > 0)
+def scan_sched_logs(spark: SparkSession, summary: str, events: str, samples: str, schemas: tuple[str, str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three logs of runs as tables, each row with ``all_present``: whether its run has all three."""
+    tables = (spark.read.schema(schemas[0]).option("header", True).csv(summary), spark.read.schema(schemas[1]).json(events), spark.read.schema(schemas[2]).option("header", True).csv(samples))
+    seen = [d.select("run").distinct().withColumn(f"in{k}", F.lit(True)) for k, d in enumerate(tables)]
+    runs = seen[0].join(seen[1], "run", "full").join(seen[2], "run", "full")
+    runs = runs.select("run", (F.col("in0").isNotNull() & F.col("in1").isNotNull() & F.col("in2").isNotNull()).alias("all_present"))
+    return tuple(d.join(runs, "run") for d in tables)
 
 
 def scan_client_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
