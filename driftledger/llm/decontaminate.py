@@ -195,6 +195,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns; null texts and ids stay."""
-    key = F.sha2("text", 256)
-    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("__text")).distinct()
-    return docs.withColumn("__text", key).join(small(found), "__text", "left_anti").select(*docs.columns)
+    key = F.sha2("text", 256).alias("key")
+    found = contaminated(docs.select(F.sha2("text", 256).alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(F.struct(*docs.columns).alias("row"), key).join(small(found), "key", "left_anti").select("row.*")

@@ -18,21 +18,22 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import connected_components
-from .shared import prepare, stored
+from .shared import bit_table, in_table, prepare, stored
 
 #: Fingerprints that one tile holds at most.
 TILE = 4096
-#: Partners of a text that one round verifies at most; what is left waits for the next round.
-PARTNERS = 256
-#: Of the texts, one in so many is read for the shingles that are common, of which at most so many are kept.
-SAMPLE, COMMON = 64, 50_000
+#: A text in so many is read for the shingles that are common: those that two of a sample hold.
+SAMPLES = (8, 64, 512)
 #: Pairs that a worker holds at once.
 PAIRS = 2_000_000
 #: Bits of the map of a text's shingles by which pairs that can't be similar are told.
 SKETCH = 1024
+#: Differing bits of the fingerprints that are tried first for similar texts.
+RADIUS = 6
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -76,46 +77,45 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that several texts of a sample hold, the most common last."""
+def common_shingles(docs: DataFrame, words: int) -> list[Broadcast]:
+    """Bit tables of the shingles that several texts of ever smaller samples hold; what they miss or add is only slower."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))})
+            turns = np.repeat(batch.column("turn").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)), "turn": pa.array(turns)})
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sample.mapInArrow(run, "token long").groupBy("token").count().where("count > 2")
-    top = counts.orderBy(F.desc("count"), "token").limit(COMMON).collect()
-    return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLES[-1])).cast("int")
+    sample = docs.select("text", turn.alias("turn")).where(F.pmod("turn", F.lit(SAMPLES[0])) == 0)
+    of = [F.count_if(F.pmod("turn", F.lit(n)) == 0).alias(f"n{n}") for n in SAMPLES]
+    counts = stored(sample.mapInArrow(run, "token long, turn int").groupBy("token").agg(*of).where(f"n{SAMPLES[0]} > 1"), "common-shingles")
+    return [bit_table(counts.where(f"n{n} > 1").select("token")) for n in SAMPLES]
 
 
-def rare_first(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of distinct hashes in an order that all texts share: by value, but those of the sorted ``common`` last, by ``rank``.
+def rare_first(hashes: np.ndarray, common: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first of distinct hashes in an order that all texts share: those in the fewest of the tables first, then by value.
 
     Two sets that are ``similarity`` alike share one of these: each holds all but a
     share ``1 - similarity`` of its members in common with the other.
     """
-    n, own = len(hashes), np.full(len(hashes), -1)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        own = np.where(common[at] == hashes, rank[at], -1)
-    return hashes[np.lexsort((hashes, own))][: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
+    n = len(hashes)
+    level = sum((in_table(t, hashes).astype(np.int8) for t in common), np.zeros(n, np.int8))
+    return hashes[np.lexsort((hashes, level))][: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of rows that have words ``id long``, ``fp long`` of the distinct shingles, their number ``shingles``, ``sketch`` and ``prefix``, the rarest."""
     prepare(docs.sparkSession)
     common = common_shingles(docs, words)
-    rank = np.argsort(common)
-    common = common[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [t.value for t in common]
         for batch in batches:
             found = [(i, h) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) if len(h := shingle_hashes(t, words))]
             sets = [np.unique(h) for _, h in found]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in found], pa.int64()), "fp": pa.array([fingerprint(x) for x in sets], pa.int64()), "shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array([sketch(x) for x in sets], pa.binary()), "prefix": pa.array([rare_first(x, common, rank, similarity) for x in sets], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in found], pa.int64()), "fp": pa.array([fingerprint(x) for x in sets], pa.int64()), "shingles": pa.array([len(x) for x in sets], pa.int64()), "sketch": pa.array([sketch(x) for x in sets], pa.binary()), "prefix": pa.array([rare_first(x, tables, similarity) for x in sets], pa.list_(pa.int64()))})
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp long, shingles long, sketch binary, prefix array<long>")
 
@@ -173,62 +173,17 @@ def _hits(tile: np.ndarray, key: np.ndarray, fp: np.ndarray, side: np.ndarray, r
 def compare_tiles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows ``tile, key, fp, side`` -> edges ``u, v``: a forest of the links of whole tiles."""
     for tile, key, fp, side in _whole_tiles(batches):
-        found = list(_hits(tile, key, fp, side, radius))
-        u = np.concatenate([fp[x] for x, _, _ in found] or [np.empty(0, np.int64)])
-        v = np.concatenate([fp[y] for _, y, _ in found] or [np.empty(0, np.int64)])
-        u, v = forest(u, v)
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting, size = [(u, v)], 0
+        for x, y, _ in _hits(tile, key, fp, side, radius):
+            waiting.append((fp[x], fp[y]))
+            size += len(x)
+            if size > PAIRS:  # what is linked already need not be kept
+                waiting, size = [forest(*map(np.concatenate, zip(*waiting, strict=True)))], 0
+        u, v = forest(*map(np.concatenate, zip(*waiting, strict=True)))
         yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
 
-def next_partners(batches: Iterator[pa.RecordBatch], radius: int, most: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows ``tile, key, fp, side, t, id, group, past, past_id, shingles, sketch`` -> ``u, v, distance``.
-
-    Each row gets its next ``most`` partners in order of distance and id, after
-    (``past``, ``past_id``) and of other groups.  A pair that agrees in several
-    pairs of blocks is given by the first of their tiles alone.  Bits of one sketch
-    that the other lacks stand for at least as many shingles that it lacks; a pair
-    that can't be ``similarity`` alike for that is left out.  Sketches may be null.
-    """
-    masks = np.array(block_masks(radius), np.uint64)
-
-    def first(x: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.lexsort((x[2], x[1], x[0]))
-        x = [c[order] for c in x]
-        starts = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]]) if len(order) else order
-        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-        return [c[rank < most] for c in x]
-
-    for tile, key, fp, side, t, ids, group, past, past_id, shingles, maps in _whole_tiles(batches):
-        maps = None if maps[0] is None else np.frombuffer(b"".join(maps), np.uint64).reshape(len(fp), -1)
-        held = [np.empty(0, np.int64)] * 3
-        waiting, size = [held], 0
-        for x, y, d in _hits(tile, key, fp, side, radius):
-            other = group[x] != group[y]
-            x, y, d = x[other], y[other], d[other].astype(np.int64)
-            apart = (fp[x] ^ fp[y]).view(np.uint64)
-            earliest, todo = np.full(len(x), len(masks)), np.arange(len(x))
-            for k, mask in enumerate(masks):
-                if not len(todo):
-                    break
-                same = (apart[todo] & mask) == 0
-                earliest[todo[same]] = k
-                todo = todo[~same]
-            own = earliest == t[x]
-            x, y, d = x[own], y[own], d[own]
-            if maps is not None and len(x):
-                both = np.minimum(shingles[x] - np.bitwise_count(maps[x] & ~maps[y]).sum(1, dtype=np.int64), shingles[y] - np.bitwise_count(maps[y] & ~maps[x]).sum(1, dtype=np.int64))
-                can = both * (1 + similarity) >= similarity * (shingles[x] + shingles[y]) - 1e-6
-                x, y, d = x[can], y[can], d[can]
-            x, y, d = np.r_[x, y], np.r_[y, x], np.r_[d, d]
-            after = (d > past[x]) | ((d == past[x]) & (ids[y] > past_id[x]))
-            waiting.append([ids[x[after]], d[after], ids[y[after]]])
-            size += int(after.sum())
-            if size > 1_000_000:
-                waiting, size = [first([np.concatenate(c) for c in zip(*waiting, strict=True)])], 0
-        u, d, v = first([np.concatenate(c) for c in zip(*waiting, strict=True)])
-        yield pa.RecordBatch.from_pydict({"u": u, "v": v, "distance": d.astype(np.int32)})
-
-
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges with the same components as the given ones, at most one a node."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -314,11 +269,6 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def radius_of(similarity: float) -> int:
-    """The differing bits that shingle sets of this Jaccard similarity have on average."""
-    return math.floor(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def _similar(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -404,16 +354,27 @@ def prefix_pairs(rows: DataFrame, groups: DataFrame, similarity: float) -> DataF
     return both.mapInArrow(partial(_bounded, similarity=similarity), "u long, v long, most double")
 
 
-def all_similar_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def near_groups(texts: DataFrame, rows: DataFrame, words: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """``node, component`` of the texts that a forest of links within ``radius`` joins, each link verified; ``rows`` are stored ``sketches``."""
+    first = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    u, v = (first.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")) for c in "uv")
+    between = links(first.select("fp"), radius).join(u, "u").join(v, "v").select(F.least("of_u", "of_v").alias("u"), F.greatest("of_u", "of_v").alias("v"))
+    equal = rows.join(first, "fp").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    pairs = stored(between.union(equal).distinct(), "near-pairs")
+    return stored(connected_components(_verified(texts, pairs, words, similarity)), "near-groups")
+
+
+def similar_groups(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """``doc_id, text`` of distinct ids -> ``node, component`` of the texts that are similar to another.
 
-    ``similar_groups`` finds most.  The pairs that it misses, as their fingerprints are
-    further apart, are found by shared shingles: of each two groups the likeliest pairs
-    are verified first, until all are verified or in one group.  So no similar pair
-    is lost, and a group of thousands of copies never gives all its pairs.
+    Tiles of SimHash fingerprints find the nearest copies, which makes few groups of
+    very many.  Pairs of other groups, however far their fingerprints, meet at the
+    shingles that they share: of each two groups the likeliest pairs are verified
+    first, until all are verified or in one group.  So no similar pair is lost, and
+    a group of thousands of copies never gives all its pairs.
     """
     rows = stored(sketches(texts, words, similarity), "fingerprints")
-    groups = similar_groups(texts, words, similarity, rows)
+    groups = near_groups(texts, rows, words, similarity)
     left = stored(prefix_pairs(rows, groups, similarity), "prefix-pairs")
     most = 4
     while True:
@@ -430,42 +391,6 @@ def all_similar_groups(texts: DataFrame, words: int, similarity: float) -> DataF
         most *= 16
 
 
-def similar_groups(texts: DataFrame, words: int, similarity: float, rows: DataFrame | None = None) -> DataFrame:
-    """``node, component`` of the texts that are similar to one whose fingerprint is near; ``rows`` are their stored ``sketches``.
-
-    Pairs of SimHash fingerprints within the radius of ``similarity`` are candidates.
-    In each round a text's next candidates of other groups, nearest first, are verified
-    by exact Jaccard and join groups; a text that runs out of them leaves.  Rounds
-    end when no candidates are left, so every one is verified or already in
-    one group, and a group of thousands of copies never gives all its pairs.
-    """
-    spark = texts.sparkSession
-    radius = radius_of(similarity)
-    if rows is None:
-        rows = stored(sketches(texts, words, similarity), "fingerprints")
-    rows = rows.drop("prefix")
-    # The first round is over all texts: it does without sketches, to move less.
-    active = rows.withColumns({"group": F.col("id"), "past": F.lit(-1), "past_id": F.lit(0).cast("long"), "sketch": F.lit(None).cast("binary")})
-    groups = spark.createDataFrame([], "node long, component long")
-    most = 1
-    while True:
-        tiles = deal_tiles(active, radius).select("tile", "key", "fp", "side", "t", "id", "group", "past", "past_id", "shingles", "sketch")
-        found = tiles.mapInArrow(partial(next_partners, radius=radius, most=most, similarity=similarity), "u long, v long, distance int")
-        place = F.row_number().over(Window.partitionBy("u").orderBy("distance", "v"))
-        tried = stored(found.withColumn("place", place).where(F.col("place") <= most), "candidates")
-        # Only texts that had as many partners as asked for may have more.
-        going = stored(tried.where(F.col("place") == most).select(F.col("u").alias("id"), F.col("distance").alias("past"), F.col("v").alias("past_id")), "going")
-        pairs = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        alike = _verified(texts, pairs, words, similarity)
-        if not alike.isEmpty():
-            groups = stored(merged(groups, alike), "groups")
-        if going.isEmpty():
-            return groups
-        active = rows.join(going, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-        active = stored(active.select("id", "fp", "shingles", "sketch", F.coalesce("component", "id").alias("group"), "past", "past_id"), "active")
-        most = min(4 * most, PARTNERS)
-
-
 def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """``groups`` (``node, component``) after the links ``u, v`` between nodes."""
     u, v = (groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "uv")
@@ -487,7 +412,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     named = docs.where("doc_id is not null and text is not null")
     texts = stored(named.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first-of-texts")
     distinct = stored(named.join(texts, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "distinct-texts")
-    gone = all_similar_groups(distinct, words, similarity).where("node <> component").select(F.col("node").alias("doc_id"))
+    gone = similar_groups(distinct, words, similarity).where("node <> component").select(F.col("node").alias("doc_id"))
     keep = stored(texts.join(gone, "doc_id", "left_anti"), "kept-ids")
     # Of repeated rows with the same id and text one stays, too.
     kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -83,9 +83,8 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "6", "7", "None"]
 
 
-@pytest.mark.parametrize(("partners", "tile"), [(256, 4096), (8, 8)])
-def test_similar_groups_equal_brute_force(spark, partners, tile, monkeypatch):
-    monkeypatch.setattr(simhash, "PARTNERS", partners)
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_similar_groups_of_many_copies_equal_brute_force(spark, tile, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", tile)
     random = np.random.default_rng(1)
     rows = []
@@ -96,26 +95,42 @@ def test_similar_groups_equal_brute_force(spark, partners, tile, monkeypatch):
             for i in random.integers(0, 150, random.integers(0, 7)):
                 copy[i] = f"x{random.integers(10**6)}"
             rows.append((len(rows), " ".join(copy)))
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
-    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows]
-    radius, u, v = simhash.radius_of(0.8), [], []
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= radius if fps[i] ^ fps[j] >= 0 else ((fps[i] ^ fps[j]) + (1 << 64)).bit_count() <= radius:
-                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                    u.append(i)
-                    v.append(j)
-    want = dict(zip(*(x.tolist() for x in simhash.forest(np.array(u), np.array(v))), strict=True))
+    want = brute_groups([t for _, t in rows])
     found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()
     assert len(found) == len({r.node for r in found})
     assert {r.node: r.component for r in found if r.node != r.component} == want and len(want) > 20
 
 
+def brute_groups(texts):
+    """Place of a text -> the smallest that it reaches by similar pairs, over all pairs; only where they differ."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return dict(zip(*(x.tolist() for x in simhash.forest(*np.array(alike).T)), strict=True)) if alike else {}
+
+
+def test_near_duplicates_are_found_at_every_distance(spark):
+    """Planted pairs of similarity 0.8 to 1: recall by the bits in which their fingerprints differ."""
+    random = np.random.default_rng(3)
+    rows, distance = [], {}
+    for base in range(250):
+        words = [f"b{base}w{i}" for i in range(random.integers(30, 400))]
+        copy = list(words)
+        for i in random.choice(len(words), max(1, len(words) // random.integers(46, 200)), replace=False):
+            copy[i] = f"x{random.integers(10**6)}"
+        a, b = (np.unique(simhash.shingle_hashes(" ".join(x), 5)) for x in (words, copy))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            distance[len(rows) + 1] = bin((simhash.fingerprint(a) ^ simhash.fingerprint(b)) & ((1 << 64) - 1)).count("1")
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not kept & distance.keys() and kept == {i - 1 for i in distance}
+    assert len(distance) > 100 and max(distance.values()) > 10 and min(distance.values()) < 6
+
+
 @pytest.mark.parametrize(("tile", "pairs"), [(4096, 2_000_000), (16, 50)])
-def test_all_similar_groups_equal_all_pairs_without_a_radius(spark, tile, pairs, monkeypatch):
+def test_similar_groups_equal_all_pairs_without_a_radius(spark, tile, pairs, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", tile)
     monkeypatch.setattr(simhash, "PAIRS", pairs)
-    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    monkeypatch.setattr(simhash, "SAMPLES", (1, 2, 4))
     random = np.random.default_rng(2)
     rows, line = [], "this line stands in every one of the texts"
     for base in range(120):  # a text and one copy, about 0.8 alike
@@ -126,12 +141,10 @@ def test_all_similar_groups_equal_all_pairs_without_a_radius(spark, tile, pairs,
         rows += [(len(rows), f"{line} {' '.join(words)}"), (len(rows) + 1, f"{line} {' '.join(copy)}")]
     passage = " ".join(f"p{i}" for i in range(30))
     rows += [(len(rows), f"{' '.join([passage] * 40)} q r"), (len(rows) + 1, f"{passage} q r s")]  # a repeated passage
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
-    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    want = dict(zip(*(x.tolist() for x in simhash.forest(*np.array(alike).T)), strict=True))
+    want = brute_groups([t for _, t in rows])
     texts = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.deduplicate(texts).collect()) == sorted({i for i, _ in rows} - want.keys())
-    found = simhash.all_similar_groups(texts, 5, 0.8).collect()
+    found = simhash.similar_groups(texts, 5, 0.8).collect()
     assert {r.node: r.component for r in found if r.node != r.component} == want and len(want) > 60
 
 
