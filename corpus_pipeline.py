@@ -1,6 +1,6 @@
 """Training-data pipeline over ``documents``: each stage calls one operator.
 
-Language ID drops documents without a language; SimHash near-dedup keeps one
+Language ID keeps the wanted languages; SimHash near-dedup keeps one
 document of each group; decontamination drops documents that hold benchmark
 items; BPE encoding returns what the rest encodes and decodes to.
 """
@@ -15,12 +15,21 @@ from driftledger.llm.shared import stored
 
 #: Share of an item's words that a document must hold to be dropped.
 COVERAGE = 0.8
+#: Languages that are wanted.
+WANTED = ("de", "en", "es", "fr")
+#: The least cosine of a prediction: three times the standard deviation of unrelated vectors' cosine.
+LEAST_SCORE = 3 / langid.DIMENSIONS**0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text is null or has no letter (``und``); prototypes are learned from all labelled ones."""
-    prototypes = langid.learn(docs)
-    return langid.predict(docs, prototypes).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    """Keep documents predicted to be in a wanted language, at a score that chance doesn't reach.
+
+    Prototypes are learned from all labelled rows; predictions see texts alone.  A
+    null text or one without a letter is ``und`` and goes; without any labels all go.
+    Null ids and repeated rows are judged by their texts; all columns are kept.
+    """
+    found = langid.predict(docs.select(F.struct(*docs.columns).alias("__row"), "text"), langid.learn(docs))
+    return found.where(F.col("lang_pred").isin(*WANTED) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contaminated(docs, benchmark, threshold=COVERAGE).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents whose text holds a benchmark item; null texts and ids stay, as do all columns."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), COVERAGE)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encoding``'s rows of what the other stages keep of ``documents``; an empty table gives none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
