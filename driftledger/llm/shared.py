@@ -2,59 +2,30 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from driftledger.functions.workers import shared_folder as folder, ship, stored
+
+__all__ = ["bit_table", "folder", "in_table", "prepare", "small", "stored"]
+
 #: Rows and bytes of one Arrow batch; documents may be long, so batches stay small.
-ARROW_ROWS = 1000
-ARROW_BYTES = 32 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 #: Bits of a table of hashes; fixed, so its size is too (4 MB).
 TABLE_BITS = 1 << 25
 #: Rows of a few columns that may be broadcast.
 SMALL_ROWS = 100_000
-#: Applications whose workers have this package.
-_SHIPPED: set[str] = set()
-
-
-def prepare(spark: SparkSession) -> str:
-    """Set the Arrow batch size and return the folder that all executors share.
-
-    The folder is the one in ``spark.checkpoint.dir``.  Only where that is
-    unset (tests on one machine) a local one is made.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        # Workers import this package; send it, as they may not have it installed.
-        root = Path(__file__).resolve().parents[2]
-        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='driftledger-')}/driftledger", "zip", root, "driftledger"))
-        _SHIPPED.add(sc.applicationId)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftledger-"))
-    return sc.getCheckpointDir()
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{prepare(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    This cuts the lineage with files that outlive any executor, and prunes
-    columns for later readers, unlike a checkpoint of whole rows.
-    """
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers and bound the session's Arrow batches by rows and bytes, unless bounded closer."""
+    ship(spark)
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -81,9 +52,3 @@ def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bit of each unsigned hash is set."""
     slots = hashes & np.uint64(TABLE_BITS - 1)
     return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def fresh(df: DataFrame, *names: str) -> None:
-    """Raise if ``df`` lacks one of ``names``."""
-    if missing := [n for n in names if n not in df.columns]:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
