@@ -86,6 +86,9 @@ def described(tag: str, attributes: str) -> tuple[int, str]:
     kind = GONE if hidden or tag in NO_TEXT else FRAMED if tag in FRAME else KEPT
     if kind == KEPT and tag not in ("html", "body", "main"):
         kind = max((kind_of(n) for n in (*classes, *unescape(found.get("id", "")).split(), *found.get("role", "").split())), default=KEPT)
+        # Headings and what stands in a line of text don't go for a name that may be either.
+        kind = min(kind, SOFT) if tag in HEADINGS else kind
+        kind = KEPT if kind == SOFT and (tag not in BLOCK or tag in HEADINGS) else kind
     return kind, ".".join([tag, *sorted(re.sub(r"\d+", "#", c.lower()) for c in classes)])
 
 
@@ -144,11 +147,16 @@ class Page:
             if self.node.link:
                 self.linked += len(text.strip())
 
+    @staticmethod
+    def _cuts(node: Node) -> bool:
+        """Whether an element ends the block around it: blocks do, and what may be dropped later, but nothing hidden in a line."""
+        return node.tag in BLOCK or KEPT < node.own < GONE
+
     def _leave(self, place: int) -> None:
         """Close open elements down to the one at ``place`` of the stack."""
         while len(self.stack) > place:
             node = self.stack[-1]
-            if node.tag in BLOCK or node.own:
+            if self._cuts(node):
                 self._flush()
             self.stack.pop()
             self.open[node.tag].pop()
@@ -173,7 +181,7 @@ class Page:
                 self.node.controls += 1
             return
         node = Node(tag, self.node, attributes)
-        if node.own:
+        if self._cuts(node):
             self._flush()
         if tag in ("textarea", "select", "button"):
             node.parent.controls += 1
