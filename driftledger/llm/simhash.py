@@ -22,14 +22,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import connected_components
-from .shared import bit_table, in_table, prepare, stored
+from .shared import bit_table, in_table, prepare, small, stored
 
 #: Fingerprints that one tile holds at most.
 TILE = 4096
 #: A text in so many is read for the shingles that are common: those that two of a sample hold.
 SAMPLES = (8, 64, 512)
 #: Pairs that a worker holds at once.
-PAIRS = 2_000_000
+PAIRS = 250_000
 #: Bits of the map of a text's shingles by which pairs that can't be similar are told.
 SKETCH = 1024
 #: Differing bits of the fingerprints that are tried first for similar texts.
@@ -286,72 +286,91 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float)
     return stored(both.mapInArrow(partial(_similar, words=words, similarity=similarity), "u long, v long"), "alike")
 
 
-def _sharing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows ``token, cell, group, id, shingles, pos, side`` sorted by the first three -> pairs ``u, v`` of other groups.
+LISTED = "token long, cell int, group long, id long, shingles int, pos int, side int"
+
+
+def _meeting(token: np.ndarray, cell: np.ndarray, group: np.ndarray, shingles: np.ndarray, pos: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of other groups in the same list, ``PAIRS`` at a time, that by size and place may be similar.
 
     ``pos`` is the token's place in its text's prefix; at the first that two similar
-    texts share, what is left of both must reach the overlap they need.  Rows of
-    one side don't meet, but those of side -1 do.
+    texts share, what is left of both must reach the overlap they need.  Rows of one
+    side don't meet, but those of side -1 do.
     """
-    for token, cell, group, ids, shingles, pos, side in _whole_tiles(batches):
-        n = len(token)
-        turn = np.r_[True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]
-        ends = np.r_[np.flatnonzero(turn)[1:], n]
-        stop = ends[np.cumsum(turn) - 1]
-        turn |= np.r_[True, group[1:] != group[:-1]]
-        ends = np.r_[np.flatnonzero(turn)[1:], n]
-        start = ends[np.cumsum(turn) - 1]
-        rows = np.flatnonzero(stop > start)
-        total = np.cumsum(stop[rows] - start[rows])
-        while len(rows):
-            take = max(1, int(np.searchsorted(total, PAIRS, "right")))
-            some, many = rows[:take], (stop - start)[rows[:take]]
-            x = np.repeat(some, many)
-            y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[some], many)
-            rows, total = rows[take:], total[take:] - total[take - 1]
-            left = np.minimum(shingles[x] - pos[x], shingles[y] - pos[y])
-            can = (left * (1 + similarity) >= similarity * (shingles[x] + shingles[y]) - 1e-6) & ((side[x] != side[y]) | (side[x] < 0))
-            u, v = ids[x[can]], ids[y[can]]
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_pydict({"u": pa.array(pairs[:, 0].copy()), "v": pa.array(pairs[:, 1].copy())})
-
-
-def _bounded(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows ``u, v, nu, nv, su, sv`` -> ``u, v, most``, the greatest similarity that the sketches allow, where it's enough."""
-    for batch in batches:
-        u, v, nu, nv = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(u):
-            continue
-        su, sv = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(u), -1) for i in (4, 5))
-        both = np.minimum(nu - np.bitwise_count(su & ~sv).sum(1, dtype=np.int64), nv - np.bitwise_count(sv & ~su).sum(1, dtype=np.int64))
-        most = both / (nu + nv - both)
-        can = most >= similarity - 1e-9
-        yield pa.RecordBatch.from_pydict({"u": u[can], "v": v[can], "most": most[can]})
+    n = len(token)
+    turn = np.r_[True, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])]
+    ends = np.r_[np.flatnonzero(turn)[1:], n]
+    stop = ends[np.cumsum(turn) - 1]
+    turn |= np.r_[True, group[1:] != group[:-1]]
+    ends = np.r_[np.flatnonzero(turn)[1:], n]
+    start = ends[np.cumsum(turn) - 1]
+    rows = np.flatnonzero(stop > start)
+    total = np.cumsum(stop[rows] - start[rows])
+    while len(rows):
+        take = max(1, int(np.searchsorted(total, PAIRS, "right")))
+        some, many = rows[:take], (stop - start)[rows[:take]]
+        x = np.repeat(some, many)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[some], many)
+        rows, total = rows[take:], total[take:] - total[take - 1]
+        left = np.minimum(shingles[x] - pos[x], shingles[y] - pos[y])
+        can = (left * (1 + similarity) >= similarity * (shingles[x] + shingles[y]) - 1e-6) & ((side[x] != side[y]) | (side[x] < 0))
+        yield x[can], y[can]
+
+
+def _crowded(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows ``LISTED`` sorted by token, cell and group: those that meet another that they may be similar to."""
+    names = [x.split()[0] for x in LISTED.split(", ")]
+    for rows in _whole_tiles(batches):
+        token, cell, group, _, shingles, pos, side = rows
+        keep = np.zeros(len(token), bool)
+        for x, y in _meeting(token, cell, group, shingles, pos, side, similarity):
+            keep[x] = keep[y] = True
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], names=names)
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows ``LISTED`` and ``sketch``, sorted by token, cell and group -> pairs ``u, v`` of other groups, ``most``.
+
+    Bits of one sketch that the other lacks stand for at least as many shingles that
+    it lacks; ``most`` is the greatest similarity that this allows, and pairs whose
+    is too low go.
+    """
+    for token, cell, group, ids, shingles, pos, side, maps in _whole_tiles(batches):
+        bits = np.frombuffer(b"".join(maps), np.uint64).reshape(len(token), -1)
+        for x, y in _meeting(token, cell, group, shingles, pos, side, similarity):
+            both = np.minimum(shingles[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), shingles[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
+            most = both / (shingles[x].astype(np.int64) + shingles[y] - both)
+            can = most >= similarity - 1e-9
+            x, y, most = x[can], y[can], most[can]
+            u, v = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+            _, first = np.unique(np.stack([u, v], 1), axis=0, return_index=True)
+            if len(first):
+                yield pa.RecordBatch.from_pydict({"u": u[first], "v": v[first], "most": most[first]})
 
 
 def prefix_pairs(rows: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``u, v, most`` of other groups that may be similar: none that is, is missing.
 
     Texts meet at each shingle of their prefixes.  A shingle of very many is split
-    into parts, each two of which meet once.
+    into parts, each two of which meet once.  Sketches are joined only to texts that
+    meet others.
     """
     named = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
     tokens = named.select("id", "group", F.col("shingles").cast("int").alias("shingles"), F.posexplode("prefix").alias("pos", "token"))
     # Estimated on a part of the texts: what it misses is only slower.
     seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode("prefix").alias("token"))
     big = seen.groupBy("token").count().where(F.col("count") > TILE // 16)
-    big = stored(big.select("token", F.ceil(F.col("count") * 16 / TILE).cast("int").alias("parts")), "big-lists")
-    dealt = tokens.join(F.broadcast(big), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    big = small(big.select("token", F.ceil(F.col("count") * 16 / TILE).cast("int").alias("parts")))
+    dealt = tokens.join(big, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), -1).otherwise((F.col("part") > F.col("other")).cast("int"))
     lists = dealt.select("token", cell.alias("cell"), "group", "id", "shingles", "pos", side.alias("side"))
     lists = lists.repartition("token", "cell").sortWithinPartitions("token", "cell", "group")
-    pairs = lists.mapInArrow(partial(_sharing, similarity=similarity), "u long, v long").distinct()
-    u, v = (rows.select(F.col("id").alias(c), F.col("shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
-    both = pairs.join(u, "u").join(v, "v").select("u", "v", "nu", "nv", "su", "sv")
-    return both.mapInArrow(partial(_bounded, similarity=similarity), "u long, v long, most double")
+    crowded = stored(lists.mapInArrow(partial(_crowded, similarity=similarity), LISTED), "crowded-lists")
+    met = crowded.join(rows.select("id", "sketch"), "id").select(*crowded.columns, "sketch")
+    met = met.repartition("token", "cell").sortWithinPartitions("token", "cell", "group")
+    pairs = met.mapInArrow(partial(_sharing, similarity=similarity), "u long, v long, most double")
+    return pairs.dropDuplicates(["u", "v"])
 
 
 def near_groups(texts: DataFrame, rows: DataFrame, words: int, similarity: float, radius: int = RADIUS) -> DataFrame:
