@@ -63,12 +63,16 @@ class RunningHashes:
 
 
 def seeds_of(words: list[str], seed: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct hashes of each run of ``seed`` words; of a text of fewer, of all of it, which only an equal one has."""
+    """Hash of each run of ``seed`` words; of a text of fewer, of all of it, which only an equal one has."""
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < seed:
         return np.array([xxhash.xxh64_intdigest("\0" + " ".join(words), seed=42)], np.uint64)
-    return np.unique(RunningHashes(hashes.of(words)).windows(seed))
+    values, n = hashes.of(words), len(words) - seed + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(seed):
+        out = out * np.uint64(BASE) + values[k : n + k]
+    return out
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -149,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [seeds_of(words_of(t), seed, hashes) for t in batch.column("text").to_pylist()]
+            found = [np.unique(seeds_of(words_of(t), seed, hashes)) for t in batch.column("text").to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_pydict({"item": batch.column("item").take(pa.array(at, pa.int64())), "seed": pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))})
 
@@ -163,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
             at, hits = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 found = seeds_of(words_of(text), seed, hashes)
-                found = found[in_table(table.value, found)]
+                found = np.unique(found[in_table(table.value, found)])
                 if len(found):
                     at.append(k)
                     hits.append(found.view(np.int64))
