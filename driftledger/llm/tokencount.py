@@ -8,7 +8,7 @@ computed once where pre-tokens share it; a pre-token's count stands at its termi
 from __future__ import annotations
 
 import functools
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,54 +42,64 @@ class UnigramTrie:
                 self.score[model.id_to_piece(i)] = model.get_score(i)
         self.unknown = min(self.score.values()) - UNKNOWN
         self.longest = max(map(len, self.score))
-        #: Last character -> lengths of the pieces that end in it.
+        #: Last three characters (or all of fewer) -> lengths of the pieces that end in them.
         ends: dict[str, set[int]] = {}
         for piece in self.score:
-            ends.setdefault(piece[-1], set()).add(len(piece))
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
         self.ends = {c: sorted(n) for c, n in ends.items()}
         self._clear()
 
     def _clear(self) -> None:
-        #: Node and next character -> node; negative score and tokens of each node's best path.
-        self.child: dict[tuple[int, str], int] = {}
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
+        #: Node and next character (in the low 21 bits) -> node; negative score and tokens of each node's best path.
+        self.child: dict[int, int] = {}
+        self.cost, self.tokens = [0.0], [0]
         self.terminal: dict[str, int] = {}
 
-    def _forward(self, token: str, end: int, seen: deque) -> tuple[float, int]:
-        """The best path to ``end``, from those to the positions before it, the last of which is ``seen[-1]``."""
-        score, found = self.score, None
-        for n in self.ends.get(token[end - 1], ()):
-            if n > end:
-                break
-            s = score.get(token[end - n : end])
-            if s is not None:
-                cost, tokens = seen[-n]
-                way = (cost - s, tokens + 1)
-                if found is None or way < found:
-                    found = way
-        if token[end - 1] not in score:
-            size = len(token[end - 1].encode("utf-8", "surrogatepass"))
-            cost, tokens = seen[-1]
-            way = (cost - self.unknown, tokens + size)
-            found = way if found is None else min(found, way)
-        return found
-
     def add(self, token: str) -> int:
         """Insert a pre-token and return its count, which is kept at its terminal."""
-        child, best = self.child, self.best
-        seen, node = deque([best[0]], self.longest), 0
-        for end, c in enumerate(token, 1):
-            to = child.get((node, c)) if end <= DEPTH else None
+        child, score, ends, longest = self.child, self.score, self.ends, self.longest
+        node, known = 0, 0
+        costs, counts = [0.0], [0]  # of the positions so far, or as many as a piece looks back
+        for c in token[:DEPTH]:
+            to = child.get(node << 21 | ord(c))
             if to is None:
-                way = self._forward(token, end, seen)
-                if end <= DEPTH:
-                    to = child[node, c] = len(best)
-                    best.append(way)
+                break
+            node, known = to, known + 1
+            costs.append(self.cost[to])
+            counts.append(self.tokens[to])
+        for end in range(known + 1, len(token) + 1):
+            c = token[end - 1]
+            s = score.get(c)
+            if s is None:
+                size = len(c.encode("utf-8", "surrogatepass"))
+                best, tokens = costs[-1] - self.unknown, counts[-1] + size
             else:
-                way = best[to]
-            node = to
-            seen.append(way)
-        return seen[-1][1]
+                best, tokens = costs[-1] - s, counts[-1] + 1
+            if end > 1:
+                s = score.get(token[end - 2 : end])
+                if s is not None:
+                    cost = costs[-2] - s
+                    if cost < best or cost == best and counts[-2] < tokens - 1:
+                        best, tokens = cost, counts[-2] + 1
+                for n in ends.get(token[end - 3 : end], ()) if end > 2 else ():
+                    if n > end:
+                        break
+                    s = score.get(token[end - n : end])
+                    if s is not None:
+                        cost = costs[-n] - s
+                        if cost < best or cost == best and counts[-n] < tokens - 1:
+                            best, tokens = cost, counts[-n] + 1
+            costs.append(best)
+            counts.append(tokens)
+            if end <= DEPTH:
+                to = child[node << 21 | ord(c)] = len(self.cost)
+                self.cost.append(best)
+                self.tokens.append(tokens)
+                node = to
+            elif len(costs) > DEPTH + longest:
+                del costs[:-longest], counts[:-longest]
+        return counts[-1]
 
     def count(self, text: str | None) -> tuple[int, int]:
         """Tokens and pre-tokens of a text."""
@@ -104,7 +114,7 @@ class UnigramTrie:
         for word, n in counts.items():
             known = self.terminal.get(word)
             if known is None:
-                if len(self.best) > NODES:
+                if len(self.cost) > NODES:
                     self._clear()
                 known = self.add(SPACE + word)
                 if len(word) <= DEPTH:
