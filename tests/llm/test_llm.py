@@ -35,7 +35,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = duck.execute(queries.SQL[name]).df()
     got = queries.QUERIES[name](spark, DATA).toPandas()[list(want.columns)]
