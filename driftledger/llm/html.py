@@ -53,9 +53,13 @@ FILLER = frozenset("area list section wrapper wrap container box block inner out
 BODY = frozenset("content main article body text post entry story".split())
 NEGATED = frozenset("has no with without not is".split())
 KEPT, SOFT, NAMED, COMMENT, FRAMED, GONE = range(6)
+#: Share of the page's best score that its containers at the host's path must have to be taken.
+FAIR = 0.25
 
 ATTRIBUTE = re.compile(r"""[\s/]*+(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]*+)))?+""")
-TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?>{ATTRIBUTE.pattern.replace('(=?', '(?:=?').replace('([^', '(?:[^')}(?<![\s/>])|[\s/]++)*+)>")
+#: As ``ATTRIBUTE``, but with a name or a sign; a value may end in a slash.
+_NAMED = ATTRIBUTE.pattern.replace(r"(=?[^\s/>=]*+)", r"(?:=?[^\s/>=]++|=)").replace("([^", "(?:[^")
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?>{_NAMED}|[\s/]++)*+)>")
 PARTS = re.compile(r"[a-z]{2,}|[A-Z]+[a-z]+|[A-Z]{2,}")
 WHITE = re.compile(r"\s+")
 
@@ -93,7 +97,7 @@ def described(tag: str, attributes: str) -> tuple[int, str]:
 
 
 class Node:
-    __slots__ = ("article", "controls", "drop", "first", "flow", "inside", "kind", "last", "link", "linked", "links", "name", "own", "parent", "path", "readers", "runs", "size", "tag")
+    __slots__ = ("article", "controls", "drop", "first", "flow", "heads", "inside", "kind", "last", "link", "linked", "links", "main", "name", "own", "parent", "path", "readers", "runs", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
         self.tag, self.parent = tag, parent
@@ -103,9 +107,11 @@ class Node:
         #: The strongest kind of this and the elements around it.
         self.kind = max(self.own, parent.kind) if parent else self.own
         self.link = tag == "a" or (parent is not None and parent.link)
+        #: Whether this stands in an article or the page's main part.
+        self.main = parent is not None and (parent.main or parent.tag in ("article", "main"))
         # Of all blocks inside: characters, linked ones, running ones; links and form
-        # controls; the largest article; whether readers' comments are inside.
-        self.size = self.linked = self.runs = self.links = self.controls = self.article = 0
+        # controls; headlines; the largest article; whether readers' comments are inside.
+        self.size = self.linked = self.runs = self.links = self.controls = self.article = self.heads = 0
         self.first, self.last, self.readers = 1 << 60, -1, False
         self.drop = self.inside = False
         self.flow = 0.0
@@ -227,6 +233,10 @@ class Page:
                 else:
                     closes = [e + k for e, k in ((html.find("-->", start + 4), 3), (html.find("--!>", start + 4), 4)) if e >= 0]
                     at = min(closes, default=n)
+            elif html.startswith("<![CDATA[", start):
+                self._say(html[at:start])
+                close = html.find("]]>", start)
+                at = close + 3 if close >= 0 else n
             elif mark in ("!", "?") and mark or (mark == "/" and html[start + 2 : start + 3] not in ("", *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")):
                 self._say(html[at:start])
                 close = html.find(">", start)
@@ -254,6 +264,7 @@ class Page:
             up.linked += node.linked
             up.runs += node.runs
             up.links += node.links
+            up.heads += node.heads + (node.tag == "h1" and node.size > 0)
             up.controls += node.controls
             up.article = max(up.article, node.article)
             up.readers = up.readers or node.readers or node.own == COMMENT
@@ -277,6 +288,9 @@ class Page:
         if own == COMMENT:
             return not (self.root.article and self._holds(node))
         if own == NAMED:
+            # A banner that holds the article's only headline is part of it.
+            if node.main and node.heads == self.root.heads == 1 and 5 * node.linked < 2 * node.size:
+                return False
             return not self._holds(node)
         dense = 5 * node.linked >= 2 * node.size
         if own == SOFT:
@@ -327,18 +341,35 @@ class Page:
                 total[node.path] = total.get(node.path, 0.0) + flow * (1.5 if node.tag in ("article", "main") else 1.0)
                 flow *= 0.9
             node.parent.flow += flow
+        # A body whose tags were left out: text directly below the page.
+        if self.root.flow and not any(n.tag == "body" for n in self.nodes):
+            total[self.root.path] = self.root.flow
         return total
 
+    def _headline(self, first: Node) -> Node | None:
+        """The page's only headline, if it stands before the text that starts in ``first`` and isn't part of any furniture."""
+        heads = [n for n in self.nodes if n.tag == "h1" and n.size and not n.drop]
+        if len(heads) != 1 or heads[0].inside or heads[0].first >= first.first or 2 * heads[0].linked > heads[0].size:
+            return None
+        return heads[0]
+
     def extract(self, path: bytes | None) -> tuple[str, str | None]:
-        """Blocks below the containers at ``path``, or at the page's own best one if it has none there; and that path as text."""
+        """Blocks below the containers at ``path`` and the headline before them; and that path as text.
+
+        The page's own best container is taken where it has none at ``path``, or where those have
+        less than ``FAIR`` of its score: then the host's path isn't this page's article.
+        """
+        own = self.scores()
+        if own and own.get(path, 0.0) < FAIR * max(own.values()):
+            path = min(own, key=lambda p: (-round(own[p], 3), p))
+        self.root.inside = path is None or path == self.root.path
         places = [n for n in self.nodes if n.path == path]
-        if not places:
-            own = self.scores()
-            path = min(own, key=lambda p: (-round(own[p], 3), p)) if own else None
-            places = [n for n in self.nodes if n.path == path]
         for node in self.nodes:
             node.inside = node.parent.inside or node.path == path
-        text = "\n".join(text for node, text, _ in self.blocks if node.inside or path is None)
+        if places and (head := self._headline(places[0])):
+            for node in self.nodes:
+                node.inside = node.inside or node is head or (node.parent.inside and not node.drop)
+        text = "\n".join(text for node, text, _ in self.blocks if node.inside)
         return text, places[0].readable() if places else None
 
 
@@ -374,8 +405,8 @@ def vote(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """One row a page: ``page_id``, ``url``, ``text``, ``n_chars``, ``path`` (of the container that was taken).
 
-    Pages without a container at their host's winning path fall back to their own
-    best one.  A null or empty html has the empty text and a null path; pages without a host vote
+    Pages without a container at their host's winning path, or with little of their text in it,
+    fall back to their own best one; text of a page without a body element is its body's.  A null or empty html has the empty text and a null path; pages without a host vote
     together; ties of scores go to the smallest digest of a path; repeated rows
     stay; an empty table gives no rows; other columns are ignored.  A page of furniture alone is taken as its text.
     """
