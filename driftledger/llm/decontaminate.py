@@ -1,8 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are runs of words.  A bit table of fixed size tells a document's seeds that
-may be a benchmark item's; only these go on, and Spark joins them with the items'
-seeds.  A document that shares a seed with an item is tiled against it: the longest
+Seeds are runs of words.  A bit table of fixed size tells the documents with seeds that
+may be a benchmark item's; only these go on, with their grams: the shorter runs that a tile is made of.
+An item that a document covers must share grams with it.  Of each item's grams the ones in
+the fewest documents are kept, so many that the others together cover too little; Spark joins documents and items by
+these alone, so a phrase that all of them have pairs none.  A pair is tiled: the longest
 common runs are marked first, so that no word is in two tiles, by Karp-Rabin hashes
 of ever shorter windows.  Tiles may lie in any order, so passages whose sentences
 were moved are found as well.
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import bit_table, in_table, prepare, small, stored
 
@@ -28,6 +31,9 @@ UNBASE = pow(BASE, -1, 1 << 64)
 #: Word hashes that a worker keeps before it starts anew.
 CACHE = 500_000
 
+#: Bytes of benchmark texts that may be sent to all tasks; beyond, a pair's item comes with the pair.
+SENT = 32 << 20
+
 SCHEMA = "item_id long, coverage double, covered_words int, item_words int, tiles int"
 
 
@@ -62,19 +68,47 @@ class RunningHashes:
         return (self.sums[size:] - self.sums[:n]) * self.up[:n] if n > 0 else np.empty(0, np.uint64)
 
 
-def seeds_of(words: list[str], seed: int, hashes: WordHashes) -> np.ndarray:
-    """Hash of each run of ``seed`` words; of a text of fewer, of all of it, which only an equal one has."""
-    if not words:
+def runs_of(words: list[str], size: int, hashes: WordHashes) -> np.ndarray:
+    """Hash of each run of ``size`` words, others for each size; none of fewer words."""
+    n = len(words) - size + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    if len(words) < seed:
-        return np.array([xxhash.xxh64_intdigest("\0" + " ".join(words), seed=42)], np.uint64)
-    values, n = hashes.of(words), len(words) - seed + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(seed):
+    values, out = hashes.of(words), np.full(n, size, np.uint64)
+    for k in range(size):
         out = out * np.uint64(BASE) + values[k : n + k]
     return out
 
 
+def grams_of(words: list[str], seed: int, least: int, hashes: WordHashes) -> np.ndarray:
+    """An item's grams by place: its runs of ``least`` words; of an item of fewer than ``seed`` words, all of it."""
+    return runs_of(words, least if len(words) >= seed else len(words), hashes) if words else np.empty(0, np.uint64)
+
+
+def rarest(grams: list[int], counts: list[int], size: int, words: int, need: float) -> list[int]:
+    """Those of an item's grams (by place) in the fewest documents, so many that runs of the others cover less than ``need`` words.
+
+    A text that covers ``need`` words of the item has one of them.
+    """
+    order = sorted(set(zip(counts, grams, strict=True)))
+    places: dict[int, list[int]] = defaultdict(list)
+    for place, g in enumerate(grams):
+        places[g].append(place)
+    held = [0] * words  # how many grams cover each word
+    for place in range(len(grams)):
+        for k in range(place, place + size):
+            held[k] += 1
+    left, out = sum(h > 0 for h in held), []
+    for _, g in order:
+        if left < need:
+            break
+        out.append(g)
+        for place in places[g]:
+            for k in range(place, place + size):
+                held[k] -= 1
+                left -= held[k] == 0
+    return out
+
+
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(doc position, item position, length)``, the longest first.
 
@@ -125,11 +159,10 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
 
 def match(doc_words: list[str], item_words: list[str], seed: int, least: int) -> tuple[int, int]:
     """Covered words of the item and tiles; none without a tile of ``seed`` words, or of all words of a shorter item."""
-    if len(item_words) < seed:
-        return (len(item_words), 1) if doc_words == item_words else (0, 0)
+    n = len(item_words)
     number = {w: i for i, w in enumerate(dict.fromkeys(item_words), 1)}
-    tiles = tile(np.array([number.get(w, 0) for w in doc_words], np.int64), np.array([number[w] for w in item_words], np.int64), least)
-    if not tiles or tiles[0][2] < seed:
+    tiles = tile(np.array([number.get(w, 0) for w in doc_words], np.int64), np.array([number[w] for w in item_words], np.int64), min(least, n))
+    if not tiles or tiles[0][2] < min(seed, n):
         return 0, 0
     return sum(t[2] for t in tiles), len(tiles)
 
@@ -141,60 +174,110 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     each document row and item row that share a run of ``seed`` words and whose
     tiles of ``least`` or more words cover at least ``threshold`` of the item's
     words.  Words are runs of letters, digits and underscores in lower case.  An
-    item of fewer than ``seed`` words is found in documents of exactly its words.
+    item of fewer than ``seed`` words is found where all its words stand in a row.
     Null and empty texts share nothing.  Repeated rows give repeated pairs; an
     empty benchmark or table gives no rows; null ids are carried; other columns
-    are ignored.  Only documents with a seed that may be an item's are moved.
+    are ignored.  Only documents with a seed that may be an item's are moved, each
+    once where the benchmark's texts can be sent to the tasks.
     """
+    if not 0 < least <= seed:
+        raise ValueError("a tile may not be longer than a seed")
     spark = docs.sparkSession
     prepare(spark)
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
 
-    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [np.unique(seeds_of(words_of(t), seed, hashes)) for t in batch.column("text").to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_pydict({"item": batch.column("item").take(pa.array(at, pa.int64())), "seed": pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))})
-
-    items = stored(benchmark.where("text is not null").select("item_id", "text").withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
-    seeds = stored(items.select("item", "text").mapInArrow(item_seeds, "item long, seed long"), "benchmark-seeds")
-    table = bit_table(seeds.select("seed"))
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            seeds = [np.unique(runs_of(w, min(seed, len(w)), hashes) if w else np.empty(0, np.uint64)) for w in words]
+            grams = [grams_of(w, seed, least, hashes) for w in words]
+            lists = (pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())) for found in (seeds, grams))
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), batch.column("text"), pa.array(map(len, words), pa.int32()), *lists], names=["item", "item_id", "text", "n", "seeds", "grams"])
+
+    known = benchmark.where("text is not null").select("item_id", "text").withColumn("item", F.monotonically_increasing_id())
+    items = stored(known.select("item", "item_id", "text").mapInArrow(item_runs, f"item long, item_id {item_kind}, text string, n int, seeds array<long>, grams array<long>"), "benchmark-items")
+    table, gram_table = (bit_table(items.select(F.explode(c))) for c in ("seeds", "grams"))
+    # Lengths of items shorter than a seed: fewer than ``seed`` numbers.
+    short = sorted(r["n"] for r in items.where((F.col("n") > 0) & (F.col("n") < seed)).select("n").distinct().collect())
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             at, hits = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                found = seeds_of(words_of(text), seed, hashes)
-                found = np.unique(found[in_table(table.value, found)])
-                if len(found):
+                words = words_of(text)
+                found = [runs_of(words, size, hashes) for size in short]
+                found = [f[in_table(gram_table.value, f)] for f in found]
+                if in_table(table.value, runs_of(words, seed, hashes)).any():
+                    grams = runs_of(words, least, hashes)
+                    found.append(grams[in_table(gram_table.value, grams)])
+                if sum(map(len, found)):
                     at.append(k)
-                    hits.append(found.view(np.int64))
+                    hits.append(np.unique(np.concatenate(found)).view(np.int64))
             rows = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.list_(pa.int64()))], names=["doc_id", "text", "hits"])
 
     # Stored, so that the rows' numbers hold.
     may = docs.select("doc_id", "text").mapInArrow(candidates, f"doc_id {kind}, text string, hits array<long>")
     may = stored(may.withColumn("row", F.monotonically_increasing_id()), "candidates")
-    pairs = may.select("row", F.explode("hits").alias("seed")).join(seeds, "seed").select("row", "item").distinct()
-    texts = pairs.join(may.select("row", "doc_id", "text"), "row").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    held = may.select(F.explode("hits").alias("gram")).groupBy("gram").count()
 
-    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
-            for k, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
-                words = words_of(item)
-                covered, tiles = match(words_of(text), words, seed, least)
-                if covered and covered >= threshold * len(words):
-                    at.append(k)
-                    out.append((covered / len(words), covered, len(words), tiles))
-            rows = batch.select(["doc_id", "item_id"]).take(pa.array(at, pa.int64()))
-            columns = zip(*out, strict=True) if out else [()] * 4
-            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "item_id", "coverage", "covered_words", "item_words", "tiles"])
-
-    return texts.select("doc_id", "item_id", "text", "item_text").mapInArrow(tiled, f"doc_id {kind}, {SCHEMA.replace('item_id long', f'item_id {item_kind}')}")
+            out: list[tuple[int, int]] = []
+            for item, n, places in zip(*(batch.column(c).to_pylist() for c in ("item", "n", "places")), strict=True):
+                size = least if n >= seed else n
+                grams = [p["gram"] for p in places]
+                out += [(item, g) for g in rarest(grams, [p["count"] for p in places], size, n, threshold * n - 1e-9)]
+            yield pa.RecordBatch.from_pydict({"item": pa.array([i for i, _ in out], pa.int64()), "gram": pa.array([g for _, g in out], pa.int64())})
+
+    # An item's grams by place, a list as long as its text.
+    counted = items.select("item", "n", F.posexplode("grams").alias("place", "gram")).join(held, "gram", "left")
+    placed = counted.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("place", "gram", F.coalesce("count", F.lit(0)).alias("count")))).alias("places"))
+    wanted = stored(placed.mapInArrow(kept_grams, "item long, gram long"), "rarest-grams")
+    pairs = may.select("row", F.explode("hits").alias("gram")).join(wanted, "gram").select("row", "item").distinct()
+
+    def found_in(text: str, words: list[str]) -> tuple | None:
+        covered, tiles = match(words_of(text), words, seed, least)
+        return (covered / len(words), covered, len(words), tiles) if covered and covered >= threshold * len(words) else None
+
+    def rows_of(batch: pa.RecordBatch, at: list[int], items_at: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * 4
+        kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), items_at, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "item_id", "coverage", "covered_words", "item_words", "tiles"])
+
+    schema = f"doc_id {kind}, {SCHEMA.replace('item_id long', f'item_id {item_kind}')}"
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > SENT:
+        def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [found_in(t, words_of(i)) for t, i in zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)]
+                at = [k for k, f in enumerate(found) if f]
+                yield rows_of(batch, at, batch.column("item_id").take(pa.array(at, pa.int64())), [found[k] for k in at])
+
+        texts = pairs.join(may.select("row", "doc_id", "text"), "row").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+        return texts.select("doc_id", "item_id", "text", "item_text").mapInArrow(tiled, schema)
+
+    # Items with texts of at most ``SENT`` bytes in all.
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    sent = spark.sparkContext.broadcast({r["item"]: (r["item_id"], r["text"]) for r in items.select("item", "item_id", "text").toLocalIterator()})
+
+    def tiled_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split: dict[int, list[str]] = {}
+        for batch in batches:
+            at, ids, out = [], [], []
+            for k, (text, items_of) in enumerate(zip(batch.column("text").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                for item in items_of:
+                    words = split.get(item) or split.setdefault(item, words_of(sent.value[item][1]))
+                    if found := found_in(text, words):
+                        at.append(k)
+                        ids.append(sent.value[item][0])
+                        out.append(found)
+            yield rows_of(batch, at, pa.array(ids, item_type), out)
+
+    lists = pairs.groupBy("row").agg(F.collect_list("item").alias("items"))
+    return may.select("row", "doc_id", "text").join(lists, "row").select("doc_id", "text", "items").mapInArrow(tiled_once, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
