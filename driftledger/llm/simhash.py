@@ -426,13 +426,21 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Two texts are copies if their sets of ``words``-word shingles are at least
     ``similarity`` alike (Jaccard); groups are the components of those links.  Equal
     texts are one text.  Texts without words are copies only of equal ones; a
-    null text is no copy of anything.  Rows without a ``doc_id`` stay.  All columns are kept.
+    null text is no copy of anything.  Rows without a ``doc_id`` stay.  Texts are told apart by
+    what they say, so different texts of one id are different texts; those of one group that have
+    its smallest id both leave the one of the smaller digest.  All columns are kept.
     """
-    named = docs.where("doc_id is not null and text is not null")
-    texts = stored(named.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first-of-texts")
-    distinct = stored(named.join(texts, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "distinct-texts")
-    gone = similar_groups(distinct, words, similarity).where("node <> component").select(F.col("node").alias("doc_id"))
-    keep = stored(texts.join(gone, "doc_id", "left_anti"), "kept-ids")
+    key = F.sha2("text", 256).alias("__key")
+    named = docs.where("doc_id is not null and text is not null").select("doc_id", "text", key, F.struct(*docs.columns).alias("row"))
+    first = named.groupBy("__key").agg(F.min("doc_id").alias("first"))
+    # Texts are numbered: an id may stand for several of them.
+    texts = stored(first.withColumn("id", F.monotonically_increasing_id()), "first-of-texts")
+    same = [named["__key"] == texts["__key"], named["doc_id"] == texts["first"]]
+    distinct = stored(named.join(texts, same).select(F.col("id").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "distinct-texts")
+    groups = similar_groups(distinct, words, similarity)
+    grouped = texts.join(groups, texts["id"] == groups["node"], "left").select("__key", "first", F.coalesce("component", "id").alias("group"))
+    # Of texts whose smallest ids are equal the smaller digest stays.
+    keep = stored(grouped.groupBy("group").agg(F.min(F.struct("first", "__key")).alias("k")).select(F.col("k.first").alias("doc_id"), F.col("k.__key").alias("__key")), "kept-texts")
     # Of repeated rows with the same id and text one stays, too.
-    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null or text is null"))
+    kept = named.join(keep, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
+    return kept.select("row.*").unionByName(docs.where("doc_id is null or text is null"))
