@@ -83,6 +83,15 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "6", "7", "None"]
 
 
+def test_deduplicate_tells_texts_of_one_id_apart(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (9, z), (9, z), (9, z + " more"), (7, y + " and more"), (5, z + " even more"), (1, "other"), (1, "another")]
+    found = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as key", "1 as first"))
+    # z's group has id 5 as its smallest, by another text than y's.
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == sorted([(3, x), (5, y), (5, z + " even more"), (1, "other"), (1, "another")])
+    assert found.columns == ["doc_id", "text", "key", "first"]
+
+
 @pytest.mark.parametrize("tile", [4096, 8])
 def test_similar_groups_of_many_copies_equal_brute_force(spark, tile, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", tile)
@@ -289,16 +298,35 @@ def test_shards(odd, docs):
     assert kdshards.shard_documents(docs.select("doc_id", "text"), 3).count() == docs.count()
 
 
-def test_equal_texts_share_a_shard_unless_they_break_the_law(spark):
-    rows = [(i, f"text {i % 40} " + "w" * (i % 40)) for i in range(400)] + [(1000 + i, "hot text") for i in range(900)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = kdshards.shard_documents(docs, 4, heavy=0.2).toPandas()
+@pytest.mark.parametrize("heavy", [0.02, 0.2, 10.0])
+def test_equal_texts_share_a_shard_unless_one_is_too_small(spark, heavy):
+    rows = [(i, f"text {i % 40} " + "w" * (i % 40)) for i in range(400)] + [(1000 + i, "twenty equal texts, a good part of a shard " * 3) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "x" * 20 + str(i % 7), None) for i, t in rows], "doc_id long, text string, lang string, source string")
+    found = kdshards.shard_documents(docs, 4, heavy=heavy).toPandas()
+    assert (found.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
+    sizes = found.groupby("shard")["size"].sum()
+    assert heavy > 1 or sizes.max() < (1.1 if heavy < 0.1 else 1.3) * sizes.min()
+    # Equal texts of more bytes than a shard may have are dealt into parts.
+    hot = docs.union(spark.createDataFrame([(5000 + i, "hot text", None, None) for i in range(9000)], docs.schema))
+    found = kdshards.shard_documents(hot, 4, heavy=heavy).toPandas()
     texts = found.groupby(["text_crc32", "size"]).agg(n=("doc_id", "size"), shards=("shard", "nunique"))
-    assert (texts.shards[texts.n == 10] == 1).all() and (texts.shards[texts.n == 900] > 1).all()
+    assert (texts.shards[texts.n < 9000] == 1).all() and (texts.shards[texts.n == 9000] > 1).all()
     sizes = found.groupby("shard")["size"].sum()
-    assert sizes.max() < 1.25 * sizes.min()
-    whole = kdshards.shard_documents(docs, 4, heavy=10.0).toPandas()
-    assert (whole.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
+    assert heavy > 1 or sizes.max() < (1.1 if heavy < 0.1 else 1.3) * sizes.min()
+
+
+def test_heavy_weights_are_dealt_and_shares_filled():
+    assert kdshards.deal([9, 5, 5, 4, 1], 3) == ([0, 1, 2, 1, 2], [9, 9, 6])
+    assert kdshards.filled([9, 2, 0], 4) == [0.0, 1.0, 3.0] and kdshards.filled([0, 0], 0) == [0.0, 0.0]
+    assert kdshards.filled([5, 5, 5], 6) == [2.0, 2.0, 2.0]
+
+
+def test_names_are_ranked_as_whole_strings(spark):
+    names = [None, "", "same start a", "same start b", "same start", "é", "z", "Z", "same start b"] + [f"n{i:03}" for i in range(300)]
+    rows = spark.createDataFrame([(n,) for n in names], "lang string").repartition(5)
+    found = {r.lang: r.lang_code for r in kdshards.ranked(rows, "lang").collect()}
+    order = sorted({n or "" for n in names}, key=str.encode)
+    assert found == {n: order.index(n or "") for n in names}
 
 
 def plain_kd(points, dims, leaves, first=0, span=None):
@@ -403,6 +431,12 @@ def text_of(markup):
         ("<article><p>One <span hidden>two</span> three <a class=tag href=x>#four</a> <span class=search-term>five</span><button>six</button>.</article>", "One three #four five."),
         ("<article><h1 class='page-header'>Head</h1><p>Text.</p></article>", "Head\nText."),
         ("<nav><a href=x>Only a menu</a></nav>", "Only a menu"),
+        (f"<!DOCTYPE html><title>t</title><p>{'Long text, and more. ' * 9}<p>{'Long text, and more. ' * 9}<div>short</div>", "\n".join([("Long text, and more. " * 9).strip()] * 2 + ["short"])),
+        (f"<body><h1>Head</h1><div class=content>{ARTICLE}</div></body>", f"Head\n{TEXT}"),
+        (f"<body><h1><a href=/>Site</a></h1><div class=content>{ARTICLE}</div></body>", TEXT),
+        (f"<body><header><h1>Site</h1></header><div class=content>{ARTICLE}</div></body>", TEXT),
+        (f"<body><main><div class='hero-banner'><h1>Head</h1><p>Lead.</p></div>{ARTICLE}<div class='banner'>Buy.</div></main></body>", f"Head\nLead.\n{TEXT}"),
+        ("<article><p>One <![CDATA[ x > y ]]>two.</article>", "One two."),
         ("<script>if (a<b) '</scr'</script><style>p{}</style>", ""),
     ],
 )
@@ -410,6 +444,14 @@ def test_html_markup(markup, want):
     assert text_of(markup) == want
 
 
+def test_html_page_of_another_layout_than_its_host(spark):
+    one = "<body><div class='content'>{}</div></body>"
+    other = f"<body><div class='content'>Read on.</div><section class='long'><p>{'Another layout, with its text elsewhere. ' * 40}</p></section></body>"
+    pages = [(i, "http://h.com/x", one.format(ARTICLE)) for i in range(20)] + [(99, "http://h.com/y", other)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found.pop(99) == ("Another layout, with its text elsewhere. " * 40).strip() and set(found.values()) == {TEXT}
+
+
 @pytest.mark.parametrize("part", ["<p title='", "<p ", "</div>", "<div>", "<div>x", "<", "<!--", "<title>", "<a", "<div></b>", "<b></div>", "<p/ / = =", "<table><tr><td>", "<ul><li>x", "<a href=x>y"])
 def test_html_takes_linear_time(part):
     import time
@@ -473,12 +515,12 @@ def test_decontamination_finds_moved_sentences(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("seed", F.lit(2))
     bench = spark.createDataFrame([(7, item), (8, "one"), (9, None), (10, ""), (7, item)], "item_id long, text string")
     found = decontaminate.contaminated(docs, bench).collect()
-    assert sorted((r.doc_id or 0, r.item_id) for r in found) == sorted([(0, 7), (1, 7), (1, 7), (2, 7), (9, 7)] * 2 + [(6, 8)])
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == sorted([(0, 7), (1, 7), (1, 7), (2, 7), (9, 7)] * 2 + [(k, 8) for k in (0, 1, 1, 2, 3, 6, 7, 9)])
     assert {r.coverage for r in found} == {1.0}
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     kept = decontaminate.clean(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 7]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5]
 
 
 def plain_tiles(doc, item, least):
@@ -527,6 +569,51 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted((r.doc_id, r.item_id, r.covered_words, r.tiles) for r in found) == sorted(want) and want
 
 
+def plain_contaminated(docs, items, seed=5, least=3, threshold=0.8):
+    out = []
+    for doc, text in docs:
+        words = decontaminate.words_of(text)
+        for item, item_text in items:
+            own = decontaminate.words_of(item_text)
+            size = min(seed, len(own))
+            runs = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+            if not own or not runs & {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}:
+                continue
+            number = {w: i for i, w in enumerate(dict.fromkeys(own), 1)}
+            tiles = plain_tiles([number.get(w, 0) for w in words], [number[w] for w in own], min(least, len(own)))
+            if tiles and tiles[0][2] >= size and sum(t[2] for t in tiles) >= threshold * len(own):
+                out.append((doc, item, sum(t[2] for t in tiles), len(tiles)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_decontamination_with_a_seed_that_all_share(spark, monkeypatch, sent):
+    """All items and many documents have one phrase; items of a word to four; passages in another order."""
+    monkeypatch.setattr(decontaminate, "SENT", sent)
+    random = np.random.default_rng(9)
+    hot = "which of the following is"
+    items = [(k, f"{hot} " + " ".join(f"i{k}w{j}" for j in range(random.integers(1, 30)))) for k in range(40)]
+    items += [(100, "one"), (101, "two words"), (102, "a b c d"), (103, None), (104, ""), (105, hot), (106, "p q r s t u v w x y"), (106, "p q r s t u v w x y")]
+    docs = [(k, f"{hot} d{k} e{k} f{k} and so on, d{k % 9}") for k in range(150)]
+    docs += [(500 + k, f"before {t} after") for k, t in items if t]
+    docs += [(700, "v w x y, and p q r s t u"), (701, "p q r s t, u v w, x y"), (702, "p q r s t"), (703, "p q r. s t u. v w x. y"), (704, "a b c, d, one"), (705, "two, words"), (706, None), (706, ""), (None, items[3][1]), (707, "a b c and d")]
+    tables = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as row", "'x' as items"), spark.createDataFrame(items, "item_id int, text string").selectExpr("*", "2 as n")
+    found = decontaminate.contaminated(*tables).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.doc_id, r.item_id, r.covered_words, r.tiles) for r in found), key=key) == sorted(plain_contaminated([d for d in docs if d[0] is not None], items) + [(None, *x[1:]) for x in plain_contaminated([(0, items[3][1])], items)], key=key)
+    assert {(r.doc_id, r.item_id) for r in found} >= {(700, 106), (701, 106), (704, 100), (705, 101), (704, 102)} and not {(702, 106), (707, 102)} & {(r.doc_id, r.item_id) for r in found}
+
+
+def test_rare_grams_leave_too_little_to_the_others():
+    random = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(random.integers(5, 25))
+        grams, counts = random.integers(0, 12, n - 2).tolist(), {}
+        some = decontaminate.rarest(grams, [counts.setdefault(g, int(random.integers(0, 9))) for g in grams], 3, n, 0.8 * n)
+        left = {k for place, g in enumerate(grams) if g not in some for k in range(place, place + 3)}
+        assert len(left) < 0.8 * n and len(set(some)) == len(some)
+
+
 def test_licences(odd):
     assert all(licenses.normalised is not None and any(h in s for h in licenses.HINT.split("|")) for s in licenses.sentence_table())
     text = "Hi.\nThis work is licensed under the GNU General Public\nLicense, version 3."

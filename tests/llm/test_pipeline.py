@@ -22,25 +22,23 @@ def plain_language(rows):
 
 
 def plain_dedup(rows):
-    rows = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0))
-    texts = list(dict.fromkeys(r.text for r in rows if r.doc_id is not None and r.text is not None))
-    gone = brute_groups(texts).keys()
-    kept, seen = [], set()
+    """One row of each group of similar texts: that of its smallest id, of the smaller digest if it has several."""
+    first = {}
     for r in rows:
-        if r.doc_id is None or r.text is None:
-            kept.append(r)
-        elif r.text not in seen:
-            seen.add(r.text)
-            if texts.index(r.text) not in gone:
-                kept.append(r)
-    return kept
+        if r.doc_id is not None and r.text is not None:
+            first[r.text] = min(r.doc_id, first.get(r.text, r.doc_id))
+    texts = sorted(first, key=lambda t: (first[t], hashlib.sha256(t.encode()).hexdigest()))
+    gone = brute_groups(texts).keys()
+    kept = [r for r in rows if r.doc_id is None or r.text is None]
+    of = {(r.doc_id, r.text): r for r in rows}
+    return kept + [of[first[t], t] for k, t in enumerate(texts) if k not in gone]
 
 
 def plain_clean(rows, items):
     def holds(text, item):
         words, own = decontaminate.words_of(text), decontaminate.words_of(item)
         if len(own) < 5:
-            return bool(own) and words == own
+            return bool(own) and any(words[i : i + len(own)] == own for i in range(len(words)))
         runs = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
         if not runs & {tuple(own[i : i + 5]) for i in range(len(own) - 4)}:
             return False
