@@ -116,20 +116,23 @@ def tree_hash_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
 def chunk_verify(files: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
     """Recorded chunks against contents: what is kept, removed and missing of each file.
 
-    A recorded chunk that differs, or that lies beyond the content, is removed.
+    A record that differs, or that lies beyond the content, is removed; a chunk
+    with several is kept if one of them is right.
     ``kept_ranges`` and ``missing_ranges`` count the merged ranges of what is verified
     and of what isn't.  An empty file without records has zeros.
     """
     actual = crc32c_chunks(files, chunk).withColumnRenamed("crc", "actual")
     recorded = chunks.select("file_id", "chunk_id", F.col("crc").alias("recorded")).distinct()
-    rows = actual.join(recorded, ["file_id", "chunk_id"], "full")
-    kept = F.coalesce(F.col("actual") == F.col("recorded"), F.lit(False))
-    rows = stored(rows.select("file_id", "begin", "length", kept.alias("kept"), F.col("recorded").isNull().alias("unrecorded")), "verified-chunks")
-    sums = rows.groupBy("file_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept") & ~F.col("unrecorded")).alias("removed_corrupt"), F.count_if("unrecorded").alias("missing"), F.sum(F.when(F.col("kept"), F.col("length")).otherwise(0)).alias("verified_bytes"))
-    spans = rows.where("begin IS NOT NULL").select("file_id", "kept", "begin", (F.col("begin") + F.col("length")).alias("stop"))
-    merged = [ranges.coalesce(spans.where(F.col("kept") == k)).groupBy("file_id").agg(F.count(F.lit(1)).alias(n)) for k, n in ((True, "kept_ranges"), (False, "missing_ranges"))]
+    right = F.coalesce(F.col("actual") == F.col("recorded"), F.lit(False))
+    each = actual.join(recorded, ["file_id", "chunk_id"], "full").groupBy("file_id", "chunk_id", "begin", "length")
+    rows = stored(each.agg(F.bool_or(right).alias("kept"), F.count("recorded").alias("records")), "verified-chunks")
+    wrong = F.col("records") - F.col("kept").cast("int")
+    sums = rows.groupBy("file_id").agg(F.count_if("kept").alias("kept"), F.sum(wrong).alias("removed_corrupt"), F.count_if(F.col("records") == 0).alias("missing"), F.sum(F.when(F.col("kept"), F.col("length")).otherwise(0)).alias("verified_bytes"))
+    # A file's kept and other chunks are merged at once, as two files.
+    spans = rows.where("begin IS NOT NULL").select(F.struct("file_id", "kept").alias("file_id"), "begin", (F.col("begin") + F.col("length")).alias("stop"))
+    merged = ranges.coalesce(spans).groupBy(F.col("file_id.file_id").alias("file_id")).agg(F.count_if("file_id.kept").alias("kept_ranges"), F.count_if(~F.col("file_id.kept")).alias("missing_ranges"))
     zeros = ["kept", "removed_corrupt", "missing", "verified_bytes", "kept_ranges", "missing_ranges"]
-    return files.select("file_id").join(sums, "file_id", "full").join(merged[0], "file_id", "left").join(merged[1], "file_id", "left").na.fill(0, zeros)
+    return files.select("file_id").join(sums, "file_id", "full").join(merged, "file_id", "left").na.fill(0, zeros)
 
 
 def tree_sha256(files: DataFrame) -> DataFrame:

@@ -128,11 +128,20 @@ def coverage(ranges: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def exact_cover(ranges: DataFrame, totals: DataFrame) -> DataFrame:
-    """Whether a file's sorted ranges start at 0, abut and end at its size."""
+    """Whether a file's sorted ranges start at 0, abut and end at its size.
+
+    Where ``ranges`` have a ``channel`` and ``totals`` the number ``expected`` of them, as many different ones must have brought them.
+    """
     by = Window.partitionBy("file_id").orderBy("begin", "stop")
     abut = ranges.withColumn("ok", F.col("begin") == F.lag("stop", 1, 0).over(by))
-    facts = abut.groupBy("file_id").agg(F.bool_and("ok").alias("ok"), F.max("stop").alias("last"), F.count(F.lit(1)).alias("ranges"))
-    return totals.join(facts, "file_id", "left").select("file_id", F.coalesce(F.col("ok") & (F.col("last") == F.col("total")), F.col("total") == 0).alias("is_exact"), F.coalesce("ranges", F.lit(0)).alias("ranges"))
+    told = "channel" in ranges.columns
+    facts = abut.groupBy("file_id").agg(F.bool_and("ok").alias("ok"), F.max("stop").alias("last"), F.count(F.lit(1)).alias("ranges"), *([F.count_distinct("channel").alias("channels")] if told else []))
+    rows = totals.join(facts, "file_id", "left")
+    exact = F.coalesce(F.col("ok") & (F.col("last") == F.col("total")), F.col("total") == 0)
+    channels = F.coalesce("channels", F.lit(0)) if told else None
+    if told and "expected" in totals.columns:
+        exact &= channels == F.col("expected")
+    return rows.select("file_id", exact.alias("is_exact"), F.coalesce("ranges", F.lit(0)).alias("ranges"), *([channels.alias("channels")] if told else []))
 
 
 def id_runs(plan: DataFrame, verified: DataFrame, chunk: int) -> DataFrame:

@@ -61,6 +61,21 @@ def mode_compare(medians: DataFrame, key: list[str], config: str, left: str, rig
     return wide.select(*key, F.col(left).alias("left_median"), F.col(right).alias("right_median"), F.round(F.col(right) - F.col(left), 6).alias("delta"))
 
 
+def mode_deltas(runs: DataFrame, key: list[str], mode: str, off: str, others: list[str], values: list[str]) -> DataFrame:
+    """Medians of ``values`` of each mode beside those of ``off``, and their differences; keys without ``off`` or any other are dropped."""
+    wide = runs.groupBy(*key).pivot(mode, [off, *others]).agg(*(F.round(median(v), 6).alias(v) for v in values), F.count(F.lit(1)).alias("n"))
+    some = F.coalesce(*(F.col(f"{o}_{values[0]}") for o in others)).isNotNull()
+    deltas = [F.round(F.col(f"{o}_{v}") - F.col(f"{off}_{v}"), 6).alias(f"{o}_{v}_delta") for o in others for v in values]
+    return wide.where(F.col(f"{off}_{values[0]}").isNotNull() & some).select(*key, *(f"{m}_{v}" for m in (off, *others) for v in values), *deltas)
+
+
+def sched_counts(events: DataFrame, summaries: DataFrame, kinds: list[str]) -> DataFrame:
+    """Events of each run by kind; a summary's count is taken unless it is 0 or missing."""
+    counted = events.where(F.col("event").isin(*kinds)).groupBy("run").agg(*(F.count_if(F.col("event") == k).alias(k) for k in kinds))
+    told = summaries.groupBy("run").agg(*(F.max(k).alias(f"told_{k}") for k in kinds))
+    return counted.join(told, "run", "full").select("run", *(F.coalesce(F.nullif(F.col(f"told_{k}"), F.lit(0)), F.col(k), F.lit(0)).cast("long").alias(k) for k in kinds))
+
+
 def run_ratios(medians: DataFrame, older: DataFrame, key: str, config: str, left: str, right: str) -> DataFrame:
     """Ratio of two systems' medians of each key, and of the second one's to an older run's; keys that lack one are dropped."""
     now = mode_compare(medians, [key], config, left, right)
@@ -68,35 +83,38 @@ def run_ratios(medians: DataFrame, older: DataFrame, key: str, config: str, left
     return now.join(was, key).select(key, F.round(F.col("right_median") / F.col("left_median"), 6).alias("ratio"), F.round(F.col("right_median") / F.col("older"), 6).alias("older_ratio"))
 
 
-def paired_gate(runs: DataFrame, experiment: str, pair: str, arm: str, arms: tuple[str, str], value: str, size_bytes: int, parts: tuple[str, ...] = (), wall: str | None = None) -> DataFrame:
+def paired_gate(runs: DataFrame, experiment: str, pair: str, arm: str, arms: tuple[str, str], value: str, size_bytes: int, parts: tuple[str, ...] = (), wall: str | None = None, seq: str | None = None) -> DataFrame:
     """All experiments at once: medians, rates, variation and paired improvement of two arms in ``value`` seconds.
 
     Improvement is (a - b) / a in percent; variation is the population deviation
     over the mean, also of ``wall`` if it is named.  Preconditions are columns:
     ``reps_ok`` (pairs numbered from 1, both arms in each), ``content_ok`` (one
-    ``digest`` in all rows), ``errors`` (their sum) and ``parts_ok`` (``parts`` sum to the value).
+    ``digest`` in all rows), ``errors`` (their sum), ``parts_ok`` (``parts`` sum to the value)
+    and, if ``seq`` orders the runs, ``order_ok``: the first arm leads in odd pairs, the second in even ones.
     """
     a, b = arms
     whole = F.lit(True)
     for i, name in enumerate(parts):
         whole = F.abs(sum((F.col(c) for c in parts[1:]), F.col(parts[0])) - F.col(value)) <= 1e-6 if i == 0 else whole
-    facts = [F.first(value).alias("v"), F.first(wall or value).alias("w"), F.sum("errors").alias("e"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.bool_and(whole).alias("p")]
+    facts = [F.first(value).alias("v"), F.first(wall or value).alias("w"), F.sum("errors").alias("e"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.bool_and(whole).alias("p"), *([F.first(seq).alias("s")] if seq else [])]
     wide = runs.groupBy(experiment, pair).pivot(arm, [a, b]).agg(*facts)
     side = lambda n, x: F.col(f"{x}_{n}")
     both = side("v", a).isNotNull() & side("v", b).isNotNull()
-    wide = wide.select(experiment, pair, side("v", a).alias("a"), side("v", b).alias("b"), side("w", a).alias("aw"), side("w", b).alias("bw"), both.alias("both"), (F.coalesce(side("e", a), F.lit(0)) + F.coalesce(side("e", b), F.lit(0))).alias("e"), F.least(side("least", a), side("least", b)).alias("least"), F.greatest(side("most", a), side("most", b)).alias("most"), (F.coalesce(side("p", a), F.lit(True)) & F.coalesce(side("p", b), F.lit(True))).alias("p"))
+    wide = wide.select(experiment, pair, side("v", a).alias("a"), side("v", b).alias("b"), side("w", a).alias("aw"), side("w", b).alias("bw"), both.alias("both"), (F.coalesce(side("e", a), F.lit(0)) + F.coalesce(side("e", b), F.lit(0))).alias("e"), F.least(side("least", a), side("least", b)).alias("least"), F.greatest(side("most", a), side("most", b)).alias("most"), (F.coalesce(side("p", a), F.lit(True)) & F.coalesce(side("p", b), F.lit(True))).alias("p"), *([F.coalesce((side("s", a) < side("s", b)) == (F.col(pair) % 2 == 1), F.lit(False)).alias("led")] if seq else []))
     wide = wide.withColumn("gain", (F.col("a") - F.col("b")) / F.col("a") * 100)
     rate = lambda c: F.round(F.lit(size_bytes * 8.0) / median(c) / 1e9, 6)
     vary = lambda c: F.round(F.stddev_pop(c) / F.avg(c), 6)
     n = F.count(F.lit(1))
     reps = F.bool_and("both") & (F.min(pair) == 1) & (F.max(pair) == n)
     walls = [vary("aw").alias("a_wall_cv"), vary("bw").alias("b_wall_cv")] if wall else []
-    return wide.groupBy(experiment).agg(n.alias("pairs"), F.round(median("a"), 6).alias("a_median"), F.round(median("b"), 6).alias("b_median"), rate("a").alias("a_gbps"), rate("b").alias("b_gbps"), vary("a").alias("a_cv"), vary("b").alias("b_cv"), *walls, F.count_if(F.col("gain") > 0).alias("improved_pairs"), F.round(median("gain"), 6).alias("gain_pct"), F.round(F.percentile("a", F.lit(0.95)), 6).alias("a_p95"), F.round(F.percentile("b", F.lit(0.95)), 6).alias("b_p95"), reps.alias("reps_ok"), (F.min("least") == F.max("most")).alias("content_ok"), F.sum("e").alias("errors"), F.bool_and("p").alias("parts_ok"))
+    return wide.groupBy(experiment).agg(n.alias("pairs"), F.round(median("a"), 6).alias("a_median"), F.round(median("b"), 6).alias("b_median"), rate("a").alias("a_gbps"), rate("b").alias("b_gbps"), vary("a").alias("a_cv"), vary("b").alias("b_cv"), *walls, F.count_if(F.col("gain") > 0).alias("improved_pairs"), F.round(median("gain"), 6).alias("gain_pct"), F.round(F.percentile("a", F.lit(0.95)), 6).alias("a_p95"), F.round(F.percentile("b", F.lit(0.95)), 6).alias("b_p95"), reps.alias("reps_ok"), (F.min("least") == F.max("most")).alias("content_ok"), F.sum("e").alias("errors"), F.bool_and("p").alias("parts_ok"), *([F.bool_and("led").alias("order_ok")] if seq else []))
 
 
 def gate(report: DataFrame, rule: str, least_pairs: int) -> DataFrame:
     """A verdict for each experiment of a report; one that breaks a precondition is invalid, with the first as ``reason``."""
     reason = F.when(F.col("pairs") < least_pairs, "pairs").when(~F.col("reps_ok"), "reps").when(~F.col("content_ok"), "content").when(~F.col("parts_ok"), "parts")
+    if "order_ok" in report.columns:
+        reason = F.when(~F.col("order_ok"), "order").otherwise(reason)
     verdict = F.when(reason.isNotNull(), "invalid").when(F.expr(rule), "go").otherwise("no_go")
     return report.select("*", reason.isNull().alias("valid"), reason.alias("reason"), verdict.alias("verdict"))
 
@@ -108,22 +126,29 @@ SPAN = 86_400_000_000
 def counter_delta(counters: DataFrame, gauges: str = "") -> DataFrame:
     """Change of each counter since its last snapshot; a fall is a regression, and so is a counter that is missing.
 
-    A counter is missing from a host's snapshot if it was there before and isn't in the
-    last one; that row has no ``event_id`` and no ``delta``.  Names that match ``gauges`` may fall
-    and are left out.  Rows are ordered in ranges of time; each range's first row
-    takes what the range before ended with, so a counter of very many rows is split.
+    Snapshots of a host are the times at which it has any counter.  A counter that is in
+    one and not in the next is missing there, with no ``delta``, whether it comes back or not.  Names that match ``gauges`` may fall
+    and are left out.  Rows are ordered in ranges of time; each range's first and last row
+    take what the ranges beside it end with, so a counter of very many rows is split.
     """
     rows = counters.where(~F.col("name").rlike(gauges)) if gauges else counters
-    rows = rows.withColumn("span", F.expr(f"unix_micros(cast(ts AS timestamp)) div {SPAN}"))
-    last = rows.groupBy("host", "name", "span").agg(F.max_by("value", F.struct("ts", "event_id")).alias("ended"))
-    carried = last.select("host", "name", "span", F.lag("ended").over(Window.partitionBy("host", "name").orderBy("span")).alias("carried"))
-    inside = F.lag("value").over(Window.partitionBy("host", "name", "span").orderBy("ts", "event_id"))
-    rows = rows.withColumn("before", inside).join(carried, ["host", "name", "span"])
-    rows = rows.withColumn("delta", F.col("value") - F.coalesce("before", "carried")).where("delta is not null")
-    found = rows.select("host", "name", "event_id", "delta", (F.col("delta") < 0).alias("regressed"))
-    newest = last.groupBy("host").agg(F.max("span").alias("newest"))
-    gone = last.groupBy("host", "name").agg(F.max("span").alias("seen")).join(newest, "host").where("seen < newest")
-    return found.unionByName(gone.select("host", "name", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("delta"), F.lit(True).alias("regressed")))
+    rows = rows.select("host", "name", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "value")
+    rows = rows.withColumn("span", F.expr(f"ts div {SPAN}"))
+    following = _beside(rows.select("host", "ts", "span").distinct(), ["host"], "ts", 1).select("host", "ts", F.col("beside").alias("following"))
+    known = _beside(_beside(rows, ["host", "name"], "value", -1).withColumnRenamed("beside", "before"), ["host", "name"], "ts", 1)
+    known = known.join(following, ["host", "ts"])
+    found = known.where("before IS NOT NULL").select("host", "name", "ts", (F.col("value") - F.col("before")).alias("delta"), (F.col("value") < F.col("before")).alias("regressed"))
+    gone = known.where("following IS NOT NULL AND (beside IS NULL OR beside > following)").select("host", "name", F.col("following").alias("ts"), F.lit(None).cast("long").alias("delta"), F.lit(True).alias("regressed"))
+    return found.unionByName(gone)
+
+
+def _beside(rows: DataFrame, key: list[str], value: str, step: int) -> DataFrame:
+    """``rows`` with ``beside``: the value of the row before (-1) or after (1) in the key's order of time, across ranges ``span``."""
+    edge = (F.max_by if step < 0 else F.min_by)(value, "ts").alias("edge")
+    spans = Window.partitionBy(*key).orderBy("span")
+    carried = rows.groupBy(*key, "span").agg(edge).withColumn("carried", (F.lag if step < 0 else F.lead)("edge").over(spans)).drop("edge")
+    inside = (F.lag if step < 0 else F.lead)(value).over(Window.partitionBy(*key, "span").orderBy("ts"))
+    return rows.withColumn("inside", inside).join(carried, [*key, "span"]).withColumn("beside", F.coalesce("inside", "carried")).drop("inside", "carried")
 
 
 def append_watermark(acks: DataFrame) -> DataFrame:
@@ -190,12 +215,6 @@ def event_summary(events: DataFrame, code: Column) -> DataFrame:
     return events.withColumn("error_code", code).groupBy("error_code").agg(F.count(F.lit(1)).alias("events"), F.min("sequence").alias("first_sequence"), F.min_by("message", "sequence").alias("first_message"))
 
 
-def chunk_conflicts(acks: DataFrame) -> DataFrame:
-    """Chunks acknowledged more than once: ``duplicate`` if all agree, else ``conflict``."""
-    rows = acks.groupBy("file_id", "chunk_id", "begin").agg(F.count(F.lit(1)).alias("acks"), F.count_distinct("length", "crc").alias("kinds")).where("acks > 1")
-    return rows.select("file_id", "chunk_id", "begin", "acks", F.when(F.col("kinds") == 1, "duplicate").otherwise("conflict").alias("kind"))
-
-
 def profile(files: DataFrame) -> DataFrame:
     """Counts and true size quantiles of each dataset."""
     return files.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.min("size").alias("size_min"), F.max("size").alias("size_max"), F.round(median("size"), 6).alias("size_p50"), F.round(F.percentile("size", F.lit(0.9)), 6).alias("size_p90"), F.round(F.avg("size"), 6).alias("size_mean"))

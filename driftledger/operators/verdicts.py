@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .ranges import coalesce, missing
+from .ranges import coalesce
 from .runs import median
 
 
@@ -26,11 +26,23 @@ def evidence(wire: Column, payload: Column, parts: dict[str, Column]) -> tuple[C
 
 
 def changed_details(events: DataFrame) -> DataFrame:
-    """Path and both states of drift messages ``source changed: PATH k=v ...``; other messages are left out."""
-    number = lambda k: F.regexp_extract("message", rf"\b{k}=(-?\d+)", 1).try_cast("long")
+    """Path and both states of drift messages ``...: PATH manifest_size=n k=v ...``; other messages are left out.
+
+    The path is all between the last ``: `` and the marker, spaces included; without a
+    ``: `` it is all before the marker.  Of repeated keys the last counts.
+    """
+    marker = " manifest_size="
+    number = lambda k: F.regexp_extract("message", rf"(?s)^(?:.*\s)?{k}=(\S*)", 1).try_cast("long")
     fields = ("manifest_size", "manifest_mtime", "current_size", "current_mtime")
-    rows = events.where(F.col("message").rlike(r"^source changed: \S+ "))
-    return rows.select("transfer_id", F.regexp_extract("message", r"^source changed: (\S+) ", 1).alias("changed_path"), *(number(k).alias(k) for k in fields))
+    path = F.substring_index(F.substring_index("message", marker, 1), ": ", -1)
+    return events.where(F.col("message").contains(marker)).select("transfer_id", path.alias("changed_path"), *(number(k).alias(k) for k in fields))
+
+
+def valid_goodput(result: Column, hash_match: Column, integrity: Column, value: Column) -> Column:
+    """The value as a number if the run passed, its hashes match, integrity passed or wasn't told, and it is finite and above 0; else null."""
+    x = value.try_cast("double")
+    sound = (result == "pass") & (F.lower(hash_match.cast("string")) == "true") & (F.coalesce(integrity, F.lit("")).isin("", "pass"))
+    return F.when(sound & ~F.isnan(x) & (x > 0) & (x < float("inf")), x)
 
 
 def artifact_reason(path: Column, sensitive: str, built: str, suffixes: str) -> Column:
@@ -47,8 +59,8 @@ def reconcile(stored: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def final_verify(coverage: DataFrame, policy: str, algorithm: str) -> DataFrame:
-    """``verified_chunks`` where a transfer may skip the full read, else ``full``."""
-    allowed = F.lit(policy == "verified_chunks" and algorithm != "none") & (F.col("status") == "complete") & (F.col("bytes_completed") == F.col("total"))
+    """``verified_chunks`` where a transfer may skip the full read, else ``full``; it may only if its manifest was ``flushed``."""
+    allowed = F.lit(policy == "verified_chunks" and algorithm != "none") & (F.col("status") == "complete") & (F.col("bytes_completed") == F.col("total")) & F.coalesce("flushed", F.lit(False))
     return coverage.select("file_id", F.when(allowed, "verified_chunks").otherwise("full").alias("effective_policy"))
 
 
@@ -60,19 +72,24 @@ def hash_reuse(before: DataFrame, after: DataFrame, chunks: DataFrame | None = N
     """Whether a root's recorded digests may be used again: each file there once, unchanged, and covered by its chunks.
 
     Both sides have root, relative_path and those of ``SNAPSHOT`` that they share; ``chunks``
-    has root, relative_path and length.  The reason is the first that holds of any file.
+    has root, relative_path, begin and length.  Chunks cover a file if in order they start at 0, abut and
+    end at its size; chunks of an unknown file are left over.  The reason is the first that holds of any file.
     """
     state = F.struct(*(c for c in SNAPSHOT if c in before.columns and c in after.columns))
     side = lambda d, n: d.groupBy("root", "relative_path").agg(F.count(F.lit(1)).alias(f"{n}_times"), F.min(state).alias(n), F.min("size").alias(f"{n}_size"))
     rows = side(before, "was").join(side(after, "now"), ["root", "relative_path"], "full")
-    held = F.lit(None).cast("long")
+    left_over, covered = F.lit(False), F.lit(True)
     if chunks is not None:
-        rows = rows.join(chunks.groupBy("root", "relative_path").agg(F.sum("length").alias("held")), ["root", "relative_path"], "full")
-        held = F.coalesce("held", F.lit(0))
-    place = F.when((F.col("was_times") > 1) | (F.col("now_times") > 1), 1).when(F.col("was").isNull(), 2).when(F.col("now").isNull(), 3).when(F.col("was") != F.col("now"), 4).when(held != F.col("now_size"), 5).otherwise(9)
+        stop = F.col("begin") + F.col("length")
+        abut = F.col("begin") == F.lag(stop, 1, 0).over(Window.partitionBy("root", "relative_path").orderBy("begin", "length"))
+        held = chunks.withColumn("abut", abut).groupBy("root", "relative_path").agg((F.bool_and("abut") & (F.min("length") > 0)).alias("abut"), F.max(stop).alias("held"))
+        rows = rows.join(held, ["root", "relative_path"], "full")
+        left_over = F.col("was").isNull() & F.col("now").isNull()
+        covered = F.when(F.col("held").isNull(), F.col("now_size") == 0).otherwise(F.col("abut") & (F.col("held") == F.col("now_size")))
+    place = F.when((F.col("was_times") > 1) | (F.col("now_times") > 1), 1).when(left_over, 6).when(F.col("was").isNull(), 2).when(F.col("now").isNull(), 3).when(F.col("was") != F.col("now"), 4).when(~covered, 5).otherwise(9)
     worst = rows.groupBy("root").agg(F.min(place).alias("worst"))
     reason = F.lit(None).cast("string")
-    for place_of, name in enumerate(("repeated", "added", "removed", "changed", "not_covered"), 1):
+    for place_of, name in enumerate(("repeated", "added", "removed", "changed", "not_covered", "left_over"), 1):
         reason = F.when(F.col("worst") == place_of, name).otherwise(reason)
     return worst.select("root", (F.col("worst") == 9).alias("reusable"), reason.alias("reason"))
 
@@ -80,14 +97,16 @@ def hash_reuse(before: DataFrame, after: DataFrame, chunks: DataFrame | None = N
 def resume_stats(totals: DataFrame, chunks: DataFrame) -> DataFrame:
     """What a resumed transfer has of each file: chunks, verified and skipped bytes, missing bytes and ranges.
 
-    ``totals`` has file_id and total; a file without chunks has none.
+    ``totals`` has file_id and total; a file without chunks has none.  Chunks are merged once; each merged
+    range tells the gap before it, and the last one the gap after it.
     """
-    held = chunks.select("file_id", "begin", (F.col("begin") + F.col("length")).alias("stop"))
-    merged = coalesce(held).groupBy("file_id").agg(F.sum(F.col("stop") - F.col("begin")).alias("bytes"))
+    merged = coalesce(chunks.select("file_id", "begin", (F.col("begin") + F.col("length")).alias("stop"))).join(totals, "file_id")
+    before = F.greatest(F.lit(0), F.least("begin", "total") - F.lag("stop", 1, 0).over(Window.partitionBy("file_id").orderBy("begin")))
+    held = F.greatest(F.lit(0), F.least("stop", "total") - F.col("begin"))
+    sums = merged.withColumns({"gap": before, "held": held}).groupBy("file_id").agg(F.sum(F.col("stop") - F.col("begin")).alias("bytes"), F.sum("held").alias("inside"), F.count_if(F.col("gap") > 0).alias("gaps"), F.max("stop").alias("last"))
     counts = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("loaded_chunks"))
-    gaps = missing(held, totals).groupBy("file_id").agg(F.count(F.lit(1)).alias("missing_ranges"), F.sum(F.col("stop") - F.col("begin")).alias("missing_bytes"))
-    rows = totals.join(counts, "file_id", "left").join(merged, "file_id", "left").join(gaps, "file_id", "left").na.fill(0)
-    return rows.select("file_id", "loaded_chunks", F.col("bytes").alias("verified_bytes"), F.col("bytes").alias("skipped_bytes"), "missing_bytes", "missing_ranges")
+    rows = totals.join(counts, "file_id", "left").join(sums, "file_id", "left").na.fill(0)
+    return rows.select("file_id", "loaded_chunks", F.col("bytes").alias("verified_bytes"), F.col("bytes").alias("skipped_bytes"), (F.col("total") - F.col("inside")).alias("missing_bytes"), (F.col("gaps") + (F.col("last") < F.col("total")).cast("int")).alias("missing_ranges"))
 
 
 #: Bounds of pressure, CPU percent, effective ratio, and the shares of the wire and of the queue below which it lacks supply.  Fixed values.
@@ -210,10 +229,15 @@ def fold_stages(rows: DataFrame, key: str) -> DataFrame:
 
 
 def observation_status(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Enabled, disabled and broken records of each source, and whether it is complete."""
-    counts = rows.groupBy("source").agg(F.count_if("parsed").alias("enabled"), F.count_if(~F.col("parsed")).alias("malformed"))
-    rows = sources.join(counts, "source", "left").na.fill(0, ["enabled", "malformed"])
-    return rows.select("source", "enabled", "malformed", F.when(F.col("enabled") == 0, "missing").when(F.col("malformed") > 0, "partial").otherwise("complete").alias("status"))
+    """Enabled, disabled and broken records of each source, and whether it is complete: none but enabled ones.
+
+    ``rows`` has source, ``parsed`` and, of parsed ones, ``enabled``.
+    """
+    on = F.col("parsed") & F.coalesce("enabled", F.lit(False))
+    counts = rows.groupBy("source").agg(F.count_if(on).alias("enabled"), F.count_if(F.col("parsed") & ~on).alias("disabled"), F.count_if(~F.col("parsed")).alias("malformed"))
+    rows = sources.join(counts, "source", "left").na.fill(0, ["enabled", "disabled", "malformed"])
+    status = F.when(F.col("enabled") + F.col("disabled") == 0, "missing").when(F.col("malformed") + F.col("disabled") > 0, "partial").otherwise("complete")
+    return rows.select("source", "enabled", "disabled", "malformed", status.alias("status"))
 
 
 def steps(rows: DataFrame) -> DataFrame:
@@ -307,3 +331,63 @@ def depth_compare(external: DataFrame, runs: DataFrame, repeats: int) -> DataFra
     detail = F.when(F.col("depth_observed") != repeats, "repeats").when(~whole("depth"), "valid").when(~whole("external"), "external").when(~whole("zero"), "depth_0").otherwise("")
     measured = [F.col(f"{n}_{c}") for n in ("depth", "zero", "external") for c in ("median", "seconds")]
     return rows.select("direction", "depth", "depth_observed", "depth_valid", *measured, F.when(every, F.round(F.col("depth_median") / F.col("external_median"), 6)).alias("ratio"), F.when(both, F.round(F.col("depth_median") / F.col("zero_median") - 1, 6)).alias("delta"), F.when(both, F.col("depth_median") > F.col("zero_median")).alias("goodput_improved"), F.when(both, F.col("depth_seconds") < F.col("zero_seconds")).alias("time_decreased"), F.when(every, "COMPLETE").otherwise("INCOMPLETE").alias("status"), detail.alias("detail"))
+
+
+def best_passing(summary: DataFrame, key: str, config: str, value: str) -> DataFrame:
+    """The configuration of the greatest value of each key among those without a failure; ties go to the first."""
+    return summary.where("fails = 0").groupBy(key).agg(F.min_by(config, F.struct(-F.col(value), F.col(config))).alias(config), F.max(value).alias(value))
+
+
+def referenced(rows: DataFrame, known: tuple[str, ...] = (), suffix: str = "_log") -> DataFrame:
+    """Distinct artifact paths that rows name: columns in ``known`` and all that end in ``suffix``; absolute paths and those that leave their folder don't count."""
+    names = [c for c in rows.columns if c in known or c.endswith(suffix)]
+    path = F.trim("path")
+    found = rows.select(*(F.col(c).cast("string").alias(c) for c in names)).unpivot([], names, "kind", "path").select(path.alias("path"))
+    return found.where((F.col("path") != "") & ~F.col("path").startswith("/") & ~F.array_contains(F.split("path", "/"), "..")).distinct()
+
+
+#: Percent that a candidate must gain, repeats at least, and percent of spread that is unstable.  Fixed values.
+GAIN, REPEATS, VOLATILE = 10.0, 3, 25.0
+
+
+def backend_gate(matrix: DataFrame, storage: DataFrame, key: list[str], rest: list[str], storage_key: list[str], required: list[tuple], candidate: str, baseline: str) -> DataFrame:
+    """One decision on a backend: ``continue``, ``incomplete``, ``unstable`` or ``pause``.
+
+    Both tables have backend, median, repeats, fails and spread_pct, ``matrix`` for each ``key`` and ``rest``, ``storage`` for each
+    ``storage_key``; a candidate's gain is against the baseline of the same.  It goes on if its
+    best gain is ``GAIN`` or more at every required key, storage gains somewhere, and
+    no candidate row fails, is repeated too little or spreads too far.
+    """
+    def gains(rows: DataFrame, by: list[str]) -> DataFrame:
+        base = rows.where(F.col("backend") == baseline).groupBy(*by).agg(F.max("median").alias("base"))
+        mine = rows.where(F.col("backend") == candidate).join(base, by, "left")
+        return mine.withColumn("gain", F.when(F.col("base") > 0, (F.col("median") - F.col("base")) / F.col("base") * 100))
+
+    mine = gains(matrix, [*key, *rest])
+    short = (F.col("repeats") < REPEATS) | (F.col("fails") > 0)
+    best = mine.groupBy(*key).agg(F.max("gain").alias("gain"), F.bool_or(short).alias("incomplete"), F.bool_or(short | F.coalesce(F.col("spread_pct") > VOLATILE, F.lit(False))).alias("unstable"))
+    wanted = F.struct(*key).isin(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(key, values, strict=True))) for values in required))
+    facts = best.agg(F.count_if(wanted & (F.col("gain") >= GAIN)).alias("keys_gained"), F.coalesce(F.bool_or("incomplete"), F.lit(False)).alias("incomplete"), F.coalesce(F.bool_or("unstable"), F.lit(False)).alias("unstable"))
+    stored_gain = gains(storage, storage_key).agg(F.coalesce(F.max("gain") >= GAIN, F.lit(False)).alias("storage_gain"))
+    rows = facts.join(F.broadcast(stored_gain))  # a row each
+    verdict = F.when((F.col("keys_gained") == len(required)) & F.col("storage_gain") & ~F.col("unstable"), "continue").when(F.col("incomplete"), "incomplete").when(F.col("unstable"), "unstable").otherwise("pause")
+    return rows.select("keys_gained", "storage_gain", "incomplete", "unstable", verdict.alias("decision"))
+
+
+def rollup(rows: DataFrame, source: str, default: Column) -> DataFrame:
+    """Rows, failures and default configurations of each source's summary; a count of failures that is no number is one failure."""
+    fails = F.coalesce(F.when(F.coalesce("fail_count", F.lit("")) == "", F.lit(0)).otherwise(F.col("fail_count").try_cast("long")), F.lit(1))
+    sums = rows.groupBy(source).agg(F.count(F.lit(1)).alias("rows"), F.sum(fails).alias("fail_count"), F.count_if(default).alias("default_rows"))
+    return sums.withColumn("status", F.when(F.col("fail_count") == 0, "pass").otherwise("fail"))
+
+
+#: Share of the observer's threads below which nothing can be gained from them.  Fixed value.
+ENVELOPE = 0.10
+
+
+def observer_gate(report: DataFrame, envelopes: DataFrame, key: str) -> DataFrame:
+    """What an observed run says of each experiment: nothing if observing it changed it, else by its greatest envelope fraction."""
+    most = envelopes.groupBy(key).agg(F.round(F.max("fraction"), 6).alias("envelope_max"), F.round(median("fraction"), 6).alias("envelope_median"))
+    sound = (F.abs("gain_pct") <= 5) & (F.col("a_cv") <= 0.05) & (F.col("b_cv") <= 0.05)
+    verdict = F.when(~sound, "inconclusive").when(F.col("envelope_max") < ENVELOPE, "below_envelope").otherwise("accepted")
+    return report.join(most, key, "left").select(key, "envelope_max", "envelope_median", verdict.alias("verdict"))

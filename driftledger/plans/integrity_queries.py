@@ -227,8 +227,16 @@ def _with_lost(blocks):
 
 
 def _snapshots(t: Tables):
-    v = F.floor(F.col("value")).cast("long")
-    return t.events.select((F.col("user_id") % 5).alias("run"), F.col("user_id").alias("pid"), "event_id", "ts", v.alias("cpu_ticks"), (v * 2).alias("net_bytes"), (F.col("event_id") % 97).alias("rss"), (v % 7).alias("busy"), (v % 3).alias("iowait"), F.lit(10).alias("ticks"), F.element_at(F.array(*map(F.lit, "RSD")), (F.col("event_id") % 3 + 1).cast("int")).alias("state"), F.col("event_type").alias("wchan"))
+    """Processes in snapshots of hosts; ticks, bytes and counts from the events' times and numbers."""
+    v, e, second = F.floor(F.col("value")).cast("long"), F.col("event_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    ticks = [(second * (k + 1) + e % (7 + k)).alias(c) for k, c in enumerate(profiles.TICKS)]
+    return t.events.select((F.col("user_id") % 5).alias("run"), F.col("user_id").alias("pid"), (F.col("user_id") % 8).alias("cpu"), "event_id", "ts", v.alias("cpu_ticks"), (v * 5).alias("read_bytes"), (e % 1009).alias("write_bytes"), (second * 3 + v).alias("tx_bytes"), (second + e).alias("rx_bytes"), (e % 97).alias("rss"), (e % 31).alias("fds"), *ticks, F.element_at(F.array(*map(F.lit, "RSD")), (e % 3 + 1).cast("int")).alias("state"), F.col("event_type").alias("wchan"))
+
+
+def _leaves(t: Tables):
+    """By run, and by thread."""
+    whole = profiles.leaves(_stacks(t), 40).withColumn("pid", F.lit(None).cast("long"))
+    return whole.unionByName(profiles.leaves(_stacks(t), 3, ("run", "pid")))
 
 
 #: Categories of symbols that may overlap.  Fixed values.
@@ -261,7 +269,7 @@ QUERIES = {
     "scan_marked_json": _marked,
     "scan_counters": _counters,
     "scan_stacks": lambda t: _with_lost(_blocks(t)),
-    "stack_leaf": lambda t: profiles.leaves(_stacks(t), 40),
+    "stack_leaf": _leaves,
     "stack_inclusive": lambda t: profiles.inclusive(_stacks(t), CATEGORIES),
     "stack_caller": lambda t: profiles.callers(_stacks(t), "view", "^tcp_"),
     "host_metrics": lambda t: profiles.host_metrics(_snapshots(t)),
@@ -270,7 +278,9 @@ QUERIES = {
 }
 
 _STACK = "st AS (SELECT user_id AS pid, user_id % 5 AS run, floor(value * 1000)::BIGINT AS period, event_type AS leaf, 'tcp_' || (user_id % 3) AS caller FROM events)"
-_SNAP = "sn AS (SELECT user_id % 5 AS run, user_id AS pid, event_id, ts, floor(value)::BIGINT AS v, event_id % 97 AS rss, substr('RSD', (event_id % 3 + 1)::INT, 1) AS state, event_type AS wchan FROM events)"
+_SNAP = "sn AS (SELECT user_id % 5 AS run, user_id AS pid, event_id, ts, floor(value)::BIGINT AS v, epoch_us(ts::TIMESTAMP) // 1000000 AS second, user_id % 8 AS cpu, event_id % 97 AS rss, substr('RSD', (event_id % 3 + 1)::INT, 1) AS state, event_type AS wchan FROM events)"
+#: Changes of all ticks and of three of them.
+_TICKED = "36 * (b.s - a.s) + " + " + ".join(f"b.e % {7 + k} - a.e % {7 + k}" for k in range(8)) + " AS total, 4 * (b.s - a.s) + b.e % 10 - a.e % 10 AS idle, 5 * (b.s - a.s) + b.e % 11 - a.e % 11 AS iowait, 7 * (b.s - a.s) + b.e % 13 - a.e % 13 AS soft"
 _RUNS = "SELECT *, chunk_id - row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) AS island FROM c"
 
 #: A table of CRC-32C steps, and the CRC of bytes given as hexadecimal digits, from the polynomial alone.
@@ -334,11 +344,11 @@ SQL = {
  UNION ALL SELECT source, 'netstat', unnest(['TcpExt.Sent', 'TcpExt.Lost', 'IpExt']), unnest([v, event_id, NULL]) FROM e WHERE event_id % 4 = 2
  UNION ALL SELECT source, 'interrupts', unnest(['45.CPU0', '45.CPU1']), unnest([v, event_id]) FROM e WHERE event_id % 4 = 3""",
     "scan_stacks": "SELECT user_id AS pid, event_id AS tid, event_id * 1000000000 + 250000000 AS at_ns, floor(value * 1000)::BIGINT AS period, event_type || ';tcp_' || (user_id % 3) || ';main' AS symbols, (SELECT count(*) FROM events WHERE event_id % 100 = 0) AS lost FROM events",
-    "stack_leaf": f"WITH {_STACK}, g AS (SELECT run, leaf AS symbol, sum(period)::BIGINT AS cpu_ns FROM st GROUP BY 1, 2) SELECT *, round(cpu_ns / sum(cpu_ns) OVER (PARTITION BY run), 6) AS fraction FROM g",
+    "stack_leaf": f"WITH {_STACK}, g AS (SELECT run, leaf AS symbol, sum(period)::BIGINT AS cpu_ns FROM st GROUP BY 1, 2), h AS (SELECT run, pid, leaf AS symbol, sum(period)::BIGINT AS cpu_ns FROM st GROUP BY 1, 2, 3) SELECT run, NULL::BIGINT AS pid, symbol, cpu_ns, round(cpu_ns / sum(cpu_ns) OVER (PARTITION BY run), 6) AS fraction FROM g UNION ALL SELECT run, pid, symbol, cpu_ns, fraction FROM (SELECT *, round(cpu_ns / sum(cpu_ns) OVER (PARTITION BY run, pid), 6) AS fraction, row_number() OVER (PARTITION BY run, pid ORDER BY cpu_ns DESC, symbol) AS k FROM h) WHERE k <= 3",
     "stack_inclusive": f"WITH {_STACK}, tot AS (SELECT run, sum(period) AS t FROM st GROUP BY 1), g AS (SELECT run, unnest(CASE WHEN leaf = 'purchase' THEN ['network', 'publish', 'main'] ELSE ['network', 'main'] END) AS category, period FROM st) SELECT g.run, category, sum(period)::BIGINT AS cpu_ns, round(sum(period) / any_value(t), 6) AS fraction FROM g JOIN tot ON g.run = tot.run GROUP BY 1, 2",
     "stack_caller": f"WITH {_STACK} SELECT run, 'one:' || caller AS caller_class, sum(period)::BIGINT AS period FROM st WHERE leaf = 'view' GROUP BY 1, 2",
-    "host_metrics": f"WITH {_SNAP}, p AS (SELECT run, pid, max(v) - min(v) AS cpu FROM sn GROUP BY 1, 2), c AS (SELECT run, sum(cpu)::BIGINT AS cpu_lower_bound FROM p GROUP BY 1), r AS (SELECT run, (arg_max(v * 2, (ts, event_id)) - arg_min(v * 2, (ts, event_id)))::BIGINT AS net_delta, max(rss) AS peak_rss, round(sum(v % 7) / (count(*) * 10), 6) AS busy_fraction, round(sum(v % 3) / (count(*) * 10), 6) AS iowait_fraction FROM sn GROUP BY 1) SELECT r.*, cpu_lower_bound FROM r JOIN c ON r.run = c.run",
-    "cpu_delta": f"WITH {_SNAP}, g AS (SELECT run, pid AS cpu, round(sum(v % 7) / (count(*) * 10), 6) AS busy_fraction, round(sum(v % 3) / (count(*) * 10), 6) AS softirq_fraction FROM sn GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY run ORDER BY busy_fraction DESC, cpu) AS rank FROM g",
+    "host_metrics": f"WITH {_SNAP}, p AS (SELECT run, pid, max(v) - min(v) AS c, 5 * (max(v) - min(v)) AS r, max(event_id % 1009) - min(event_id % 1009) AS w FROM sn GROUP BY 1, 2), c AS (SELECT run, sum(c)::BIGINT AS cpu_lower_bound, sum(r)::BIGINT AS read_delta, sum(w)::BIGINT AS write_delta FROM p GROUP BY 1), f AS (SELECT run, arg_min({{'s': second, 'e': event_id, 'v': v}}, (ts, event_id)) AS a, arg_max({{'s': second, 'e': event_id, 'v': v}}, (ts, event_id)) AS b, max(rss) AS peak_rss, max(event_id % 31) AS peak_fds, epoch_us(max(ts)::TIMESTAMP) - epoch_us(min(ts)::TIMESTAMP) AS us FROM sn GROUP BY 1), x AS (SELECT *, 3 * (b.s - a.s) + b.v - a.v AS tx, b.s - a.s + b.e - a.e AS rx, {_TICKED} FROM f) SELECT x.run, tx AS tx_delta, rx AS rx_delta, CASE WHEN us > 0 THEN round(tx * 8 / us / 1000, 9) END AS tx_gbps, CASE WHEN us > 0 THEN round(rx * 8 / us / 1000, 9) END AS rx_gbps, cpu_lower_bound, peak_fds, peak_rss, read_delta, write_delta, CASE WHEN total > 0 THEN round((total - idle - iowait) / total, 6) END AS busy_fraction, CASE WHEN total > 0 THEN round(iowait / total, 6) END AS iowait_fraction FROM x JOIN c ON x.run = c.run",
+    "cpu_delta": f"WITH {_SNAP}, f AS (SELECT run, cpu, arg_min({{'s': second, 'e': event_id}}, (ts, event_id)) AS a, arg_max({{'s': second, 'e': event_id}}, (ts, event_id)) AS b FROM sn GROUP BY 1, 2), x AS (SELECT *, {_TICKED} FROM f), g AS (SELECT run, cpu, round((total - idle - iowait) / total, 6) AS busy_fraction, round(soft / total, 6) AS softirq_fraction FROM x WHERE total > 0) SELECT *, row_number() OVER (PARTITION BY run ORDER BY busy_fraction DESC, cpu) AS rank FROM g",
     "blocked_threads": f"WITH {_SNAP} SELECT run, wchan, count(*) AS count, round(count(*) FILTER (state IN ('S', 'D')) / count(*), 6) AS blocked_fraction FROM sn GROUP BY 1, 2",
 }
 SQL = {k: sql(v) for k, v in SQL.items()}

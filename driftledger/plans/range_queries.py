@@ -36,7 +36,7 @@ QUERIES = {
     "ranges_coalesce": lambda t: ranges.coalesce(t.f2v),
     "ranges_missing": lambda t: ranges.missing(t.f2v, _totals(t)),
     "coverage_check": lambda t: ranges.coverage(t.f2v, _totals(t)),
-    "exact_cover": lambda t: ranges.exact_cover(_stops(t), _totals(t)),
+    "exact_cover": lambda t: ranges.exact_cover(_stops(t).withColumn("channel", F.expr("begin div 1024 % 3")), _totals(t).withColumn("expected", F.when(F.col("file_id") % 5 == 0, 4).otherwise(3))),
     "id_runs": lambda t: ranges.id_runs(_plan(t), t.f2, CHUNK),
     "progress_snapshot": lambda t: ranges.progress(_totals(t), t.f2, CHUNK),
     "interval_union_seconds": lambda t: ranges.union_seconds(t.stage, ["lane", "stage"]),
@@ -71,7 +71,7 @@ SQL = {
     "ranges_coalesce": f"WITH {_MERGED_V} SELECT * FROM merged",
     "ranges_missing": f"WITH {_MERGED_V}, {_TOTALS}, a AS (SELECT t.file_id, total, coalesce(begin, total) AS begin, coalesce(stop, total) AS stop FROM totals t LEFT JOIN merged m ON t.file_id = m.file_id) SELECT * FROM (SELECT file_id, lag(stop, 1, 0) OVER (PARTITION BY file_id ORDER BY begin) AS begin, begin AS stop FROM a UNION ALL SELECT file_id, max(stop), total FROM a GROUP BY file_id, total) WHERE begin < stop",
     "coverage_check": f"WITH {_MERGED_V}, {_TOTALS}, g AS (SELECT *, coalesce({_SO_FAR} > begin, false) AS again FROM f2v), facts AS (SELECT file_id, max(stop) AS last, min(begin) AS first, bool_or(again) AS again FROM g GROUP BY 1), done AS (SELECT file_id, sum(stop - begin)::BIGINT AS done FROM merged GROUP BY 1) SELECT t.file_id, CASE WHEN last > total OR first < 0 THEN 'out_of_bounds' WHEN again THEN 'duplicate' WHEN coalesce(done, 0) < total THEN 'missing' WHEN total = 0 THEN 'empty' ELSE 'complete' END AS status, coalesce(done, 0) AS bytes_completed FROM totals t LEFT JOIN facts f ON t.file_id = f.file_id LEFT JOIN done d ON t.file_id = d.file_id",
-    "exact_cover": f"WITH {_TOTALS}, a AS (SELECT file_id, begin, begin + length AS stop, begin = lag(begin + length, 1, 0) OVER (PARTITION BY file_id ORDER BY begin, length) AS ok FROM f2), facts AS (SELECT file_id, bool_and(ok) AS ok, max(stop) AS last, count(*) AS n FROM a GROUP BY 1) SELECT t.file_id, coalesce(ok AND last = total, total = 0) AS is_exact, coalesce(n, 0) AS ranges FROM totals t LEFT JOIN facts f ON t.file_id = f.file_id",
+    "exact_cover": f"WITH {_TOTALS}, a AS (SELECT file_id, begin, begin + length AS stop, begin = lag(begin + length, 1, 0) OVER (PARTITION BY file_id ORDER BY begin, length) AS ok FROM f2), facts AS (SELECT file_id, bool_and(ok) AS ok, max(stop) AS last, count(*) AS n, count(DISTINCT begin // 1024 % 3) AS ch FROM a GROUP BY 1) SELECT t.file_id, coalesce(ok AND last = total AND t.file_id % 5 <> 0, false) AS is_exact, coalesce(n, 0) AS ranges, coalesce(ch, 0) AS channels FROM totals t LEFT JOIN facts f ON t.file_id = f.file_id",
     "id_runs": "WITH p AS (SELECT o_orderkey AS file_id, unnest(range(7)) AS chunk_id FROM orders), l AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM f2 WHERE f2.file_id = p.file_id AND f2.chunk_id = p.chunk_id)), r AS (SELECT *, chunk_id - row_number() OVER (PARTITION BY file_id ORDER BY chunk_id) AS run FROM l) SELECT file_id, min(chunk_id) AS first_id, max(chunk_id) AS last_id, min(chunk_id) * 1024 AS begin, least((max(chunk_id) + 1) * 1024, 7168) AS stop FROM r GROUP BY file_id, run",
     "progress_snapshot": f"WITH {_TOTALS}, d AS (SELECT file_id, count(DISTINCT chunk_id) AS v, sum(length)::BIGINT AS b FROM f2 GROUP BY 1) SELECT t.file_id, CASE WHEN coalesce(v, 0) = 7 THEN 'complete' ELSE 'partial' END AS state, 7::BIGINT AS total_chunks, coalesce(v, 0) AS verified, 7 - coalesce(v, 0) AS missing, coalesce(b, 0) AS bytes, round(coalesce(v, 0) / 7.0::DOUBLE, 6) AS ratio FROM totals t LEFT JOIN d ON t.file_id = d.file_id",
     "interval_union_seconds": _union(["lane", "stage"]),

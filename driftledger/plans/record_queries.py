@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftledger.operators import integrity, records, runs
+from driftledger.operators import acks, integrity, records, runs, verdicts
 
+from .stream_queries import ack_fold
 from .tables import Tables, sql
 
 KEYS = ["system", "dataset", "direction"]
@@ -27,8 +28,14 @@ def _paired(t: Tables):
     return runs.paired_gate(t.f4p, "dataset", "rep", "arm", ("F", "O"), "seconds", SIZE, ("read_s", "send_s"), "wall_s")
 
 
-def _gated(rule, pairs=5):
-    return lambda t: runs.gate(_paired(t), rule, pairs).select("dataset", "pairs", "improved_pairs", "gain_pct", "valid", "reason", "verdict")
+def _ordered(t: Tables):
+    """The same with the order of the runs: A before B in odd pairs, B before A in even ones, but for one dataset."""
+    second = (F.col("arm") == "O") == ((F.col("rep") % 2 == 1) | (F.col("dataset") == "N"))
+    return runs.paired_gate(t.f4p.withColumn("seq", F.col("rep") * 2 + second.cast("int")), "dataset", "rep", "arm", ("F", "O"), "seconds", SIZE, ("read_s", "send_s"), "wall_s", "seq")
+
+
+def _gated(rule, pairs=5, of=_paired):
+    return lambda t: runs.gate(of(t), rule, pairs).select("dataset", "pairs", "improved_pairs", "gain_pct", "valid", "reason", "verdict")
 
 
 def _acks(t: Tables):
@@ -51,7 +58,8 @@ GATES = {
 }
 #: Other forms of the improvement: the smaller one, and the negative control, which must not change.
 FORMS = {"small": "gain_pct >= 10 AND a_cv <= 0.05 AND b_cv <= 0.05 AND improved_pairs = pairs AND b_p95 <= a_p95", "control": "abs(gain_pct) <= 5 AND a_cv <= 0.05 AND b_cv <= 0.05"}
-OBSERVER = "CASE WHEN a_cv > 0.05 OR b_cv > 0.05 OR abs(gain_pct) > 5 THEN 'inconclusive' ELSE 'accepted' END"
+#: Counts of a scheduler that its summary may tell.
+SCHED = ["click", "error", "purchase", "signup", "view"]
 
 
 def _improvement(t: Tables):
@@ -59,12 +67,27 @@ def _improvement(t: Tables):
     return rows.select("dataset", "pairs", "improved_pairs", "gain_pct", "valid", "reason", "verdict", *(F.when(~F.col("valid"), "invalid").when(F.expr(rule), "go").otherwise("no_go").alias(n) for n, rule in FORMS.items()))
 
 
+def _sidecars(t: Tables):
+    """Both forms: by name, and only manifests that are valid and name their target."""
+    files = t.f1.select("file_id", F.when(F.col("file_id") % 9 == 0, F.concat("relative_path", F.lit(".part.tmp"))).when(F.col("file_id") % 9 == 1, F.concat("relative_path", F.lit(".manifest"))).otherwise(F.col("relative_path")).alias("relative_path"))
+    target = F.when(F.col("file_id") % 2 == 0, F.expr("substring(relative_path, 1, length(relative_path) - 9)")).otherwise("elsewhere")
+    manifests = files.select("relative_path", target.alias("output_path"), (F.col("file_id") % 4 != 0).alias("is_valid"))
+    loose = records.without_sidecars(files).withColumn("form", F.lit("by_name"))
+    return loose.unionByName(records.without_owned_sidecars(files, manifests, ".manifest").withColumn("form", F.lit("strict")))
+
+
+def _best(t: Tables):
+    """Configurations are a few hundred mixes of parameters, each with its own runs."""
+    mixed = t.f4.withColumn("config", F.col("repeat_index") % 997).groupBy("direction", "config")
+    return verdicts.best_passing(mixed.agg(F.round(runs.median("goodput"), 6).alias("median"), F.count_if(F.col("result").startswith("fail")).alias("fails")), "direction", "config", "median")
+
+
 QUERIES = {
     "scan_listing": lambda t: records.listing(t.f1).withColumn("folder", F.lit("")).unionByName(records.listing(t.f1, "web").withColumn("folder", F.lit("web"))),
     "scan_metric_lines": lambda t: records.metric_lines(_lines(t)).select("source", "line_no", *(F.col("metrics")[k].alias(f"metric_{k}") for k in ("id", "type", "n"))),
     "path_validate": lambda t: t.pages.select("page_id", "url", F.regexp_replace("url", "^https?://", "").alias("path")).union(t.pages.select("page_id", "url", "url")).select("page_id", "path", records.path_reason(F.col("path")).alias("reason")).withColumn("is_valid", F.col("reason").isNull()),
     "path_resolve": lambda t: t.f1.select("file_id", F.concat(F.element_at(F.array(F.lit("../"), F.lit("a/./"), F.lit("../../../"), F.lit("/x/../"), F.lit("")), (F.col("file_id") % 5 + 1).cast("int")), "relative_path").alias("p")).select("file_id", records.resolve("/home/u", F.col("p"))[0].alias("virtual_path"), records.resolve("/home/u", F.col("p"))[1].alias("escapes_root")),
-    "sidecar_filter": lambda t: t.f1.select("file_id", F.when(F.col("file_id") % 9 == 0, F.concat("relative_path", F.lit(".part.tmp"))).otherwise(F.col("relative_path")).alias("relative_path")).transform(records.without_sidecars),
+    "sidecar_filter": _sidecars,
     "transfer_id_validate": lambda t: t.f1.select("file_id", F.when(F.col("file_id") % 6 == 0, F.concat("transfer_id", F.lit("/x"))).otherwise(F.col("transfer_id")).alias("transfer_id")).withColumn("is_valid", F.col("transfer_id").rlike("^[A-Za-z0-9._-]{1,128}$")),
     "normalize_results": lambda t: t.f1.select("file_id", F.concat(F.col("size").cast("string"), F.element_at(F.array(*map(F.lit, ("", "k", "kb", "MiB", "g"))), (F.col("file_id") % 5 + 1).cast("int"))).alias("token")).select("file_id", records.size_bytes(F.col("token")).alias("bytes"), F.lower(F.hex(F.col("file_id"))).alias("hex_id"), F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("file_id")), "yyyyMMddHHmmss").alias("stamp")),
     "error_classify": lambda t: t.f3.select("sequence", "message", records.error_code(F.col("message")).alias("error_code")),
@@ -80,7 +103,7 @@ QUERIES = {
     "dup_paths": lambda t: t.f1.select(F.col("dataset").alias("manifest_id"), F.concat("dataset", F.lit("/"), (F.col("file_id") % 40).cast("string")).alias("path")).groupBy("manifest_id", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
     "file_sha256": lambda t: t.documents.select(F.col("doc_id").alias("file_id"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256")),
     "tree_hash_sha256": lambda t: integrity.tree_sha256(t.documents.select(F.col("source").alias("root"), F.concat("source", F.lit("/"), "doc_id").alias("relative_path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"))),
-    "chunk_conflicts": lambda t: runs.chunk_conflicts(t.acks),
+    "chunk_conflicts": lambda t: acks.chunk_conflicts(t.clash),
     "manifest_status_counts": lambda t: t.f1.groupBy(F.col("dataset").alias("manifest_id")).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("completed", "failed", "changed")), F.bool_and(F.col("status") == "completed").alias("complete")),
     "summary_compare": lambda t: runs.summary(t.f4k, COMPARE_KEYS),
     "summary_matrix": lambda t: runs.passing_summary(t.f4k, MATRIX_KEYS, STAGES),
@@ -90,20 +113,20 @@ QUERIES = {
     "workload_profile": lambda t: runs.estimated(runs.profile(t.f1)),
     "regime_classify": lambda t: runs.profile(t.f1).select("dataset", runs.regime().alias("regime")),
     "event_summary": lambda t: runs.event_summary(t.f3, records.error_code(F.col("message"))),
-    "sched_event_counts": lambda t: t.f3.groupBy("transfer_id").pivot("event", ["click", "error", "purchase", "signup", "view"]).count().na.fill(0),
+    "sched_event_counts": lambda t: runs.sched_counts(t.f3.select(F.col("transfer_id").alias("run"), "event"), t.events.groupBy(F.concat(F.lit("t-"), "user_id").alias("run")).agg(F.max(F.when(F.col("user_id") % 3 == 0, 0).when(F.col("user_id") % 3 == 1, F.col("user_id") + 1000)).alias("click"), *(F.lit(0).alias(k) for k in SCHED[1:])), SCHED),
     "median_table": lambda t: t.f4p.groupBy("arm", "dataset").agg(F.count(F.lit(1)).alias("n"), F.round(runs.median("seconds"), 6).alias("median_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"), (F.count(F.lit(1)) == 7).alias("n_ok")),
     "baseline_delta": lambda t: runs.baseline_delta(_medians(t), "dataset", "mode", "F"),
-    "mode_compare": lambda t: runs.mode_compare(_medians(t), ["dataset"], "mode", "F", "O"),
-    "best_config": lambda t: _medians(t).groupBy("dataset").agg(F.max_by("mode", F.struct("median", "mode")).alias("mode"), F.max("median").alias("median")),
+    "mode_compare": lambda t: runs.mode_deltas(t.f4k.where("NOT (dataset = 'A' AND direction = 'upload' AND retries % 3 = 0)").withColumn("mode", F.element_at(F.array(F.lit("off"), F.lit("fixed"), F.lit("adaptive")), F.col("retries") % 3 + 1)), ["dataset", "direction"], "mode", "off", ["fixed", "adaptive"], ["goodput", "elapsed"]),
+    "best_config": lambda t: _best(t),
     "top_slow": lambda t: t.f4.where("result = 'pass'").orderBy("goodput", "repeat_index", "line", "system", "dataset").limit(8).select("repeat_index", "line", "goodput"),
     "top_unstable": lambda t: runs.summary(t.f4, KEYS).where("unstable").orderBy(F.desc("spread_pct"), *KEYS).limit(24).select(*KEYS, "spread_pct"),
-    "counter_delta": lambda t: runs.counter_delta(t.counter.where("NOT (host = 3 AND name = 'click' AND event_id > 300)"), "^signup$"),
+    "counter_delta": lambda t: runs.counter_delta(t.hourly.where("NOT (host = 3 AND name = 'click' AND value > 20000)"), "^signup$"),
     "append_watermark": lambda t: runs.append_watermark(_acks(t)),
     "lease_transitions": lambda t: runs.lease_transitions(t.lease),
     "queue_wait": lambda t: runs.queue_wait(t.lease),
     "gate_ab": _paired,
-    "gate_observer": lambda t: _paired(t).select("dataset", F.expr(OBSERVER).alias("verdict")),
-    **{k: _gated(rule) for k, rule in GATES.items()},
+    "gate_observer": lambda t: verdicts.observer_gate(_paired(t), t.f4p.where("arm = 'O'").select("dataset", (F.col("rep") % 4 / F.when(F.col("dataset") == "A", 40).otherwise(20)).alias("fraction")), "dataset"),
+    **{k: _gated(rule, 5, _ordered if k == "gate_m1" else _paired) for k, rule in GATES.items()},
     "gate_improvement": _improvement,
 }
 
@@ -128,7 +151,7 @@ SQL = {
     "scan_metric_lines": "SELECT 'u' || user_id AS source, max(event_id) AS line_no, arg_max(event_id::VARCHAR, event_id) AS metric_id, arg_max(event_type, event_id) AS metric_type, arg_max(floor(value)::BIGINT::VARCHAR, event_id) AS metric_n FROM events GROUP BY 1",
     "path_validate": r"WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages UNION ALL SELECT page_id, url FROM pages), v AS (SELECT *, CASE WHEN coalesce(path, '') = '' THEN 'empty' WHEN regexp_matches(path, '^[/\\]') THEN 'not_relative' WHEN contains(path, '\') THEN 'backslash' WHEN regexp_matches(path, '[\x00-\x1f\x7f]') THEN 'control_character' WHEN regexp_matches(path, '^[A-Za-z]:') THEN 'drive_prefix' WHEN len(list_filter(string_split(path, '/'), lambda s: s IN ('', '.', '..'))) > 0 THEN 'bad_segment' END AS reason FROM p) SELECT *, reason IS NULL AS is_valid FROM v",
     "path_resolve": "SELECT file_id, CASE file_id % 5 WHEN 0 THEN '/home/' || relative_path WHEN 1 THEN '/home/u/a/' || relative_path WHEN 2 THEN '/' || relative_path WHEN 3 THEN '/' || relative_path ELSE '/home/u/' || relative_path END AS virtual_path, file_id % 5 = 2 AS escapes_root FROM f1",
-    "sidecar_filter": "SELECT file_id, relative_path FROM f1 WHERE file_id % 9 <> 0",
+    "sidecar_filter": "WITH s AS (SELECT file_id, relative_path || CASE file_id % 9 WHEN 0 THEN '.part.tmp' WHEN 1 THEN '.manifest' ELSE '' END AS relative_path FROM f1) SELECT *, 'by_name' AS form FROM s WHERE file_id % 9 <> 0 UNION ALL SELECT *, 'strict' FROM s WHERE NOT (file_id % 9 = 1 AND file_id % 4 = 2)",
     "transfer_id_validate": "SELECT file_id, CASE WHEN file_id % 6 = 0 THEN transfer_id || '/x' ELSE transfer_id END AS transfer_id, file_id % 6 <> 0 AS is_valid FROM f1",
     "normalize_results": "SELECT file_id, size * CASE file_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1000 WHEN 3 THEN 1048576 ELSE 1073741824 END AS bytes, lower(to_hex(file_id)) AS hex_id, strftime(make_timestamp((1700000000 + file_id) * 1000000), '%Y%m%d%H%M%S') AS stamp FROM f1",
     "error_classify": f"SELECT sequence, message, {records.error_sql('message')} AS error_code FROM f3",
@@ -144,7 +167,7 @@ SQL = {
     "dup_paths": "SELECT dataset AS manifest_id, dataset || '/' || (file_id % 40) AS path, count(*) AS n FROM f1 GROUP BY 1, 2 HAVING count(*) > 1",
     "file_sha256": "SELECT doc_id AS file_id, strlen(text) AS size, sha256(text) AS sha256 FROM documents",
     "tree_hash_sha256": "SELECT source AS root, sha256(string_agg(source || '/' || doc_id || chr(0) || strlen(text) || chr(0) || sha256(text) || chr(0), '' ORDER BY source || '/' || doc_id)) AS tree_hash, count(*) AS file_count, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1",
-    "chunk_conflicts": "SELECT file_id, chunk_id, begin, count(*) AS acks, CASE WHEN count(DISTINCT (length, crc)) = 1 THEN 'duplicate' ELSE 'conflict' END AS kind FROM acks GROUP BY 1, 2, 3 HAVING count(*) > 1",
+    "chunk_conflicts": ack_fold("true", "file_id, chunk_id, begin, kind, count(*) AS acks", "AND kind <> 'accepted' GROUP BY 1, 2, 3, 4"),
     "manifest_status_counts": "SELECT dataset AS manifest_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'changed') AS changed, bool_and(status = 'completed') AS complete FROM f1 GROUP BY 1",
     "summary_compare": f"WITH {_summary(COMPARE_KEYS, 'f4k')} SELECT * FROM s",
     "summary_matrix": f"SELECT {', '.join(MATRIX_KEYS)}, count(*) AS repeats, count(*) FILTER (result = 'pass') AS passes, count(*) FILTER (result <> 'pass') AS fails, min(goodput) FILTER (result = 'pass') AS goodput_min, round(quantile_cont(goodput, 0.5) FILTER (result = 'pass'), 6) AS goodput_median, max(goodput) FILTER (result = 'pass') AS goodput_max, {', '.join(f"round(quantile_cont({c}, 0.5) FILTER (result = 'pass'), 6) AS {c}_median" for c in ('elapsed', *STAGES))} FROM f4k GROUP BY {', '.join(MATRIX_KEYS)}",
@@ -154,19 +177,19 @@ SQL = {
     "workload_profile": f"SELECT *, CASE WHEN bytes = 0 THEN 0 ELSE greatest(1, floor(bytes / files)) END::BIGINT AS estimated_min, CASE WHEN files <= 4 THEN bytes ELSE floor(bytes / files * 4) END::BIGINT AS estimated_max, round(bytes / files, 6) AS estimated_p50, round(greatest(bytes / files, CASE WHEN files <= 4 THEN bytes ELSE floor(bytes / files * 4) END), 6) AS estimated_p90 FROM ({_PROFILE})",
     "regime_classify": f"SELECT dataset, CASE WHEN files > 32 AND size_p50 < 65536 AND bytes < 5242880 THEN 'small_files' WHEN size_max >= 52428800 AND files <= 4 THEN 'large_objects' WHEN files > 10 AND size_p90 >= 1048576 THEN 'mixed' WHEN bytes >= 83886080 THEN 'bandwidth' ELSE 'general' END AS regime FROM ({_PROFILE})",
     "event_summary": f"SELECT error_code, count(*) AS events, min(sequence) AS first_sequence, arg_min(message, sequence) AS first_message FROM (SELECT *, {records.error_sql('message')} AS error_code FROM f3) GROUP BY 1",
-    "sched_event_counts": "SELECT transfer_id, " + ", ".join(f"count(*) FILTER (event = '{e}') AS {e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM f3 GROUP BY 1",
+    "sched_event_counts": "SELECT transfer_id AS run, CASE WHEN substr(transfer_id, 3)::BIGINT % 3 = 1 THEN substr(transfer_id, 3)::BIGINT + 1000 ELSE count(*) FILTER (event = 'click') END AS click, " + ", ".join(f"count(*) FILTER (event = '{e}') AS {e}" for e in SCHED[1:]) + " FROM f3 GROUP BY 1",
     "median_table": "SELECT arm, dataset, count(*) AS n, round(quantile_cont(seconds, 0.5), 6) AS median_s, min(seconds) AS min_s, max(seconds) AS max_s, count(*) = 7 AS n_ok FROM f4p GROUP BY 1, 2",
     "baseline_delta": f"WITH {_MEDIANS} SELECT m.dataset, m.mode, m.median, b.median AS baseline, CASE WHEN b.median > 0 THEN round((m.median - b.median) / b.median * 100, 6) END AS delta_pct FROM meds m LEFT JOIN meds b ON m.dataset = b.dataset AND b.mode = 'F'",
-    "mode_compare": f"WITH {_MEDIANS} SELECT a.dataset, a.median AS left_median, b.median AS right_median, round(b.median - a.median, 6) AS delta FROM meds a JOIN meds b ON a.dataset = b.dataset WHERE a.mode = 'F' AND b.mode = 'O'",
-    "best_config": f"WITH {_MEDIANS} SELECT dataset, arg_max(mode, (median, mode)) AS mode, max(median) AS median FROM meds GROUP BY 1",
+    "mode_compare": "WITH x AS (SELECT *, CASE retries % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'fixed' ELSE 'adaptive' END AS m FROM f4k WHERE NOT (dataset = 'A' AND direction = 'upload' AND retries % 3 = 0)), y AS (SELECT dataset, direction, " + ", ".join(f"round(quantile_cont({v}, 0.5) FILTER (m = '{m}'), 6) AS {m}_{v}" for m in ("off", "fixed", "adaptive") for v in ("goodput", "elapsed")) + " FROM x GROUP BY 1, 2) SELECT *, " + ", ".join(f"round({m}_{v} - off_{v}, 6) AS {m}_{v}_delta" for m in ("fixed", "adaptive") for v in ("goodput", "elapsed")) + " FROM y WHERE off_goodput IS NOT NULL AND coalesce(fixed_goodput, adaptive_goodput) IS NOT NULL",
+    "best_config": "WITH s AS (SELECT direction, repeat_index % 997 AS config, round(quantile_cont(goodput, 0.5), 6) AS median FROM f4 GROUP BY 1, 2 HAVING count(*) FILTER (result LIKE 'fail%') = 0) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY direction ORDER BY median DESC, config) = 1",
     "top_slow": "SELECT repeat_index, line, goodput FROM f4 WHERE result = 'pass' ORDER BY goodput, repeat_index, line, system, dataset LIMIT 8",
     "top_unstable": f"WITH {_SUMMARY} SELECT system, dataset, direction, spread_pct FROM s WHERE unstable ORDER BY spread_pct DESC, system, dataset, direction LIMIT 24",
-    "counter_delta": "WITH c AS (SELECT * FROM counter WHERE NOT (host = 3 AND name = 'click' AND event_id > 300) AND name <> 'signup'), d AS (SELECT *, (value - lag(value) OVER (PARTITION BY host, name ORDER BY ts, event_id))::BIGINT AS delta FROM c), seen AS (SELECT host, name, max(date_trunc('day', ts)) AS seen, max(max(date_trunc('day', ts))) OVER (PARTITION BY host) AS newest FROM c GROUP BY 1, 2) SELECT host, name, event_id, delta, delta < 0 AS regressed FROM d WHERE delta IS NOT NULL UNION ALL SELECT host, name, NULL, NULL, true FROM seen WHERE seen < newest",
+    "counter_delta": "WITH c AS (SELECT * FROM hourly WHERE NOT (host = 3 AND name = 'click' AND value > 20000) AND name <> 'signup'), d AS (SELECT *, (value - lag(value) OVER (PARTITION BY host, name ORDER BY ts))::BIGINT AS delta FROM c), n AS (SELECT host, ts, lead(ts) OVER (PARTITION BY host ORDER BY ts) AS following FROM (SELECT DISTINCT host, ts FROM c)) SELECT host, name, epoch_us(ts::TIMESTAMP) AS ts, delta, delta < 0 AS regressed FROM d WHERE delta IS NOT NULL UNION ALL SELECT c.host, c.name, epoch_us(following::TIMESTAMP), NULL, true FROM c JOIN n ON n.host = c.host AND n.ts = c.ts WHERE following IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c x WHERE x.host = c.host AND x.name = c.name AND x.ts = following)",
     "append_watermark": "WITH a AS (SELECT l_orderkey AS file_id, l_linenumber::BIGINT - 1 AS chunk_id, (l_linenumber::BIGINT - 1) * 1024 AS begin, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice, l_linenumber) AS seq FROM lineitem), b AS (SELECT *, max(begin) OVER w AS max_offset, max(chunk_id) OVER w AS max_chunk_id FROM a WINDOW w AS (PARTITION BY file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT file_id, seq, max_offset, max_chunk_id, coalesce(begin > max_offset AND chunk_id > max_chunk_id, true) AS fast_path, greatest(coalesce(max_chunk_id, -1), chunk_id) + 1 AS next_id FROM b",
     "lease_transitions": f'SELECT *, ("from", "to") IN ({_STEPS}) AS legal FROM (SELECT lease_id, event_id, lag(state) OVER (PARTITION BY lease_id ORDER BY ts, event_id) AS "from", state AS "to" FROM lease) WHERE "from" IS NOT NULL',
     "queue_wait": "WITH c AS (SELECT lease_id, min(ts) AS start FROM lease WHERE state = 'claimed' GROUP BY 1), w AS (SELECT l.lease_id, min(epoch_us(l.ts::TIMESTAMP) - epoch_us(c.start::TIMESTAMP)) AS us FROM lease l JOIN c ON l.lease_id = c.lease_id WHERE l.state = 'in_flight' AND l.ts >= c.start GROUP BY 1) SELECT count(*) AS leases, round(quantile_cont(us, 0.5), 3) AS p50_us, round(quantile_cont(us, 0.95), 3) AS p95_us, max(us) AS max_us FROM w",
     "gate_ab": f"WITH {_PAIRED} SELECT * FROM r",
-    "gate_observer": f"WITH {_PAIRED} SELECT dataset, CASE WHEN a_cv > 0.05 OR b_cv > 0.05 OR abs(gain_pct) > 5 THEN 'inconclusive' ELSE 'accepted' END AS verdict FROM r",
-    **{k: f"WITH {_PAIRED}, v AS (SELECT *, CASE WHEN pairs < 5 THEN 'pairs' WHEN NOT reps_ok THEN 'reps' WHEN NOT content_ok THEN 'content' WHEN NOT parts_ok THEN 'parts' END AS reason FROM r) SELECT dataset, pairs, improved_pairs, gain_pct, reason IS NULL AS valid, reason, CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN {rule} THEN 'go' ELSE 'no_go' END AS verdict{more} FROM v" for k, rule in GATES.items() for more in ["".join(f", CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN {f} THEN 'go' ELSE 'no_go' END AS {n}" for n, f in FORMS.items()) if k == "gate_improvement" else ""]},
+    "gate_observer": f"WITH {_PAIRED}, e AS (SELECT dataset, round(max(rep % 4 / CASE WHEN dataset = 'A' THEN 40.0 ELSE 20.0 END), 6) AS envelope_max, round(quantile_cont(rep % 4 / CASE WHEN dataset = 'A' THEN 40.0::DOUBLE ELSE 20.0::DOUBLE END, 0.5), 6) AS envelope_median FROM f4p WHERE arm = 'O' GROUP BY 1) SELECT dataset, envelope_max, envelope_median, CASE WHEN a_cv > 0.05 OR b_cv > 0.05 OR abs(gain_pct) > 5 THEN 'inconclusive' WHEN envelope_max < 0.1 THEN 'below_envelope' ELSE 'accepted' END AS verdict FROM r LEFT JOIN e USING (dataset)",
+    **{k: f"WITH {_PAIRED}, v AS (SELECT *, CASE WHEN {first}pairs < 5 THEN 'pairs' WHEN NOT reps_ok THEN 'reps' WHEN NOT content_ok THEN 'content' WHEN NOT parts_ok THEN 'parts' END AS reason FROM r) SELECT dataset, pairs, improved_pairs, gain_pct, reason IS NULL AS valid, reason, CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN {rule} THEN 'go' ELSE 'no_go' END AS verdict{more} FROM v" for k, rule in GATES.items() for first in ["dataset = 'N' AND pairs > 1 THEN 'order' WHEN " if k == 'gate_m1' else ''] for more in ["".join(f", CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN {f} THEN 'go' ELSE 'no_go' END AS {n}" for n, f in FORMS.items()) if k == "gate_improvement" else ""]},
 }
 SQL = {k: sql(v) for k, v in SQL.items()}

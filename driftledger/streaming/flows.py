@@ -1,4 +1,4 @@
-"""Streams over acknowledgements, events, leases and link states.
+"""Streams over events and link states.
 
 A batch of a stream is summed where it is read and its sums are written under the
 batch's number, so a batch that runs again replaces itself.  Sums of batches merge by
@@ -9,20 +9,20 @@ newest time read less a delay; windows and spans that it hasn't passed are still
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from driftledger.functions.workers import ship, shared_folder
+from driftledger.functions.workers import shared_folder
 
 #: Ramp thresholds: fill below / from which a queue is low / high, pressure that is high,
 #: low marks in a row that ramp up.  Fixed values.
 LOW, HIGH, PRESSURE, LOW_HITS = 0.5, 2.0, 0.75, 2
 
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 16) -> DataFrame:
     """A table's files as a stream: those of its folder, or its one file."""
@@ -47,7 +47,13 @@ def drained(rows: DataFrame, name: str, of_batch: Callable[[DataFrame], DataFram
         schema[:] = [out.schema]
         out.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
+    # State in RocksDB, so that it may be larger than memory; the session's own setting comes back once the query has taken it.
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
     query.awaitTermination()
     return spark.read.schema(schema[0].add("batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out")
 
@@ -80,45 +86,6 @@ def closed_windows(sums: DataFrame, delay_us: int) -> DataFrame:
     return rows.select("start_us", "link", "direction", "bytes", F.round(F.col("bytes") * 8 / (F.col("end_us") - F.col("start_us")) / 1000, 9).alias("gbps"), "late_events")
 
 
-def chunk_acks(acks: DataFrame) -> DataFrame:
-    """What a batch acknowledges of each chunk, and the extremes of it."""
-    what = F.struct("length", "crc")
-    return acks.groupBy("file_id", "chunk_id", "begin").agg(F.count(F.lit(1)).alias("acks"), F.min(what).alias("least"), F.max(what).alias("most"))
-
-
-def ack_kinds(sums: DataFrame) -> DataFrame:
-    """One row a chunk: accepted, duplicate (all acknowledgements agree), or conflict, which has no CRC that counts."""
-    rows = sums.groupBy("file_id", "chunk_id", "begin").agg(F.sum("acks").alias("acks"), F.min("least").alias("least"), F.max("most").alias("most"))
-    kind = F.when(F.col("acks") == 1, "accepted").when(F.col("least") == F.col("most"), "duplicate").otherwise("conflict")
-    return rows.select("file_id", "chunk_id", "begin", "acks", kind.alias("kind"), F.when(kind != "conflict", F.col("least.crc")).alias("crc"))
-
-
-def progress_words(acks: DataFrame) -> DataFrame:
-    """A batch's verified chunks as bits of 64-chunk words."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("chunk_id") % 64).cast("int"))
-    return acks.groupBy("file_id", F.expr("chunk_id div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
-
-
-def progress(sums: DataFrame, totals: DataFrame, chunk: int) -> DataFrame:
-    """Bytes, ranges and completion of each file; the last chunk may be short, chunks beyond it don't count.
-
-    A range starts at a bit whose lower neighbour, in the word before it if need be, is unset.
-    """
-    words = sums.groupBy("file_id", "word").agg(F.bit_or("bits").alias("bits"))
-    n = F.ceil(F.col("total") / chunk).cast("long")
-    rest = (F.col("n") - F.col("word") * 64).cast("int")  # chunks that are left for this word
-    mask = F.when(rest >= 64, F.lit(-1).cast("long")).when(rest <= 0, 0).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), rest) - 1)
-    words = totals.withColumn("n", n).join(words, "file_id", "left").withColumn("bits", F.col("bits").bitwiseAND(mask))
-    last = F.struct(F.col("word"), F.col("bits"))
-    before = F.lag(last).over(Window.partitionBy("file_id").orderBy("word"))
-    carry = F.when((before["word"] == F.col("word") - 1) & (before["bits"] < 0), 1).otherwise(0).cast("long")
-    starts = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.col("bits"), F.lit(1)).bitwiseOR(carry))))
-    ends = (F.expr("(n - 1) div 64") == F.col("word")) & (F.call_function("shiftrightunsigned", "bits", ((F.col("n") - 1) % 64).cast("int")) == 1)
-    rows = words.withColumns({"starts": starts, "ends": ends}).groupBy("file_id", "total", "n").agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("chunks"), F.coalesce(F.sum("starts"), F.lit(0)).alias("ranges"), F.coalesce(F.bool_or("ends"), F.lit(False)).alias("ends"))
-    short = F.when(F.col("ends"), F.col("n") * chunk - F.col("total")).otherwise(0)
-    return rows.select("file_id", (F.col("chunks") * chunk - short).alias("bytes"), "ranges", (F.col("chunks") == F.col("n")).alias("complete"))
-
-
 def spans(events: DataFrame, key: str, gap: str) -> DataFrame:
     """A batch's spans of each key without a pause of ``gap``, with their bytes and last state."""
     last = F.struct("ts", "event_id", "state")
@@ -138,66 +105,6 @@ def merged_spans(sums: DataFrame, key: str, delay_us: int) -> DataFrame:
     return whole.where("end_us <= closed").select(key, "start_us", "end_us", "events", "bytes", F.col("last.state").alias("state"), "late_events")
 
 
-def leases(sums: DataFrame, delay_us: int) -> DataFrame:
-    """Spans of each lease: any event extends it; after its deadline a new span begins, so later work can't revive the old one.
-
-    A span that doesn't end as completed has expired.
-    """
-    rows = merged_spans(sums, "lease_id", delay_us)
-    return rows.select("lease_id", "start_us", F.col("end_us").alias("deadline_us"), "events", "state", (F.col("state") != "completed").alias("expired"), "late_events")
-
-
-def manifest_changes(statuses: DataFrame) -> DataFrame:
-    """A batch's changes of each manifest by status."""
-    return statuses.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("files"), *(F.count_if(F.col("status") == s).alias(s) for s in ("completed", "failed", "changed")))
-
-
-def publications(sums: DataFrame, threshold: int, most_batches: int) -> DataFrame:
-    """Snapshots of each manifest as they are published: after ``threshold`` changes or ``most_batches`` batches, and at the end.
-
-    ``generation`` counts the changes so far, ``persisted_generation`` those of the last
-    snapshot before.  A manifest has a row for each batch that changed it.
-    """
-    by = Window.partitionBy("manifest_id").orderBy("batch")
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    names = ("files", "completed", "failed", "changed")
-    rows = sums.groupBy("manifest_id", "batch").agg(*(F.sum(c).alias(c) for c in names))
-    rows = rows.select("manifest_id", "batch", *(F.sum(c).over(so_far).alias(c) for c in names))
-    # Snapshots follow one another: a fold over a manifest's batches, of which each has one small entry.
-    entry = F.struct("batch", *names)
-    state = "struct<kept: bigint, since: bigint, out: array<struct<batch: bigint, files: bigint, completed: bigint, failed: bigint, changed: bigint, persisted: bigint>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        due = (x["files"] - acc["kept"] >= threshold) | (x["batch"] - acc["since"] >= most_batches) | (x["batch"] == F.col("last"))
-        row = F.struct(*(x[c].cast("bigint").alias(c) for c in ("batch", *names)), acc["kept"].alias("persisted"))
-        put = F.struct(x["files"].cast("bigint").alias("kept"), x["batch"].cast("bigint").alias("since"), F.concat(acc["out"], F.array(row)).alias("out"))
-        return F.when(due, put).otherwise(acc).cast(state)
-
-    lists = rows.groupBy("manifest_id").agg(F.array_sort(F.collect_list(entry)).alias("list"), F.max("batch").alias("last"))
-    first = F.struct(F.lit(0).cast("bigint").alias("kept"), F.element_at("list", 1)["batch"].cast("bigint").alias("since"), F.array().alias("out")).cast(state)
-    out = lists.select("manifest_id", F.inline(F.aggregate("list", first, step, lambda a: a["out"])))
-    return out.select("manifest_id", "batch", *names, F.col("files").alias("generation"), F.col("persisted").alias("persisted_generation"))
-
-
-def counter_alerts(counters: DataFrame) -> DataFrame:
-    """Falls of each counter between snapshots (append mode); the last value is the state.
-
-    Snapshots of a key must come in order from batch to batch; within one they are sorted.
-    """
-    ship(counters.sparkSession)
-    return counters.groupBy("host", "name").applyInPandasWithState(_falls, "host long, name string, event_id long, delta long", "value long", "append", GroupStateTimeout.NoTimeout)
-
-
-def _falls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-    before = rows["value"].shift(1)
-    if state.exists:
-        before.iloc[0] = state.get[0]
-    rows = rows.assign(host=key[0], name=key[1], delta=rows["value"] - before)
-    state.update((int(rows["value"].iloc[-1]),))
-    yield rows.loc[rows["delta"] < 0, ["host", "name", "event_id", "delta"]].astype({"delta": "int64"})
-
-
 def ramp_alerts(observations: DataFrame) -> DataFrame:
     """What each recorded link state calls for: ``down``, ``up`` or ``hold``, with the first reason that holds.
 

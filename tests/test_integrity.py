@@ -123,23 +123,6 @@ def test_manifest_rules(spark, tmp_path):
     assert {r.reason for r in formats.scan_transfer_manifest(spark, str(tmp_path), 4).where("transfer_id = 'b'").collect()} == {"bad_version"}
 
 
-def test_progress_across_words(spark):
-    words = spark.createDataFrame([(1, c) for c in (0, 1, 62, 63, 64, 65, 130, 127, 128)], "file_id long, chunk_id long")
-    got = flows.progress(flows.progress_words(words), spark.createDataFrame([(1, 131 * 8 - 3), (2, 0)], "file_id long, total long"), 8).collect()
-    assert {r.file_id: (r.bytes, r.ranges, r.complete) for r in got} == {1: (69, 4, False), 2: (0, 0, True)}
-
-
-def test_progress_with_a_short_last_chunk(spark):
-    """A file of 2500 bytes in chunks of 1024: the last has 452; a chunk beyond it doesn't count."""
-    totals = spark.createDataFrame([(1, 2500), (2, 2500), (3, 2500), (4, 64 * 8), (5, 65 * 8 - 7)], "file_id long, total long")
-    acks = [(1, 2), (2, 0), (2, 2), (3, 0), (3, 1), (3, 2), (3, 3), (3, 70)]
-    words = flows.progress_words(spark.createDataFrame(acks, "file_id long, chunk_id long"))
-    got = {r.file_id: (r.bytes, r.ranges, r.complete) for r in flows.progress(words, totals.where("file_id < 4"), 1024).collect()}
-    assert got == {1: (452, 1, False), 2: (1476, 2, False), 3: (2500, 1, True)}
-    full = flows.progress_words(spark.createDataFrame([(4, c) for c in range(64)] + [(5, c) for c in range(65)], "file_id long, chunk_id long"))
-    assert {r.file_id: (r.bytes, r.complete) for r in flows.progress(full, totals.where("file_id > 3"), 8).collect()} == {4: (512, True), 5: (513, True)}
-
-
 def test_ramp_alerts(spark):
     marks = [(0.1, 0, 0), (0.1, 0, 0), (0.1, 0, 0), (1.0, 0, 0), (0.1, 0, 0), (2.0, 0, 0), (0.1, 0.9, 0), (0.1, 0, 1), (0.1, 0, 1), (0.2, 0, 1)]
     rows = spark.createDataFrame([(1, i, i, float(m[0]), float(m[1]), m[2]) for i, m in enumerate(marks)], "link_id long, ts long, event_id long, fill double, pressure double, retries long")
@@ -148,15 +131,7 @@ def test_ramp_alerts(spark):
     assert got == [hold, ("up", "low_watermark"), hold, hold, hold, ("down", "high_watermark"), ("down", "send_pressure"), ("down", "retry_pressure"), hold, ("up", "low_watermark")]
 
 
-def test_publications(spark):
-    sums = [("m", b, n, n, 0, 0) for b, n in ((0, 3), (1, 2), (2, 1), (3, 1), (4, 1), (5, 9), (6, 1))]
-    rows = spark.createDataFrame(sums, "manifest_id string, batch long, files long, completed long, failed long, changed long")
-    found = [(r.batch, r.generation, r.persisted_generation) for r in flows.publications(rows, 5, 3).orderBy("batch").collect()]
-    # Five changes by batch 1; three batches on by 4; nine changes in 5; the end.
-    assert found == [(1, 5, 0), (4, 8, 5), (5, 17, 8), (6, 18, 17)]
-
-
-@pytest.mark.parametrize("name", ["stream_throughput", "stream_lease", "stream_transfer_sessions", "stream_event_counts", "stream_ramp"])
+@pytest.mark.parametrize("name", ["stream_throughput", "stream_transfer_sessions", "stream_event_counts", "stream_ramp"])
 def test_streams_do_not_depend_on_files(spark, tmp_path, name):
     """Forty files in no order of time: other batches, other watermarks, the same rows."""
     events = spark.read.parquet(f"{DATA}/events.parquet")
