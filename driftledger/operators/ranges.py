@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .ranks import placed
+
 
 def _pieces(n: Column) -> Column:
     """Rows 0 to ``n`` - 1, none if ``n`` is 0."""
@@ -70,17 +72,14 @@ def totals_before(rows: DataFrame, key: str, value: str, before: str) -> DataFra
 
 
 def interleave_weighted(items: DataFrame) -> DataFrame:
-    """Fair order of a backlog: item k of a task of weight w goes in round floor((k - 1) / w)."""
-    k = F.row_number().over(Window.partitionBy("task_id").orderBy("item"))
-    weight = F.greatest(F.col("weight"), F.lit(1))
-    rows = items.select("task_id", "item", F.floor((k - 1) / weight).cast("long").alias("round"))
-    # A count of the rounds before it and of the tasks before it in its round: no window over all rows.
-    per = rows.groupBy("round", "task_id").agg(F.count(F.lit(1)).alias("n"))
-    before = totals_before(per.groupBy("round").agg(F.sum("n").alias("n")), "round", "n", "earlier").select("round", "earlier")
-    within = per.select("round", "task_id", F.sum("n").over(Window.partitionBy("round").orderBy("task_id").rowsBetween(Window.unboundedPreceding, -1)).alias("sooner"))
-    place = F.row_number().over(Window.partitionBy("round", "task_id").orderBy("item"))
-    ordered = rows.withColumn("place", place).join(within, ["round", "task_id"]).join(before, "round")
-    return ordered.select("task_id", "item", (F.col("earlier") + F.coalesce("sooner", F.lit(0)) + F.col("place")).alias("dispatch_no"))
+    """Fair order of a backlog: item k of a task of weight w goes in round floor((k - 1) / w).
+
+    Items are numbered and rounds are put in order by ranges, so neither a task nor a
+    round of very many items is in one task of Spark's.
+    """
+    numbered = placed(items.select("task_id", "item", F.greatest(F.col("weight"), F.lit(1)).alias("weight")), "task_id", ["item"]).withColumnRenamed("before", "k").drop("whole")
+    rows = numbered.select("task_id", "item", F.floor(F.col("k") / F.col("weight")).cast("long").alias("round"))
+    return placed(rows, None, ["round", "task_id", "item"]).select("task_id", "item", (F.col("before") + 1).cast("long").alias("dispatch_no"))
 
 
 def validate(ranges: DataFrame, total: int) -> DataFrame:

@@ -36,7 +36,17 @@ HYGIENE = [
 ]
 #: Names of files that belong to a transfer, not to its tree.
 SIDECARS = (".part.", ".driftledger.")
-PLACEHOLDER = r"(?i)<[^>\n]+>|\*{3,}|REDACTED|CHANGEME|placeholder"
+#: Words, in any case, and signs of lines that stand for a secret and aren't one; text in angle brackets does, too.
+STANDS_FOR = ("redacted", "changeme", "placeholder", "***")
+
+
+def stands_for_secret(line: Column) -> Column:
+    """Whether a line holds one of ``STANDS_FOR`` or something named in angle brackets."""
+    held = F.lit(False)
+    for word in STANDS_FOR:
+        held = held | F.lower(line).contains(word)
+    return held | line.rlike("<[^<>]+>")
+
 
 
 def error_code(message: Column) -> Column:
@@ -121,7 +131,7 @@ def without_owned_sidecars(files: DataFrame, manifests: DataFrame, suffix: str)
 
 def hygiene_scan(docs: DataFrame, rules: list[tuple[str, str]] = HYGIENE, denied: tuple[str, ...] = ()) -> DataFrame:
     """Findings by document and line, ``denied_text`` for a line that holds a denied one; lines with a placeholder are skipped."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(~F.col("body").rlike(PLACEHOLDER))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(~stands_for_secret(F.col("body")))
     found = [F.when(F.col("body").rlike(p), F.lit(n)) for n, p in rules]
     if denied:
         holds = F.lit(False)

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from driftledger.functions.workers import stored
+
+from .ranks import quantiles, with_quantiles
+
+#: The median, and how it is named.
+MIDDLE = {"median": ("linear", 0.5)}
+
 
 def median(column: str | Column) -> Column:
     return F.percentile(column, F.lit(0.5))
@@ -18,7 +25,8 @@ def summary(runs: DataFrame, keys: list[str], spread_limit: float = 20.0) -> Dat
     """
     n, is_ = F.count(F.lit(1)), lambda p: F.count_if(F.col("result").startswith(p))
     first = F.min_by("result", F.struct("repeat_index", "line"))
-    rows = runs.groupBy(*keys).agg(n.alias("repeats"), is_("pass").alias("passes"), is_("blocked").alias("blocked"), is_("fail").alias("fails"), F.round(median("goodput"), 6).alias("median_goodput"), F.min("goodput").alias("min_goodput"), F.max("goodput").alias("max_goodput"), first.alias("first"))
+    rows = runs.groupBy(*keys).agg(n.alias("repeats"), is_("pass").alias("passes"), is_("blocked").alias("blocked"), is_("fail").alias("fails"), F.min("goodput").alias("min_goodput"), F.max("goodput").alias("max_goodput"), first.alias("first"))
+    rows = with_quantiles(rows, runs, keys, {"goodput": F.col("goodput")}, MIDDLE).withColumn("median_goodput", F.round("goodput_median", 6)).drop("goodput_median")
     spread = F.when(F.col("median_goodput") > 0, F.round((F.col("max_goodput") - F.col("min_goodput")) / F.col("median_goodput") * 100, 3)).otherwise(0.0)
     rows = rows.withColumn("spread_pct", spread).withColumn("unstable", F.coalesce(F.col("spread_pct") > spread_limit, F.lit(False)))
     verdict = F.when(F.col("fails") > 0, "fail_runtime").when((F.col("blocked") > 0) & (F.col("blocked") == F.col("repeats")), F.col("first")).when(F.col("unstable"), "inconclusive_unstable").when(F.col("passes") == F.col("repeats"), "pass").when(F.col("blocked") > 0, "partial_blocked").otherwise(F.col("first"))
@@ -30,12 +38,24 @@ def passing_summary(runs: DataFrame, keys: list[str], stages: list[str]) -> Data
     good = lambda c: F.when(F.col("result") == "pass", F.col(c))
     ok = good("goodput")
     n = F.count_if(F.col("result") == "pass")
-    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), n.alias("passes"), (F.count(F.lit(1)) - n).alias("fails"), F.min(ok).alias("goodput_min"), F.round(median(ok), 6).alias("goodput_median"), F.max(ok).alias("goodput_max"), *(F.round(median(good(c)), 6).alias(f"{c}_median") for c in ("elapsed", *stages)))
+    rows = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), n.alias("passes"), (F.count(F.lit(1)) - n).alias("fails"), F.min(ok).alias("goodput_min"), F.max(ok).alias("goodput_max"))
+    return _rounded(with_quantiles(rows, runs, keys, {c: good(c) for c in ("goodput", "elapsed", *stages)}, MIDDLE))
 
 
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, sum, median, linear and nearest-rank 95th percentile, maximum."""
-    return rows.groupBy(*keys).agg(F.count(value).alias("count"), F.round(F.sum(value), 4).alias("sum"), F.round(median(value), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_rank"), F.max(value).alias("max"))
+    sums = rows.groupBy(*keys).agg(F.count(value).alias("count"), F.round(F.sum(value), 4).alias("sum"), F.max(value).alias("max"))
+    found = with_quantiles(sums, rows, keys, {"v": F.col(value)}, {"p50": ("linear", 0.5), "p95": ("linear", 0.95), "p95_rank": ("disc", 0.95)})
+    return found.select(*keys, "count", "sum", F.round("v_p50", 6).alias("p50"), F.round("v_p95", 6).alias("p95"), F.col("v_p95_rank").alias("p95_rank"), "max")
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys`` and the ``median`` of each group, to six places."""
+    return quantiles(rows, keys, {"v": F.col(value)}, MIDDLE).select(*keys, F.round("v_median", 6).alias("median"))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.round(c, 6).alias(c) if c.endswith("_median") else c for c in rows.columns))
 
 
 def stage_share(runs: DataFrame, keys: list[str], stages: list[str]) -> DataFrame:
@@ -164,50 +184,38 @@ LEASE_STEPS = [("claimed", "in_flight"), ("in_flight", "commit_pending"), ("comm
 
 
 def lease_transitions(events: DataFrame) -> DataFrame:
-    """Each step of a lease and whether it is legal; the first state has none before it."""
-    before = F.lag("state").over(Window.partitionBy("lease_id").orderBy("ts", "event_id"))
-    legal = F.struct(F.col("from"), F.col("to")).isin(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in LEASE_STEPS))
-    rows = events.select("lease_id", "event_id", before.alias("from"), F.col("state").alias("to")).where(F.col("from").isNotNull())
-    return rows.withColumn("legal", legal)
-
-
-#: Parts of a range of values that are counted to find its quantiles.
-PARTS = 4096
-
+    """Each step of a lease and whether it is legal; the first state has none before it.
 
-def quantiles(rows: DataFrame, value: str, fractions: list[float]) -> list[float | None]:
-    """Exact linear quantiles of a column over all rows, without bringing them together.
-
-    Values are counted in ``PARTS`` parts of their range; only the parts that hold a wanted
-    rank are ordered, each in a task of its own, by distinct value.
+    Where ``events`` have ``io``, the bytes of IO that a row starts (above 0) or finishes (below 0), nothing may be in
+    flight when a lease waits for its result, completes or is claimed anew: IO is summed from each claim on,
+    and a balance other than 0, or one that was negative, is illegal.
     """
-    low, high, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()
-    if not n:
-        return [None] * len(fractions)
-    width = max((high - low) / PARTS, 1e-300)
-    part = F.least(F.floor((F.col(value) - low) / width), F.lit(PARTS - 1)).cast("int")
-    counts = sorted(map(tuple, rows.where(F.col(value).isNotNull()).groupBy(part.alias("part")).count().collect()))
-    before, total = {}, 0
-    for k, c in counts:
-        before[k], total = total, total + c
-    places = [f * (n - 1) for f in fractions]
-    ranks = sorted({int(r) for p in places for r in (p // 1, -(-p // 1))})
-    of = {r: max(k for k in before if before[k] <= r) for r in ranks}
-    held = rows.where(part.isin(*set(of.values()))).groupBy(part.alias("part"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.array(*(F.struct(F.lit(k).alias("part"), F.lit(r - before[k]).cast("long").alias("at"), F.lit(r).alias("rank")) for r, k in of.items()))
-    ends = held.withColumn("stop", F.sum("c").over(inside)).select("v", "c", "stop", "part", F.explode(wanted).alias("w"))
-    hits = ends.where((F.col("w.part") == F.col("part")) & (F.col("w.at") < F.col("stop")) & (F.col("w.at") >= F.col("stop") - F.col("c")))
-    at = {r["rank"]: r["v"] for r in hits.select("w.rank", "v").collect()}
-    return [at[int(p // 1)] + (p % 1) * (at[int(-(-p // 1))] - at[int(p // 1)]) for p in places]
+    before = F.lag("state").over(Window.partitionBy("lease_id").orderBy("ts", "event_id"))
+    legal = F.struct(F.col("from"), F.col("to")).isin(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in LEASE_STEPS))
+    if "io" not in events.columns:
+        return events.select("lease_id", "event_id", before.alias("from"), F.col("state").alias("to")).where(F.col("from").isNotNull()).withColumn("legal", legal)
+    by = Window.partitionBy("lease_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    # Steps are the rows with a state; the others are IO within the state before.
+    rows = events.withColumn("steps", F.count("state").over(by)).withColumn("attempt", F.count_if(F.col("state") == "claimed").over(by))
+    flight = Window.partitionBy("lease_id", "attempt").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("balance", F.sum(F.coalesce("io", F.lit(0))).over(flight))
+    rows = rows.withColumn("least", F.min("balance").over(flight))
+    told = rows.where("state IS NOT NULL").withColumn("from", before)
+    # A claim begins another sum, so what the attempt before left is the balance of the row before.
+    left = rows.groupBy("lease_id", "attempt").agg(F.max_by("balance", F.struct("ts", "event_id")).alias("left")).withColumn("attempt", F.col("attempt") + 1)
+    told = told.join(left, ["lease_id", "attempt"], "left").where(F.col("from").isNotNull())
+    undrained = F.when(F.col("state") == "claimed", F.coalesce("left", F.lit(0)) != 0).when(F.col("state").isin("commit_pending", "completed"), (F.col("balance") != 0) | (F.col("least") < 0)).otherwise(False)
+    return told.select("lease_id", "event_id", "from", F.col("state").alias("to"), "balance", undrained.alias("undrained")).withColumn("legal", legal & ~F.col("undrained"))
 
 
 def queue_wait(events: DataFrame) -> DataFrame:
     """Microseconds from each lease's first claim to its first flight after it, described over all leases."""
     start = events.where("state = 'claimed'").groupBy("lease_id").agg(F.min("ts").alias("start"))
     waits = events.where("state = 'in_flight'").join(start, "lease_id").where("ts >= start").groupBy("lease_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("us"))
-    p50, p95 = quantiles(waits, "us", [0.5, 0.95])
-    return waits.agg(F.count(F.lit(1)).alias("leases"), F.round(F.lit(p50).cast("double"), 3).alias("p50_us"), F.round(F.lit(p95).cast("double"), 3).alias("p95_us"), F.max("us").alias("max_us"))
+    waits = stored(waits, "waits")
+    found = quantiles(waits, [], {"us": F.col("us")}, {"p50": ("linear", 0.5), "p95": ("linear", 0.95)})
+    told = waits.agg(F.count(F.lit(1)).alias("leases"), F.max("us").alias("max_us")).join(F.broadcast(found), how="left")  # a row each
+    return told.select("leases", F.round("us_p50", 3).alias("p50_us"), F.round("us_p95", 3).alias("p95_us"), "max_us")
 
 
 def event_summary(events: DataFrame, code: Column) -> DataFrame:
@@ -217,7 +225,7 @@ def event_summary(events: DataFrame, code: Column) -> DataFrame:
 
 def profile(files: DataFrame) -> DataFrame:
     """Counts and true size quantiles of each dataset."""
-    return files.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.min("size").alias("size_min"), F.max("size").alias("size_max"), F.round(median("size"), 6).alias("size_p50"), F.round(F.percentile("size", F.lit(0.9)), 6).alias("size_p90"), F.round(F.avg("size"), 6).alias("size_mean"))
+    return files.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.min("size").alias("size_min"), F.max("size").alias("size_max"), F.round(F.avg("size"), 6).alias("size_mean")).transform(with_quantiles, files, ["dataset"], {"size": F.col("size")}, {"p50": ("linear", 0.5), "p90": ("linear", 0.9)}).withColumns({c: F.round(c, 6) for c in ("size_p50", "size_p90")})
 
 
 #: Of so few files one may hold all bytes; else the largest is taken as so many times the mean.  Fixed value.

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .ranges import coalesce
-from .runs import median
+from .ranks import with_quantiles
+from .runs import MIDDLE, _rounded, median
 
 
 def result_class(exit_code: Column, timed_out: Column, hash_match: Column) -> Column:
@@ -193,13 +194,12 @@ def spread_summary(runs: DataFrame, keys: list[str], metrics: list[str], stages:
     elapsed time.  A stage mismatch: throughput moves and no stage does, or a stage
     moves and neither throughput nor time does.
     """
-    out = []
-    for m in metrics:
-        middle = median(m)
-        spread = F.when(middle != 0, (F.max(m) - F.min(m)) / F.abs(middle) * 100).when(F.max(m) == F.min(m), 0.0)
-        out += [F.min(m).alias(f"{m}_min"), F.round(middle, 6).alias(f"{m}_median"), F.max(m).alias(f"{m}_max"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {m})").alias(f"{m}_p95"), F.round(spread, 3).alias(f"{m}_spread")]
+    out = [c for m in metrics for c in (F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"))]
     ok = F.count_if(F.col("result") == "pass")
     rows = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"), ok.alias("passes"), (F.count(F.lit(1)) - ok).alias("fails"), *out)
+    rows = with_quantiles(rows, runs, keys, {m: F.col(m) for m in metrics}, MIDDLE | {"p95": ("disc", 0.95)})
+    width = lambda m: F.col(f"{m}_max") - F.col(f"{m}_min")
+    rows = _rounded(rows.withColumns({f"{m}_spread": F.round(F.when(F.col(f"{m}_median") != 0, width(m) / F.abs(f"{m}_median") * 100).when(width(m) == 0, 0.0), 3) for m in metrics}))
     first = metrics[0]
     rows = rows.withColumn("unstable", F.coalesce(F.col(f"{first}_spread") > UNSTABLE, F.lit(False))).withColumn("wide", F.coalesce(F.col(f"{first}_max") / F.nullif(f"{first}_min", F.lit(0.0)) > OUTLIER, F.lit(False)))
     if stages:
@@ -212,8 +212,9 @@ def spread_summary(runs: DataFrame, keys: list[str], metrics: list[str], stages:
 def tree_summary(runs: DataFrame, keys: list[str], sums: list[str], metrics: list[str], common: str) -> DataFrame:
     """Outcomes, statistics of each metric, sums of counters and the most common ``common`` of each group."""
     is_ = lambda r: F.count_if(F.col("result") == r)
-    stats = [c for m in metrics for c in (F.min(m).alias(f"{m}_min"), F.round(median(m), 6).alias(f"{m}_median"), F.max(m).alias(f"{m}_max"))]
+    stats = [c for m in metrics for c in (F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"))]
     rows = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), is_("pass").alias("passes"), is_("fail_runtime").alias("fails"), F.count_if(~F.col("hash_match")).alias("hash_mismatches"), *stats, *(F.sum(c).alias(c) for c in sums))
+    rows = _rounded(with_quantiles(rows, runs, keys, {m: F.col(m) for m in metrics}, MIDDLE))
     return rows.join(most_common(runs, keys, common), keys)
 
 

@@ -21,7 +21,7 @@ ALIASES = {("sender", "view"): "source_read", ("sender", "click"): "network_send
 
 
 def _medians(t: Tables):
-    return t.f4.groupBy("dataset", F.col("system").alias("mode")).agg(F.round(runs.median("goodput"), 6).alias("median"))
+    return runs.medians(t.f4.withColumnRenamed("system", "mode"), ["dataset", "mode"], "goodput")
 
 
 def _paired(t: Tables):
@@ -78,8 +78,9 @@ def _sidecars(t: Tables):
 
 def _best(t: Tables):
     """Configurations are a few hundred mixes of parameters, each with its own runs."""
-    mixed = t.f4.withColumn("config", F.col("repeat_index") % 997).groupBy("direction", "config")
-    return verdicts.best_passing(mixed.agg(F.round(runs.median("goodput"), 6).alias("median"), F.count_if(F.col("result").startswith("fail")).alias("fails")), "direction", "config", "median")
+    mixed = t.f4.withColumn("config", F.col("repeat_index") % 997)
+    fails = mixed.groupBy("direction", "config").agg(F.count_if(F.col("result").startswith("fail")).alias("fails"))
+    return verdicts.best_passing(fails.join(runs.medians(mixed, ["direction", "config"], "goodput"), ["direction", "config"]), "direction", "config", "median")
 
 
 QUERIES = {
@@ -122,7 +123,7 @@ QUERIES = {
     "top_unstable": lambda t: runs.summary(t.f4, KEYS).where("unstable").orderBy(F.desc("spread_pct"), *KEYS).limit(24).select(*KEYS, "spread_pct"),
     "counter_delta": lambda t: runs.counter_delta(t.hourly.where("NOT (host = 3 AND name = 'click' AND value > 20000)"), "^signup$"),
     "append_watermark": lambda t: runs.append_watermark(_acks(t)),
-    "lease_transitions": lambda t: runs.lease_transitions(t.lease),
+    "lease_transitions": lambda t: runs.lease_transitions(t.lease_io),
     "queue_wait": lambda t: runs.queue_wait(t.lease),
     "gate_ab": _paired,
     "gate_observer": lambda t: verdicts.observer_gate(_paired(t), t.f4p.where("arm = 'O'").select("dataset", (F.col("rep") % 4 / F.when(F.col("dataset") == "A", 40).otherwise(20)).alias("fraction")), "dataset"),
@@ -144,7 +145,7 @@ _PAIRED = """w AS (SELECT dataset, rep, first(seconds) FILTER (arm = 'F') AS a,
 _DRIFTED = "j AS (SELECT coalesce(a.relative_path, b.relative_path) AS path, CASE WHEN b.size IS NULL THEN 'missing' WHEN a.size IS NULL THEN 'extra' WHEN a.size <> b.size OR a.mtime_s <> b.mtime_s THEN 'changed' ELSE 'unchanged' END AS verdict, a.size AS manifest_size, b.size AS current_size, CASE WHEN b.size IS NULL THEN 'missing: ' || a.relative_path WHEN a.size IS NULL THEN 'extra: ' || b.relative_path WHEN a.size <> b.size OR a.mtime_s <> b.mtime_s THEN 'changed: ' || a.relative_path END AS message FROM f1 a FULL JOIN drift b ON a.relative_path = b.relative_path)"
 _PROFILE = "SELECT dataset, count(*) AS files, sum(size)::BIGINT AS bytes, min(size) AS size_min, max(size) AS size_max, round(quantile_cont(size, 0.5), 6) AS size_p50, round(quantile_cont(size, 0.9), 6) AS size_p90, round(avg(size), 6) AS size_mean FROM f1 GROUP BY 1"
 _STEPS = ", ".join(f"('{a}', '{b}')" for a, b in runs.LEASE_STEPS)
-_LINE_OK = "NOT regexp_matches(body, '(?i)<[^>\\n]+>|\\*{3,}|REDACTED|CHANGEME|placeholder')"
+_LINE_OK = "NOT (" + " OR ".join(f"contains(lower(body), '{w}')" for w in records.STANDS_FOR) + " OR regexp_matches(body, '<[^<>]+>'))"
 
 SQL = {
     "scan_listing": "SELECT split_part(relative_path, '/', 1) AS name, bool_or(contains(relative_path, '/')) AS is_dir, max(CASE WHEN contains(relative_path, '/') THEN 0 ELSE size END)::BIGINT AS size, max(mtime_s) AS mtime_s, '' AS folder FROM f1 GROUP BY 1 UNION ALL SELECT split_part(relative_path, '/', 2), true, 0, max(mtime_s), 'web' FROM f1 WHERE dataset = 'web' GROUP BY 1",
@@ -186,7 +187,12 @@ SQL = {
     "top_unstable": f"WITH {_SUMMARY} SELECT system, dataset, direction, spread_pct FROM s WHERE unstable ORDER BY spread_pct DESC, system, dataset, direction LIMIT 24",
     "counter_delta": "WITH c AS (SELECT * FROM hourly WHERE NOT (host = 3 AND name = 'click' AND value > 20000) AND name <> 'signup'), d AS (SELECT *, (value - lag(value) OVER (PARTITION BY host, name ORDER BY ts))::BIGINT AS delta FROM c), n AS (SELECT host, ts, lead(ts) OVER (PARTITION BY host ORDER BY ts) AS following FROM (SELECT DISTINCT host, ts FROM c)) SELECT host, name, epoch_us(ts::TIMESTAMP) AS ts, delta, delta < 0 AS regressed FROM d WHERE delta IS NOT NULL UNION ALL SELECT c.host, c.name, epoch_us(following::TIMESTAMP), NULL, true FROM c JOIN n ON n.host = c.host AND n.ts = c.ts WHERE following IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c x WHERE x.host = c.host AND x.name = c.name AND x.ts = following)",
     "append_watermark": "WITH a AS (SELECT l_orderkey AS file_id, l_linenumber::BIGINT - 1 AS chunk_id, (l_linenumber::BIGINT - 1) * 1024 AS begin, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice, l_linenumber) AS seq FROM lineitem), b AS (SELECT *, max(begin) OVER w AS max_offset, max(chunk_id) OVER w AS max_chunk_id FROM a WINDOW w AS (PARTITION BY file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT file_id, seq, max_offset, max_chunk_id, coalesce(begin > max_offset AND chunk_id > max_chunk_id, true) AS fast_path, greatest(coalesce(max_chunk_id, -1), chunk_id) + 1 AS next_id FROM b",
-    "lease_transitions": f'SELECT *, ("from", "to") IN ({_STEPS}) AS legal FROM (SELECT lease_id, event_id, lag(state) OVER (PARTITION BY lease_id ORDER BY ts, event_id) AS "from", state AS "to" FROM lease) WHERE "from" IS NOT NULL',
+    "lease_transitions": f"""WITH a AS (SELECT *, count(*) FILTER (state = 'claimed') OVER w AS attempt FROM lease_io WINDOW w AS (PARTITION BY lease_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+        b AS (SELECT *, sum(io) OVER (PARTITION BY lease_id, attempt ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS balance FROM a),
+        c AS (SELECT *, min(balance) OVER (PARTITION BY lease_id, attempt ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS least, lag(balance) OVER (PARTITION BY lease_id ORDER BY ts, event_id) AS was FROM b),
+        d AS (SELECT *, lag(state) OVER (PARTITION BY lease_id ORDER BY ts, event_id) AS "from" FROM c WHERE state IS NOT NULL),
+        e AS (SELECT lease_id, event_id, "from", state AS "to", balance, CASE state WHEN 'claimed' THEN coalesce(was, 0) <> 0 WHEN 'commit_pending' THEN balance <> 0 OR least < 0 WHEN 'completed' THEN balance <> 0 OR least < 0 ELSE false END AS undrained FROM d WHERE "from" IS NOT NULL)
+        SELECT *, ("from", "to") IN ({_STEPS}) AND NOT undrained AS legal FROM e""",
     "queue_wait": "WITH c AS (SELECT lease_id, min(ts) AS start FROM lease WHERE state = 'claimed' GROUP BY 1), w AS (SELECT l.lease_id, min(epoch_us(l.ts::TIMESTAMP) - epoch_us(c.start::TIMESTAMP)) AS us FROM lease l JOIN c ON l.lease_id = c.lease_id WHERE l.state = 'in_flight' AND l.ts >= c.start GROUP BY 1) SELECT count(*) AS leases, round(quantile_cont(us, 0.5), 3) AS p50_us, round(quantile_cont(us, 0.95), 3) AS p95_us, max(us) AS max_us FROM w",
     "gate_ab": f"WITH {_PAIRED} SELECT * FROM r",
     "gate_observer": f"WITH {_PAIRED}, e AS (SELECT dataset, round(max(rep % 4 / CASE WHEN dataset = 'A' THEN 40.0 ELSE 20.0 END), 6) AS envelope_max, round(quantile_cont(rep % 4 / CASE WHEN dataset = 'A' THEN 40.0::DOUBLE ELSE 20.0::DOUBLE END, 0.5), 6) AS envelope_median FROM f4p WHERE arm = 'O' GROUP BY 1) SELECT dataset, envelope_max, envelope_median, CASE WHEN a_cv > 0.05 OR b_cv > 0.05 OR abs(gain_pct) > 5 THEN 'inconclusive' WHEN envelope_max < 0.1 THEN 'below_envelope' ELSE 'accepted' END AS verdict FROM r LEFT JOIN e USING (dataset)",

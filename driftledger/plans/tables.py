@@ -40,8 +40,10 @@ _DRIFT = "SELECT relative_path, size + CASE WHEN file_id % 11 = 0 THEN 1 ELSE 0
 _HOURLY = "SELECT user_id % 5 AS host, event_type AS name, date_trunc('HOUR', ts) AS ts, {last}(CAST(floor(value * 100) AS BIGINT) + event_id, {at}) AS value FROM events GROUP BY 1, 2, 3"
 _COUNTER = "SELECT user_id % 5 AS host, event_type AS name, ts, event_id, CASE WHEN event_id % 50 = 0 THEN CAST(floor(value) AS BIGINT) ELSE sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id % 5, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS value FROM events"
 _LEASE = "SELECT user_id AS lease_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'claimed' WHEN 'view' THEN 'in_flight' WHEN 'click' THEN 'commit_pending' WHEN 'purchase' THEN 'completed' ELSE 'reclaimable' END AS state FROM events"
-SPARK = _COMMON | _SPARK | {"drift": _DRIFT, "counter": _COUNTER, "lease": _LEASE, "hourly": _HOURLY.format(last="max_by", at="struct(ts, event_id)")}
-DUCK = _COMMON | _DUCK | {"drift": _DRIFT, "counter": _COUNTER, "lease": _LEASE, "hourly": _HOURLY.format(last="arg_max", at="(ts, event_id)")}
+#: Leases with the IO between their steps: what a flight starts, an event of the same lease finishes.
+_LEASE_IO = "SELECT user_id AS lease_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'claimed' WHEN 'view' THEN CASE WHEN event_id % 3 <> 0 THEN 'in_flight' END WHEN 'click' THEN 'commit_pending' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'completed' END ELSE 'reclaimable' END AS state, CAST(CASE WHEN event_type = 'view' AND event_id % 4 <> 0 THEN 10 WHEN event_type = 'purchase' AND event_id % 2 <> 0 THEN -10 ELSE 0 END AS BIGINT) AS io FROM events"
+SPARK = _COMMON | _SPARK | {"drift": _DRIFT, "counter": _COUNTER, "lease": _LEASE, "lease_io": _LEASE_IO, "hourly": _HOURLY.format(last="max_by", at="struct(ts, event_id)")}
+DUCK = _COMMON | _DUCK | {"drift": _DRIFT, "counter": _COUNTER, "lease": _LEASE, "lease_io": _LEASE_IO, "hourly": _HOURLY.format(last="arg_max", at="(ts, event_id)")}
 BASE = ("documents", "pages", "lineitem", "events", "supplier", "orders", "conversations")
 
 

@@ -86,7 +86,8 @@ def _backend(t: Tables):
 
 
 def _share(t: Tables):
-    ok = t.f4.where("result = 'pass'").groupBy("direction").agg(*(runs.median(c).alias(c) for c in ("wait_s", "write_s")), runs.median(F.col("wait_s") + F.col("write_s") + 0.05).alias("overall"))
+    ok = runs.quantiles(t.f4.where("result = 'pass'"), ["direction"], {"wait_s": F.col("wait_s"), "write_s": F.col("write_s"), "overall": F.col("wait_s") + F.col("write_s") + 0.05}, runs.MIDDLE)
+    ok = ok.select("direction", *(F.col(f"{c}_median").alias(c) for c in ("wait_s", "write_s", "overall")))
     share = F.round(F.greatest("wait_s", "write_s") / F.col("overall"), 6)
     return ok.select("direction", share.alias("share"), (share >= 0.4).alias("qualifies"))
 
@@ -97,7 +98,7 @@ def _tree(t: Tables):
 
 def _older(t: Tables):
     """Medians of an older run of the same datasets: the odd lines alone."""
-    return t.f4.where("line % 2 = 1").groupBy("dataset", F.col("system").alias("mode")).agg(F.round(runs.median("goodput"), 6).alias("median"))
+    return runs.medians(t.f4.where("line % 2 = 1").withColumnRenamed("system", "mode"), ["dataset", "mode"], "goodput")
 
 
 def _reused(t: Tables):

@@ -50,7 +50,8 @@ def in_time_order(rows: DataFrame, keys: list[str], columns: list[str], step: St
                 state.setTimeoutTimestamp(max(watermark, min(times) // 1000, 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(found, columns=names)
+        if found:
+            yield pd.DataFrame(dict(zip(names, map(list, zip(*found, strict=True)), strict=True)))
 
     timed = rows.select(*keys, F.col(time).cast("timestamp").alias(time), F.unix_micros(F.col(time).cast("timestamp")).alias("__us"), *columns).withWatermark(time, delay)
     return timed.groupBy(*keys).applyInPandasWithState(run, out, "held string, memory string", "append", GroupStateTimeout.EventTimeTimeout)
