@@ -2,6 +2,7 @@
 
 Each document's sentences are normalised and mapped to the identifiers of known
 licence sentences; the identifiers, in order, are matched against ordered rules.
+A tag with an SPDX expression (``A OR (B AND C WITH d)``) is a sentence for each of its licences.
 All of it happens in the document's own row, so nothing is shuffled.
 """
 
@@ -62,6 +63,26 @@ SENTENCES: dict[str, str] = {
     "ncsa-redist": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers",
     "cc0-ref:{v}": "licensed under cc0 {v}",
     "rights-reserved": "all rights reserved",
+    "ofl-text:{v}": "this font software is licensed under the sil open font license version {v}",
+    "x11-name": "except as contained in this notice the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium",
+    "hpnd-grant": "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation",
+    "w3c-grant": "permission to copy modify and distribute this software and its documentation with or without modification for any purpose and without fee or royalty is hereby granted provided that you include the following on all copies of the software and documentation or portions thereof including modifications",
+    "unicode-grant": "permission is hereby granted free of charge to any person obtaining a copy of data files and any associated documentation the data files or software and any associated documentation the software to deal in the data files or software without restriction including without limitation the rights to use copy modify merge publish distribute and or sell copies of the data files or software and to permit persons to whom the data files or software are furnished to do so provided that either",
+    "openssl-product": "this product includes software developed by the openssl project for use in the openssl toolkit http www openssl org",
+    "php-product": "this product includes php software freely available from http www php net software",
+    "mspl-governs": "this license governs use of the accompanying software",
+    "zpl-subject": "this software is subject to the provisions of the zope public license version 2 1 zpl",
+    "eupl-ref:{v}": "licensed under the eupl version {v}",
+    "psf-between": "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation",
+    "vim-copies": "there are no restrictions on distributing unmodified copies of vim except that they must include this license text",
+    "ruby-copies": "you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices and associated disclaimers",
+    "ijg-based": "this software is based in part on the work of the independent jpeg group",
+    "afl-ref": "licensed under the academic free license version 3 0",
+    "osl-ref": "licensed under the open software license version 3 0",
+    "ecl-ref": "licensed under the educational community license version 2 0 the license you may not use this file except in compliance with the license",
+    "sspl-free": "this program is free software you can redistribute it and or modify it under the terms of the server side public license version 1 as published by mongodb inc",
+    "gfdl-free:{v}": "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version {v} or any later version published by the free software foundation",
+    "mulan-ref": "this software is licensed under mulan psl v2",
     "unlicense-free": "this is free and unencumbered software released into the public domain",
     **{f"cc-{k}:{{v}}": f"licensed under cc {k.replace('-', ' ')} {{v}}" for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")},
 }
@@ -163,6 +184,9 @@ VERSIONS: dict[str, list[str]] = {
     "mpl": ["1.1", "2.0"],
     "epl": ["1.0", "2.0"],
     "cc0": ["1.0"],
+    "ofl": ["1.0", "1.1"],
+    "eupl": ["1.1", "1.2"],
+    "gfdl": ["1.1", "1.2", "1.3"],
     "cc": ["1.0", "2.0", "2.5", "3.0", "4.0"],
 }
 #: Ordered rules: licence, the identifiers that must follow one another, and one that
@@ -179,13 +203,13 @@ RULES: list[tuple[str, list[str], str]] = [
     ("Apache-{v}", ["apache-ref:{v}"], ""),
     ("Apache-{v}", ["apache-the:{v}"], "apache-may"),
     ("AGPL-{v}-or-later", ["agpl-free:{v}"], ""),
-    ("AGPL-{v}", ["agpl-work:{v}"], ""),
+    ("AGPL-{v}-only", ["agpl-work:{v}"], ""),
     ("LGPL-{v}-or-later", ["lgpl-free:{v}"], ""),
     ("LGPL-{v}-or-later", ["lgpl-program:{v}"], ""),
-    ("LGPL-{v}", ["lgpl-work:{v}"], ""),
+    ("LGPL-{v}-only", ["lgpl-work:{v}"], ""),
     ("GPL-{v}-or-later", ["gpl-free:{v}"], ""),
-    ("GPL-{v}", ["gpl-work:{v}"], ""),
-    ("GPL-{v}", ["gpl-licensed:{v}"], ""),
+    ("GPL-{v}-only", ["gpl-work:{v}"], ""),
+    ("GPL-{v}-only", ["gpl-licensed:{v}"], ""),
     ("MPL-{v}", ["mpl-form:{v}"], ""),
     ("MPL-{v}", ["mpl-subject:{v}"], ""),
     ("BSD-4-Clause", ["bsd-redist", "bsd-source", "bsd-binary", "bsd-advert"], ""),
@@ -209,12 +233,33 @@ RULES: list[tuple[str, list[str], str]] = [
     ("NCSA", ["ncsa-redist"], ""),
     ("CC0-{v}", ["cc0-ref:{v}"], ""),
     ("Unlicense", ["unlicense-free"], ""),
+    ("OFL-{v}", ["ofl-text:{v}"], ""),
+    ("X11", ["mit-grant", "mit-notice", "x11-name"], ""),
+    ("X11", ["x11-name"], ""),
+    ("HPND", ["hpnd-grant"], ""),
+    ("W3C", ["w3c-grant"], ""),
+    ("Unicode-3.0", ["unicode-grant"], ""),
+    ("OpenSSL", ["openssl-product"], ""),
+    ("PHP-3.01", ["php-product"], ""),
+    ("MS-PL", ["mspl-governs"], ""),
+    ("ZPL-2.1", ["zpl-subject"], ""),
+    ("EUPL-{v}", ["eupl-ref:{v}"], ""),
+    ("PSF-2.0", ["psf-between"], ""),
+    ("Vim", ["vim-copies"], ""),
+    ("Ruby", ["ruby-copies"], ""),
+    ("IJG", ["ijg-based"], ""),
+    ("AFL-3.0", ["afl-ref"], ""),
+    ("OSL-3.0", ["osl-ref"], ""),
+    ("ECL-2.0", ["ecl-ref"], ""),
+    ("SSPL-1.0", ["sspl-free"], ""),
+    ("GFDL-{v}-or-later", ["gfdl-free:{v}"], ""),
+    ("MulanPSL-2.0", ["mulan-ref"], ""),
     *((f"CC-{k.upper()}-{{v}}", [f"cc-{k}:{{v}}"], "") for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
     *((k, [f"named:{k}"], "") for k in NAMES),
     ("All-Rights-Reserved", ["rights-reserved"], ""),
 ]
 #: Every known sentence holds one of these: single words, as any white space or punctuation may stand between two.
-HINT = "licen|reserved|permission|warranty|warranties|redistribut|copyright|domain|compliance|liable|acknowledgement|gnu|eclipse|retain|distributed|released|what you want|endorse|fuck"
+HINT = "licen|reserved|permission|warranty|warranties|redistribut|copyright|domain|compliance|liable|acknowledgement|gnu|eclipse|retain|restrictions|verbatim|includes|advertising|jpeg|distributed|released|what you want|endorse|fuck"
 
 
 def versions_of(name: str) -> list[str]:
@@ -234,7 +279,17 @@ def sentence_table() -> dict[str, str]:
 
 def rule_table() -> list[tuple[str, list[str], str]]:
     """Licence, its identifiers and what mustn't follow, versions filled in."""
-    return [(n.format(v=v), [x.format(v=v) for x in rule], but) for n, rule, but in RULES for v in versions_of(n)]
+    return [(n.format(v=v if "." in v else f"{v}.0"), [x.format(v=v) for x in rule], but) for n, rule, but in RULES for v in versions_of(n)]
+
+
+def expression_table() -> dict[str, str]:
+    """What stands for a licence in an SPDX expression, normalised -> its identifier; old forms (``GPL-2.0``, ``GPL-2.0+``) as their new ones."""
+    old = {k.removesuffix("-only") + sign: k.removesuffix("-only") + end for k in NAMES if k.endswith("-only") for sign, end in (("", "-only"), ("+", "-or-later"))}
+    return {expression_key(k): f"named:{v}" for k, v in (old | {n: n for n in NAMES}).items() if v in NAMES}
+
+
+def expression_key(name: str) -> str:
+    return name.lower()
 
 
 def normalised(sentence: Column) -> Column:
@@ -247,10 +302,24 @@ def _lookup(table: dict, key: Column) -> Column:
 
 def _identifiers(parts: Column) -> Column:
     table = sentence_table()
-    known = F.filter(F.transform(parts, normalised), lambda s: s.rlike(HINT) & (F.length(s) <= max(map(len, table))))
+    # A set of all sentences is asked first, as a map is searched from its start.
+    known = F.filter(F.transform(parts, normalised), lambda s: s.isin(*table))
     return F.filter(F.transform(known, lambda s: _lookup(table, s)), lambda x: x.isNotNull())
 
 
+#: A tag up to its line's end, and what parts its expression into licences; an exception belongs to the licence before it.
+TAG = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+OPERATORS, EXCEPTION = r"[ \t]+(?:OR|AND|or|and)[ \t]+|[()]+", r"[ \t]+(?:WITH|with)[ \t]+[A-Za-z0-9.-]+"
+
+
+def _expressions(text: Column) -> Column:
+    """Identifiers of the licences in the SPDX expressions of a text; a tag with one licence alone is a sentence already."""
+    tags = F.filter(F.regexp_extract_all(text, F.lit(TAG), F.lit(1)), lambda t: t.rlike(rf"{OPERATORS}|{EXCEPTION}|\+"))
+    parts = F.flatten(F.transform(tags, lambda t: F.split(F.regexp_replace(t, EXCEPTION, ""), OPERATORS)))
+    names = F.transform(parts, lambda p: F.lower(F.regexp_extract(p, r"^[ \t]*([A-Za-z0-9.+-]+)", 1)))
+    return F.filter(F.transform(names, lambda n: _lookup(expression_table(), n)), lambda x: x.isNotNull())
+
+
 def _ranks(ids: Column) -> Column:
     """The places of the rules that a list of identifiers meets."""
     rules = list(enumerate(rule_table()))
@@ -266,7 +335,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``sentence_ids``: identifiers in order, joined by ``|`` (empty if none);
     ``licenses``: the licences of all rules met, in the rules' order, each once,
-    joined by ``,``; ``first_license``: the first of them, null if none.
+    joined by ``,``; ``first_license``: the first of them, null if none.  Identifiers of an
+    SPDX expression's licences come after those of the sentences.
     Sentences end at ``.``, ``!``, ``?`` or ``;`` before white space, and at line
     ends; where a licence is wrapped over lines, the same is tried with line ends
     as white space.  A null or empty text has none; rows repeat as given, null
@@ -279,8 +349,14 @@ def scan(docs: DataFrame) -> DataFrame:
     wrapped = F.regexp_replace(F.regexp_replace(text, "[ \\t\\r\\n\\f]+", " "), "([.!?;:]) ", "$1\n")
     unwrapped = _identifiers(F.split(wrapped, "\n"))
     none = F.array().cast("array<string>")
-    maybe = F.lower(text).rlike(HINT)
-    ids = docs.select("doc_id", F.when(maybe, lines).otherwise(none).alias("a"), F.when(maybe, unwrapped).otherwise(none).alias("b"))
+    # Plain searches of the text as it is; only what passes is cut and replaced in.
+    maybe = F.lit(False)
+    for word in HINT.split("|"):
+        maybe = maybe | F.col("__low").contains(word)
+    tagged = F.when(text.rlike("(?i)SPDX-License-Identifier:"), _expressions(text)).otherwise(none)
+    found = docs.select("doc_id", "text", F.lower(F.coalesce("text", F.lit(""))).alias("__low")).select("doc_id", F.when(maybe, lines).otherwise(none).alias("a"), F.when(maybe, unwrapped).otherwise(none).alias("b"), F.when(maybe, tagged).otherwise(none).alias("c"))
+    # Licences of expressions come after the sentences.
+    ids = found.select("doc_id", *(F.concat(x, "c").alias(x) for x in "ab"))
     some = (F.size("a") > 0) | (F.size("b") > 0)
     names = F.array(*(F.lit(n) for n, _, _ in rule_table()))
     met = F.array_sort(F.array_distinct(F.concat(_ranks(F.col("a")), _ranks(F.col("b")))))
@@ -294,6 +370,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def sql() -> str:
     """DuckDB SQL for ``scan`` of ``documents``: sentences as rows, joined with the sentences' and the rules' tables."""
     sentences = ", ".join(f"('{s}', '{i}')" for s, i in sentence_table().items())
+    tags = ", ".join(f"('{s}', '{i}')" for s, i in expression_table().items())
     rules = ", ".join(f"({k}, '{n}', {len(r)}, [{', '.join(repr(x) for x in r)}], '{but}')" for k, (n, r, but) in enumerate(rule_table()))
     return rf"""
 WITH known(sentence, id) AS (VALUES {sentences}),
@@ -307,7 +384,13 @@ forms AS (
   SELECT k, 1, string_split(regexp_replace(regexp_replace(text, '[ 	
 ]+', ' ', 'g'), '([.!?;:]) ', '' || chr(10), 'g'), chr(10)) FROM d),
 parts AS (SELECT k, form, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM forms),
-met AS (SELECT k, form, place, id FROM parts JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence),
+tags(name, id) AS (VALUES {tags}),
+tagged AS (SELECT k, unnest(regexp_extract_all(text, '(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)', 1)) AS tag, generate_subscripts(regexp_extract_all(text, '(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)', 1), 1) AS t FROM d),
+operands AS (SELECT k, t, unnest(o) AS operand, generate_subscripts(o, 1) AS n FROM (SELECT k, t, string_split_regex(regexp_replace(tag, '[ \t]+(WITH|with)[ \t]+[A-Za-z0-9.-]+', '', 'g'), '[ \t]+(OR|AND|or|and)[ \t]+|[()]+') AS o FROM tagged WHERE regexp_matches(tag, '[ \t]+(OR|AND|or|and)[ \t]+|[()]+|[ \t]+(WITH|with)[ \t]+[A-Za-z0-9.-]+|[+]'))),
+met AS (
+  SELECT k, form, place, id FROM parts JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence
+  UNION ALL
+  SELECT k, unnest([0, 1]), 1000000000 + 1000000 * t + n, id FROM operands JOIN tags ON lower(regexp_extract(operand, '^[ \t]*([A-Za-z0-9.+-]+)', 1)) = name),
 found AS (SELECT k, form, list(id ORDER BY place) AS ids FROM met GROUP BY k, form),
 starts AS (SELECT k, ids, unnest(range(1, len(ids) + 1)) AS "at" FROM found),
 names AS (
