@@ -618,7 +618,7 @@ def test_licences(odd):
     assert all(licenses.normalised is not None and any(h in s for h in licenses.HINT.split("|")) for s in licenses.sentence_table())
     text = "Hi.\nThis work is licensed under the GNU General Public\nLicense, version 3."
     found = licenses.scan(odd.limit(1).withColumn("text", F.lit(text))).first()
-    assert found.licenses == "GPL-3" and found.first_license == "GPL-3"
+    assert found.licenses == "GPL-3.0-only" and found.first_license == "GPL-3.0-only"
     assert licenses.scan(odd).where("licenses <> ''").count() == 0
 
 
@@ -632,7 +632,35 @@ def test_licences_wrapped_and_whole(spark):
     bsd = [text[i] for i in ("bsd-redist", "bsd-source", "bsd-binary", "bsd-names")]
     rows = [(1, ".\n".join(bsd[:3])), (2, ".\n".join(bsd)), (3, text["lgpl-free:2.1"]), (4, text["agpl-free:3"])]
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.licenses for r in found} == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "LGPL-2.1-or-later", 4: "AGPL-3-or-later"}
+    assert {r.doc_id: r.licenses for r in found} == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "LGPL-2.1-or-later", 4: "AGPL-3.0-or-later"}
+
+
+def test_spdx_expressions(spark):
+    rows = {
+        1: ("// SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+        2: ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause */", "BSD-3-Clause,GPL-2.0-only"),
+        3: ("# SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"),
+        4: ("# SPDX-License-Identifier: MIT", "MIT"),
+        5: ("# SPDX-License-Identifier: LGPL-2.1-or-later or (MPL-2.0 and ISC)\nfree text\n SPDX-License-Identifier: Zlib OR Nonsense-1.0", "ISC,LGPL-2.1-or-later,MPL-2.0,Zlib"),
+        6: ("SPDX-License-Identifier: \nMIT OR Apache-2.0", ""),
+        7: ("this program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ""),
+    }
+    table = spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string")
+    found = {r.doc_id: ",".join(sorted(filter(None, r.licenses.split(",")))) for r in licenses.scan(table).collect()}
+    assert {k: v for k, v in found.items() if k != 7} == {k: v for k, (_, v) in rows.items() if k != 7}
+    duck = duckdb.connect()
+    duck.register("documents", table.toPandas())
+    want = {r[0]: r[1:] for r in duck.execute(licenses.sql()).fetchall()}
+    assert {r.doc_id: (r.sentence_ids, r.licenses, r.first_license) for r in licenses.scan(table).collect()} == want
+
+
+def test_one_identifier_for_a_licence(spark):
+    text = {i: s for s, i in licenses.sentence_table().items()}
+    forms = ["gpl-free:3", "gpl-free:3.0", "named:GPL-3.0-or-later"]
+    found = licenses.scan(spark.createDataFrame([(k, text[f]) for k, f in enumerate(forms)], "doc_id long, text string")).collect()
+    assert {r.licenses for r in found} == {"GPL-3.0-or-later"}
+    names = {n for n, _, _ in licenses.rule_table()}
+    assert not {n for n in names if n.split("-")[0] in ("GPL", "LGPL", "AGPL") and not n.endswith(("-only", "-or-later"))}
 
 
 BSD = """Redistribution and use in source and binary forms, with or without
