@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftledger.functions.workers import shared_folder
 from driftledger.operators import integrity, profiles
 from driftledger.sources import formats
+from driftledger.streaming import flows
 
 from .tables import Tables, sql
 
@@ -121,7 +122,11 @@ def _sched_logs(t: Tables):
     formats.sink_report(rows.groupBy("run").agg(F.sum("value").alias("bytes")), f"{base}/summary")
     rows.where("event_type = 'view' AND run % 3 <> 0").select("run", "event_id", "event_type").write.json(f"{base}/events")
     formats.sink_report(rows.where("event_type = 'click'").select("run", "value"), f"{base}/samples")
-    found = formats.scan_sched_logs(t.spark, f"{base}/summary", f"{base}/events", f"{base}/samples", ("run long, bytes long", "run long, event_id long, event_type string", "run long, value long"))
+    paths, schemas = (f"{base}/summary", f"{base}/events", f"{base}/samples"), ("run long, bytes long", "run long, event_id long, event_type string", "run long, value long")
+    # Presence is told as files arrive; what the last batch says of a run holds.
+    present = flows.drained(formats.logs_present(formats.scan_sched_logs(t.spark, *paths, schemas, stream=True)), "sched-present", mode="update")
+    last = present.groupBy("run").agg(F.max_by("all_present", "batch").alias("all_present"))
+    found = [d.join(last, "run") for d in formats.scan_sched_logs(t.spark, *paths, schemas)]
     common = lambda d, name, key, value: d.select(F.lit(name).alias("log"), "run", key.cast("string").alias("entry"), value.cast("long").alias("value"), "all_present")
     none = F.lit(None)
     return common(found[0], "summary", none, F.col("bytes")).unionByName(common(found[1], "event", F.col("event_type"), F.col("event_id"))).unionByName(common(found[2], "sample", none, F.col("value")))
@@ -151,9 +156,13 @@ def _dataset_manifest(t: Tables):
 
 
 def _event_log(t: Tables):
+    """The log is read as a stream; each ninth line is cut short, and goes to the side."""
     path = shared_folder(t.spark, "event-log")
-    t.f3.select(*(c.split()[0] for c in EVENT_LOG.split(", "))).write.json(path)
-    return formats.scan_event_log(t.spark, path, EVENT_LOG).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    rows = t.f3.select(*(c.split()[0] for c in EVENT_LOG.split(", ")))
+    text = F.to_json(F.struct(*rows.columns))
+    rows.select(F.when(F.col("sequence") % 9 == 4, F.substring(text, 1, 20)).otherwise(text)).write.text(path)
+    read, broken = formats.told_apart(flows.drained(formats.scan_event_log(t.spark, path, EVENT_LOG, stream=True), "event-log").drop("batch"))
+    return read.withColumn("broken", F.lit(None).cast("string")).unionByName(broken.withColumnRenamed("_corrupt_record", "broken"), allowMissingColumns=True)
 
 
 def _results(t: Tables):
@@ -214,7 +223,7 @@ def _counters(t: Tables):
     name = F.element_at(F.array(*map(F.lit, ("named", "softnet", "netstat", "interrupts"))), (family + 1).cast("int"))
     path = shared_folder(t.spark, "counters")
     t.events.select(F.concat(F.lit("# e"), e, F.lit(" "), name, body, F.lit("\n"))).write.text(path)
-    return formats.scan_counters(t.spark, path)
+    return flows.drained(formats.scan_counters(t.spark, path, stream=True), "counters").drop("batch")
 
 
 def _stacks(t: Tables):
@@ -332,7 +341,7 @@ SQL = {
     "manifest_crc_check": "SELECT DISTINCT 't-' || file_id AS transfer_id, file_id % 7 <> 0 AS ok FROM f2",
     "scan_transfer_manifest": f"WITH c AS (SELECT file_id, chunk_id, max(crc) % 4294967296 AS crc FROM acks GROUP BY 1, 2), r AS ({_RUNS}) SELECT 't-' || file_id AS transfer_id, 'out/' || file_id AS output_path, {_SCANNED}",
     "scan_tree_manifest": f"WITH {_ODD_TREE} SELECT manifest_id, relative_path, size, mtime_s, transfer_id, status, reason IS NULL AS is_valid, reason FROM w",
-    "scan_event_log": "SELECT sequence, transfer_id, event, result, bytes, elapsed_seconds, message FROM f3",
+    "scan_event_log": "SELECT sequence, transfer_id, event, result, bytes, elapsed_seconds, message, NULL::VARCHAR AS broken FROM f3 WHERE sequence % 9 <> 4 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, substr('{\"sequence\":' || sequence || ',\"transfer_id\":\"' || transfer_id, 1, 20) FROM f3 WHERE sequence % 9 = 4",
     "scan_results": "SELECT system, dataset, repeat_index, line, goodput, CASE WHEN line = 7 THEN 'n/a' ELSE result END AS result FROM f4",
     "scan_transfer_log": "SELECT 'u' || user_id AS run, epoch_us(ts::TIMESTAMP) AS start_us, epoch_us(ts::TIMESTAMP) + 1500000 AS stop_us, floor(value * 1000)::BIGINT AS bytes, 226 AS code, user_id % 4 + 1 AS streams FROM events WHERE event_type <> 'view'",
     "scan_marked_json": """WITH e AS (SELECT 'u' || (user_id % 20) AS source, event_id, event_id % 10 <> 0 AS parsed, floor(value)::BIGINT AS n FROM events),

@@ -138,9 +138,20 @@ def scan_tree_manifest(spark: SparkSession, path: str, version: int) -> DataFram
     return rows.select("manifest_id", "mode", "relative_path", "size", "mtime_s", "transfer_id", "status", reason.alias("reason")).withColumn("is_valid", F.col("reason").isNull())
 
 
-def scan_event_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _reader(spark: SparkSession, stream: bool, files: int = 16):
+    """A reader of files that are there, or of a stream of files as they come, some a batch."""
+    return spark.readStream.option("maxFilesPerTrigger", files) if stream else spark.read
+
+
+def scan_event_log(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
     """JSON lines with a stated schema; a line that isn't one keeps its text in ``_corrupt_record``."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").json(path)
+    return _reader(spark, stream).schema(f"{schema}, _corrupt_record string").json(path)
+
+
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a scan that were read, and the text of those that weren't; a streamed scan is to be written before."""
+    rest = rows.drop("_corrupt_record")
+    return rows.where("_corrupt_record IS NULL").select(rest.columns), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
 
 
 def scan_results(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
@@ -164,9 +175,9 @@ def marked_json(lines: DataFrame, marker: str, schema: str) -> DataFrame:
     return rows.select("source", (F.col("r._bad").isNull() & F.col("r").isNotNull()).alias("parsed"), "r.*").drop("_bad")
 
 
-def text_blocks(spark: SparkSession, path: str) -> DataFrame:
+def text_blocks(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """``block``: runs of lines between blank lines."""
-    return spark.read.option("lineSep", "\n\n").text(path).select(F.trim(F.col("value"), F.lit("\n")).alias("block")).where("block <> ''")
+    return _reader(spark, stream).option("lineSep", "\n\n").text(path).select(F.trim(F.col("value"), F.lit("\n")).alias("block")).where("block <> ''")
 
 
 def stacks(blocks: DataFrame) -> DataFrame:
@@ -201,7 +212,7 @@ def counter_lines(lines: DataFrame) -> DataFrame:
 SOFTNET, SOFTNET_CPU = ("processed", "dropped", "time_squeeze"), 12
 
 
-def scan_counters(spark: SparkSession, path: str) -> DataFrame:
+def scan_counters(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """``source, family, name, value`` of snapshots, a block each: ``# source family``, then lines as the family writes them.
 
     ``named``: ``name: value``; ``softnet``: hexadecimal columns for each CPU; ``netstat``:
@@ -210,7 +221,7 @@ def scan_counters(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = F.split("block", "\n")
     head = F.split(lines[0], " ")
-    rows = text_blocks(spark, path).where(F.col("block").startswith("# ")).select(head[1].alias("source"), F.get(head, F.lit(2)).alias("family"), F.slice(lines, 2, F.size(lines)).alias("lines"))
+    rows = text_blocks(spark, path, stream).where(F.col("block").startswith("# ")).select(head[1].alias("source"), F.get(head, F.lit(2)).alias("family"), F.slice(lines, 2, F.size(lines)).alias("lines"))
     entry = lambda n, v: F.struct(n.alias("name"), v.cast("long").alias("value"))
     words = lambda x: F.split(F.trim(x), r"\s+")
     named = F.transform(F.filter("lines", lambda x: x.rlike(r"^\s*[\w.\[\]-]+:\s*-?\d+\s*$")), lambda x: entry(F.trim(F.substring_index(x, ":", 1)), _number(F.trim(F.substring_index(x, ":", -1)))))
@@ -235,13 +246,22 @@ def manifest_crc_check(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("transfer_id", F.col(CRC_KEY).alias("expected"), "actual", (F.col(CRC_KEY) == F.col("actual")).alias("ok"))
 
 
-def scan_sched_logs(spark: SparkSession, summary: str, events: str, samples: str, schemas: tuple[str, str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three logs of runs as tables, each row with ``all_present``: whether its run has all three."""
-    tables = (spark.read.schema(schemas[0]).option("header", True).csv(summary), spark.read.schema(schemas[1]).json(events), spark.read.schema(schemas[2]).option("header", True).csv(samples))
-    seen = [d.select("run").distinct().withColumn(f"in{k}", F.lit(True)) for k, d in enumerate(tables)]
-    runs = seen[0].join(seen[1], "run", "full").join(seen[2], "run", "full")
-    runs = runs.select("run", (F.col("in0").isNotNull() & F.col("in1").isNotNull() & F.col("in2").isNotNull()).alias("all_present"))
-    return tuple(d.join(runs, "run") for d in tables)
+def scan_sched_logs(spark: SparkSession, summary: str, events: str, samples: str, schemas: tuple[str, str, str], stream: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three logs of runs as tables or streams of their own."""
+    return (
+        _reader(spark, stream).schema(schemas[0]).option("header", True).csv(summary),
+        _reader(spark, stream).schema(schemas[1]).json(events),
+        _reader(spark, stream).schema(schemas[2]).option("header", True).csv(samples),
+    )
+
+
+def logs_present(logs: tuple[DataFrame, ...]) -> DataFrame:
+    """Which of its logs a run has so far, as bits, and whether it has them all: of streams a row for each run of a batch (update mode)."""
+    seen = [d.select("run", F.lit(1 << k).alias("bit")) for k, d in enumerate(logs)]
+    rows = seen[0]
+    for more in seen[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("run").agg(F.bit_or("bit").alias("logs")).withColumn("all_present", F.col("logs") == (1 << len(logs)) - 1)
 
 
 def scan_client_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
