@@ -3,7 +3,7 @@
 A key's rows wait in its state until the watermark has passed them; then they are
 taken in order of time, ties by their other columns, whatever the number and order of
 the files that brought them.  The wait bounds what a key holds: no more than the rows
-of the watermark's delay.  A timer wakes a key when its oldest row is due or when
+of the watermark's delay.  Keys share a state and a timer by their hash; the timer wakes it when its oldest row is due or when
 something runs out, such as a lease, although no row arrives.  Rows that come later
 than the watermark are dropped by Spark, as for any stateful operator.
 """
@@ -25,27 +25,38 @@ from driftledger.functions.workers import ship
 Step = Callable[[tuple, object, list[list], int], tuple[object, list[tuple], int | None]]
 
 
-def in_time_order(rows: DataFrame, keys: list[str], columns: list[str], step: Step, out: str, delay: str, time: str = "ts") -> DataFrame:
+#: Keys share states by their hash, as a state for each of very many small keys costs more than what is in it.
+BUCKETS = 1024
+
+
+def in_time_order(rows: DataFrame, keys: list[str], columns: list[str], step: Step, out: str, delay: str, time: str = "ts", buckets: int = BUCKETS) -> DataFrame:
     """``out`` rows of ``step`` over each key's rows in order of ``time`` and ``columns`` (append mode).
 
     All rows before the watermark, in whole milliseconds, have been taken when
-    ``step`` sees it.  ``columns`` are numbers and strings without nulls.
+    ``step`` sees it.  ``keys`` and ``columns`` are numbers and strings without nulls.  More keys want more
+    ``buckets``, which stay the same as long as the stream does.
     """
     ship(rows.sparkSession)
-    names = [c.split()[0] for c in out.split(", ")]
+    names, n = [c.split()[0] for c in out.split(", ")], len(keys)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, memory = map(json.loads, state.get) if state.exists else ([], None)
+        held: dict[tuple, list] = {tuple(k): [waiting, memory] for k, waiting, memory in (json.loads(state.get[0]) if state.exists else [])}
         for part in batches:
-            held += [list(r) for r in zip(*(part[c].tolist() for c in ("__us", *columns)), strict=True)]
+            for row in zip(*(part[c].tolist() for c in (*keys, "__us", *columns)), strict=True):
+                held.setdefault(row[:n], [[], None])[0].append(list(row[n:]))
         watermark = max(0, state.getCurrentWatermarkMs())
-        held.sort()
-        due = bisect_left(held, [watermark * 1000])
-        memory, found, wake = step(key, memory, held[:due], watermark * 1000)
-        held = held[due:]
-        if held or memory is not None:
-            state.update((json.dumps(held), json.dumps(memory)))
-            times = [*(r[0] for r in held[:1]), *([] if wake is None else [wake])]
+        found, kept, times = [], [], []
+        for own, (waiting, memory) in held.items():
+            waiting.sort()
+            due = bisect_left(waiting, [watermark * 1000])
+            memory, told, wake = step(own, memory, waiting[:due], watermark * 1000)
+            found += told
+            waiting = waiting[due:]
+            times += [*(r[0] for r in waiting[:1]), *([] if wake is None else [wake])]
+            if waiting or memory is not None:
+                kept.append((own, waiting, memory))
+        if kept:
+            state.update((json.dumps(kept),))
             if times:
                 state.setTimeoutTimestamp(max(watermark, min(times) // 1000, 1))
         elif state.exists:
@@ -54,7 +65,8 @@ def in_time_order(rows: DataFrame, keys: list[str], columns: list[str], step: St
             yield pd.DataFrame(dict(zip(names, map(list, zip(*found, strict=True)), strict=True)))
 
     timed = rows.select(*keys, F.col(time).cast("timestamp").alias(time), F.unix_micros(F.col(time).cast("timestamp")).alias("__us"), *columns).withWatermark(time, delay)
-    return timed.groupBy(*keys).applyInPandasWithState(run, out, "held string, memory string", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = timed.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return keyed.groupBy("__bucket").applyInPandasWithState(run, out, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # Leases ------------------------------------------------------------------------------------------
@@ -231,24 +243,36 @@ def _merged_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield part.groupby(new.cumsum(), sort=False).agg({"file_id": "first", "total": "first", "begin": "first", "stop": "max"})
 
 
-def progress(ranges: DataFrame) -> DataFrame:
+def progress(ranges: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Verified bytes, ranges and completion of each file that a batch touches (update mode).
 
     ``ranges`` has file_id, total, begin and stop, of any size and order; what lies beyond the total
-    doesn't count.  The state of a file is its merged ranges; ``completed_now`` is told once.
+    doesn't count.  The state is the merged ranges of the files of a bucket; more files want more ``buckets``,
+    which stay the same as long as the stream does.  ``completed_now`` is told once.
     """
     ship(ranges.sparkSession)
+    names = [c.split()[0] for c in PROGRESS_OUT.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = list(zip(*state.get, strict=True)) if state.exists else []
-        found, total = list(before), 0
+        held: dict[int, list[tuple[int, int]]] = {}
+        for file, begin, stop in zip(*(state.get if state.exists else ([], [], [])), strict=True):
+            held.setdefault(file, []).append((begin, stop))
+        new: dict[int, tuple[int, list[tuple[int, int]]]] = {}
         for part in batches:
-            total = int(part["total"].iloc[0])
-            found += [(b, min(s, total)) for b, s in zip(part["begin"].tolist(), part["stop"].tolist(), strict=True) if b < total]
-        after = merged(found)
-        state.update(([b for b, _ in after], [s for _, s in after]))
-        done = after == [(0, total)]
-        yield pd.DataFrame([(key[0], sum(s - b for b, s in after), len(after), done, done and before != after)], columns=[c.split()[0] for c in PROGRESS_OUT.split(", ")])
+            for file, total, begin, stop in zip(*(part[c].tolist() for c in ("file_id", "total", "begin", "stop")), strict=True):
+                new.setdefault(file, (total, []))[1].append((begin, min(stop, total)))
+        out = []
+        for file, (total, found) in new.items():
+            before = held.get(file, [])
+            after = merged(before + [(b, s) for b, s in found if b < total])
+            done = after == [(0, total)]
+            held[file] = after
+            out.append((file, sum(s - b for b, s in after), len(after), done, done and before != after))
+        rows = [(f, b, s) for f, spans in held.items() for b, s in spans]
+        state.update(tuple([r[k] for r in rows] for k in range(3)))
+        if out:
+            yield pd.DataFrame(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
 
     parts = ranges.select("file_id", "total", "begin", "stop").mapInPandas(_merged_parts, "file_id long, total long, begin long, stop long")
-    return parts.groupBy("file_id").applyInPandasWithState(run, PROGRESS_OUT, "begins array<long>, stops array<long>", "update", GroupStateTimeout.NoTimeout)
+    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)))
+    return keyed.groupBy("bucket").applyInPandasWithState(run, PROGRESS_OUT, "files array<long>, begins array<long>, stops array<long>", "update", GroupStateTimeout.NoTimeout)
