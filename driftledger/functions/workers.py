@@ -59,3 +59,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that the application has stored so far; what still reads it must be done.
+
+    For long sessions: without a call stored tables stay until the driver ends.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path, True)
+    files.mkdirs(path)
