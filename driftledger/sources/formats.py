@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from driftledger.functions.checksums import crc32c
-from driftledger.functions.workers import ship
+from driftledger.functions.checksums import crc32c, crc32c_shift, crcs
+from driftledger.functions.workers import ship, stored
 from driftledger.operators.ranges import coalesce
+from driftledger.operators.ranks import placed
 from driftledger.operators.records import path_reason, without_sidecars
 
 #: Keys of a transfer manifest in order, its version, and the key of the body's CRC.  Fixed values.
@@ -65,31 +66,43 @@ def sink_transfer_manifest(transfers: DataFrame, chunks: DataFrame, version: int
 
 def sink_tree_manifest(files: DataFrame, version: int, mode: str = "upload") -> DataFrame:
     """Canonical text of each tree (``manifest_id``): file records by path, paths and errors in hex."""
-    record = F.concat_ws(":", _hex(F.col("relative_path")), F.col("size").cast("string"), F.col("mtime_s").cast("string"), "transfer_id", "status", _hex(F.coalesce("error", F.lit(""))))
-    lists = files.groupBy("manifest_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relative_path", record.alias("t")))), lambda x: x["t"]), ",").alias("files"))
-    rows = lists.select("manifest_id", F.lit(version).alias("manifest_version"), F.lit(mode).alias("mode"), _hex(F.col("manifest_id")).alias("root_logical_path_hex"), F.lit("crc32c").alias("checksum_algorithm"), F.lit(0).alias("created_at_unix_ns"), F.lit(0).alias("updated_at_unix_ns"), "files")
-    return _signed(rows, TREE_KEYS).select("manifest_id", "text")
+    lists = files.groupBy("manifest_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relative_path", _tree_record().alias("t")))), lambda x: x["t"]), ",").alias("files"))
+    return _signed(_tree_keys(lists, version, mode), TREE_KEYS).select("manifest_id", "text")
+
+
+def _tree_record() -> Column:
+    return F.concat_ws(":", _hex(F.col("relative_path")), F.col("size").cast("string"), F.col("mtime_s").cast("string"), "transfer_id", "status", _hex(F.coalesce("error", F.lit(""))))
+
+
+def _tree_keys(rows: DataFrame, version: int, mode: str) -> DataFrame:
+    """``rows`` with a tree's key columns, but for ``files``."""
+    named = {"manifest_version": F.lit(version), "mode": F.lit(mode), "root_logical_path_hex": _hex(F.col("manifest_id")), "checksum_algorithm": F.lit("crc32c"), "created_at_unix_ns": F.lit(0), "updated_at_unix_ns": F.lit(0)}
+    return rows.withColumns(named)
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
     manifests.select("text").write.text(path)
 
 
-def _read(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Key lines of each manifest as columns, and the first rule that fails as ``reason``.
+def _keyed(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """Key lines of each manifest as columns; ``broken`` where a key is missing or repeated.
 
     A manifest is cut into lines once; keys are looked up in its list of lines.
     """
-    ship(spark)
-    wanted = [*keys, CRC_KEY]
     rows = spark.read.option("lineSep", "\n\n").text(path).select(F.concat(F.regexp_replace("value", r"\n+$", ""), F.lit("\n")).alias("text")).where("trim(text) <> '\n'")
     lines = F.filter(F.split("text", "\n"), lambda x: F.substring_index(x, "=", 1).isin(wanted) & x.contains("="))
     rows = rows.withColumn("lines", lines).withColumn("names", F.transform("lines", lambda x: F.substring_index(x, "=", 1)))
     value = lambda k: F.coalesce(F.substring(F.get("lines", F.array_position("names", k).cast("int") - 1), len(k) + 2, 1 << 30), F.lit("")).alias(k)
-    body = F.regexp_replace("text", f"(?m)^{CRC_KEY}=.*\\n", "")
     kinds = F.size(F.array_distinct("names"))
     broken = F.when(F.size("names") > kinds, "duplicate_key").when(kinds < len(wanted), "missing_key")
-    rows = rows.select("text", broken.alias("broken"), *map(value, wanted), _hex32(crc32c(body.cast("binary"))).alias("actual"))
+    return rows.select("text", broken.alias("broken"), *map(value, wanted))
+
+
+def _read(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Key lines of each manifest as columns, and the first rule that fails as ``reason``."""
+    ship(spark)
+    body = F.regexp_replace("text", f"(?m)^{CRC_KEY}=.*\\n", "")
+    rows = _keyed(spark, path, [*keys, CRC_KEY]).withColumn("actual", _hex32(crc32c(body.cast("binary"))))
     return rows.withColumn("reason", F.coalesce("broken", F.when(F.col(CRC_KEY) != F.col("actual"), "bad_crc"))).drop("broken")
 
 
@@ -128,9 +141,14 @@ def scan_download_manifest(spark: SparkSession, path: str, version: int) -> Data
 def scan_tree_manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
     """One row a file record, with the first rule that fails for it; repeated paths are counted by a shuffle on both names."""
     rows = _read(spark, path, TREE_KEYS).withColumn("manifest_id", _text("root_logical_path_hex"))
-    part = F.split("record", ":")
     broken = F.coalesce("reason", F.when(F.col("manifest_version") != str(version), "bad_version"))
     rows = rows.select("manifest_id", "mode", broken.alias("broken"), F.explode(F.filter(F.split("files", ","), lambda x: x != "")).alias("record"))
+    return _tree_records(rows)
+
+
+def _tree_records(rows: DataFrame) -> DataFrame:
+    """Fields of each ``record`` of ``manifest_id, mode, broken``, and the first rule that fails."""
+    part = F.split("record", ":")
     rows = rows.select("manifest_id", "mode", "broken", F.decode(F.unhex(part[0]), "UTF-8").alias("relative_path"), F.get(part, F.lit(1)).try_cast("long").alias("size"), F.get(part, F.lit(2)).try_cast("long").alias("mtime_s"), F.get(part, F.lit(3)).alias("transfer_id"), F.get(part, F.lit(4)).alias("status"), (F.size(part) != 6).alias("odd"))
     again = rows.groupBy("manifest_id", "relative_path").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(again, ["manifest_id", "relative_path"], "left")
@@ -138,6 +156,77 @@ def scan_tree_manifest(spark: SparkSession, path: str, version: int) -> DataFram
     return rows.select("manifest_id", "mode", "relative_path", "size", "mtime_s", "transfer_id", "status", reason.alias("reason")).withColumn("is_valid", F.col("reason").isNull())
 
 
+#: Key of a tree's head that says how many bytes its list of records has in the one-row form.
+LIST_BYTES_KEY = "files_bytes"
+
+
+def _list_sums(records: DataFrame, *keys: str) -> DataFrame:
+    """``bytes`` and ``files_crc`` of each tree's list from records that say where they are (``at``).
+
+    In the one-row form a comma follows each record, and a line end the last.  A
+    record's CRC is moved back by its end, so the fold needs no order; the last
+    byte is changed at the end, as a CRC is linear.
+    """
+    stop = F.col("at") + F.octet_length("record") + 1
+    moved = records.select(*keys, (F.octet_length("record") + 1).cast("long").alias("n"), crc32c_shift(crc32c(F.concat("record", F.lit(",")).cast("binary")), -stop).alias("moved"))
+    sums = moved.groupBy(*keys).agg(F.sum("n").alias("bytes"), F.bit_xor("moved").alias("moved"))
+    comma, end = (int(c) for c in crcs([b",", b"\n"]))
+    return sums.select(*keys, "bytes", crc32c_shift("moved", "bytes").bitwiseXOR(F.lit(comma ^ end).cast("long")).alias("files_crc"))
+
+
+def _whole_crc(keys: list[str]) -> Column:
+    """CRC of a tree's body in the one-row form, from its key lines and its list's sums."""
+    head = F.concat(*(F.concat(F.lit(f"{k}="), F.col(k).cast("string"), F.lit("\n")) for k in keys), F.lit(f"{TREE_KEYS[-1]}="))
+    return _hex32(crc32c_shift(crc32c(head.cast("binary")), "bytes").bitwiseXOR(F.col("files_crc")))
+
+
+def write_tree_manifest(files: DataFrame, path: str, version: int, mode: str = "upload") -> None:
+    """Trees of any size below ``path``: a line for each record, in order of tree and path, and a head for each tree.
+
+    A line is the root in hex, where the record begins in the one-row form's list,
+    and the record, with a tab between; a head has the key lines, the list's
+    bytes and the CRC of the whole one-row form, which is never built.  Records
+    of one tree are placed and written by many tasks.  Files with a null ``manifest_id``
+    are in no tree.
+    """
+    ship(files.sparkSession)
+    rows = files.where("manifest_id IS NOT NULL").select("manifest_id", "relative_path", _tree_record().alias("record"))
+    rows = placed(rows.withColumn("bytes", (F.octet_length("record") + 1).cast("long")), "manifest_id", ["relative_path", "record"], "bytes")
+    lines = stored(rows.select("manifest_id", F.col("before").alias("at"), "record"), "tree-lines")
+    lines.orderBy("manifest_id", "at").select(F.concat_ws("\t", _hex(F.col("manifest_id")), F.col("at").cast("string"), "record")).write.text(f"{path}/records")
+    heads = _tree_keys(_list_sums(lines, "manifest_id"), version, mode).withColumn(LIST_BYTES_KEY, F.col("bytes")).withColumn(CRC_KEY, _whole_crc(TREE_KEYS[:-1]))
+    heads.select(F.concat(*(F.concat(F.lit(f"{k}="), F.col(k).cast("string"), F.lit("\n")) for k in (*TREE_KEYS[:-1], LIST_BYTES_KEY, CRC_KEY)))).write.text(f"{path}/heads")
+
+
+def _record_lines(spark: SparkSession, path: str) -> DataFrame:
+    part = F.split("value", "\t", 3)
+    return spark.read.text(f"{path}/records").select(part[0].alias("root"), _number(F.get(part, F.lit(1))).alias("at"), F.get(part, F.lit(2)).alias("record"))
+
+
+def tree_manifest_check(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """``root, manifest_id, mode, bytes, expected, actual, broken`` of each tree that ``write_tree_manifest`` wrote.
+
+    ``broken`` is the first rule that fails: a key is missing or repeated, there are several heads or none, bytes
+    are missing or too many, the CRC or the version is another.  A tree without any line is
+    here too.
+    """
+    ship(spark)
+    keys = TREE_KEYS[:-1]
+    heads = _keyed(spark, f"{path}/heads", [*keys, LIST_BYTES_KEY, CRC_KEY]).withColumnRenamed("root_logical_path_hex", "root")
+    first = heads.groupBy("root").agg(F.count(F.lit(1)).alias("heads"), F.min(F.struct(*(c for c in heads.columns if c not in ("root", "text")))).alias("h")).select("root", "heads", "h.*")
+    sums = _list_sums(_record_lines(spark, path).where("at IS NOT NULL AND record IS NOT NULL"), "root")
+    rows = first.join(sums, "root", "full").withColumn("root_logical_path_hex", F.col("root")).withColumn("actual", _whole_crc(keys))
+    held = F.coalesce("bytes", F.lit(0)) == _number(F.col(LIST_BYTES_KEY))
+    broken = F.coalesce(F.when(F.col("heads").isNull(), "no_head"), "broken", F.when(F.col("heads") > 1, "duplicate_head").when(~F.coalesce(held, F.lit(False)), "bad_bytes").when(F.col(CRC_KEY) != F.col("actual"), "bad_crc").when(F.col("manifest_version") != str(version), "bad_version"))
+    return rows.select("root", _text("root").alias("manifest_id"), "mode", "bytes", F.col(CRC_KEY).alias("expected"), "actual", broken.alias("broken"))
+
+
+def read_tree_manifest(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """``scan_tree_manifest``'s rows of what ``write_tree_manifest`` wrote; a line that is cut breaks its tree."""
+    checked = tree_manifest_check(spark, path, version).select("root", "manifest_id", "mode", "broken")
+    return _tree_records(_record_lines(spark, path).where("record IS NOT NULL").join(checked, "root", "left").select("manifest_id", "mode", "broken", "record"))
+
+
 def _reader(spark: SparkSession, stream: bool, files: int = 16):
     """A reader of files that are there, or of a stream of files as they come, some a batch."""
     return spark.readStream.option("maxFilesPerTrigger", files) if stream else spark.read

@@ -96,3 +96,56 @@ def test_hygiene_rules(spark):
 def test_listing_of_a_folder(spark):
     files = spark.createDataFrame([("a/b", 1, 5), ("a/c/d", 2, 7), ("x", 3, 9)], "relative_path string, size long, mtime_s long")
     assert sorted(map(tuple, records.listing(files, "a").collect())) == [("b", False, 1, 5), ("c", True, 0, 7)]
+
+
+def test_tree_of_lines_has_the_crc_of_its_one_row_form(spark, tmp_path):
+    records = [("a", f"d{k % 7}/f é{k}", k, 5, f"t{k}", "completed", "e:1" if k % 3 else None) for k in range(400)] + [("b", "x", 1, 2, "t", "pending", None), (None, "x", 1, 2, "t", "pending", None)]
+    records += [("c", "same", k, 2, "t", "pending", None) for k in (10, 9)]
+    files = spark.createDataFrame(records, "manifest_id string, relative_path string, size long, mtime_s long, transfer_id string, status string, error string").repartition(5)
+    path, row_path = f"{tmp_path}/lines", f"{tmp_path}/rows"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few records are one file
+    formats.write_tree_manifest(files, path, 3)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    texts = formats.sink_tree_manifest(files.where("manifest_id IS NOT NULL"), 3)
+    formats.write_manifests(texts, row_path)
+    stated = {r.manifest_id: r.text.strip().rsplit("=", 1)[1] for r in texts.collect()}
+    checked = formats.tree_manifest_check(spark, path, 3).collect()
+    assert {r.manifest_id: r.expected for r in checked} == {r.manifest_id: r.actual for r in checked} == stated
+    assert all(r.broken is None for r in checked)
+    got, want = formats.read_tree_manifest(spark, path, 3), formats.scan_tree_manifest(spark, row_path, 3)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    lines = [line for part in sorted((tmp_path / "lines/records").glob("part-*")) for line in part.read_text().splitlines()]
+    assert len(list((tmp_path / "lines/records").glob("part-*"))) > 1
+    whole = ",".join(line.split("\t")[2] for line in lines if line.startswith("61\t"))
+    assert f"files={whole}\n" in next(r.text for r in texts.collect() if r.manifest_id == "a")
+
+
+@pytest.mark.parametrize(
+    ("spoil", "reason"),
+    [
+        (lambda lines: lines[1:], "bad_bytes"),
+        (lambda lines: [*lines, lines[0]], "bad_bytes"),
+        (lambda lines: [lines[0].replace(":7:", ":8:"), *lines[1:]], "bad_crc"),
+        (lambda lines: [lines[1].replace("\t14\t", "\t0\t"), lines[0].replace("\t0\t", "\t14\t"), *lines[2:]], "bad_crc"),
+        (lambda lines: lines[::-1], None),
+        (lambda lines: [], "bad_bytes"),
+        (lambda lines: ["61\t0", *lines[1:]], "bad_bytes"),
+    ],
+)
+def test_tree_of_lines_that_lost_or_changed_some(spark, tmp_path, spoil, reason):
+    files = spark.createDataFrame([("a", p, 7, 5, "t", "pending", None) for p in "xyz"], "manifest_id string, relative_path string, size long, mtime_s long, transfer_id string, status string, error string")
+    formats.write_tree_manifest(files, f"{tmp_path}/w", 3)
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/w/records").orderBy("value").collect()]
+    assert lines[0] == "61\t0\t78:7:5:t:pending:" and len(lines) == 3
+    spoilt = tmp_path / "s"
+    (spoilt / "records").mkdir(parents=True)
+    (spoilt / "records/part").write_text("".join(f"{line}\n" for line in spoil(lines)))
+    (spoilt / "heads").mkdir()
+    head = "".join(p.read_text() for p in (tmp_path / "w/heads").glob("part-*"))
+    (spoilt / "heads/part").write_text(head)
+    found = formats.tree_manifest_check(spark, str(spoilt), 3).collect()
+    assert [(r.manifest_id, r.broken) for r in found] == [("a", reason)]
+    assert {r.reason for r in formats.read_tree_manifest(spark, str(spoilt), 3).collect()} <= {reason}
+    assert [r.broken for r in formats.tree_manifest_check(spark, str(spoilt), 4).collect()] == [reason or "bad_version"]
+    (spoilt / "heads/part").write_text(head * 2)
+    assert formats.tree_manifest_check(spark, str(spoilt), 3).first().broken == "duplicate_head"
