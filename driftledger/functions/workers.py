@@ -61,6 +61,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with each of ``keys`` in one of ``spark.sql.shuffle.partitions`` partitions, none put together with others.
+
+    Adaptive execution sizes tasks by shuffled bytes, and sorted keys and offsets pack to a few bytes a row: what
+    sorts them would hold tens of millions in a task.  A stated number of partitions stays.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def release(spark: SparkSession) -> None:
     """Remove all that the application has stored so far; what still reads it must be done.
 

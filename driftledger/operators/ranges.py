@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from driftledger.functions.workers import dealt
+
 from .ranks import placed
 
 
@@ -98,7 +100,7 @@ def overlaps(ranges: DataFrame) -> DataFrame:
 
 def coalesce(ranges: DataFrame) -> DataFrame:
     """Overlapping and adjacent ranges of a file merged to the least list."""
-    marked = ranges.withColumn("new", F.when(_so_far() >= F.col("begin"), 0).otherwise(1))
+    marked = dealt(ranges, "file_id").withColumn("new", F.when(_so_far() >= F.col("begin"), 0).otherwise(1))
     island = F.sum("new").over(Window.partitionBy("file_id").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("island", island).groupBy("file_id", "island").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop")).drop("island")
 

@@ -2,7 +2,11 @@
 
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 from driftledger.functions import workers
+from driftledger.operators import ranges, verdicts
 
 
 def test_release_removes_stored_tables(spark):
@@ -12,3 +16,14 @@ def test_release_removes_stored_tables(spark):
     workers.release(spark)
     assert root.is_dir() and not any(root.iterdir())
     assert workers.stored(spark.range(3), "some").count() == 3
+
+
+@pytest.mark.parametrize("step", ["coalesce", "missing", "resume_stats", "reconcile"])
+def test_ranges_of_files_keep_their_number_of_tasks(spark, step):
+    """Adaptive execution would put all of these few bytes into one task, and very many rows of few bytes as well."""
+    spans = spark.range(4000).selectExpr("id div 4 AS file_id", "id % 4 * 20 AS begin", "id % 4 * 20 + 10 AS stop", "10L AS length")
+    totals = spark.range(1000).selectExpr("id AS file_id", "100L AS total")
+    found = {"coalesce": lambda: ranges.coalesce(spans), "missing": lambda: ranges.missing(spans, totals), "resume_stats": lambda: verdicts.resume_stats(totals, spans), "reconcile": lambda: verdicts.reconcile(spans, spans)}[step]()
+    told = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(told) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(r["count"] for r in told) == {"coalesce": 4000, "missing": 4000}.get(step, 1000)
