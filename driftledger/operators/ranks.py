@@ -31,11 +31,36 @@ def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], wante
 
     ``wanted`` says the kind, ``linear`` (between the two nearest ranks) or ``disc`` (the value of the
     least rank that covers the share), and the share.  Null values don't count; a group without any has nulls.
-    Equal values are counted before they are ordered.  Null keys are a group of their own.
+    Null keys are a group of their own.
     """
-    group = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(0).alias("all"))
-    measured = F.array(*(F.struct(F.lit(k).alias("value"), v.cast("double").alias("x")) for k, v in values.items()))
-    long = rows.select(group.alias("g"), F.explode(measured).alias("m")).select(F.struct("g", "m.value").alias("of"), "m.x").where("x IS NOT NULL")
+    if not keys:
+        return _by_number(rows.select(F.lit(0).cast("long").alias("__id"), _measured(values)), values, wanted).drop("__id")
+    groups = stored(rows.select(*keys).distinct().withColumn("__id", F.monotonically_increasing_id()), "groups")
+    found = _by_number(_numbered(rows, groups, keys, values), values, wanted)
+    return groups.join(found, "__id").drop("__id")
+
+
+def with_quantiles(sums: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """``sums``, a row for each group of ``rows``, with the groups' quantiles; null keys meet."""
+    groups = stored(sums.withColumn("__id", F.monotonically_increasing_id()), "groups")
+    found = _by_number(_numbered(rows, groups, keys, values), values, wanted)
+    return groups.join(found, "__id", "left").drop("__id")
+
+
+def _measured(values: dict[str, Column]) -> Column:
+    return F.array(*(v.cast("double") for v in values.values())).alias("__m")
+
+
+def _numbered(rows: DataFrame, groups: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """``__id`` of each row's group and its values, so that what is counted later is numbers, however many keys there are."""
+    group = F.struct(*keys).alias("__g")
+    return rows.select(group, _measured(values)).join(groups.select(group, "__id"), "__g").select("__id", "__m")
+
+
+def _by_number(rows: DataFrame, values: dict[str, Column], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Quantiles of groups ``__id``; a group and one of its values are one number ``of``.  Equal values are counted before they are ordered."""
+    n = len(values)
+    long = rows.select("__id", F.posexplode("__m").alias("k", "x")).where("x IS NOT NULL").select((F.col("__id") * n + F.col("k")).alias("of"), "x")
     counts = long.groupBy("of", "x").agg(F.count(F.lit(1)).alias("n"))
     ranked = placed(counts, "of", ["x"], "n")
 
@@ -50,13 +75,6 @@ def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], wante
         else:
             found.append(at(F.greatest(F.ceil(F.col("whole") * F.lit(float(share))) - 1, F.lit(0))).alias(f"{name}_low"))
     each = ranked.groupBy("of").agg(*found)
-    told = {n: F.col(f"{n}_low") + F.col(f"{n}_part") * (F.col(f"{n}_high") - F.col(f"{n}_low")) if kind == "linear" else F.col(f"{n}_low") for n, (kind, _) in wanted.items()}
-    wide = each.select("of", *(c.alias(n) for n, c in told.items())).groupBy(F.col("of.g").alias("g")).agg(*(F.max(F.when(F.col("of.value") == v, F.col(n))).alias(f"{v}_{n}") for v in values for n in wanted))
-    return wide.select(*(F.col("g")[k].alias(k) for k in keys), *(f"{v}_{n}" for v in values for n in wanted))
-
-
-def with_quantiles(sums: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """``sums`` of the same groups with their quantiles; null keys meet."""
-    found = quantiles(rows, keys, values, wanted)
-    named = found.select(F.struct(*keys).alias("__of"), *(c for c in found.columns if c not in keys))
-    return sums.withColumn("__of", F.struct(*keys)).join(named, "__of", "left").drop("__of")
+    told = {m: F.col(f"{m}_low") + F.col(f"{m}_part") * (F.col(f"{m}_high") - F.col(f"{m}_low")) if kind == "linear" else F.col(f"{m}_low") for m, (kind, _) in wanted.items()}
+    each = each.select(F.expr(f"of div {n}").alias("__id"), (F.col("of") % n).alias("k"), *(c.alias(m) for m, c in told.items()))
+    return each.groupBy("__id").agg(*(F.max(F.when(F.col("k") == k, F.col(m))).alias(f"{v}_{m}") for k, v in enumerate(values) for m in wanted))

@@ -34,6 +34,17 @@ def test_quantiles_equal_spark(measured):
     assert ranks.quantiles(measured.limit(0), ["k"], {"x": F.col("x")}, wanted).count() == 0
 
 
+def test_what_is_counted_is_as_wide_as_two_numbers(measured, monkeypatch):
+    """However many keys: a row for each value of each row goes through the count."""
+    seen, own = [], ranks.placed
+    monkeypatch.setattr(ranks, "placed", lambda rows, *rest: seen.append(rows.dtypes) or own(rows, *rest))
+    wide = measured.withColumns({f"k{i}": F.col("k") for i in range(20)})
+    keys = ["k", "j", *(f"k{i}" for i in range(20))]
+    found = {tuple(r) for r in ranks.quantiles(wide, keys, {"y": F.col("y"), "x": F.col("x")}, {"least": ("disc", 0.0)}).select("k", "j", "x_least", "y_least").collect()}
+    assert found == {tuple(r) for r in measured.groupBy("k", "j").agg(F.min("x"), F.min("y")).where("k IS NULL OR k <> 'none'").collect()}
+    assert [t for _, t in seen[0]] == ["bigint", "double", "bigint"]
+
+
 def test_places_are_spread_over_ranges(measured, spark):
     rows = measured.where("x IS NOT NULL").select(F.coalesce("k", F.lit("-")).alias("k"), "x").withColumn("id", F.monotonically_increasing_id())
     found = ranks.placed(rows, "k", ["x", "id"]).collect()
