@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from driftledger.functions.workers import dealt
+
 from .ranges import coalesce
 from .ranks import with_quantiles
 from .runs import MIDDLE, _rounded, median
@@ -101,6 +103,7 @@ def resume_stats(totals: DataFrame, chunks: DataFrame) -> DataFrame:
     ``totals`` has file_id and total; a file without chunks has none.  Chunks are merged once; each merged
     range tells the gap before it, and the last one the gap after it.
     """
+    chunks = dealt(chunks, "file_id")
     merged = coalesce(chunks.select("file_id", "begin", (F.col("begin") + F.col("length")).alias("stop"))).join(totals, "file_id")
     before = F.greatest(F.lit(0), F.least("begin", "total") - F.lag("stop", 1, 0).over(Window.partitionBy("file_id").orderBy("begin")))
     held = F.greatest(F.lit(0), F.least("stop", "total") - F.col("begin"))

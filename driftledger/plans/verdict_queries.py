@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftledger.functions.workers import dealt
 from driftledger.operators import ranges, records, runs, verdicts
 
 from .integrity_queries import _log_lines, _marked_lines, formats
@@ -25,6 +26,11 @@ def _totals(t: Tables):
     return t.orders.select(F.col("o_orderkey").alias("file_id"), F.lit(7168).cast("long").alias("total"))
 
 
+def _within(t: Tables):
+    """Chunks within their files, dealt before the join: a repartition behind it by the same key would be left out."""
+    return dealt(t.f2, "file_id").join(_short_totals(t), "file_id").where("begin + length <= total").select("file_id", "begin", "length")
+
+
 def _stored(t: Tables):
     """Ranges as manifests hold them; each 9th file's are shifted."""
     return ranges.coalesce(t.f2v).withColumn("stop", F.col("stop") + F.when(F.col("file_id") % 9 == 0, 1).otherwise(0))
@@ -196,7 +202,7 @@ QUERIES = {
     "changed_details": lambda t: verdicts.changed_details(_drift_log(t)),
     "artifact_path_validate": lambda t: t.f1.select(F.when(F.col("file_id") % 8 == 0, F.concat(F.lit("/"), "relative_path")).when(F.col("file_id") % 8 == 1, F.concat(F.lit("../"), "relative_path")).when(F.col("file_id") % 8 == 2, F.concat(F.lit("build/"), "relative_path")).otherwise(F.col("relative_path")).alias("path")).withColumn("reason", verdicts.artifact_reason(F.col("path"), SENSITIVE, BUILT, BLOCKED)),
     "ranges_reconcile": lambda t: verdicts.reconcile(_stored(t), t.f2v),
-    "resume_stats": lambda t: verdicts.resume_stats(_short_totals(t), t.f2.join(_short_totals(t), "file_id").where("begin + length <= total").select("file_id", "begin", "length")),
+    "resume_stats": lambda t: verdicts.resume_stats(_short_totals(t), _within(t)),
     "final_verify_policy": _final,
     "hash_reuse_check": _reused,
     "artifact_freshness": _fresh,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftledger.functions import workers
 from driftledger.operators import ranges, verdicts
+from driftledger.plans import registry
 
 
 def test_release_removes_stored_tables(spark):
@@ -27,3 +28,16 @@ def test_ranges_of_files_keep_their_number_of_tasks(spark, step):
     told = found.groupBy(F.spark_partition_id()).count().collect()
     assert len(told) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sum(r["count"] for r in told) == {"coalesce": 4000, "missing": 4000}.get(step, 1000)
+
+
+def test_chunks_of_resumed_files_keep_their_number_of_tasks(spark):
+    """As the query joins them with their files' sizes before they are merged; a join of tables too large to send to all."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = registry.QUERIES["resume_stats"](spark, "/root/testdata/sf0.001")
+        assert len({r.part for r in found.withColumn("part", F.spark_partition_id()).collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
