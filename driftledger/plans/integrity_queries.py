@@ -44,7 +44,7 @@ def _written_manifests(t: Tables, kind: str = "upload") -> str:
     transfers = t.f2.select("file_id").distinct().select(ident, *paths, path("tmp").alias("temp_path"), F.lit(7168).cast("long").alias("total_size"), F.lit(CHUNK).cast("long").alias("chunk_size"), F.lit(1).alias("created_ns"), F.lit(2).alias("updated_ns"), F.lit("partial").alias("state"))
     number = F.substring_index("transfer_id", "-", -1).cast("long")
     old = number % 11 == 0
-    texts = formats.sink_transfer_manifest(transfers.where(~old), chunks.where(~old), VERSION, kind).unionByName(formats.sink_transfer_manifest(transfers.where(old), chunks.where(old), VERSION - 1, kind))
+    texts = formats.sink_transfer_manifest(transfers, chunks, F.when(old, VERSION - 1).otherwise(VERSION), kind)
     texts = texts.withColumn("text", F.when(number % 7 == 0, F.replace("text", F.lit("state=partial"), F.lit("state=complete"))).otherwise(F.col("text")))
     path = shared_folder(t.spark, "transfer-manifests")
     formats.write_manifests(texts, path)

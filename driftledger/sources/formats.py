@@ -41,13 +41,13 @@ def _signed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("body", body).withColumn("crc", crc32c(F.col("body").cast("binary"))).withColumn("text", signed).drop("body", "crc")
 
 
-def sink_transfer_manifest(transfers: DataFrame, chunks: DataFrame, version: int, kind: str = "upload") -> DataFrame:
+def sink_transfer_manifest(transfers: DataFrame, chunks: DataFrame, version: int | Column, kind: str = "upload") -> DataFrame:
     """Canonical text of each transfer: records by offset and id, ranges derived from them.
 
     ``transfers`` has transfer_id, temp_path, total_size, chunk_size, created_ns,
     updated_ns, state and output_path, or source_path and target_path for the kind
     ``download``; ``chunks`` transfer_id, chunk_id, begin, length and crc.  A transfer
-    without chunks has empty lists.
+    without chunks has empty lists.  ``version`` may be a column, of ``transfer_id``.
     """
     keys, paths = (DOWNLOAD_KEYS, ("source_path", "target_path", "temp_path")) if kind == "download" else (TRANSFER_KEYS, ("output_path", "temp_path"))
     record = F.struct("begin", "chunk_id", "length", "crc")
