@@ -76,9 +76,8 @@ def crcs(values: list[bytes]) -> np.ndarray:
     return np.where(sizes > 0, whole ^ start ^ ONES, 0).astype(np.uint32)
 
 
-@F.pandas_udf(LongType())
-def crc32c(content: pd.Series) -> pd.Series:
-    """CRC-32C of a binary value, null for null; passes are bounded by bytes, not by rows."""
+def _crcs(content: pd.Series) -> pd.Series:
+    """CRC-32C of each value, null for null; passes are bounded by bytes, not by rows."""
     present = [bytes(v) for v in content if v is not None]
     parts, batch, held = [], [], 0
     for value in present:
@@ -93,11 +92,27 @@ def crc32c(content: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else next(found) for v in content], dtype="Int64")
 
 
-@F.pandas_udf(LongType())
-def crc32c_shift(crc: pd.Series, n: pd.Series) -> pd.Series:
-    """``crc`` as it counts with ``n`` bytes behind it (before it, if negative); null if either is."""
+def _moved(crc: pd.Series, n: pd.Series) -> pd.Series:
     known = (crc.notna() & n.notna()).to_numpy()
     out = pd.Series([pd.NA] * len(crc), dtype="Int64")
     if known.any():
         out[known] = move(crc[known].to_numpy(dtype=np.int64).astype(np.uint32), n[known].to_numpy(dtype=np.int64)).astype(np.int64)
     return out
+
+
+@F.pandas_udf(LongType())
+def crc32c(content: pd.Series) -> pd.Series:
+    """CRC-32C of a binary value, null for null."""
+    return _crcs(content)
+
+
+@F.pandas_udf(LongType())
+def crc32c_shift(crc: pd.Series, n: pd.Series) -> pd.Series:
+    """``crc`` as it counts with ``n`` bytes behind it (before it, if negative); null if either is."""
+    return _moved(crc, n)
+
+
+@F.pandas_udf(LongType())
+def crc32c_moved(content: pd.Series, n: pd.Series) -> pd.Series:
+    """``crc32c_shift(crc32c(content), n)`` in one Python worker; Spark gives each of two that are nested a worker of its own."""
+    return _moved(_crcs(content), n)

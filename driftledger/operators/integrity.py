@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from driftledger.functions.checksums import crc32c, crc32c_shift, crcs
+from driftledger.functions.checksums import crc32c, crc32c_moved, crc32c_shift, crcs
 from driftledger.functions.workers import ship, stored
 
 from . import ranges
@@ -52,11 +52,22 @@ def crc32c_combine(chunks: DataFrame, *keys: str) -> DataFrame:
     ship(chunks.sparkSession)
     keys = keys or ("file_id",)
     stop = F.col("begin") + F.col("length")
-    moved = chunks.select(*keys, stop.alias("stop"), crc32c_shift("crc", -stop).alias("moved"))
+    return _folded(chunks.select(*keys, stop.alias("stop"), crc32c_shift("crc", -stop).alias("moved")), *keys)
+
+
+def _folded(moved: DataFrame, *keys: str) -> DataFrame:
+    """CRC of each whole from the CRCs of its chunks, each moved back by its end ``stop``."""
     folded = moved.groupBy(*keys).agg(F.max("stop").alias("size"), F.bit_xor("moved").alias("moved"))
     return folded.select(*keys, "size", crc32c_shift("moved", "size").alias("crc"))
 
 
+def content_crc32c(files: DataFrame, chunk: int) -> DataFrame:
+    """CRC-32C of each file's ``content``, cut into chunks that are summed and moved in one pass; an empty file has no row."""
+    ship(files.sparkSession)
+    stop = F.col("begin") + F.col("length")
+    return _folded(slices(files, chunk).select("file_id", stop.alias("stop"), crc32c_moved("part", -stop).alias("moved")), "file_id")
+
+
 def exact_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each file's CRC from chunks that cover it exactly; ``reason`` where they don't."""
     order = Window.partitionBy("file_id").orderBy("begin", "length")
@@ -82,8 +93,8 @@ def tree_digest(files: DataFrame) -> DataFrame:
     nul = F.lit(b"\0")
     head = F.concat(F.col("relative_path").cast("binary"), nul, size.cast("binary"), nul)
     bad = (F.col("relative_path") == "") | F.col("relative_path").contains("\\") | F.col("relative_path").contains("\0")
-    rows = without_sidecars(files).select("root", "relative_path", bad.alias("bad"), (F.octet_length("relative_path") + F.octet_length(size) + 3 + F.col("size")).alias("bytes"), "size", "crc", crc32c(head).alias("head"))
-    crc = crc32c_shift("head", F.col("size") + 1).bitwiseXOR(crc32c_shift("crc", F.lit(1).cast("long"))).bitwiseXOR(F.lit(int(crcs([b"\0"])[0])).cast("long"))
+    rows = without_sidecars(files).select("root", "relative_path", bad.alias("bad"), (F.octet_length("relative_path") + F.octet_length(size) + 3 + F.col("size")).alias("bytes"), "size", "crc", head.alias("head"))
+    crc = crc32c_moved("head", F.col("size") + 1).bitwiseXOR(crc32c_shift("crc", F.lit(1).cast("long"))).bitwiseXOR(F.lit(int(crcs([b"\0"])[0])).cast("long"))
     rows = stored(rows.select("root", "relative_path", "bad", "bytes", "size", crc.alias("crc")), "tree-segments")
     sample = sorted(r[0] for r in rows.select("relative_path").orderBy(F.xxhash64("relative_path"), "relative_path").limit(BUCKETS * SAMPLES).collect())
     bounds = F.array(*map(F.lit, sample[SAMPLES::SAMPLES])).cast("array<string>")
@@ -102,7 +113,7 @@ def tree_digest(files: DataFrame) -> DataFrame:
 def tree_hash_content(files: DataFrame, chunk: int) -> DataFrame:
     """Digest of each root from contents, which are read once and never shuffled."""
     names = files.select("file_id", "root", "relative_path", F.length("content").cast("long").alias("size"))
-    whole = crc32c_combine(crc32c_chunks(files, chunk)).select("file_id", "crc")
+    whole = content_crc32c(files, chunk).select("file_id", "crc")
     return tree_digest(names.join(whole, "file_id", "left").withColumn("crc", F.coalesce("crc", F.lit(0).cast("long"))))
 
 

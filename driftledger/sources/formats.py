@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from driftledger.functions.checksums import crc32c, crc32c_shift, crcs
+from driftledger.functions.checksums import crc32c, crc32c_moved, crc32c_shift, crcs
 from driftledger.functions.workers import ship, stored
 from driftledger.operators.ranges import coalesce
 from driftledger.operators.ranks import placed
@@ -168,7 +168,7 @@ def _list_sums(records: DataFrame, *keys: str) -> DataFrame:
     byte is changed at the end, as a CRC is linear.
     """
     stop = F.col("at") + F.octet_length("record") + 1
-    moved = records.select(*keys, (F.octet_length("record") + 1).cast("long").alias("n"), crc32c_shift(crc32c(F.concat("record", F.lit(",")).cast("binary")), -stop).alias("moved"))
+    moved = records.select(*keys, (F.octet_length("record") + 1).cast("long").alias("n"), crc32c_moved(F.concat("record", F.lit(",")).cast("binary"), -stop).alias("moved"))
     sums = moved.groupBy(*keys).agg(F.sum("n").alias("bytes"), F.bit_xor("moved").alias("moved"))
     comma, end = (int(c) for c in crcs([b",", b"\n"]))
     return sums.select(*keys, "bytes", crc32c_shift("moved", "bytes").bitwiseXOR(F.lit(comma ^ end).cast("long")).alias("files_crc"))
@@ -177,7 +177,7 @@ def _list_sums(records: DataFrame, *keys: str) -> DataFrame:
 def _whole_crc(keys: list[str]) -> Column:
     """CRC of a tree's body in the one-row form, from its key lines and its list's sums."""
     head = F.concat(*(F.concat(F.lit(f"{k}="), F.col(k).cast("string"), F.lit("\n")) for k in keys), F.lit(f"{TREE_KEYS[-1]}="))
-    return _hex32(crc32c_shift(crc32c(head.cast("binary")), "bytes").bitwiseXOR(F.col("files_crc")))
+    return _hex32(crc32c_moved(head.cast("binary"), "bytes").bitwiseXOR(F.col("files_crc")))
 
 
 def write_tree_manifest(files: DataFrame, path: str, version: int, mode: str = "upload") -> None:

@@ -65,6 +65,19 @@ def test_tree_digest_both_ways(files):
     assert gap == {"r": (None, "not_contiguous"), "s": (content["s"], None)}
 
 
+def test_contents_pass_through_one_python_worker(files, monkeypatch):
+    """A CRC and its move are one function: nested ones would have a worker each, beside the one of the folded CRCs."""
+    monkeypatch.setattr(integrity, "tree_digest", lambda rows: rows)
+    plan = integrity.tree_hash_content(files, 1000)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
+def test_moved_crc_is_that_of_content_with_bytes_behind(spark):
+    rows = spark.createDataFrame([(1, b"ab", 3), (2, b"", 5), (3, None, 1), (4, b"x", None), (5, b"xyz", -3)], "i long, c binary, n long")
+    told = rows.select("i", checksums.crc32c_moved("c", "n").alias("a"), checksums.crc32c_shift(checksums.crc32c("c"), "n").alias("b")).collect()
+    assert all(r.a == r.b for r in told) and {r.i for r in told if r.a is None} == {3, 4}
+
+
 def test_tree_digest_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(integrity, "SAMPLES", 2)
     rows = [(f"p{i:04d}", bytes([i % 251]) * (i % 7)) for i in range(300)]
