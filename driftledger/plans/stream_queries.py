@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftledger.functions.workers import dealt
 from driftledger.operators import records
 from driftledger.streaming import flows, ordered
 
@@ -33,7 +34,7 @@ def _acks(t: Tables) -> DataFrame:
 
 def _dedupe(t: Tables) -> DataFrame:
     found = flows.drained(ordered.in_time_order(_acks(t), ["file_id"], ["chunk_id", "begin", "length", "crc"], ordered.ack_steps(), ordered.ACK_OUT, "1 day"), "acks")
-    return found.groupBy("file_id", "chunk_id", "begin", "crc", "kind").agg(F.count(F.lit(1)).alias("acks"))
+    return dealt(found, "file_id").groupBy("file_id", "chunk_id", "begin", "crc", "kind").agg(F.count(F.lit(1)).alias("acks"))
 
 
 def _ranges(t: Tables) -> DataFrame:

@@ -41,3 +41,9 @@ def test_chunks_of_resumed_files_keep_their_number_of_tasks(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_counted_acknowledgements_keep_their_number_of_tasks(spark):
+    """A file's acknowledgements pack to a few bytes, so tasks sized by bytes would count very many."""
+    found = registry.QUERIES["stream_chunk_dedupe"](spark, "/root/testdata/sf0.001")
+    assert len(found.groupBy(F.spark_partition_id()).count().collect()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
