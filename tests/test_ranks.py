@@ -1,6 +1,7 @@
 """Ranks and quantiles by ranges against Spark's own and plain sorting."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,30 @@ def test_what_is_counted_is_as_wide_as_two_numbers(measured, monkeypatch):
     assert [t for _, t in seen[0]] == ["bigint", "double", "bigint"]
 
 
+def test_few_groups_count_only_values_of_bins_that_hold_a_rank(measured, monkeypatch):
+    """Before, each different value of a group was counted and put in order."""
+    seen, own = [], ranks.placed
+    monkeypatch.setattr(ranks, "placed", lambda rows, *rest: seen.append(rows.count()) or own(rows, *rest))
+    found = {r.k: r.x_median for r in ranks.quantiles(measured, ["k"], {"x": F.col("x")}, {"median": ("linear", 0.5)}).collect()}
+    assert found == {r.k: r.m for r in measured.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("m")).where("m IS NOT NULL").collect()}
+    assert seen[0] < measured.select("k", "x").distinct().count() / 20
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_quantiles_of_odd_numbers(spark, monkeypatch, few):
+    """Both ways, with and without bins: signs, zeros, the least and the greatest doubles, infinities and NaN."""
+    monkeypatch.setattr(ranks, "FEW", few)
+    big = sys.float_info.max
+    rows = [("odd", x) for x in (-float("inf"), -big, -1.5, -1.25, -1e-300, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0, 1.0000001, big, float("inf"), float("nan"))]
+    rows += [("below", -1.0 - i / 100) for i in range(500)] + [("one", -3.0), ("same", 7.0), ("same", 7.0)]
+    table = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    shares = [0.0, 0.1, 0.2, 0.37, 0.5, 0.66, 0.8, 0.9, 0.93, 1.0]
+    found = ranks.quantiles(table, ["k"], {"x": F.col("x")}, {f"q{i}": ("disc", s) for i, s in enumerate(shares)})
+    want = table.groupBy("k").agg(*(F.expr(f"percentile_disc({s}D) WITHIN GROUP (ORDER BY x)") for s in shares))
+    plain = lambda d: sorted(repr([r[0], *(x + 0.0 for x in r[1:])]) for r in d.collect())  # noqa: E731, -0.0 is 0.0
+    assert plain(found) == plain(want)
+
+
 def test_places_are_spread_over_ranges(measured, spark):
     rows = measured.where("x IS NOT NULL").select(F.coalesce("k", F.lit("-")).alias("k"), "x").withColumn("id", F.monotonically_increasing_id())
     found = ranks.placed(rows, "k", ["x", "id"]).collect()
