@@ -1,10 +1,11 @@
 """Acknowledgements of chunks: the first that is accepted wins, by offset, id and range.
 
 What is accepted depends on what was accepted before, but only among acknowledgements that
-share an offset or an id or overlap.  So all files go in rounds: an acknowledgement that
-comes before all it could clash with is accepted, and what clashes with it is decided.
-Each round is a few windows over offsets, ids and short stretches of a file; none
-holds a whole file, and the rounds are as many as the longest chain of clashes.
+share an offset or an id or overlap.  A file of few is a list, and one pass over it decides.
+All other files go in rounds: an acknowledgement that comes before all it could clash
+with is accepted, and what clashes with it is decided.  Each round is a few windows over
+offsets, ids and short stretches of a file; none holds a whole file, and the rounds are
+as many as the longest chain of clashes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from driftledger.functions.workers import stored
 
 #: Width of the stretches that a file's acknowledgements are compared in, as a multiple of the longest.
 STRETCH = 64
+#: Up to so many acknowledgements of a file are a list in one row.
+FEW = 64
+#: What is told of an acknowledgement, the least first: of several accepted ones that it meets the greatest counts.  Fixed values.
+KINDS = ["accepted", "overlap", "conflict", "duplicate"]
 
 
 def _in_stretches(rows: DataFrame, longest: int) -> DataFrame:
@@ -32,6 +37,26 @@ def _least_nearby(rows: DataFrame, longest: int) -> DataFrame:
     return _in_stretches(rows, longest).withColumn("least", F.min("seq").over(near)).where("home").drop("cell", "home")
 
 
+def _told_in_lists(acks: DataFrame, check_ids: bool) -> DataFrame:
+    """``acks`` with ``kind``, decided one after the other: each file is a list in one row."""
+    names = acks.columns
+    lists = acks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias("rows"))
+
+    def told(so_far: Column, x: Column) -> Column:
+        def against(worst: Column, a: Column) -> Column:
+            same = a["begin"] == x["begin"]
+            alike = same & a["chunk_id"].eqNullSafe(x["chunk_id"]) & a["length"].eqNullSafe(x["length"]) & a["crc"].eqNullSafe(x["crc"])
+            clash = same | (a["chunk_id"] == x["chunk_id"]) if check_ids else same
+            over = (a["begin"] < x["begin"] + x["length"]) & (a["begin"] + a["length"] > x["begin"])
+            return F.when(a["kind"] != 0, worst).when(alike, 3).when(clash, F.greatest(worst, F.lit(2))).when(over, F.greatest(worst, F.lit(1))).otherwise(worst)
+
+        return F.concat(so_far, F.array(F.struct(*(x[c].alias(c) for c in names[1:]), F.aggregate(so_far, F.lit(0), against).alias("kind"))))
+
+    kinds = F.array(*map(F.lit, KINDS))
+    empty = F.array().cast(f"array<struct<{', '.join(f'{c}: bigint' for c in names[1:])}, kind: int>>")
+    return lists.select("file_id", F.inline(F.aggregate("rows", empty, told))).withColumn("kind", F.get(kinds, F.col("kind")))
+
+
 def ack_kinds(acks: DataFrame, check_ids: bool = True) -> DataFrame:
     """``acks`` with ``kind``: ``accepted``, ``duplicate``, ``conflict`` or ``overlap``.
 
@@ -41,7 +66,13 @@ def ack_kinds(acks: DataFrame, check_ids: bool = True) -> DataFrame:
     accepted range otherwise is an overlap.
     """
     names = ["file_id", "seq", "chunk_id", "begin", "length", "crc"]
-    open_ = stored(acks.select(*(F.col(c).cast("long").alias(c) for c in names)), "acks")
+    rows = stored(acks.select(*(F.col(c).cast("long").alias(c) for c in names)), "acks")
+    large = stored(rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).select("file_id"), "large")
+    listed = _told_in_lists(rows.join(large, "file_id", "left_anti"), check_ids)
+    open_ = rows.join(large, "file_id", "left_semi")
+    if large.isEmpty():
+        return listed
+    open_ = stored(open_, "open")
     longest = open_.agg(F.max("length")).first()[0] or 1
     done: DataFrame | None = None
     while not open_.isEmpty():
@@ -60,7 +91,7 @@ def ack_kinds(acks: DataFrame, check_ids: bool = True) -> DataFrame:
         part = accepted.withColumn("kind", F.lit("accepted")).unionByName(told.where("kind IS NOT NULL"))
         done = part if done is None else done.unionByName(part)
         open_ = told.where("kind IS NULL").drop("kind")
-    return open_.withColumn("kind", F.lit(None).cast("string")) if done is None else _by_identity(done, check_ids)
+    return listed if done is None else listed.unionByName(_by_identity(done, check_ids))
 
 
 def _by_identity(done: DataFrame, check_ids: bool) -> DataFrame:

@@ -47,6 +47,26 @@ def test_acks_in_rounds_equal_a_fold(spark, monkeypatch, stretch):
     assert acks.ack_kinds(spark.createDataFrame([], ACKS)).count() == 0
 
 
+@pytest.mark.parametrize(("few", "check_ids"), [(0, True), (15, True), (64, True), (0, False), (64, False)])
+def test_acks_in_lists_and_in_rounds_equal_a_fold(spark, monkeypatch, few, check_ids):
+    """Files of few acknowledgements are decided in one pass, others in rounds; where all are small no round is stored."""
+    monkeypatch.setattr(acks, "FEW", few)
+    seen, own = [], acks.stored
+    monkeypatch.setattr(acks, "stored", lambda rows, name: seen.append(name) or own(rows, name))
+    rng = random.Random(11)
+    rows = [(f, seq, rng.randrange(12), rng.randrange(30) * 5, rng.choice([5, 5, 10, 20]), rng.randrange(2)) for f in range(20) for seq in range(rng.randrange(40))]
+    rows += [(f, 100 + i, *r[2:]) for f in range(20) for i, r in enumerate(r for r in rows if r[0] == f and r[1] % 4 == 0)]
+    found = {(r.file_id, r.seq): r.kind for r in acks.ack_kinds(spark.createDataFrame(rows, ACKS), check_ids).collect()}
+    want, taken = {}, {}
+    for f, seq, c, b, n, crc in rows:
+        held = taken.setdefault(f, [])
+        kind = "duplicate" if (c, b, n, crc) in held else "conflict" if any(b == x[1] or check_ids and c == x[0] for x in held) else "overlap" if any(x[1] < b + n and b < x[1] + x[2] for x in held) else "accepted"
+        want[f, seq] = kind
+        held += [(c, b, n, crc)] if kind == "accepted" else []
+    assert found == want and set(want.values()) == {"accepted", "duplicate", "conflict", "overlap"}
+    assert ("told" in seen) == (few < 64)
+
+
 SECOND = 1_000_000
 
 
