@@ -98,10 +98,15 @@ def overlaps(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("previous_stop", _so_far()).where(F.col("previous_stop") > F.col("begin")).select("file_id", "begin", "stop", "previous_stop")
 
 
+def opening(ranges: DataFrame) -> DataFrame:
+    """``ranges`` with ``past``, the furthest stop of those before, and ``new``: whether one neither overlaps nor touches those."""
+    return dealt(ranges, "file_id").withColumn("past", _so_far()).withColumn("new", ~F.coalesce(F.col("past") >= F.col("begin"), F.lit(False)))
+
+
 def coalesce(ranges: DataFrame) -> DataFrame:
     """Overlapping and adjacent ranges of a file merged to the least list."""
-    marked = dealt(ranges, "file_id").withColumn("new", F.when(_so_far() >= F.col("begin"), 0).otherwise(1))
-    island = F.sum("new").over(Window.partitionBy("file_id").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, 0))
+    marked = opening(ranges)
+    island = F.sum(F.col("new").cast("int")).over(Window.partitionBy("file_id").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("island", island).groupBy("file_id", "island").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop")).drop("island")
 
 

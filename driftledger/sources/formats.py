@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from driftledger.functions.checksums import crc32c, crc32c_moved, crc32c_shift, crcs
 from driftledger.functions.workers import ship, stored
-from driftledger.operators.ranges import coalesce
+from driftledger.operators.ranges import opening
 from driftledger.operators.ranks import placed
 from driftledger.operators.records import path_reason, without_sidecars
 
@@ -51,15 +51,17 @@ def sink_transfer_manifest(transfers: DataFrame, chunks: DataFrame, version: int
     """
     keys, paths = (DOWNLOAD_KEYS, ("source_path", "target_path", "temp_path")) if kind == "download" else (TRANSFER_KEYS, ("output_path", "temp_path"))
     record = F.struct("begin", "chunk_id", "length", "crc")
-    lists = chunks.groupBy("transfer_id").agg(F.array_sort(F.collect_list(record)).alias("r"))
+    opened = opening(chunks.select(F.col("transfer_id").alias("file_id"), "chunk_id", "begin", "length", "crc", (F.col("begin") + F.col("length")).alias("stop")))
+    # A range goes on to the furthest stop before the next one opens; the last to the furthest of all.
+    opens = F.array_sort(F.collect_list(F.when(F.col("new"), F.struct("begin", "past"))))
+    lists = opened.groupBy(F.col("file_id").alias("transfer_id")).agg(F.array_sort(F.collect_list(record)).alias("r"), opens.alias("opens"), F.max("stop").alias("last"))
+    stops = F.concat(F.transform(F.slice("opens", 2, F.greatest(F.size("opens") - 1, F.lit(0))), lambda x: x["past"]), F.array("last"))
+    spans = F.array_join(F.zip_with("opens", stops, lambda x, stop: F.concat_ws("-", x["begin"].cast("string"), stop.cast("string"))), ",")
     texts = F.transform("r", lambda x: F.concat_ws(":", x["chunk_id"].cast("string"), x["begin"].cast("string"), x["length"].cast("string"), F.lit("crc32c"), _hex32(x["crc"])))
-    merged = coalesce(chunks.select(F.col("transfer_id").alias("file_id"), "begin", (F.col("begin") + F.col("length")).alias("stop")))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("begin", "stop"))), lambda x: F.concat_ws("-", x["begin"].cast("string"), x["stop"].cast("string")))
-    spans = merged.groupBy(F.col("file_id").alias("transfer_id")).agg(F.array_join(pieces, ",").alias("spans"))
-    rows = transfers.join(lists, "transfer_id", "left").join(spans, "transfer_id", "left").select(
+    rows = transfers.join(lists, "transfer_id", "left").select(
         "transfer_id", F.lit(version).alias("manifest_version"), *(_hex(F.col(p)).alias(f"{p}_hex") for p in paths), "total_size", "chunk_size",
         F.lit("crc32c").alias("checksum_algorithm"), F.col("created_ns").alias("created_at_unix_ns"), F.col("updated_ns").alias("updated_at_unix_ns"), "state",
-        F.coalesce("spans", F.lit("")).alias("completed_ranges"), F.coalesce(F.array_join(texts, ","), F.lit("")).alias("verified_chunks"),
+        F.coalesce(spans, F.lit("")).alias("completed_ranges"), F.coalesce(F.array_join(texts, ","), F.lit("")).alias("verified_chunks"),
     )
     return _signed(rows, keys).select("transfer_id", "text")
 

@@ -73,6 +73,19 @@ def test_manifest_round_trip(spark, tmp_path, kind):
     assert all(read[k] == v for k, v in paths.items())
 
 
+def test_ranges_of_a_manifest_come_with_its_list(spark, tmp_path):
+    """Ranges that overlap, hold another, touch or stand apart; chunks are shuffled once and joined once."""
+    spans = {"a": [(0, 100), (10, 20), (50, 100), (150, 10), (200, 5), (203, 1), (300, 1)], "b": [(7, 3)], "c": []}
+    transfers = spark.createDataFrame([(t, "out", "t", 4096, 1024, 1, 2, "partial") for t in spans], "transfer_id string, output_path string, temp_path string, total_size long, chunk_size long, created_ns long, updated_ns long, state string")
+    chunks = spark.createDataFrame([(t, i, b, n, 5) for t, own in spans.items() for i, (b, n) in enumerate(own)], "transfer_id string, chunk_id long, begin long, length long, crc long").repartition(3)
+    texts = formats.sink_transfer_manifest(transfers, chunks, 2)
+    assert texts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 2
+    path = f"{tmp_path}/m"
+    formats.write_manifests(texts, path)
+    found = {r.transfer_id: [tuple(x) for x in r.ranges] for r in formats.scan_transfer_manifest(spark, path, 2).collect()}
+    assert found == {"a": [(0, 160), (200, 205), (300, 301)], "b": [(7, 10)], "c": []}
+
+
 def test_tree_digest_of_no_files_has_no_row(spark):
     files = spark.createDataFrame([], "file_id long, root string, relative_path string, content binary")
     assert integrity.tree_hash_content(files, 1024).count() == 0
