@@ -60,7 +60,8 @@ def crcs(values: list[bytes]) -> np.ndarray:
     sizes = np.array([len(v) for v in values], dtype=np.int64)
     if not sizes.sum():
         return np.zeros(len(values), dtype=np.uint32)
-    stripe = 1 << int(np.clip(np.log2(sizes.sum() / 4096 + 1), 4, 12))
+    # At most about a quarter of a value, else many short values would be mostly the zeros before them.
+    stripe = 1 << int(np.clip(np.log2(min(sizes.sum() / 4096, sizes.mean() / 4) + 1), 4, 12))
     counts = np.maximum(-(-sizes // stripe), 1)
     ends = np.cumsum(counts)
     buffer = np.zeros(int(ends[-1]) * stripe, dtype=np.uint8)
