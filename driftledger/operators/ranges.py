@@ -104,10 +104,18 @@ def opening(ranges: DataFrame) -> DataFrame:
 
 
 def coalesce(ranges: DataFrame) -> DataFrame:
-    """Overlapping and adjacent ranges of a file merged to the least list."""
-    marked = opening(ranges)
-    island = F.sum(F.col("new").cast("int")).over(Window.partitionBy("file_id").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("island", island).groupBy("file_id", "island").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop")).drop("island")
+    """Overlapping and adjacent ranges of a file merged to the least list.
+
+    One order serves all steps: a merged range comes out at its last row, so no table of files or ranges is held.
+    """
+    by = Window.partitionBy("file_id").orderBy("begin", "stop")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    marked = opening(ranges).withColumn("after_null", F.lag("begin").over(by).isNull())
+    # A range without a begin comes first and takes that of the next one that it reaches.
+    begin = F.last(F.when(F.col("new") | F.col("after_null"), F.col("begin")), ignorenulls=True)
+    islands = marked.select("file_id", "begin", "stop", F.sum(F.col("new").cast("int")).over(so_far).alias("island"), begin.over(so_far).alias("first"), F.coalesce(F.lead("new").over(by), F.lit(True)).alias("ends"))
+    merged = islands.withColumn("last", F.max(F.struct("island", "stop")).over(so_far)["stop"]).where("ends")
+    return merged.select("file_id", F.col("first").alias("begin"), F.col("last").alias("stop"))
 
 
 def missing(ranges: DataFrame, totals: DataFrame) -> DataFrame:

@@ -54,11 +54,16 @@ def artifact_reason(path: Column, sensitive: str, built: str, suffixes: str) ->
 
 
 def reconcile(stored: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Whether each file's stored ranges are those that its chunks give, both in order."""
-    pairs = F.array_sort(F.collect_list(F.struct("begin", "stop")))
-    derived = coalesce(chunks).groupBy("file_id").agg(pairs.alias("derived"))
-    kept = stored.groupBy("file_id").agg(pairs.alias("kept"))
-    return kept.join(derived, "file_id", "full").select("file_id", F.coalesce(F.col("kept") == F.col("derived"), F.lit(False)).alias("matches"))
+    """Whether each file's stored ranges are those that its chunks give, each as often.
+
+    Stored ranges count up and derived ones down; in their order the sum must be 0 after each range (equal ones
+    at once).  A file's answer comes out at its last row, so neither lists nor a table of files are held.
+    """
+    side = lambda d, n: d.select("file_id", "begin", "stop", F.lit(n).alias("side"))
+    by = Window.partitionBy("file_id").orderBy("begin", "stop")
+    even = dealt(side(stored, 1).unionByName(side(coalesce(chunks), -1)), "file_id").withColumn("even", F.sum("side").over(by) == 0)
+    so_far = F.bool_and("even").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return even.select("file_id", so_far.alias("matches"), F.lead("side").over(by).isNull().alias("ends")).where("ends").drop("ends")
 
 
 def final_verify(coverage: DataFrame, policy: str, algorithm: str) -> DataFrame:
